@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparloom.llm import mixing, sharding, simhash, token_counts, token_files
+from sparloom.llm import disclosure, lz_fingerprint, mixing, quality, sharding, simhash, token_counts, token_files
 from sparloom.llm.common import cut, delete_path, shared_folder, table
 
 SHARDS = tuple(f"shard-{i:03d}" for i in range(48))
@@ -34,10 +34,22 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op8_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz_fingerprint.edit_likeness(table(spark, sf_dir, "documents"))
+
+
+def op9_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disclosure.report(disclosure.find_personal_data(table(spark, sf_dir, "documents")))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files go to a folder of their own in the shared one, and away once they have been read back."""
     path = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
@@ -53,7 +65,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sharding": op2_sharding,
         "op3_simhash": op3_simhash,
         "op5_token_counts": op5_token_counts,
+        "op6_quality": op6_quality,
         "op7_mixing": op7_mixing,
+        "op8_lz_fingerprint": op8_lz_fingerprint,
+        "op9_disclosure": op9_disclosure,
         "op10_token_files": op10_token_files,
     }
 
