@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,11 +48,50 @@ def delete_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Rows of one id column that may be broadcast: some 30 MB.
+MAX_BROADCAST_IDS = 2_000_000
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id isn't among ``ids`` (one column; null is an id like others).  The ids are
+    counted first and broadcast if they are few, so that texts needn't be shuffled; else it is a shuffle join."""
+    gone = cut(ids.toDF("_gone").distinct())
+    if gone.count() <= MAX_BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+
+
 def text_of(column: str = "text") -> Column:
     """The text with null as empty."""
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors once a session, so that functions pickled by name are found there
+    even where it isn't installed or on the path."""
+    if getattr(spark.sparkContext, "_sparloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="sparloom-")) / "sparloom.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(target))
+    spark.sparkContext._sparloom_shipped = True
+
+
+def range_bounds(df: DataFrame, key: str, ranges: int) -> list[int]:
+    """At most ``ranges - 1`` quantiles of a column of whole numbers, in order, without repeats.
+
+    They only decide how even the ranges are.  Asking for them reads one column; a range partitioning would
+    run whatever precedes it twice, once for its sample.
+    """
+    cuts = [i / ranges for i in range(1, ranges)]
+    if not cuts:
+        return []
+    return sorted(set(df.agg(F.percentile_approx(F.col(key).cast("long"), cuts, 20 * ranges).alias("q")).first()["q"] or []))
+
+
 def arrow_rows(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterable[tuple]], schema: str, chunk: int = 2048) -> DataFrame:
     """Stream the rows of each partition through ``fn`` (tuples in, tuples out) in Arrow batches.
 
@@ -60,6 +101,7 @@ def arrow_rows(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterable[tuple]],
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    ship(df.sparkSession)
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

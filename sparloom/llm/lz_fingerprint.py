@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparloom.llm.common import arrow_rows, text_of
+from sparloom.llm.common import arrow_rows, range_bounds, text_of
 
 FUNCTIONS = 128
 _MASK = (1 << 64) - 1
@@ -122,8 +122,7 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         raise TypeError(f"{id_col} must be a whole number")
     ranges = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = docs.select(F.col(id_col).cast("long").alias("k"))
-    cuts = [i / ranges for i in range(1, ranges)]
-    bounds = sorted(set(ids.agg(F.percentile_approx("k", cuts, 20 * ranges).alias("q")).first()["q"] or []))
+    bounds = range_bounds(ids, "k", ranges)
 
     def range_of(k: int | None) -> int:
         return len(bounds) + 1 if k is None else len(bounds) - bisect.bisect_left(bounds, k)

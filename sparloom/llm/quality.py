@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparloom.llm.common import arrow_rows, cut, text_of
+from sparloom.llm.common import arrow_rows, cut, ship, text_of
 from sparloom.llm.mixing import hashed_unit
 from sparloom.llm.words import AGAIN, WORD, word_hashes
 
@@ -71,6 +71,7 @@ def count_models(docs: DataFrame, target_ids: set, id_col: str, text_col: str, b
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(target[some])], names=["bucket", "raw", "target"])
 
+    ship(docs.sparkSession)
     sent = docs.select(F.col(id_col), text_of(text_col).alias("t")).mapInArrow(count, "bucket long, raw long, target long")
     got = sent.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.zeros(buckets), np.zeros(buckets)

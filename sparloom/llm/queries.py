@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparloom.llm import disclosure, lz_fingerprint, mixing, quality, sharding, simhash, token_counts, token_files
+from sparloom.llm import decontaminate, disclosure, html_text, lz_fingerprint, mixing, quality, sharding, simhash, token_counts, token_files
 from sparloom.llm.common import cut, delete_path, shared_folder, table
 
 SHARDS = tuple(f"shard-{i:03d}" for i in range(48))
@@ -20,6 +20,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
     return sharding.assign_shards(docs, "doc_id", SHARDS)
@@ -30,6 +34,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex("fp").alias("fingerprint"), "component_id", "n_links")
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -62,8 +70,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": op1_decontamination,
         "op2_sharding": op2_sharding,
         "op3_simhash": op3_simhash,
+        "op4_html_text": op4_html_text,
         "op5_token_counts": op5_token_counts,
         "op6_quality": op6_quality,
         "op7_mixing": op7_mixing,

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparloom.llm.common import arrow_rows, cut, text_of
+from sparloom.llm.common import arrow_rows, cut, ship, text_of, without_ids
 from sparloom.llm.graph import components
 
 #: Fixed values: (length, parity bits, generator polynomial) of two perfect cyclic codes; the plain bits.
@@ -173,6 +173,7 @@ def fingerprint_links(distinct: DataFrame, threshold: int = 2) -> DataFrame:
             values = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(anchors(values.view(np.uint64), 0)[0].view(np.int64)), pa.array(values)], names=["anchor", "a"])
 
+    ship(distinct.sparkSession)
     at_home = distinct.select("fp").mapInArrow(home, "anchor long, a long")
     placed = distinct.select("fp").mapInArrow(replicas, "anchor long, b long")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold
@@ -205,13 +206,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2, shingle: int = 5) -> DataFrame:
-    """The documents that stay when one of each near-duplicate group does: the one with the smallest id (of
-    repeated ids, the row whose text has the smallest digest).  Rows without an id stay only if no row of
-    their group has one, and then one of them does.  Columns are those of ``docs``."""
+    """``docs`` without near duplicates: of each group the rows with its smallest id stay, the others go.
+    Rows without an id stay, since there is nothing to tell them apart by.  Columns are those of ``docs``."""
     marks = near_duplicates(docs, id_col, text_col, threshold, shingle)
-    keep = marks.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_keep")).distinct()
-    chosen = docs.join(keep, docs[id_col] == keep["_keep"], "left_semi")
-    return chosen
+    return without_ids(docs, marks.filter(F.col(id_col) != F.col("component_id")).select(id_col), id_col)
 
 
 def as_hex(fp: str = "fp"):
