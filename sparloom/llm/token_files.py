@@ -7,9 +7,9 @@ A segment file is a run of segments, each followed by one newline byte.  A segme
     blocks x u32                                               the block starts in the payload
     payload                                                    the blocks
 
-A block holds up to 256 identifiers: u32 minimum, u8 width, u8 exceptions, u16 count, then the identifiers
+A block holds up to 1024 identifiers: u32 minimum, u8 width, u8 zero, u16 exceptions, u16 count, then the identifiers
 less the minimum, each packed into ``width`` bits (higher bits of exceptions are cut), then the exceptions'
-positions (u8 each) and the cut higher bits (u32 each).  The width is the bit length of the value at a
+positions (u16 each) and the cut higher bits (u32 each).  The width is the bit length of the value at a
 percentile of the block's offsets, so few outliers don't widen the whole block.
 
 Files are written by Spark's own file writer and commit protocol, so they can go to any store that Spark
@@ -18,6 +18,7 @@ reaches, a lost executor's attempt leaves nothing behind, and a retry writes the
 
 from __future__ import annotations
 
+import bisect
 import os
 import struct
 import zlib
@@ -27,10 +28,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparloom.llm.common import arrow_rows, cut, text_of
+from sparloom.llm.common import arrow_rows, cut, range_bounds, text_of
 
 MAGIC = b"PFR1"
-BLOCK = 256
+BLOCK = 1024
+HEAD = 10
 PERCENTILE = 95
 #: A segment is closed at the document that reaches this many identifiers; a document is never split.
 SEGMENT_IDS = 1 << 18
@@ -70,9 +72,9 @@ def pack_blocks(ids: np.ndarray) -> tuple[np.ndarray, bytes]:
         starts[b] = size
         over = np.flatnonzero((offset[b, : counts[b]].astype(np.uint64) >> np.uint64(w)) > 0)
         body = packed[w][1][i].tobytes()
-        part = struct.pack("<IBBH", int(low[b]), w, len(over), int(counts[b])) + body
+        part = struct.pack("<IBBHH", int(low[b]), w, 0, len(over), int(counts[b])) + body
         if len(over):
-            part += over.astype("<u1").tobytes() + (offset[b, over].astype(np.uint64) >> np.uint64(w)).astype("<u4").tobytes()
+            part += over.astype("<u2").tobytes() + (offset[b, over].astype(np.uint64) >> np.uint64(w)).astype("<u4").tobytes()
         parts.append(part)
         size += len(part)
     return starts, b"".join(parts)
@@ -83,32 +85,32 @@ def _pack(values: np.ndarray, width: int) -> np.ndarray:
     if width == 0:
         return np.zeros((len(values), 0), np.uint8)
     raw = np.ascontiguousarray(values.astype("<u4")).view(np.uint8).reshape(len(values), BLOCK, 4)
-    bits = np.unpackbits(raw, axis=2, bitorder="little")[:, :, :width]
+    bits = np.unpackbits(raw[:, :, : (width + 7) // 8], axis=2, bitorder="little")[:, :, :width]
     return np.packbits(bits.reshape(len(values), BLOCK * width), axis=1, bitorder="little")
 
 
 def unpack_blocks(starts: np.ndarray, payload: bytes) -> np.ndarray:
     """The identifiers again; every block is found by its start, so any of them could be read alone."""
-    heads = [struct.unpack_from("<IBBH", payload, int(s)) for s in starts]
+    heads = [struct.unpack_from("<IBBHH", payload, int(s)) for s in starts]
     out = np.zeros((len(heads), BLOCK), np.uint64)
     by_width: dict[int, list[int]] = {}
-    for b, (_, w, _, _) in enumerate(heads):
+    for b, (_, w, _, _, _) in enumerate(heads):
         by_width.setdefault(w, []).append(b)
     data = np.frombuffer(payload, np.uint8)
     for w, rows in by_width.items():
         if w:
-            raw = np.stack([data[int(starts[b]) + 8 : int(starts[b]) + 8 + BLOCK * w // 8] for b in rows])
+            raw = np.stack([data[int(starts[b]) + HEAD : int(starts[b]) + HEAD + BLOCK * w // 8] for b in rows])
             bits = np.unpackbits(raw, axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
-            wide = np.zeros((len(rows), BLOCK, 32), np.uint8)
-            wide[:, :, :w] = bits
-            out[rows] = np.packbits(wide, axis=2, bitorder="little").view("<u4").reshape(len(rows), BLOCK)
-    for b, (_, w, over, _) in enumerate(heads):
+            wide = np.zeros((len(rows), BLOCK, 4), np.uint8)
+            wide[:, :, : (w + 7) // 8] = np.packbits(bits, axis=2, bitorder="little")
+            out[rows] = wide.view("<u4").reshape(len(rows), BLOCK)
+    for b, (_, w, _, over, _) in enumerate(heads):
         if over:
-            at = int(starts[b]) + 8 + BLOCK * w // 8
-            spots = np.frombuffer(payload, "<u1", over, at)
-            out[b, spots] += np.frombuffer(payload, "<u4", over, at + over).astype(np.uint64) << np.uint64(w)
+            at = int(starts[b]) + HEAD + BLOCK * w // 8
+            spots = np.frombuffer(payload, "<u2", over, at)
+            out[b, spots] += np.frombuffer(payload, "<u4", over, at + 2 * over).astype(np.uint64) << np.uint64(w)
     out += np.array([h[0] for h in heads], np.uint64).reshape(-1, 1)
-    counts = np.array([h[3] for h in heads], int)
+    counts = np.array([h[4] for h in heads], int)
     return out[np.arange(BLOCK)[None, :] < counts[:, None]].astype(np.uint32) if len(heads) else np.zeros(0, np.uint32)
 
 
@@ -116,7 +118,7 @@ def pack_segment(docs: list[tuple[int | None, np.ndarray]]) -> bytes:
     ids = np.concatenate([d[1] for d in docs]) if docs else np.zeros(0, np.uint32)
     starts, payload = pack_blocks(ids)
     index = b"".join(struct.pack("<qBI", d or 0, d is None, len(v)) for d, v in docs)
-    return MAGIC + struct.pack("<IIIIB", len(docs), len(ids), len(starts), len(payload), 32) + index + starts.tobytes() + payload + b""
+    return MAGIC + struct.pack("<IIIIB", len(docs), len(ids), len(starts), len(payload), 32) + index + starts.tobytes() + payload
 
 
 def unpack_file(content: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
@@ -186,22 +188,23 @@ class WordEncoder:
 
     def encode_many(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian 32-bit identifiers of each text."""
-        split: list[list[str] | None] = []
-        new: dict[str, None] = {}
-        for t in texts:
-            words = None
+        found: list[list[bytes | None] | None] = []
+        gaps: list[tuple[int, int, str]] = []
+        get = self.kept.get
+        for i, t in enumerate(texts):
+            parts = None
             if t and self.by_word and self.is_plain(t):
                 words = t.replace("\n", " \n").split(" ")
                 words[0] = "\r" + words[0]  # the first word has no space before it
-                new.update(dict.fromkeys([w for w in words if w not in self.kept]))
-            split.append(words)
-        fresh = self._encode_words(list(new))
-        for t, words in zip(texts, split, strict=True):
-            if words is None:
-                yield self.whole(t) if t else b""
-            else:
-                kept = self.kept
-                yield b"".join([kept[w] if w in kept else fresh[w] for w in words])
+                parts = list(map(get, words))
+                if None in parts:
+                    gaps += [(i, j, words[j]) for j, p in enumerate(parts) if p is None]
+            found.append(parts)
+        fresh = self._encode_words(list({w: None for _, _, w in gaps}))
+        for i, j, w in gaps:
+            found[i][j] = fresh[w]
+        for t, parts in zip(texts, found, strict=True):
+            yield b"".join(parts) if parts is not None else self.whole(t) if t else b""
 
     def _encode_words(self, words: list[str], at_once: int = 2000) -> dict[str, bytes]:
         """Words joined by newlines, encoded together and cut at the newlines' identifiers."""
@@ -209,7 +212,7 @@ class WordEncoder:
         mark = np.array([self.newline], "<u4").tobytes()
         for i in range(0, len(words), at_once):
             some = words[i : i + at_once]
-            ids = np.array(self.library.encode("\n".join([w[1:] if w[0] in "\n\r" else " " + w for w in some]), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.library.encode_batch_fast(["\n".join([w[1:] if w[0] in "\n\r" else " " + w for w in some])], add_special_tokens=False)[0].ids, "<u4")
             data, ends = ids.tobytes(), (4 * np.flatnonzero(ids == self.newline)).tolist()
             if len(ends) != len(some) - 1:
                 raise ValueError("the tokenizer doesn't keep newlines apart")
@@ -249,8 +252,8 @@ def _chunks(rows: Iterable[tuple], size: int = 512, chars: int = 4 << 20) -> Ite
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every text, end each with ``end_id`` and write the identifiers to ``path`` in id order.
 
-    Texts are encoded where they are read; only zstd-compressed identifiers are shuffled, range-partitioned
-    and sorted by (id, text digest), so repeated ids have a defined order too (null ids come first, equal
+    Texts are encoded where they are read; only zstd-compressed identifiers are shuffled, to ranges of
+    ids, and sorted by (id, text digest), so repeated ids have a defined order too (null ids come first, equal
     rows in any order, which no reader can tell apart).  Null and empty texts give the end id alone.  An
     empty table gives an empty folder.
     """
@@ -264,7 +267,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         end = struct.pack("<I", end_id)
         for some in _chunks(rows):
             for (key, tie, _), ids in zip(some, coder.encode_many([r[-1] for r in some]), strict=True):
-                yield key, tie, squeeze.compress(_narrow(ids + end))
+                yield (0 if key is None else bisect.bisect_left(bounds, key)), key, tie, squeeze.compress(_narrow(ids + end))
 
     def segments(rows: Iterable[tuple]) -> Iterator[tuple]:
         loosen = zstandard.ZstdDecompressor()
@@ -280,8 +283,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         if held:
             yield (pack_segment(held),)
 
+    spark = docs.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounds = range_bounds(docs, id_col, ranges)
     read = docs.select(F.col(id_col).cast("long").alias("k"), F.sha2(text_of(text_col), 256).substr(1, 16).alias("tie"), text_of(text_col).alias("t"))
-    ordered = arrow_rows(read, encode, "k long, tie string, z binary").repartitionByRange(F.col("k").asc_nulls_first(), "tie").sortWithinPartitions(F.col("k").asc_nulls_first(), "tie")
+    coded = arrow_rows(read, encode, "at int, k long, tie string, z binary")
+    ordered = coded.repartitionById(len(bounds) + 1, F.col("at")).sortWithinPartitions(F.col("k").asc_nulls_first(), "tie").select("k", "tie", "z")
     # the text writer puts a string's bytes out as they are and a newline after each
     files = arrow_rows(ordered, segments, "s binary").select(F.col("s").cast("string").alias("value"))
     files.write.option("maxRecordsPerFile", SEGMENTS_PER_FILE).option("compression", "none").mode("overwrite").text(path)
