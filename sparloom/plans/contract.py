@@ -1,19 +1,690 @@
-"""The registered queries and their oracle SQL."""
+"""The registered queries over the driver tables, each with an equivalent SQL text.
+
+The tables hold no compounds, so every operator works on a stand-in column; what is made up (codes, members,
+masks) comes from arithmetic or md5 in the same way on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparloom.functions import records as R
+from sparloom.functions import text as X
+from sparloom.functions import vocabulary as V
+from sparloom.operators import ensemble, gates, integrate, metrics, resample, sample, split
+from sparloom.sources import sinks
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def _register(sql: str | None = None):
+    def add(fn):
+        _QUERIES[fn.__name__] = fn
+        if sql is not None:
+            _SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def _h(text: str) -> str:
+    """SQL of the first 32 bits of an md5."""
+    return f"(('0x' || substr(md5({text}), 1, 8))::BIGINT)"
+
+
+# ---- codes and labels ----------------------------------------------------------------------------------
+
+_CASE = "CASE c " + " ".join(f"WHEN '{c}' THEN '{n}'" for c, n in V.CODE_TO_LABEL.items()) + " END"
+_CODES_SQL = f"""
+raw AS (SELECT p_partkey, regexp_extract_all(upper('H' || (200 + p_partkey % 220) || '; h' || (300 + p_size)), 'H[0-9]{{3}}') AS l FROM part),
+coded AS (SELECT p_partkey, list_filter(l, lambda x, i: list_position(l, x) = i) AS codes FROM raw),
+named AS (SELECT *, list_filter(list_transform(codes, lambda c: {_CASE}), lambda x: x IS NOT NULL) AS m FROM coded),
+mapped AS (SELECT p_partkey, codes, list_filter(m, lambda x, i: list_position(m, x) = i) AS labels FROM named)"""
+
+
+def _coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("H"), (200 + F.col("p_partkey") % 220).cast("string"), F.lit("; h"), (300 + F.col("p_size")).cast("string"))
+    codes = X.extract_codes(text)
+    return _table(spark, sf_dir, "part").select("p_partkey", codes.alias("codes"), X.codes_to_labels(codes).alias("labels"))
+
+
+@_register(f"WITH {_CODES_SQL} SELECT p_partkey, array_to_string(codes, '|') AS codes, array_to_string(labels, '|') AS labels, len(codes)::INT AS n_codes, len(labels)::INT AS n_labels FROM mapped")
+def code_extract_map(spark, sf_dir):
+    return _coded(spark, sf_dir).select("p_partkey", F.array_join("codes", "|").alias("codes"), F.array_join("labels", "|").alias("labels"), F.size("codes").alias("n_codes"), F.size("labels").alias("n_labels"))
+
+
+@_register(f"WITH {_CODES_SQL} SELECT p_partkey, " + ", ".join(f"list_contains(labels, '{n}')::INT AS label_{n}" for n in V.LABELS) + " FROM mapped")
+def label_one_hot(spark, sf_dir):
+    return _coded(spark, sf_dir).select("p_partkey", *[F.array_contains("labels", n).cast("int").alias(f"label_{n}") for n in V.LABELS])
+
+
+@_register(f"WITH {_CODES_SQL}, e AS (SELECT p_partkey, unnest(codes) AS code, generate_subscripts(codes, 1) AS i FROM mapped) SELECT code, count(*) AS n FROM e GROUP BY code ORDER BY n DESC, min((p_partkey, i)) LIMIT 20")
+def code_frequency_topk(spark, sf_dir):
+    return metrics.top_codes(_coded(spark, sf_dir), "codes", "p_partkey")
+
+
+@_register(f"WITH {_CODES_SQL} SELECT len(labels)::INT AS n_labels, count(*) AS n FROM mapped GROUP BY 1")
+def label_cardinality(spark, sf_dir):
+    return metrics.label_cardinality(_coded(spark, sf_dir), "labels")
+
+
+@_register(f"WITH {_CODES_SQL} SELECT unnest(labels) AS label, count(*) AS n FROM mapped GROUP BY 1")
+def label_distribution(spark, sf_dir):
+    return metrics.label_distribution(_coded(spark, sf_dir), "labels")
+
+
+# ---- cleaning ------------------------------------------------------------------------------------------
+
+
+@_register(r"SELECT doc_id, trim(regexp_replace(text, '[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'), ' ') AS clean, CASE WHEN lower(trim(source)) IN ('nan', 'none') THEN '' ELSE trim(source) END AS source FROM documents")
+def clean_text(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", X.normalize_text(F.col("text")).alias("clean"), X.as_text(F.col("source")).alias("source"))
+
+
+@_register(
+    "SELECT c_custkey, nullif(regexp_extract(c_name, '-?[0-9]+(?:\\.[0-9]+)?'), '')::DOUBLE AS number, nullif(regexp_extract(c_name, '[-+]?[0-9]*\\.?[0-9]+'), '')::DOUBLE AS physical, "
+    "CASE WHEN c_acctbal = 0 THEN NULL WHEN c_acctbal <= 5 THEN 1 WHEN c_acctbal <= 50 THEN 2 WHEN c_acctbal <= 300 THEN 3 WHEN c_acctbal <= 2000 THEN 4 WHEN c_acctbal <= 5000 THEN 5 WHEN c_acctbal > 5000 THEN 6 END AS class FROM customer"
+)
+def numeric_extract(spark, sf_dir):
+    return _table(spark, sf_dir, "customer").select("c_custkey", X.parse_float(F.col("c_name")).alias("number"), X.physical_number(F.col("c_name")).alias("physical"), X.toxicity_class(F.col("c_acctbal")).alias("class"))
+
+
+@_register("SELECT event_id, try_cast(json_extract_string(try_cast(props AS JSON), '$.k') AS BIGINT) AS k FROM events")
+def json_field_parse(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", F.try_element_at(R.parse_object(F.col("props")), F.lit("k")).try_cast("bigint").alias("k"))
+
+
+_TRUE = "('1', '1.0', 'true', 'yes')"
+
+
+@_register(
+    f"""WITH t AS (SELECT l_orderkey, l_linenumber, CASE (l_orderkey + l_linenumber) % 8 WHEN 0 THEN '1' WHEN 1 THEN '1.0' WHEN 2 THEN 'TRUE' WHEN 3 THEN 'yes' WHEN 4 THEN '0' WHEN 5 THEN 'nan' WHEN 6 THEN 'true' END AS v FROM lineitem)
+SELECT l_orderkey, l_linenumber, coalesce(v IN ('1', '1.0', 'True', 'true'), false)::INT AS positive, coalesce(lower(v) IN {_TRUE}, false)::INT AS normal,
+CASE WHEN lower(v) IN ('1', 'true', 'yes') THEN 'true' WHEN lower(v) IN ('0', 'false', 'no') THEN 'false' ELSE '' END AS boolish, coalesce(lower(v) IN ('0', '1', 'true', 'false'), false)::INT AS strict FROM t"""
+)
+def truth_dialects(spark, sf_dir):
+    i = (F.col("l_orderkey") + F.col("l_linenumber")) % 8
+    v = F.when(i == 0, "1").when(i == 1, "1.0").when(i == 2, "TRUE").when(i == 3, "yes").when(i == 4, "0").when(i == 5, "nan").when(i == 6, "true")
+    t = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", v.alias("v"))
+    c = F.col("v")
+    return t.select("l_orderkey", "l_linenumber", X.is_positive(c).cast("int").alias("positive"), X.normalize_binary(c).alias("normal"), X.parse_boolish(c).alias("boolish"), X.is_strict_binary(c).cast("int").alias("strict"))
+
+
+def _cell(i: Column) -> Column:
+    texts = ["Category 1A", "Category 1", "category 2", "Not classified", "-", None, "Type B", "Compressed gas", "Classification not possible", "free text"]
+    out = F.lit(None).cast("string")
+    for k, t in enumerate(texts):
+        if t is not None:
+            out = F.when(i == k, t).otherwise(out)
+    return out
+
+
+def _cell_sql(i: str) -> str:
+    return f"CASE {i} WHEN 0 THEN 'Category 1A' WHEN 1 THEN 'Category 1' WHEN 2 THEN 'category 2' WHEN 3 THEN 'Not classified' WHEN 4 THEN '-' WHEN 6 THEN 'Type B' WHEN 7 THEN 'Compressed gas' WHEN 8 THEN 'Classification not possible' WHEN 9 THEN 'free text' END"
+
+
+def _status_sql(c: str, pattern: str) -> str:
+    return f"""CASE WHEN {c} IS NULL OR lower({c}) IN ('', '-', 'nan', 'none', 'classification not possible') THEN NULL WHEN regexp_matches({c}, '{pattern}', 'i') THEN 1
+WHEN starts_with(lower({c}), 'not classified') THEN 0 WHEN regexp_matches({c}, '\\bcategory\\b|\\btype\\s+[a-g]\\b|\\b(compressed|dissolved|liquefied|refrigerated)\\s+gas\\b', 'i') THEN 0 END"""
+
+
+_TRI_SQL = f"""
+cells AS (SELECT l_orderkey, l_linenumber, {_cell_sql('l_partkey % 10')} AS a, {_cell_sql('l_suppkey % 10')} AS b FROM lineitem),
+st AS (SELECT *, {_status_sql('a', 'Category\\s+1(A|B)?\\b')} AS sa, {_status_sql('b', 'Category\\s+(1|2)\\b')} AS sb FROM cells)"""
+
+
+@_register(
+    f"""WITH {_TRI_SQL} SELECT l_orderkey, l_linenumber, sa AS status_a, sb AS status_b, CASE WHEN sa = 1 OR sb = 1 THEN 1 WHEN sa = 0 AND sb = 0 THEN 0 END AS combined,
+'a=' || coalesce(nullif(a, ''), '<blank>') || ' | b=' || coalesce(nullif(b, ''), '<blank>') AS evidence FROM st"""
+)
+def regex_cas_tristate(spark, sf_dir):
+    t = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", _cell(F.col("l_partkey") % 10).alias("a"), _cell(F.col("l_suppkey") % 10).alias("b"))
+    pa, pb = r"Category\s+1(?:A|B)?\b", r"Category\s+(?:1|2)\b"
+    ((_, combined, evidence),) = X.tri_state_labels(F.col, {"x": (("a", pa), ("b", pb))})
+    return t.select("l_orderkey", "l_linenumber", X.status_for_cell(F.col("a"), pa).alias("status_a"), X.status_for_cell(F.col("b"), pb).alias("status_b"), combined.alias("combined"), evidence.alias("evidence"))
+
+
+@_register(f"WITH {_TRI_SQL}, l AS (SELECT 'a' AS label, sa AS truth FROM st UNION ALL SELECT 'b', sb FROM st) SELECT label, count(truth) AS valid, count_if(truth = 1)::BIGINT AS positive, count_if(truth = 0)::BIGINT AS negative FROM l GROUP BY label")
+def tri_state_summary(spark, sf_dir):
+    t = regex_cas_tristate(spark, sf_dir).select("l_orderkey", F.col("status_a").alias("a"), F.col("status_b").alias("b"))
+    return metrics.tri_state_summary(t.unpivot(["l_orderkey"], ["a", "b"], "label", "truth"))
+
+
+@_register("SELECT p_partkey, regexp_extract(p_name || ' ' || (100 + p_partkey) || '-' || lpad((p_size % 100)::VARCHAR, 2, '0') || '-' || (p_partkey % 10) || ' x', '\\b[0-9]{2,7}-[0-9]{2}-[0-9]\\b') AS cas FROM part")
+def normalize_cas(spark, sf_dir):
+    text = F.concat(F.col("p_name"), F.lit(" "), (100 + F.col("p_partkey")).cast("string"), F.lit("-"), F.lpad((F.col("p_size") % 100).cast("string"), 2, "0"), F.lit("-"), (F.col("p_partkey") % 10).cast("string"), F.lit(" x"))
+    return _table(spark, sf_dir, "part").select("p_partkey", X.normalize_cas(text).alias("cas"))
+
+
+_CUE_WORDS = lambda words: "(" + " OR ".join(f"contains(t, '{w}')" for w in words) + ")"
+
+
+@_register(
+    f"""WITH a AS (SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'C6H5Cl' WHEN 1 THEN 'SnO2' WHEN 2 THEN 'H2O' END AS f, CASE s_suppkey % 3 WHEN 0 THEN 'Benzene' WHEN 1 THEN 'bromo thing' END AS n, (s_acctbal / 1000)::VARCHAR AS x FROM supplier),
+b AS (SELECT *, lower(concat_ws(' ', '', coalesce(n, ''), coalesce(f, ''))) AS t, regexp_extract_all(coalesce(f, ''), '[A-Z][a-z]?') AS e, try_cast(nullif(regexp_extract(x, '-?[0-9]+(?:\\.[0-9]+)?'), '') AS DOUBLE) AS v FROM a),
+c AS (SELECT *, (list_has_any(e, ['F', 'Cl', 'Br', 'I']) OR {_CUE_WORDS(V.HALOGEN_WORDS)}) AS hal, {_CUE_WORDS(V.AROMATIC_WORDS)} AS aro FROM b)
+SELECT s_suppkey, hal::INT AS halogen, (hal AND aro)::INT AS aromatic, coalesce(v >= 3, false)::INT AS x3, coalesce(v >= 5, false)::INT AS x5, coalesce(v <= 1, false)::INT AS low, list_has_any(e, {list(V.METALS)})::INT AS metal FROM c"""
+)
+def environmental_cues(spark, sf_dir):
+    k = F.col("s_suppkey")
+    t = _table(spark, sf_dir, "supplier").select(
+        "s_suppkey", F.when(k % 4 == 0, "C6H5Cl").when(k % 4 == 1, "SnO2").when(k % 4 == 2, "H2O").alias("f"), F.when(k % 3 == 0, "Benzene").when(k % 3 == 1, "bromo thing").alias("n"), (F.col("s_acctbal") / 1000).cast("string").alias("x")
+    )
+    cues = X.environmental_cues(F.lit(None), F.col("n"), F.col("f"), F.col("x"), F.col("x"))
+    return t.select("s_suppkey", *[c.cast("int").alias(n) for (_, c), n in zip(cues, ("halogen", "aromatic", "x3", "x5", "low", "metal"), strict=True)])
+
+
+# ---- relational ----------------------------------------------------------------------------------------
+
+
+@_register(
+    """WITH o AS (SELECT o_custkey AS c_custkey, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1)
+SELECT c_custkey, c_name, n_orders, total, n_name FROM customer LEFT JOIN o USING (c_custkey) LEFT JOIN nation ON c_nationkey = n_nationkey"""
+)
+def left_merge_three_way(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    nation = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    base = _table(spark, sf_dir, "customer")
+    return integrate.left_merge(integrate.left_merge(base, [orders], "c_custkey"), [nation], "c_nationkey").select("c_custkey", "c_name", "n_orders", "total", "n_name")
+
+
+@_register(
+    """WITH o AS (SELECT o_custkey, arg_max(o_orderpriority, o_orderkey) AS p FROM orders GROUP BY 1)
+SELECT c_custkey, coalesce(p, 'none') AS o_orderpriority FROM customer LEFT JOIN o ON o_custkey = c_custkey"""
+)
+def lookup_merge(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    out = integrate.lookup_merge(_table(spark, sf_dir, "customer"), orders, "c_custkey", "o_orderkey", {"o_orderpriority": "none"}, ["o_orderpriority"])
+    return out.select("c_custkey", "o_orderpriority")
+
+
+_ENTITY_SQL = f"""
+src AS (SELECT o_orderkey AS rid, CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE 'cas' || (o_orderkey % 500) END AS cas FROM orders),
+cand AS (SELECT DISTINCT 'cas' || (p_partkey % 450) AS cas, p_partkey AS cid FROM part WHERE p_partkey <= 900),
+prop AS (SELECT p_partkey AS cid, upper('key' || ({_h("'k:' || p_partkey")} % 300)) AS inchikey FROM part WHERE p_partkey % 7 <> 0),
+best AS (SELECT rid, count(DISTINCT inchikey) AS k, arg_min(cid, cid) AS cid, arg_min(inchikey, cid) AS inchikey FROM src JOIN cand USING (cas) JOIN prop USING (cid) WHERE cas <> '' GROUP BY rid),
+res AS (SELECT src.rid, cas, CASE WHEN cas = '' THEN 'no_cas' WHEN k IS NULL THEN 'unresolved' WHEN k > 1 THEN 'ambiguous' ELSE 'resolved' END AS status, CASE WHEN k = 1 THEN cid END AS cid, CASE WHEN k = 1 THEN inchikey END AS inchikey FROM src LEFT JOIN best USING (rid))"""
+
+
+def _resolved(spark, sf_dir):
+    k = F.col("o_orderkey")
+    rows = _table(spark, sf_dir, "orders").select(k.alias("rid"), F.when(k % 11 == 0, "").otherwise(F.concat(F.lit("cas"), (k % 500).cast("string"))).alias("cas"))
+    part = _table(spark, sf_dir, "part")
+    p = F.col("p_partkey")
+    cand = part.filter(p <= 900).select(F.concat(F.lit("cas"), (p % 450).cast("string")).alias("cas"), p.alias("cid")).distinct()
+    prop = part.filter(p % 7 != 0).select(p.alias("cid"), F.concat(F.lit("key"), (X.hashed_int("k", p) % 300).cast("string")).alias("inchikey"))
+    return integrate.resolve_entities(rows, cand, prop, "rid", "cas")
+
+
+@_register(f"WITH {_ENTITY_SQL} SELECT rid, cas, status, cid, inchikey FROM res")
+def entity_resolution(spark, sf_dir):
+    return _resolved(spark, sf_dir).select("rid", "cas", "status", "cid", "inchikey")
+
+
+@_register(
+    f"""WITH {_ENTITY_SQL}, m AS (SELECT *, CASE WHEN rid % 5 = 0 THEN NULL ELSE (cid % 2)::INT END AS a, CASE rid % 3 WHEN 0 THEN NULL WHEN 1 THEN 1 ELSE 0 END AS b FROM res WHERE status = 'resolved')
+SELECT inchikey, max(a) AS a, max(b) AS b, string_agg(DISTINCT cas, '; ' ORDER BY cas) AS cas, min(rid) AS rid, count(*) AS n_members,
+concat_ws(',', CASE WHEN count(DISTINCT a) > 1 THEN 'a' END, CASE WHEN count(DISTINCT b) > 1 THEN 'b' END) AS conflicts FROM m GROUP BY inchikey"""
+)
+def conflict_merge(spark, sf_dir):
+    r = F.col("rid")
+    rows = _resolved(spark, sf_dir).filter("status = 'resolved'").withColumns({"a": F.when(r % 5 != 0, (F.col("cid") % 2).cast("int")), "b": F.when(r % 3 == 1, 1).when(r % 3 == 2, 0)})
+    return integrate.merge_conflicts(rows, "inchikey", "rid", ["a", "b"], ["cas"], ["rid"]).select("inchikey", "a", "b", "cas", "rid", "n_members", "conflicts")
+
+
+@_register("SELECT doc_id, CASE WHEN EXISTS (SELECT 1 FROM benchmark b WHERE upper(b.text) = upper(d.text)) THEN 'exact' WHEN length(d.text) >= 14 AND EXISTS (SELECT 1 FROM benchmark b WHERE length(b.text) >= 14 AND upper(substr(b.text, 1, 14)) = upper(substr(d.text, 1, 14))) THEN 'prefix' ELSE 'none' END AS overlap FROM documents d")
+def decontaminate_status(spark, sf_dir):
+    docs, bench = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark")
+    return integrate.decontamination_status(docs, bench, "text").select("doc_id", "overlap")
+
+
+@_register("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE upper(b.text) = upper(d.text))")
+def decontaminate_exact(spark, sf_dir):
+    return integrate.drop_exact(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), "text").select("doc_id")
+
+
+@_register("SELECT doc_id FROM documents d WHERE NOT (length(d.text) >= 14 AND EXISTS (SELECT 1 FROM benchmark b WHERE length(b.text) >= 14 AND upper(substr(b.text, 1, 14)) = upper(substr(d.text, 1, 14))))")
+def decontaminate_prefix(spark, sf_dir):
+    return integrate.drop_prefix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), "text").select("doc_id")
+
+
+@_register("SELECT conv_id, turn, role, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) = 1")
+def dedup_first(spark, sf_dir):
+    return gates.keep_first(_table(spark, sf_dir, "conversations"), "conv_id", F.struct("turn", "role", "text"))
+
+
+@_register("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+def dedup_last(spark, sf_dir):
+    return gates.keep_last(_table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
+
+
+@_register("SELECT user_id, count(*) AS n FROM events GROUP BY user_id HAVING count(*) > 1")
+def duplicate_gate(spark, sf_dir):
+    return _table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+@_register("SELECT count_if(l.doc_id IS NULL)::BIGINT AS missing, count_if(d.doc_id IS NULL)::BIGINT AS extra FROM (SELECT DISTINCT doc_id FROM documents) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id")
+def id_mismatch(spark, sf_dir):
+    found = gates.id_mismatch(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), "doc_id")
+    return spark.createDataFrame([(found["missing"], found["extra"])], "missing long, extra long")
+
+
+# ---- splits and samples --------------------------------------------------------------------------------
+
+_SPLIT_SQL = """
+n AS (SELECT floor(count(*) * 0.1)::BIGINT AS t, floor(count(*) * 0.1)::BIGINT AS v FROM documents),
+r AS (SELECT doc_id, source, row_number() OVER (ORDER BY md5('123:' || doc_id), doc_id) AS k FROM documents),
+s AS (SELECT doc_id, source, CASE WHEN k <= t THEN 'test' WHEN k <= t + v THEN 'val' ELSE 'train' END AS split FROM r, n)"""
+
+
+def _split(spark, sf_dir):
+    return split.random_split(_table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", 0.1, 0.1, 123)
+
+
+@_register(f"WITH {_SPLIT_SQL} SELECT doc_id, split FROM s")
+def split_hash(spark, sf_dir):
+    return _split(spark, sf_dir).select("doc_id", "split")
+
+
+@_register(f"WITH {_SPLIT_SQL} SELECT split, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM s GROUP BY split")
+def split_sizes(spark, sf_dir):
+    return _split(spark, sf_dir).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids"))
+
+
+@_register(
+    f"""WITH {_SPLIT_SQL}, k AS (SELECT DISTINCT split, source FROM s) SELECT a.split AS left_split, b.split AS right_split, count(*) AS n, array_to_string(list_slice(list_sort(list(a.source)), 1, 20), ',') AS examples
+FROM k a JOIN k b ON a.source = b.source AND a.split < b.split GROUP BY 1, 2"""
+)
+def split_overlap(spark, sf_dir):
+    return split.overlap(_split(spark, sf_dir), F.col("source"))
+
+
+_LABELLED_SQL = f"""
+l AS (SELECT DISTINCT doc_id, quality, toxic FROM labels),
+st AS (SELECT doc_id, quality, toxic, CASE WHEN {_h("'7:' || doc_id")} % 10 = 0 THEN 'test' WHEN {_h("'7:' || doc_id")} % 10 = 1 THEN 'val' ELSE 'train' END AS split FROM l),
+f AS (SELECT *, greatest(CASE WHEN toxic = 1 THEN 2.5 ELSE 1.0 END, CASE WHEN quality = 0 THEN 2.0 ELSE 1.0 END) AS factor FROM st),
+o AS (SELECT *, CASE WHEN split = 'train' THEN floor(factor)::INT + ({_h("'9:' || doc_id")} / 4294967296.0 < factor - floor(factor))::INT ELSE 1 END AS copies FROM f)"""
+
+
+def _labelled(spark, sf_dir):
+    h = X.hashed_int(7, F.col("doc_id")) % 10
+    return _table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic").distinct().withColumn("split", F.when(h == 0, "test").when(h == 1, "val").otherwise("train")).withColumn("poor", (F.col("quality") == 0).cast("int"))
+
+
+@_register(f"WITH {_LABELLED_SQL} SELECT doc_id, split, unnest(range(copies))::INT AS replica FROM o")
+def oversample_train(spark, sf_dir):
+    return sample.oversample(_labelled(spark, sf_dir), {"toxic": 2.5, "poor": 2.0}, "doc_id", 9).select("doc_id", "split", "replica")
+
+
+@_register(f"WITH {_LABELLED_SQL} SELECT doc_id::VARCHAR AS id, CASE split WHEN 'val' THEN 'validation' ELSE split END AS split, copies::BIGINT AS exposure_count FROM o")
+def split_manifest(spark, sf_dir):
+    return split.split_manifest(sample.oversample(_labelled(spark, sf_dir), {"toxic": 2.5, "poor": 2.0}, "doc_id", 9, shuffle=False), "doc_id")
+
+
+@_register(f"WITH {_LABELLED_SQL} SELECT split, count(*) AS n, sum(quality)::BIGINT AS quality, sum(toxic)::BIGINT AS toxic FROM st GROUP BY split")
+def split_label_counts(spark, sf_dir):
+    return metrics.split_label_counts(_labelled(spark, sf_dir), ["quality", "toxic"])
+
+
+@_register()
+def stratified_split(spark, sf_dir):
+    """Greedy by label: tests hold its sizes and quotas, since SQL can't express it."""
+    docs = _table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic").distinct()
+    return split.stratified_split(docs, "doc_id", ["quality", "toxic"], 0.1, 0.1, 123)
+
+
+@_register("SELECT source, count(*) AS size, sum((n_chars > 2000)::INT)::BIGINT AS long, sum((lang = 'en')::INT)::BIGINT AS english FROM documents GROUP BY source")
+def group_profile(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").withColumns({"long": (F.col("n_chars") > 2000).cast("int"), "english": (F.col("lang") == "en").cast("int")})
+    return split.group_profile(docs, "source", ["long", "english"])
+
+
+@_register()
+def group_split(spark, sf_dir):
+    """Greedy over groups: tests hold it against a brute-force version, since SQL can't express it."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", (F.col("n_chars") > 2000).cast("int").alias("long"))
+    return split.group_split(docs, "source", ["long"], 0.1, 0.1, 123)
+
+
+# ---- prompts -------------------------------------------------------------------------------------------
+
+_FIELDS = ("c_custkey", "c_name", "c_mktsegment", "c_phone", "c_nationkey")
+_PROMPT_SQL = """
+p AS (SELECT c_custkey, array_to_string(list_filter(['Classify the chemical into the predefined coarse-grained hazard categories.', 'Chemical information:', '- c_custkey: ' || c_custkey, '- c_name: ' || c_name, '- c_mktsegment: ' || c_mktsegment,
+CASE WHEN c_custkey % 4 <> 0 THEN '- c_phone: ' || (c_custkey % 97) || ':' || c_nationkey END, '- c_nationkey: ' || c_nationkey, 'Return only JSON.'], lambda x: x IS NOT NULL), chr(10)) AS prompt FROM customer)"""
+
+
+def _prompts(spark, sf_dir):
+    k = F.col("c_custkey")
+    t = _table(spark, sf_dir, "customer").withColumn("c_phone", F.when(k % 4 != 0, F.concat((k % 97).cast("string"), F.lit(":"), F.col("c_nationkey").cast("string"))))
+    return t.select("c_custkey", R.build_prompt(t.columns, _FIELDS).alias("prompt"))
+
+
+@_register(f"WITH {_PROMPT_SQL} SELECT c_custkey, prompt FROM p")
+def prompt_build(spark, sf_dir):
+    return _prompts(spark, sf_dir)
+
+
+@_register("SELECT c_custkey, c_name AS name, c_mktsegment AS segment, CASE WHEN c_custkey % 4 <> 0 THEN (c_custkey % 97) || ':' || c_nationkey ELSE '' END AS phone, CASE WHEN c_custkey % 4 <> 0 THEN 5 ELSE 4 END AS n_fields FROM customer")
+def prompt_parse(spark, sf_dir):
+    p = _prompts(spark, sf_dir).withColumn("f", R.prompt_fields(F.col("prompt")))
+    return p.select("c_custkey", F.try_element_at("f", F.lit("c_name")).alias("name"), F.try_element_at("f", F.lit("c_mktsegment")).alias("segment"), R.field_value(F.col("prompt"), "c_phone").alias("phone"), F.size("f").alias("n_fields"))
+
+
+@_register(f"WITH {_PROMPT_SQL}, k AS (SELECT unnest(list_filter(string_split(prompt, chr(10)), lambda x: starts_with(x, '- '))) AS line FROM p) SELECT trim(regexp_extract(line, '^- ([^:]*):', 1)) AS field, count(*) AS n FROM k GROUP BY 1")
+def field_counts(spark, sf_dir):
+    return metrics.field_counts(_prompts(spark, sf_dir).withColumn("f", R.prompt_fields(F.col("prompt"))), "f")
+
+
+@_register(
+    """SELECT conv_id, string_agg(upper(role) || ': ' || text, chr(10) || chr(10) ORDER BY turn, role, text) || chr(10) || chr(10) || 'ASSISTANT:' AS chat FROM conversations WHERE role <> 'assistant' GROUP BY conv_id
+UNION ALL SELECT conv_id, 'ASSISTANT:' FROM conversations GROUP BY conv_id HAVING count_if(role <> 'assistant') = 0"""
+)
+def chat_render(spark, sf_dir):
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    return _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("messages")).select("conv_id", R.render_chat(F.col("messages")).alias("chat"))
+
+
+_ABLATION = {"names": (("c_custkey", "c_name"), False, False), "picture": (("c_custkey",), True, False)}
+
+
+@_register(
+    f"""WITH {_PROMPT_SQL}, v AS (SELECT c_custkey, prompt, variant, keep, pic FROM p, (VALUES ('names', ['c_custkey', 'c_name'], false), ('picture', ['c_custkey'], true)) t(variant, keep, pic)),
+w AS (SELECT c_custkey, variant, list_filter(string_split(prompt, chr(10)), lambda x: starts_with(x, '- ') AND list_contains(keep, trim(regexp_extract(x, '^- ([^:]*):', 1)))) AS lines, pic, 'pic' || (c_custkey % 5) AS pv FROM v)
+SELECT c_custkey, variant, array_to_string(list_concat(list_concat(['Classify the chemical into the predefined coarse-grained hazard categories.', 'Chemical information:'], lines), CASE WHEN pic THEN ['Weak GHS pictogram evidence:', '- Pictograms: ' || pv, 'Return only JSON.'] ELSE ['Return only JSON.'] END), chr(10)) AS prompt FROM w"""
+)
+def ablation_lines(spark, sf_dir):
+    p = _prompts(spark, sf_dir).withColumn("pictogram", F.concat(F.lit("pic"), (F.col("c_custkey") % 5).cast("string")))
+    return sample.ablation_variants(p, "prompt", "pictogram", variants=_ABLATION).select("c_custkey", "variant", "prompt")
+
+
+@_register(
+    """WITH a AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS k FROM customer), b AS (SELECT c_mktsegment, row_number() OVER (ORDER BY md5('5:' || c_custkey), c_custkey) AS k FROM customer)
+SELECT c_custkey, c_mktsegment AS dealt FROM a JOIN b USING (k)"""
+)
+def column_permute(spark, sf_dir):
+    t = _table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    return sample.permute_column(t, "c_mktsegment", "c_custkey", "c_custkey", 5, "dealt").select("c_custkey", "dealt")
+
+
+# ---- votes and metrics ---------------------------------------------------------------------------------
+
+_GOLD_SQL = "l AS (SELECT DISTINCT doc_id, quality, toxic FROM labels), gold AS (SELECT doc_id, 'quality' AS label, quality AS truth FROM l UNION ALL SELECT doc_id, 'toxic', toxic FROM l)"
+_MEMBERS_SQL = f"{_GOLD_SQL}, members AS (SELECT doc_id, label, truth, m AS member, CASE WHEN {_h("concat_ws(':', 'm', m, doc_id, label)")} % 10 < 2 THEN 1 - truth ELSE truth END AS pred FROM gold, (VALUES (1), (2), (3)) t(m))"
+_VOTES_SQL = f"{_MEMBERS_SQL}, votes AS (SELECT doc_id, label, any_value(truth) AS truth, sum(pred)::INT AS votes FROM members GROUP BY doc_id, label)"
+_R = lambda a, b: f"coalesce(round(({a})::DOUBLE / nullif({b}, 0), 6), 0)"
+_PRF = f"{_R('tp', 'tp + fp')} AS precision, {_R('tp', 'tp + fn')} AS recall, {_R('2 * tp', '2 * tp + fp + fn')} AS f1"
+_COUNTS = "count_if(truth = 1 AND pred = 1)::BIGINT AS tp, count_if(truth = 0 AND pred = 1)::BIGINT AS fp, count_if(truth = 1 AND pred = 0)::BIGINT AS fn, count_if(truth = 0 AND pred = 0)::BIGINT AS tn"
+
+
+def _gold(spark, sf_dir):
+    return _table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic").distinct().unpivot(["doc_id"], ["quality", "toxic"], "label", "truth")
+
+
+def _members(spark, sf_dir):
+    t = _gold(spark, sf_dir).withColumn("member", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])))
+    wrong = X.hashed_int("m", F.col("member"), F.col("doc_id"), F.col("label")) % 10 < 2
+    return t.withColumn("pred", F.when(wrong, 1 - F.col("truth")).otherwise(F.col("truth")))
+
+
+def _scored(spark, sf_dir):
+    """(doc_id, label, truth, pred) of member 1."""
+    return _members(spark, sf_dir).filter("member = 1")
+
+
+def _votes(spark, sf_dir, thresholds=None):
+    return ensemble.vote(_members(spark, sf_dir), "doc_id", thresholds or {})
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c, t in df.dtypes if t == "double"})
+
+
+@_register(f"WITH {_VOTES_SQL} SELECT doc_id, label, votes, (votes >= CASE WHEN label = 'toxic' THEN 1 ELSE 2 END)::INT AS pred FROM votes")
+def majority_vote(spark, sf_dir):
+    return _votes(spark, sf_dir, ensemble.vote_thresholds(["quality", "toxic"], 3, 2, ["toxic"]))
+
+
+_SWEEP_SQL = f"""{_VOTES_SQL}, c AS (SELECT label, t AS threshold, count_if(votes >= t AND truth = 1)::BIGINT AS tp, count_if(votes >= t AND truth = 0)::BIGINT AS fp, count_if(votes < t AND truth = 1)::BIGINT AS fn FROM votes, (VALUES (1), (2), (3)) x(t) GROUP BY 1, 2),
+sweep AS (SELECT *, coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0) AS precision, coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0) AS recall, coalesce((2 * tp)::DOUBLE / nullif(2 * tp + fp + fn, 0), 0) AS f1, tp + fn AS support FROM c)"""
+
+
+@_register(f"WITH {_SWEEP_SQL} SELECT label, threshold, tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM sweep")
+def threshold_sweep(spark, sf_dir):
+    return _rounded(ensemble.threshold_sweep(_votes(spark, sf_dir), _gold(spark, sf_dir), "doc_id"))
+
+
+_SELECT_SQL = f"""{_SWEEP_SQL}, b AS (SELECT label, precision AS base FROM sweep WHERE threshold = 2), ok AS (SELECT s.* FROM sweep s JOIN b USING (label) WHERE precision >= base - 0.15),
+best AS (SELECT label, threshold AS constrained FROM ok QUALIFY row_number() OVER (PARTITION BY label ORDER BY f1 DESC, recall DESC, threshold) = 1),
+free AS (SELECT label, threshold AS unconstrained FROM sweep QUALIFY row_number() OVER (PARTITION BY label ORDER BY f1 DESC, recall DESC, threshold) = 1)"""
+
+
+@_register(f"WITH {_SELECT_SQL} SELECT label, constrained, unconstrained, CASE WHEN label = 'toxic' THEN unconstrained ELSE 2 END AS rare_only FROM best JOIN free USING (label)")
+def threshold_select(spark, sf_dir):
+    sweep = ensemble.threshold_sweep(_votes(spark, sf_dir), _gold(spark, sf_dir), "doc_id")
+    return ensemble.select_thresholds(sweep, drops={}, default_drop=0.15, rare=["toxic"])
+
+
+@_register(f"WITH {_SELECT_SQL} SELECT doc_id, label, votes, (votes >= constrained)::INT AS pred FROM votes JOIN best USING (label)")
+def threshold_apply(spark, sf_dir):
+    votes = _votes(spark, sf_dir)
+    chosen = ensemble.select_thresholds(ensemble.threshold_sweep(votes, _gold(spark, sf_dir), "doc_id"), drops={}, default_drop=0.15)
+    return ensemble.apply_thresholds(votes, chosen).select("doc_id", "label", "votes", "pred")
+
+
+_SCORED_SQL = f"{_MEMBERS_SQL}, scored AS (SELECT doc_id, label, truth, pred FROM members WHERE member = 1)"
+
+
+@_register(f"WITH {_SCORED_SQL} SELECT label, {_COUNTS} FROM scored GROUP BY label")
+def confusion(spark, sf_dir):
+    return metrics.confusion(_scored(spark, sf_dir))
+
+
+@_register(f"WITH {_SCORED_SQL}, c AS (SELECT label, {_COUNTS} FROM scored GROUP BY label) SELECT label, tp, fp, fn, tn, {_PRF}, tp + fn AS support FROM c")
+def per_label(spark, sf_dir):
+    return _rounded(metrics.per_label(_scored(spark, sf_dir)))
+
+
+_MICRO_SQL = f"""c AS (SELECT member, label, {_COUNTS} FROM members GROUP BY 1, 2), p AS (SELECT *, coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0) AS pr, coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0) AS re, coalesce((2 * tp)::DOUBLE / nullif(2 * tp + fp + fn, 0), 0) AS f FROM c),
+s AS (SELECT member, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, sum(tn)::BIGINT AS tn, avg(pr) AS mp, avg(re) AS mr, avg(f) AS mf FROM p GROUP BY member),
+mm AS (SELECT member, tp, fp, fn, tn, {_R('tp', 'tp + fp')} AS micro_precision, {_R('tp', 'tp + fn')} AS micro_recall, {_R('2 * tp', '2 * tp + fp + fn')} AS micro_f1, round(mp, 6) AS macro_precision, round(mr, 6) AS macro_recall, round(mf, 6) AS macro_f1 FROM s)"""
+
+
+@_register(f"WITH {_MEMBERS_SQL}, {_MICRO_SQL} SELECT * FROM mm")
+def micro_macro(spark, sf_dir):
+    return _rounded(metrics.micro_macro(_members(spark, sf_dir), ("member",)))
+
+
+_SUBSET_SQL = "w AS (SELECT member, doc_id, count_if(truth <> pred) AS wrong, count(*) AS cells FROM members GROUP BY 1, 2), sh AS (SELECT member, count(*) AS n_rows, round(count_if(wrong = 0)::DOUBLE / count(*), 6) AS subset_accuracy, round(sum(wrong)::DOUBLE / sum(cells), 6) AS hamming_loss FROM w GROUP BY member)"
+
+
+@_register(f"WITH {_MEMBERS_SQL}, {_SUBSET_SQL} SELECT * FROM sh")
+def subset_hamming(spark, sf_dir):
+    return _rounded(metrics.subset_hamming(_members(spark, sf_dir), "doc_id", ("member",)))
+
+
+@_register(f"WITH {_SCORED_SQL} SELECT doc_id, count_if(truth <> pred)::BIGINT AS n_wrong, string_agg(label || '=' || truth, ',' ORDER BY label) AS gold, string_agg(label || '=' || pred, ',' ORDER BY label) AS predicted FROM scored GROUP BY doc_id HAVING count_if(truth <> pred) > 0")
+def error_rows(spark, sf_dir):
+    return metrics.error_rows(_scored(spark, sf_dir), "doc_id")
+
+
+_MASK_SQL = f"""{_SCORED_SQL}, mk AS (SELECT label, truth, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 13 = 0 THEN 2 ELSE pred END AS pred FROM scored WHERE doc_id % 3 <> 0),
+mc AS (SELECT label, count(*) AS valid, count_if(pred IN (0, 1))::BIGINT AS scored, count_if(NOT coalesce(pred IN (0, 1), false))::BIGINT AS excluded, {_COUNTS} FROM mk GROUP BY label)"""
+
+
+def _masked(spark, sf_dir):
+    d = F.col("doc_id")
+    return metrics.masked_metrics(_scored(spark, sf_dir).withColumns({"mask": (d % 3 != 0).cast("int"), "pred": F.when(d % 7 == 0, F.lit(None)).when(d % 13 == 0, 2).otherwise(F.col("pred"))}))
+
+
+@_register(f"WITH {_MASK_SQL} SELECT label, valid, scored, excluded, tp, fp, fn, tn, {_PRF} FROM mc")
+def masked_metrics(spark, sf_dir):
+    return _rounded(_masked(spark, sf_dir))
+
+
+@_register(
+    f"""WITH {_MASK_SQL}, q AS (SELECT *, coalesce((2 * tp)::DOUBLE / nullif(2 * tp + fp + fn, 0), 0) AS f FROM mc), z AS (SELECT sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, sum(tn)::BIGINT AS tn, sum(valid)::BIGINT AS valid, sum(scored)::BIGINT AS scored, sum(excluded)::BIGINT AS excluded, round(coalesce(avg(f) FILTER (scored > 0), 0), 6) AS macro_f1 FROM q)
+SELECT *, {_R('tp', 'tp + fp')} AS micro_precision, {_R('tp', 'tp + fn')} AS micro_recall, {_R('2 * tp', '2 * tp + fp + fn')} AS micro_f1, {_R('tp + tn', 'scored')} AS micro_accuracy FROM z"""
+)
+def masked_summary(spark, sf_dir):
+    return _rounded(metrics.masked_summary(_masked(spark, sf_dir)))
+
+
+_BOOT = 200
+_STATS_SQL = f"""{_MEMBERS_SQL}, idx AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM l), nn AS (SELECT count(*) AS n FROM l),
+st AS (SELECT i.idx, member, label, truth, pred FROM members JOIN idx i USING (doc_id)),
+dr AS (SELECT b, {_h("concat_ws(':', '123', b, j)")} % n AS idx FROM nn, range({_BOOT}) tb(b), range((SELECT n FROM nn)) tj(j)),
+dc AS (SELECT b, idx, count(*) AS times FROM dr GROUP BY 1, 2)"""
+
+
+def _boot_sql(member: str, source: str) -> str:
+    """Per replicate (or once, with b = 0) the four metrics of one member."""
+    cols = f"sum(times * (truth = 1 AND pred = 1)::INT) AS tp, sum(times * (truth = 0 AND pred = 1)::INT) AS fp, sum(times * (truth = 1 AND pred = 0)::INT) AS fn"
+    return f"""(SELECT x.b, subset_accuracy, (2.0 * tp) / nullif(2 * tp + fp + fn, 0) AS micro_f1, macro_f1, hamming_loss FROM
+(SELECT b, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, avg(coalesce((2 * tp)::DOUBLE / nullif(2 * tp + fp + fn, 0), 0)) AS macro_f1, sum(fp + fn)::DOUBLE / any_value(w) AS hamming_loss FROM (SELECT b, label, {cols}, sum(times) * 2 AS w FROM {source} JOIN st USING (idx) WHERE member = {member} GROUP BY b, label) GROUP BY b) x
+JOIN (SELECT b, sum(times * ok)::DOUBLE / sum(times) AS subset_accuracy FROM {source} JOIN (SELECT idx, (count_if(truth <> pred) = 0)::INT AS ok FROM st WHERE member = {member} GROUP BY idx) USING (idx) GROUP BY b) y ON x.b = y.b)"""
+
+
+_ONCE = "(SELECT 0 AS b, idx, 1 AS times FROM idx)"
+
+
+def _stats(spark, sf_dir, members=((1, ""),)):
+    """Wide statistics; members' predictions sit beside the truth."""
+    wide = _members(spark, sf_dir).groupBy("doc_id").agg(
+        *[F.max(F.when(F.col("label") == n, F.col("truth"))).alias(f"t_{n}") for n in ("quality", "toxic")],
+        *[F.max(F.when((F.col("label") == n) & (F.col("member") == m), F.col("pred"))).alias(f"p{m}_{n}") for n in ("quality", "toxic") for m, _ in members],
+    )
+    out = None
+    for m, prefix in members:
+        part = resample.row_statistics(wide, "doc_id", ["quality", "toxic"], lambda n: F.col(f"t_{n}"), lambda n, m=m: F.col(f"p{m}_{n}"), prefix)
+        out = part if out is None else out.join(part, "doc_id")
+    return out
+
+
+@_register(
+    f"""WITH {_STATS_SQL}, rep AS (SELECT * FROM {_boot_sql('1', 'dc')}), pt AS (SELECT * FROM {_boot_sql('1', _ONCE)}),
+lr AS (UNPIVOT (SELECT subset_accuracy, micro_f1, macro_f1, hamming_loss FROM rep) ON subset_accuracy, micro_f1, macro_f1, hamming_loss INTO NAME metric VALUE v), lp AS (UNPIVOT (SELECT subset_accuracy, micro_f1, macro_f1, hamming_loss FROM pt) ON subset_accuracy, micro_f1, macro_f1, hamming_loss INTO NAME metric VALUE value)
+SELECT metric, round(any_value(value), 6) AS value, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS ci95_low, round(quantile_cont(v, 0.975), 6) AS ci95_high FROM lr JOIN lp USING (metric) GROUP BY metric"""
+)
+def bootstrap_ci(spark, sf_dir):
+    return _rounded(resample.bootstrap_ci(_stats(spark, sf_dir), "doc_id", ["quality", "toxic"], _BOOT))
+
+
+@_register(
+    f"""WITH {_STATS_SQL}, ra AS (SELECT * FROM {_boot_sql('1', 'dc')}), rb AS (SELECT * FROM {_boot_sql('2', 'dc')}), pa AS (SELECT * FROM {_boot_sql('1', _ONCE)}), pb AS (SELECT * FROM {_boot_sql('2', _ONCE)}),
+lr AS (UNPIVOT (SELECT rb.subset_accuracy - ra.subset_accuracy AS subset_accuracy, rb.micro_f1 - ra.micro_f1 AS micro_f1, rb.macro_f1 - ra.macro_f1 AS macro_f1, rb.hamming_loss - ra.hamming_loss AS hamming_loss FROM ra JOIN rb USING (b)) ON subset_accuracy, micro_f1, macro_f1, hamming_loss INTO NAME metric VALUE d),
+lp AS (UNPIVOT (SELECT pb.subset_accuracy - pa.subset_accuracy AS subset_accuracy, pb.micro_f1 - pa.micro_f1 AS micro_f1, pb.macro_f1 - pa.macro_f1 AS macro_f1, pb.hamming_loss - pa.hamming_loss AS hamming_loss FROM pa JOIN pb USING (b)) ON subset_accuracy, micro_f1, macro_f1, hamming_loss INTO NAME metric VALUE delta)
+SELECT metric, round(any_value(delta), 6) AS delta, round(quantile_cont(d, 0.025), 6) AS ci95_low, round(quantile_cont(d, 0.975), 6) AS ci95_high, round(avg((d <= 0)::INT), 6) AS p_delta_le_0, round(avg((CASE WHEN metric = 'hamming_loss' THEN d >= 0 ELSE d <= 0 END)::INT), 6) AS p_not_better FROM lr JOIN lp USING (metric) GROUP BY metric"""
+)
+def paired_bootstrap(spark, sf_dir):
+    return _rounded(resample.paired_bootstrap(_stats(spark, sf_dir, ((1, "a_"), (2, "b_"))), "doc_id", ["quality", "toxic"], _BOOT))
+
+
+# ---- tables of runs ------------------------------------------------------------------------------------
+
+_RUNS_SQL = f"{_MEMBERS_SQL}, {_MICRO_SQL}, runs AS (SELECT 'run' || member AS run_name, micro_f1, macro_f1, micro_precision, micro_recall FROM mm)"
+
+
+def _runs(spark, sf_dir):
+    t = _rounded(metrics.micro_macro(_members(spark, sf_dir), ("member",)))
+    return t.select(F.concat(F.lit("run"), F.col("member").cast("string")).alias("run_name"), "micro_f1", "macro_f1", "micro_precision", "micro_recall")
+
+
+@_register(f"WITH {_RUNS_SQL} SELECT run_name, micro_f1 + 0.25 AS micro_f1, macro_f1 FROM runs WHERE run_name <> 'run1' UNION ALL SELECT run_name, micro_f1, macro_f1 FROM runs WHERE run_name = 'run1'")
+def leaderboard_upsert(spark, sf_dir):
+    runs = _runs(spark, sf_dir).select("run_name", "micro_f1", "macro_f1")
+    return sinks.upsert_leaderboard(runs, runs.filter("run_name <> 'run1'").withColumn("micro_f1", F.col("micro_f1") + 0.25))
+
+
+@_register(
+    f"""WITH {_RUNS_SQL}, u AS (UNPIVOT (SELECT run_name, micro_f1, macro_f1, micro_precision, micro_recall FROM runs) ON micro_f1, macro_f1, micro_precision, micro_recall INTO NAME metric VALUE v)
+SELECT metric, max(printf('%.4f', v)) FILTER (run_name = 'run1') AS run1, max(printf('%.4f', v)) FILTER (run_name = 'run2') AS run2, max(printf('%.4f', v)) FILTER (run_name = 'run3') AS run3 FROM u GROUP BY metric"""
+)
+def metric_pivot(spark, sf_dir):
+    return sinks.metric_pivot(_runs(spark, sf_dir), ["run1", "run2", "run3"], ["micro_f1", "macro_f1", "micro_precision", "micro_recall"])
+
+
+@_register(
+    f"""WITH {_RUNS_SQL}, u AS (UNPIVOT (SELECT run_name, micro_f1, macro_f1 FROM runs) ON micro_f1, macro_f1 INTO NAME metric VALUE v)
+SELECT n.run_name AS new, b.run_name AS base, n.metric, round(n.v - b.v, 6) AS delta FROM (VALUES ('run2', 'run1'), ('run3', 'run1')) p(n, b) JOIN u n ON n.run_name = p.n JOIN u b ON b.run_name = p.b AND b.metric = n.metric"""
+)
+def contrast_delta(spark, sf_dir):
+    pairs = spark.createDataFrame([("run2", "run1"), ("run3", "run1")], "new string, base string")
+    return _rounded(metrics.contrast_deltas(_runs(spark, sf_dir), pairs, "run_name", ["micro_f1", "macro_f1"]))
+
+
+@_register("SELECT 'orders' AS name, count(DISTINCT c_custkey) FILTER (c_custkey IN (SELECT o_custkey FROM orders)) AS n, round(avg((c_custkey IN (SELECT o_custkey FROM orders))::INT), 6) AS share FROM customer UNION ALL SELECT 'positive', count_if(c_acctbal > 0)::BIGINT, round(avg((c_acctbal > 0)::INT), 6) FROM customer")
+def coverage_stats(spark, sf_dir):
+    buyers = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("has", F.lit(True))
+    t = _table(spark, sf_dir, "customer").join(buyers, "c_custkey", "left")
+    return _rounded(metrics.coverage(t, {"orders": F.coalesce("has", F.lit(False)), "positive": F.col("c_acctbal") > 0}))
+
+
+@_register(f"WITH {_MEMBERS_SQL} SELECT member, count(*) AS cells, count(DISTINCT doc_id) AS docs FROM members GROUP BY member")
+def integrity_gate(spark, sf_dir):
+    counters = _members(spark, sf_dir).groupBy("member").agg(F.count(F.lit(1)).alias("cells"), F.count_distinct("doc_id").alias("docs"))
+    return metrics.require_equal_counters(counters, "member", ["cells", "docs"], 3)
+
+
+@_register("SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN 'failed' WHEN doc_id % 4 = 2 THEN 'regex_recovered' ELSE 'ok' END AS parse_status, CASE WHEN doc_id % 4 = 3 THEN NULL ELSE quality END AS quality, CASE WHEN doc_id % 4 = 3 THEN NULL ELSE toxic END AS toxic FROM labels")
+def answer_parse(spark, sf_dir):
+    d, q, t = F.col("doc_id"), F.col("quality").cast("string"), F.col("toxic").cast("string")
+    plain = F.concat(F.lit('Sure: {"quality": '), q, F.lit(', "toxic": '), t, F.lit("} done"))
+    fenced = F.concat(F.lit('```json\n{"quality": '), q, F.lit(', "toxic": '), t, F.lit("}\n```"))
+    said = F.concat(F.lit("quality = "), q, F.lit("; Toxic: "), t)
+    text = F.when(d % 4 == 0, plain).when(d % 4 == 1, fenced).when(d % 4 == 2, said).otherwise(F.concat(F.lit("quality = "), q))
+    a = R.parse_answer(text, ["quality", "toxic"])
+    return _table(spark, sf_dir, "labels").select("doc_id", a["parse_status"].alias("parse_status"), a["labels"]["quality"].alias("quality"), a["labels"]["toxic"].alias("toxic"))
+
+
+@_register("SELECT CASE WHEN doc_id % 4 = 3 THEN 'failed' WHEN doc_id % 4 = 2 THEN 'regex_recovered' ELSE 'ok' END AS parse_status, count(*) AS n FROM labels GROUP BY 1")
+def status_histogram(spark, sf_dir):
+    return metrics.status_histogram(answer_parse(spark, sf_dir))
+
+
+@_register("SELECT vec_id, (embedding[1] >= 0.1)::INT AS a, (embedding[2] >= 0.5)::INT AS b FROM embeddings")
+def score_threshold(spark, sf_dir):
+    t = _table(spark, sf_dir, "embeddings").select("vec_id", F.struct(F.col("embedding")[0].cast("double").alias("a"), F.col("embedding")[1].cast("double").alias("b")).alias("s"))
+    return t.select("vec_id", R.threshold_scores(F.col("s"), {"a": 0.1}, ["a", "b"]).alias("r")).select("vec_id", "r.a", "r.b")
+
+
+# ---- flagship ------------------------------------------------------------------------------------------
+
+_FLAG_SQL = f"""{_CODES_SQL}, g AS (SELECT p_partkey, n AS label, list_contains(labels, n)::INT AS truth FROM mapped, unnest({list(V.LABELS)}) t(n) WHERE len(labels) > 0),
+mem AS (SELECT p_partkey, label, truth, CASE WHEN {_h("concat_ws(':', 'f', m, p_partkey, label)")} % 10 < 2 THEN 1 - truth ELSE truth END AS pred FROM g, (VALUES (1), (2), (3)) t(m)),
+v AS (SELECT p_partkey, label, any_value(truth) AS truth, (sum(pred) >= CASE WHEN label IN ('oxidizing', 'gas_under_pressure', 'cmr') THEN 1 ELSE 2 END)::INT AS pred FROM mem GROUP BY 1, 2),
+c AS (SELECT label, {_COUNTS} FROM v GROUP BY label), u AS (SELECT * FROM c UNION ALL SELECT 'micro', sum(tp)::BIGINT, sum(fp)::BIGINT, sum(fn)::BIGINT, sum(tn)::BIGINT FROM c)"""
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+@_register(f"WITH {_FLAG_SQL} SELECT label, tp, fp, fn, tn, {_PRF} FROM u")
+def flagship(spark, sf_dir):
+    """Codes to labels to long rows, three members, relaxed vote, per-label and pooled metrics."""
+    coded = _coded(spark, sf_dir).filter(F.size("labels") > 0)
+    gold = coded.select("p_partkey", *[F.array_contains("labels", n).cast("int").alias(n) for n in V.LABELS]).unpivot(["p_partkey"], list(V.LABELS), "label", "truth")
+    each = gold.withColumn("member", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])))
+    wrong = X.hashed_int("f", F.col("member"), F.col("p_partkey"), F.col("label")) % 10 < 2
+    members = each.withColumn("pred", F.when(wrong, 1 - F.col("truth")).otherwise(F.col("truth")))
+    limits = ensemble.vote_thresholds(V.LABELS, 3, 2, V.RELAXED_VOTE_LABELS)
+    out = F.lit(2)
+    for name, t in limits.items():
+        out = F.when(F.col("label") == name, t).otherwise(out)
+    voted = members.groupBy("p_partkey", "label").agg(F.max("truth").alias("truth"), F.sum("pred").alias("votes")).withColumn("pred", (F.col("votes") >= out).cast("int"))
+    counts = metrics.confusion(voted)
+    pooled = counts.agg(F.lit("micro").alias("label"), *[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")])
+    return _rounded(metrics.rates(counts.unionByName(pooled)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
