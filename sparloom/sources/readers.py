@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed value: encodings in the order in which they are tried.
-ENCODINGS = ("utf-8", "gb18030", "gbk", "latin-1")
+ENCODINGS = ("utf-8", "gb18030", "gbk", "iso-8859-1")
+SPARK_ENCODINGS = ("utf-8", "us-ascii", "iso-8859-1", "utf-16", "utf-16be", "utf-16le", "utf-32")
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, encoding: str = "utf-8", empty_as: str | None = None) -> DataFrame:
     """All columns as text, or by ``schema``; quoted line breaks belong to a cell; a byte-order mark is no
     part of the first header.  ``empty_as`` fills null cells of text columns."""
+    if encoding.lower() not in SPARK_ENCODINGS:
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # Spark takes further encodings only with this
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding)
     df = (reader.schema(schema) if schema else reader.option("inferSchema", False)).csv(path)
     return df if empty_as is None else df.fillna(empty_as)
