@@ -110,3 +110,41 @@ def test_components_of_chains_stars_and_loops(spark):
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_bit_counts():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 3, 4, 10, 1000):
+        w = rng.integers(0, 2**64, n, dtype=np.uint64)
+        assert simhash.bit_counts(w).tolist() == [int(((w >> np.uint64(b)) & np.uint64(1)).sum()) for b in range(64)]
+
+
+def test_similar_groups_against_all_pairs(spark):
+    from sparloom.llm.words import word_hashes
+
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(3000)]
+    rows = [(0, None), (1, ""), (2, "one"), (3, "One"), (4, "two words")]
+    for _ in range(60):
+        base = [words[int(3000 * rng.random() ** 3)] for _ in range(rng.randint(30, 400))]
+        rows.append((len(rows), " ".join(base)))
+        for _ in range(rng.randint(0, 4)):
+            rate = rng.choice([0.0, 0.003, 0.006, 0.012, 0.2])
+            edit = [rng.choice(words) if rng.random() < rate else w for w in base]
+            rows.append((len(rows), " ".join(edit).upper() if rng.random() < 0.1 else " ".join(edit)))
+    docs = spark.createDataFrame([*rows, (None, "one"), (4, "two words")], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+
+    def shingles(t):
+        h = word_hashes(False).of(t or "").tolist()
+        return {tuple(h[i : i + 5]) for i in range(max(1, len(h) - 4))}
+
+    sets = [shingles(t) for _, t in rows]
+    pairs = [(i, j, len(sets[i] & sets[j]) / len(sets[i] | sets[j])) for i in range(len(rows)) for j in range(i)]
+    near, far = [p for p in pairs if p[2] >= 0.88], [p for p in pairs if p[2] < 0.4]
+    assert len(near) > 30
+    assert sum(got[i] == got[j] for i, j, _ in near) >= 0.95 * len(near)
+    assert not any(got[i] == got[j] for i, j, _ in far if sets[i] and sets[j] and got[i] != 0)
+    assert got[0] == got[1] == 0 and got[2] == got[3] == got[None] == 2
+    kept = [r.doc_id for r in simhash.keep_one(docs).collect()]
+    assert sorted(k for k in kept if k is not None) == sorted([d for d in got if d is not None and got[d] == d] + [4])
