@@ -83,5 +83,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: Fixed by the operators' defaults: 48 shards over 65,537 slots; target shares as the square root of counts, seed 7.
+_MIXING_SQL = """
+WITH RECURSIVE n AS (SELECT source, count(*)::DOUBLE AS n FROM documents GROUP BY source),
+r AS (SELECT source, (SELECT sum(n) FROM n) * sqrt(n) / (SELECT sum(sqrt(n)) FROM n) / n AS rate FROM n),
+w AS (SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM r
+      UNION ALL SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM w WHERE k < ceil(rate + 40 * sqrt(rate) + 60)),
+u AS (SELECT d.*, ('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT::DOUBLE / 1152921504606846976.0 AS u FROM documents d),
+m AS (SELECT u.doc_id, u.text, u.lang, u.source, u.n_chars, count(*) FILTER (w.c <= u.u) AS copies FROM u JOIN w ON w.source IS NOT DISTINCT FROM u.source GROUP BY ALL),
+e AS (SELECT * EXCLUDE (copies), unnest(range(copies))::INT AS copy_no FROM m)
+SELECT *, md5('7s:' || coalesce(doc_id::VARCHAR, '') || ':' || copy_no) AS shuffle_key FROM e"""
+
+
+def _sharding_sql() -> str:
+    """The lookup table as a list of shard numbers; the placement is worked out by the SQL."""
+    number = {s: i for i, s in enumerate(SHARDS)}
+    owners = ",".join(str(number[s]) for s in sharding.lookup_table(SHARDS))
+    return f"""WITH t AS (SELECT [{owners}] AS owner), d AS (SELECT doc_id, source, n_chars, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % 65537 AS slot FROM documents)
+SELECT doc_id, source, n_chars, slot, 'shard-' || lpad(owner[slot + 1]::VARCHAR, 3, '0') AS shard FROM d, t"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Hashes of n-grams, fingerprints, trees and tokenizers are beyond SQL: those queries are held against
+    brute-force versions in the tests."""
+    return {"op2_sharding": _sharding_sql(), "op7_mixing": _MIXING_SQL}
