@@ -277,6 +277,47 @@ def id_mismatch(spark, sf_dir):
     return spark.createDataFrame([(found["missing"], found["extra"])], "missing long, extra long")
 
 
+@_register(f"WITH {_CODES_SQL} SELECT p_partkey, len(labels)::INT AS n_labels FROM mapped WHERE len(labels) > 0")
+def labelled_filter(spark, sf_dir):
+    return _coded(spark, sf_dir).filter(F.size("labels") > 0).select("p_partkey", F.size("labels").alias("n_labels"))
+
+
+@_register("SELECT event_id FROM events WHERE coalesce(try_cast(json_extract_string(try_cast(props AS JSON), '$.k') AS DOUBLE), 0) > 50")
+def numeric_filter(spark, sf_dir):
+    k = X.to_number(F.try_element_at(R.parse_object(F.col("props")), F.lit("k")))
+    return _table(spark, sf_dir, "events").filter(F.coalesce(k, F.lit(0.0)) > 50).select("event_id")
+
+
+@_register("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
+def set_difference(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id").join(_table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@_register("SELECT o_custkey AS cas, array_to_string(list_sort(list(DISTINCT o_orderkey)), ',') AS cids FROM orders GROUP BY o_custkey")
+def candidate_exchange(spark, sf_dir):
+    t = _table(spark, sf_dir, "orders")
+    return t.groupBy(F.col("o_custkey").alias("cas")).agg(F.array_join(F.transform(F.sort_array(F.collect_set("o_orderkey")), lambda x: x.cast("string")), ",").alias("cids"))
+
+
+@_register(f"WITH {_ENTITY_SQL} SELECT rid, cas, status, NULL::VARCHAR AS note FROM res WHERE status <> 'resolved' UNION ALL SELECT rid, NULL, NULL, 'even' FROM res WHERE status = 'resolved' AND cid % 2 = 0")
+def union_unresolved(spark, sf_dir):
+    t = _resolved(spark, sf_dir)
+    left = t.filter("status <> 'resolved'").select("rid", "cas", "status")
+    right = t.filter("status = 'resolved' AND cid % 2 = 0").select("rid", F.lit("even").alias("note"))
+    return left.unionByName(right, allowMissingColumns=True)
+
+
+@_register("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+def sorted_limit(spark, sf_dir):
+    return _table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20)
+
+
+@_register("SELECT doc_id, (toxic = 1 AND (contains(lower(text), 'idiot') OR contains(lower(text), 'clown')))::INT AS hard FROM documents JOIN (SELECT DISTINCT doc_id, toxic FROM labels) USING (doc_id)")
+def hard_positive(spark, sf_dir):
+    t = _table(spark, sf_dir, "labels").select("doc_id", "toxic").distinct().join(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return t.select("doc_id", sample.hard_positive(F.col("toxic"), F.col("text"), ["idiot", "clown"]).cast("int").alias("hard"))
+
+
 # ---- splits and samples --------------------------------------------------------------------------------
 
 _SPLIT_SQL = """
@@ -483,6 +524,12 @@ def threshold_apply(spark, sf_dir):
 _SCORED_SQL = f"{_MEMBERS_SQL}, scored AS (SELECT doc_id, label, truth, pred FROM members WHERE member = 1)"
 
 
+@_register(f"WITH {_SCORED_SQL} SELECT g.doc_id, g.quality, s.pred FROM (SELECT DISTINCT doc_id, quality FROM labels) g JOIN scored s ON s.doc_id = g.doc_id AND s.label = 'quality'")
+def aligned_join(spark, sf_dir):
+    gold = _table(spark, sf_dir, "labels").select("doc_id", "quality").distinct()
+    return gates.align_strict(gold, _scored(spark, sf_dir).filter("label = 'quality'").select("doc_id", "pred"), "doc_id")
+
+
 @_register(f"WITH {_SCORED_SQL} SELECT label, {_COUNTS} FROM scored GROUP BY label")
 def confusion(spark, sf_dir):
     return metrics.confusion(_scored(spark, sf_dir))
