@@ -27,31 +27,33 @@ class WordHashes:
         self.kept: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
-        got = self.kept.get(piece)
-        if got is None:
-            import xxhash
-
-            digest, out = xxhash.xxh32_intdigest, []
+        import xxhash
+
+        digest = xxhash.xxh32_intdigest
+        word = piece if piece.isalpha() else piece[:-1] if self.only_words and piece[:-1].isalpha() and piece[-1] in ".,!?;:" else None
+        if word is not None and (self.only_words or len(word) == 1 or not word.isupper()):
+            got = ((max(16, digest(word.lower().encode())) & ~1) | 1).to_bytes(4, "little")
+        else:
+            out = []
             for part in _PARTS.findall(piece):
-                word = part[0].isalnum() or part[0] == "_"
-                if self.only_words and not word:
+                is_word = part[0].isalnum() or part[0] == "_"
+                if self.only_words and not is_word:
                     continue
-                if word and not self.only_words and len(part) > 1 and part.isupper():
+                if is_word and not self.only_words and len(part) > 1 and part.isupper():
                     out.append(CAPITALS)
-                out.append((max(16, digest(part.lower().encode("utf-8", "surrogatepass"))) & ~1) | word)
+                out.append((max(16, digest(part.lower().encode("utf-8", "surrogatepass"))) & ~1) | is_word)
             got = np.array(out, "<u4").tobytes()
-            if len(self.kept) < self.ENTRIES and len(piece) <= self.LENGTH:
-                self.kept[piece] = got
+        if len(self.kept) < self.ENTRIES and len(piece) <= self.LENGTH:
+            self.kept[piece] = got
         return got
 
     def of(self, text: str) -> np.ndarray:
         pieces = text.split()
-        kept = self.kept
-        try:
-            data = b"".join([kept[p] for p in pieces])
-        except KeyError:
-            data = b"".join(map(self._piece, pieces))
-        return np.frombuffer(data, "<u4")
+        parts = list(map(self.kept.get, pieces))
+        if None in parts:
+            get = self._piece
+            parts = [p if p is not None else get(w) for p, w in zip(parts, pieces, strict=True)]
+        return np.frombuffer(b"".join(parts), "<u4")
 
 
 _HASHES: dict[bool, WordHashes] = {}
