@@ -221,8 +221,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 # ---- similar documents ---------------------------------------------------------------------------------
 
-#: Independent word fingerprints of a document, and minima in its shingle signature.
-TABLES, MINIMA = 4, 128
+#: Counters that shingles are counted in by hash: 4 MB a task and on the driver.  They only order the shingles
+#: from rare to frequent; any order gives the same pairs.  Bits of a set's parity map.
+COUNTERS, PIECES, PARITY = 1 << 20, 64, 1024
+#: Entries of a bin that are compared at a time.
+_BLOCK = 512
 
 
 def _mixed(x: np.ndarray, a: int, b: int) -> np.ndarray:
@@ -233,115 +236,169 @@ def _mixed(x: np.ndarray, a: int, b: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _numbers(name: str, n: int) -> list[int]:
-    import hashlib
-
-    return [int.from_bytes(hashlib.sha256(f"{name} {i}".encode()).digest()[:8], "little") for i in range(n)]
-
-
-def word_fingerprints(words: np.ndarray) -> list[int]:
-    """TABLES fingerprints over single words, repeats included; all 0 without words."""
-    x = words.astype(np.uint64)
-    return [majority(_mixed(x, a, b)) if len(x) else 0 for a, b in zip(_numbers("table a", TABLES), _numbers("table b", TABLES), strict=True)]
-
-
-def shingle_signature(words: np.ndarray, shingle: int) -> bytes:
-    """The low 16 bits of the smallest hash of the distinct shingles, for each of MINIMA functions."""
+def shingle_set(words: np.ndarray, shingle: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles in ascending order; a text of fewer words is one shingle."""
     x = words.astype(np.uint64)
     n = max(1, len(x) - shingle + 1)
     h = np.zeros(n, np.uint64)
     for i in range(min(shingle, len(x))):
         h = h * np.uint64(0x9E3779B97F4A7C15) + _mixed(x[i : i + n], 3, i)
-    h = np.unique(_mixed(h, 5, len(x) if len(x) < shingle else 0))
-    a = np.array(_numbers("minimum a", MINIMA), np.uint64) | np.uint64(1)
-    b = np.array(_numbers("minimum b", MINIMA), np.uint64)
-    low = np.full(MINIMA, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(h), 2048):
-        low = np.minimum(low, ((h[at : at + 2048, None] * a + b) >> np.uint64(32)).min(axis=0).astype(np.uint32))
-    return low.astype("<u2").tobytes()
+    return np.unique(_mixed(h, 5, len(x) if len(x) < shingle else 0))
+
+
+def parity_map(hashes: np.ndarray) -> bytes:
+    """PARITY bits, each set if an odd number of hashes fall on it.  Two sets' maps differ in at most as many
+    bits as the sets differ in members."""
+    return np.packbits(np.bincount((hashes >> np.uint64(54)).astype(np.int64), minlength=PARITY) & 1).tobytes()
+
+
+def prefix_length(n, similarity: float):
+    """Of this many shingles of a set of ``n``, in an order common to all sets, any similar set has one among
+    as many of its own."""
+    return n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+
+
+def shared_needed(both, similarity: float):
+    """The members two similar sets of ``both`` members together have in common at least."""
+    return np.ceil(similarity / (1 + similarity) * both - 1e-9)
+
+
+def may_be_similar(n, i, m, j, similarity: float):
+    """Whether sets of ``n`` and ``m`` members that share the one at place ``i`` and ``j`` can be similar: at
+    most the members before it and those from it on are shared."""
+    return np.minimum(i, j) + np.minimum(n - i, m - j) >= shared_needed(n + m, similarity)
+
+
+def _whole_bins(batches: Iterable[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
+    """The columns of sorted batches, cut so that no value of the first column is in two pieces."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h = batch.column(0).to_numpy(zero_copy_only=False)
+        at = int(np.searchsorted(h, h[-1]))  # the last bin may go on
+        if at or (held and held[-1].column(0)[0].as_py() != h[0]):
+            held.append(batch.slice(0, at))
+            yield [c.combine_chunks() for c in pa.Table.from_batches(held).columns]
+            held = []
+        held.append(batch.slice(at))
+    if held:
+        yield [c.combine_chunks() for c in pa.Table.from_batches(held).columns]
+
+
+def _numpy(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
+
+def shingle_counts(texts: DataFrame, shingle: int) -> np.ndarray:
+    """How many documents have shingles of each of COUNTERS hash values."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, total = word_hashes(only_words=False), np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                sets = [shingle_set(hashes.of(t), shingle) for t in batch.column(0).slice(at, 512).to_pylist()]
+                total += np.bincount((np.concatenate(sets) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        for i, part in enumerate(np.split(total.astype("<u4"), PIECES)):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()])], names=["piece", "counts"])
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, part in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                sums[i] = sums.get(i, 0) + np.frombuffer(part, "<u4").astype("<i8")
+        for i, part in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()])], names=["piece", "counts"])
+
+    counted = texts.mapInArrow(count, "piece int, counts binary").repartition("piece").mapInArrow(add, "piece int, counts binary")
+    out = np.zeros((PIECES, COUNTERS // PIECES), np.int64)
+    for r in counted.collect():  # PIECES rows
+        out[r["piece"]] = np.frombuffer(r["counts"], "<i8")
+    return out.ravel().clip(0, (1 << 32) - 1).astype(np.uint32)
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """One row per input row: id and ``component_id``, the smallest id of its group of similar documents.
 
-    Two documents are similar if their sets of word shingles agree in ``similarity`` or more, as their
-    signatures of 128 minima estimate it.  Candidates come from four SimHash fingerprints over single words,
-    each replicated to all anchors within covering radius plus one: any two at two or fewer differing bits
-    meet at an anchor.  There every fingerprint is tried against the bin's leaders (fingerprints that were
-    not within two bits of an earlier leader, by smallest id) and its predecessor, so a bin makes a number
-    of candidates in proportion to its entries; a group's members needn't all be tried with one another, as
-    each stands in some 80 bins with leaders of their own.  Texts with equal words are one entry throughout.
-    Recall against all pairs is measured in the tests.
+    Two documents are similar if their sets of word shingles agree in ``similarity`` or more (members shared,
+    of all members); groups are the components of this relation.  It is an exact join, by prefixes: in any
+    order common to all sets, similar sets meet in the first ``prefix_length`` shingles of each, and the order
+    goes from rare shingles to frequent ones, so that few others meet there.  The sets are compared whole.
+
+    Each entry of a shingle's bin is tried with the bin's first and with the one before.  Texts with equal
+    sets are one entry throughout.
 
     Null and empty texts are similar to each other; null ids stay null and take the smallest id of their
     group; repeated rows each give a row; an empty table gives none.
     """
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(F.col(id_col), text_of(text_col).alias("t"))
+    counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(texts.select("t"), shingle))
 
-    def describe(rows: Iterable[tuple]) -> Iterator[tuple]:
+    def described(text: str) -> tuple[int, np.ndarray]:
         import hashlib
 
-        hashes = word_hashes(only_words=False)
-        for key, text in rows:
-            words = hashes.of(text)
-            same = int.from_bytes(hashlib.sha256(words.tobytes()).digest()[:8], "little", signed=True)
-            yield key, same, b"".join(f.to_bytes(8, "little") for f in word_fingerprints(words)), shingle_signature(words, shingle)
+        members = shingle_set(word_hashes(only_words=False).of(text), shingle)
+        return int.from_bytes(hashlib.sha256(members.tobytes()).digest()[:8], "little", signed=True), members
 
-    rows = cut(arrow_rows(docs.select(F.col(id_col), text_of(text_col).alias("t")), describe, f"`{id_col}` {kind}, same long, fps binary, sign binary"))
-    distinct = cut(rows.groupBy("same").agg(F.min(id_col).alias("first_id"), F.first("fps").alias("fps"), F.first("sign").alias("sign")))
+    def describe(rows: Iterable[tuple]) -> Iterator[tuple]:
+        frequent = counts.value
+        for key, text in rows:
+            same, members = described(text)
+            order = np.argsort(frequent[members & np.uint64(COUNTERS - 1)], kind="stable")
+            first = members[order[: int(prefix_length(np.array(len(members)), similarity))]]
+            yield key, same, len(members), first.tobytes(), parity_map(members)
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                node = part.column(0).to_numpy(zero_copy_only=False)
-                every = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u8").reshape(-1, TABLES)
-                for t in range(TABLES):
-                    fps = np.ascontiguousarray(every[:, t])
-                    for got, anchor in anchors(fps, 1)[1]:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), t, np.int32)), pa.array(anchor.view(np.int64)), pa.array(node[got]), pa.array(fps[got].view(np.int64))], names=["t", "anchor", "node", "fp"])
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                raw = part.column(2).to_pylist()
+                sizes = np.array([len(x) // 8 for x in raw])
+                pos = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                cols = [np.frombuffer(b"".join(raw), "<i8"), np.repeat(_numpy(part.column(0)), sizes), np.repeat(_numpy(part.column(1)), sizes), pos.astype(np.int32)]
+                for i in range(0, len(pos), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in cols], names=["h", "node", "n", "pos"])
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bin_, leaders, before, out = None, [], None, set()
-        mask = (1 << 64) - 1
+        """Pairs as (0, a, b, 0, 0); entries of bins with pairs left, as (h, node, null, n, pos)."""
+        for h, node, n, pos in (map(_numpy, piece) for piece in _whole_bins(batches)):
+            k = np.arange(len(h))
+            new = np.concatenate(([True], h[1:] != h[:-1]))
+            first = np.maximum.accumulate(np.where(new, k, 0))
+            x = np.concatenate((k[~new] - 1, first[k - first >= 2]))
+            y = np.concatenate((k[~new], k[k - first >= 2]))
+            ok = may_be_similar(n[x], pos[x], n[y], pos[y], similarity)
+            a, b = node[x[ok]], node[y[ok]]
+            out = [np.zeros(len(a), np.int64), np.minimum(a, b), np.maximum(a, b), np.zeros(len(a), np.int32), np.zeros(len(a), np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["h", "a", "b", "n", "pos"])
+
+    def members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for t, anchor, node, fp in zip(*columns, strict=True):
-                if (t, anchor) != bin_:
-                    bin_, leaders, before = (t, anchor), [(node, fp)], (node, fp)
-                    continue
-                if node == before[0]:
-                    continue
-                if ((fp ^ before[1]) & mask).bit_count() <= 4:
-                    out.add((before[0], node))
-                for leader, known in leaders:
-                    if ((fp ^ known) & mask).bit_count() <= 2:
-                        out.add((leader, node))
-                        break
-                else:
-                    leaders.append((node, fp))
-                before = (node, fp)
-            if len(out) >= 1 << 16:
-                a, b = zip(*out, strict=True)
-                out = set()
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-        if out:
-            a, b = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    def verify(rows: Iterable[tuple]) -> Iterator[tuple]:
-        for a, b, x, y in rows:
-            if (np.frombuffer(x, "<u2") == np.frombuffer(y, "<u2")).mean() >= similarity:
-                yield a, b
-
-    ship(docs.sparkSession)
-    # bins in order of the nodes' numbers, which are digests: the same on every run
-    placed = distinct.select("same", "fps").mapInArrow(place, "t int, anchor long, node long, fp long")
-    binned = placed.repartition(F.col("t"), F.col("anchor")).sortWithinPartitions("t", "anchor", "node")
-    pairs = binned.mapInArrow(meet, "a long, b long").distinct()
-    signs = distinct.select("same", "sign")
-    tried = pairs.join(signs.toDF("a", "x"), "a").join(signs.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    roots = components(cut(arrow_rows(tried, verify, "a long, b long")))
+            for at in range(0, batch.num_rows, 256):
+                same, sets = zip(*map(described, batch.column(0).slice(at, 256).to_pylist()), strict=True)
+                ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(same, pa.int64()), lists], names=["same", "members"])
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs whose whole sets are similar."""
+        wanted = pairs.select(F.col("a").alias("same")).union(pairs.select("b")).distinct()
+        every = texts.select("t").mapInArrow(members, "same long, members array<long>")
+        sets = every.join(wanted, "same", "left_semi").groupBy("same").agg(F.first("members").alias("members"))
+        both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+        shared = F.size(F.array_intersect("x", "y"))
+        return both.filter(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
+
+    rows = cut(arrow_rows(texts, describe, f"`{id_col}` {kind}, same long, n int, first binary, parity binary"))
+    distinct = cut(rows.groupBy("same").agg(F.min(id_col).alias("first_id"), *[F.first(c).alias(c) for c in ("n", "first", "parity")]))
+    placed = distinct.select("same", "n", "first").mapInArrow(place, "h long, node long, n int, pos int")
+    # bins in order of size, then of the nodes' numbers, which are digests: the same on every run
+    binned = placed.repartition("h").sortWithinPartitions("h", "n", "node")
+    met = cut(binned.mapInArrow(meet, "h long, a long, b long, n int, pos int"))
+    links = cut(similar(cut(met.filter("b is not null").select("a", "b").distinct())))
+    roots = components(links)
     known = distinct.join(roots, distinct["same"] == roots["node"], "left").select("same", "first_id", F.coalesce("root", "same").alias("root"))
     smallest = known.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = known.join(smallest, "root").select("same", "component_id")

@@ -148,3 +148,50 @@ def test_similar_groups_against_all_pairs(spark):
     assert got[0] == got[1] == 0 and got[2] == got[3] == got[None] == 2
     kept = [r.doc_id for r in simhash.keep_one(docs).collect()]
     assert sorted(k for k in kept if k is not None) == sorted([d for d in got if d is not None and got[d] == d] + [4])
+
+
+def exact_groups(rows):
+    """The components of all pairs at 0.8 or more."""
+    from sparloom.llm.words import word_hashes
+
+    def shingles(t):
+        h = word_hashes(False).of(t or "").tolist()
+        return {tuple(h[i : i + 5]) for i in range(max(1, len(h) - 4))}
+
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    close = []
+    for i in range(len(rows)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            j_ij = shared / (len(sets[i]) + len(sets[j]) - shared)
+            close += [j_ij] if 0.7 < j_ij < 0.9 else []
+            if j_ij >= 0.8:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {d: rows[find(i)][0] for i, (d, _) in enumerate(rows)}, close
+
+
+def words_of(rng, n, vocabulary=3000):
+    return ["w" + str(int(vocabulary * rng.random())) for _ in range(n)]
+
+
+def test_groups_are_exact_for_blocks_appended_text_and_cuts(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(150):
+        base = words_of(rng, rng.randint(60, 300))
+        share = rng.uniform(0.08, 0.26)
+        k, at = int(len(base) * share), rng.randrange(int(len(base) * (1 - share)))
+        other = [base + words_of(rng, k), base[: len(base) - k], base[:at] + words_of(rng, k // 2) + base[at + k // 2 :]][i % 3]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+    want, close = exact_groups(rows)
+    assert sum(j >= 0.8 for j in close) > 30 and sum(j < 0.8 for j in close) > 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()} == want
