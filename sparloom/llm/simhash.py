@@ -325,8 +325,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     order common to all sets, similar sets meet in the first ``prefix_length`` shingles of each, and the order
     goes from rare shingles to frequent ones, so that few others meet there.  The sets are compared whole.
 
-    Each entry of a shingle's bin is tried with the bin's first and with the one before.  Texts with equal
-    sets are one entry throughout.
+    Pairs are tried in two rounds.  In the first, each entry of a shingle's bin is tried with the bin's first
+    and with the one before; that joins copies, however many, in a number of pairs in proportion to the
+    entries.  In the second, all pairs of a bin's entries that aren't in one group yet are tried, but those
+    that sizes, places or parity maps rule out.  Texts with equal sets are one entry throughout.
 
     Null and empty texts are similar to each other; null ids stay null and take the smallest id of their
     group; repeated rows each give a row; an empty table gives none.
@@ -373,6 +375,31 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             a, b = node[x[ok]], node[y[ok]]
             out = [np.zeros(len(a), np.int64), np.minimum(a, b), np.maximum(a, b), np.zeros(len(a), np.int32), np.zeros(len(a), np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["h", "a", "b", "n", "pos"])
+            size = np.bincount(first, minlength=len(h))[first]
+            big = size > 3
+            yield pa.RecordBatch.from_arrays([pa.array(h[big]), pa.array(node[big]), pa.nulls(int(big.sum()), pa.int64()), pa.array(n[big]), pa.array(pos[big])], names=["h", "a", "b", "n", "pos"])
+
+    def rest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in _whole_bins(batches):
+            h, node, n, pos, root = map(_numpy, piece[:5])
+            maps = np.frombuffer(b"".join(piece[5].to_pylist()), np.uint64).reshape(len(h), -1)
+            starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(h)], strict=True):
+                if (root[lo:hi] == root[lo]).all():
+                    continue
+                for at in range(lo, hi, _BLOCK):
+                    x = np.arange(at, min(at + _BLOCK, hi))
+                    for to in range(at, hi, _BLOCK):
+                        y = np.arange(to, min(to + _BLOCK, hi))
+                        ok = (y[None, :] > x[:, None]) & (root[x][:, None] != root[y][None, :])
+                        i, j = np.nonzero(ok & may_be_similar(n[x][:, None], pos[x][:, None], n[y][None, :], pos[y][None, :], similarity))
+                        i, j = x[i], y[j]
+                        for s in range(0, len(i), 1 << 14):
+                            u, v = i[s : s + (1 << 14)], j[s : s + (1 << 14)]
+                            differ = np.bitwise_count(maps[u] ^ maps[v]).sum(axis=1)
+                            ok = differ <= n[u] + n[v] - 2 * shared_needed(n[u] + n[v], similarity)
+                            a, b = node[u[ok]], node[v[ok]]
+                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     def members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -399,6 +426,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     met = cut(binned.mapInArrow(meet, "h long, a long, b long, n int, pos int"))
     links = cut(similar(cut(met.filter("b is not null").select("a", "b").distinct())))
     roots = components(links)
+    state = distinct.join(roots, distinct["same"] == roots["node"], "left").select("same", F.coalesce("root", "same").alias("root"), "parity")
+    left = met.filter("b is null").join(state, F.col("a") == F.col("same")).select("h", "a", "n", "pos", "root", "parity")
+    more = left.repartition("h").sortWithinPartitions("h", "n", "a").mapInArrow(rest, "a long, b long")
+    found = cut(similar(cut(more.distinct())))
+    if not found.isEmpty():
+        # the groups of the first round, and what joins them
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
     known = distinct.join(roots, distinct["same"] == roots["node"], "left").select("same", "first_id", F.coalesce("root", "same").alias("root"))
     smallest = known.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = known.join(smallest, "root").select("same", "component_id")

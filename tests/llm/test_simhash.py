@@ -195,3 +195,19 @@ def test_groups_are_exact_for_blocks_appended_text_and_cuts(spark):
     assert sum(j >= 0.8 for j in close) > 30 and sum(j < 0.8 for j in close) > 30
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()} == want
+
+
+def test_no_pair_of_a_crowded_bin_stays_untried(spark):
+    """Every shingle stands in most documents, so copies meet only in bins full of others."""
+    rng = random.Random(6)
+    atoms = [" ".join(f"a{i}{j}" for j in range(5)) for i in range(20)]
+    text = lambda chosen: " x x x x ".join(["", *[atoms[c] for c in sorted(chosen)], ""])
+    rows = []
+    for i in range(40):
+        some = rng.sample(range(20), 12)
+        swapped = [*some[1:], rng.choice([c for c in range(20) if c not in some])]
+        rows += [(2 * i, text(some)), (2 * i + 1, text(swapped))]
+    want, _ = exact_groups(rows)
+    assert 5 < len(set(want.values())) < 41
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()} == want
