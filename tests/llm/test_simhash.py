@@ -211,3 +211,16 @@ def test_no_pair_of_a_crowded_bin_stays_untried(spark):
     assert 5 < len(set(want.values())) < 41
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()} == want
+
+
+def test_the_threshold_is_decided_on_whole_sets(spark):
+    """Pairs just above and just below 0.8: none is refused, and none is merged."""
+    rng = random.Random(9)
+    rows, above = [], []
+    for i in range(60):
+        base = words_of(rng, 404, 10**6)
+        k = 100 + (-1, 1)[i % 2]  # of 400 shingles and k more, 400 are shared
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base + words_of(rng, k, 10**6)))]
+        above.append(k <= 100)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[2 * i] == got[2 * i + 1] for i in range(60)] == above
