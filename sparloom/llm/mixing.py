@@ -62,7 +62,8 @@ def cumulative_table(rates: DataFrame) -> DataFrame:
     return rates.withColumn("cdf", F.aggregate(steps, start, add, lambda acc: acc["cdf"]))
 
 
-#: A rate above this would need a table of more than its mean in entries, and exp(-rate) nears zero.
+#: A table for a rate above this would need more than its mean in entries, and exp(-rate) nears zero; counts of
+#: higher rates are sums of several.  The whole output isn't larger than the input by more either.
 MAX_RATE = 500.0
 #: At about 1 to 15 kB a source.
 MAX_BROADCAST_SOURCES = 2_000
@@ -82,12 +83,14 @@ def mix_sources(
 
     Rows come in global order of ``shuffle_key`` (``shuffle=False`` leaves the order alone).  Columns of
     these two names are replaced.  A null source is a source of its own; null ids draw as the empty id;
-    repeated rows draw alike; an empty table gives an empty one.  Rates above ``MAX_RATE`` are an error that
-    the query raises, since the inverse would lose precision.
+    repeated rows draw alike; an empty table gives an empty one.  A source's rate may be any: above
+    ``MAX_RATE`` the count is the sum of the fewest Poisson counts of equal rates up to it, each hashed by its
+    number, which is Poisson of the whole rate.  ``size_ratio`` above ``MAX_RATE`` is an error.
     """
-    rates = source_rates(docs, source_col, weights, temperature, size_ratio)
-    bound = F.when(F.col("rate") <= MAX_RATE, F.col("rate")).otherwise(F.raise_error(F.lit("repetition rate above MAX_RATE")).cast("double"))
-    tables = cut(cumulative_table(rates.withColumn("rate", bound)).select(F.col("source").alias("_source"), "cdf"))
+    if size_ratio > MAX_RATE:
+        raise ValueError("size ratio above MAX_RATE")
+    rates = source_rates(docs, source_col, weights, temperature, size_ratio).withColumn("_parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / F.lit(MAX_RATE)).cast("int")))
+    tables = cut(cumulative_table(rates.withColumn("rate", F.col("rate") / F.col("_parts"))).select(F.col("source").alias("_source"), "cdf", "_parts"))
     if tables.count() <= MAX_BROADCAST_SOURCES:
         tables = F.broadcast(tables)
     keep = [c for c in docs.columns if c not in ("copy_no", "shuffle_key")]
@@ -95,6 +98,9 @@ def mix_sources(
     # broadcast only up to a counted number of sources; beyond it an ordinary join, whose hot keys AQE splits
     drawn = docs.select(*keep).join(tables, F.col(source_col).eqNullSafe(F.col("_source")), "left").withColumn("_u", u)
     count = F.size(F.filter("cdf", lambda c: c <= F.col("_u")))
+    # the first count as for any rate; the others only where there are more
+    others = F.aggregate(F.sequence(F.lit(1), F.col("_parts") - 1), F.lit(0), lambda acc, i: acc + F.size(F.filter("cdf", lambda c: c <= hashed_unit(seed, F.col(id_col), F.lit("part"), i))))
+    count = count + F.when(F.col("_parts") > 1, others).otherwise(F.lit(0))
     copies = drawn.withColumn("_n", count).filter("_n > 0").select(*keep, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("copy_no"))
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}s"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), "copy_no").cast("binary")))
     return keyed.orderBy("shuffle_key") if shuffle else keyed

@@ -86,3 +86,36 @@ def test_mixing_edges(spark):
             mixing.mix_sources(docs, weights=bad)
     with pytest.raises(Exception, match="MAX_RATE"):
         mixing.mix_sources(docs, size_ratio=1000.0).collect()
+
+
+def test_a_source_of_one_row_against_a_million(spark):
+    from pyspark.sql import functions as F
+
+    n = 1_000_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 5, "tiny").otherwise("big").alias("source"))
+    rate = n / ((n - 1) ** 0.5 + 1)
+    assert rate > 500
+
+    def brute(key, rate):
+        parts, total = math.ceil(rate / 500), 0
+        for i in range(parts):
+            name = f"{key}:part:{i}" if i else f"{key}"
+            u, p = int(hashlib.md5(f"7:{name}".encode()).hexdigest()[:15], 16) / 2**60, math.exp(-rate / parts)
+            c = p
+            k = 0
+            while c <= u:
+                k += 1
+                p *= rate / parts / k
+                c += p
+            total += k
+        return total
+
+    tiny = mixing.mix_sources(docs, shuffle=False).filter("source = 'tiny'").collect()
+    assert sorted(r.copy_no for r in tiny) == list(range(brute(5, rate)))
+    # a rate of 1,300: its mean and its variance are those of Poisson counts
+    some = spark.range(400 * 1300).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 400, "a").otherwise("b").alias("source"))
+    counts = [r["count"] for r in mixing.mix_sources(some, weights={"a": 1.0}, shuffle=False).groupBy("doc_id").count().collect()]
+    assert len(counts) == 400
+    mean = sum(counts) / 400
+    assert abs(mean - 1300) < 5 * (1300 / 400) ** 0.5
+    assert 0.75 < sum((c - mean) ** 2 for c in counts) / 399 / 1300 < 1.25
