@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparloom.llm.common import arrow_rows, cut, ship, text_of, without_ids
+from sparloom.llm.common import MAX_BROADCAST_IDS, arrow_rows, cut, ship, text_of, without_ids
 from sparloom.llm.graph import components
 from sparloom.llm.words import word_hashes
 
@@ -401,6 +401,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                             a, b = node[u[ok]], node[v[ok]]
                             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
+    def loosely(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = _numpy(batch.column(2)) + _numpy(batch.column(3))
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (4, 5))
+            ok = np.bitwise_count(x ^ y).sum(axis=1) <= both - 2 * shared_needed(both, similarity)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in batch.columns[:2]], names=["a", "b"])
+
     def members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -410,9 +417,17 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([pa.array(same, pa.int64()), lists], names=["same", "members"])
 
     def similar(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs whose whole sets are similar."""
-        wanted = pairs.select(F.col("a").alias("same")).union(pairs.select("b")).distinct()
-        every = texts.select("t").mapInArrow(members, "same long, members array<long>")
+        """Those of the pairs whose whole sets are similar, out of those that their parity maps leave.  Only the
+        texts of one id an entry are read again, and those without an id."""
+        maps = distinct.select("same", "n", "parity")
+        mapped = pairs.join(maps.toDF("a", "n", "x"), "a").join(maps.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
+        pairs = cut(mapped.mapInArrow(loosely, "a long, b long"))
+        wanted = cut(pairs.select(F.col("a").alias("same")).union(pairs.select("b")).distinct())
+        ids = distinct.join(wanted, "same").select("first_id").filter("first_id is not null").distinct()
+        if wanted.count() <= MAX_BROADCAST_IDS:
+            ids = F.broadcast(ids)
+        few = texts.join(ids, F.col(id_col) == F.col("first_id"), "left_semi").union(texts.filter(F.col(id_col).isNull()))
+        every = few.select("t").mapInArrow(members, "same long, members array<long>")
         sets = every.join(wanted, "same", "left_semi").groupBy("same").agg(F.first("members").alias("members"))
         both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
         shared = F.size(F.array_intersect("x", "y"))
@@ -424,12 +439,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # bins in order of size, then of the nodes' numbers, which are digests: the same on every run
     binned = placed.repartition("h").sortWithinPartitions("h", "n", "node")
     met = cut(binned.mapInArrow(meet, "h long, a long, b long, n int, pos int"))
-    links = cut(similar(cut(met.filter("b is not null").select("a", "b").distinct())))
+    links = cut(similar(met.filter("b is not null").select("a", "b").distinct()))
     roots = components(links)
     state = distinct.join(roots, distinct["same"] == roots["node"], "left").select("same", F.coalesce("root", "same").alias("root"), "parity")
     left = met.filter("b is null").join(state, F.col("a") == F.col("same")).select("h", "a", "n", "pos", "root", "parity")
     more = left.repartition("h").sortWithinPartitions("h", "n", "a").mapInArrow(rest, "a long, b long")
-    found = cut(similar(cut(more.distinct())))
+    found = cut(similar(more.distinct()))
     if not found.isEmpty():
         # the groups of the first round, and what joins them
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
