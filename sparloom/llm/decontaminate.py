@@ -7,7 +7,9 @@
    size is fixed: features x sketch), and a second pass gives the small matrix whose eigenvectors turn that
    basis into the leading right singular vectors.  A third pass evens out the latent space.
 4. Every window of every document is compared, by cosine in the latent space, with the windows of the
-   benchmark items, which are the stated query set and are broadcast; nothing is capped.
+   benchmark items, which are the stated query set and are broadcast; nothing is capped.  Items shorter than a
+   window would drown in foreign text there, so they are looked up by words: of a leaked item's rarest words,
+   as many as may be missing and one more, a place has one at least.
 5. Candidates are checked exactly: the longest common subsequence of the item's words and the words around
    the window, as a share of the item, and the same for the item's answer (its last sentence).  An item
    leaks where nearly all of its words follow one another, or most do and its answer is there too.
@@ -247,6 +249,12 @@ def lcs(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - row.bit_count()
 
 
+def telling_words(h: np.ndarray, rarity: np.ndarray, share: float) -> set[int]:
+    """Of an item's words the rarest, as many that any text with ``share`` of the item's words has one."""
+    missing = len(h) - int(np.ceil(share * len(h) - 1e-9))
+    return set(h[np.argsort(-rarity[feature(h)], kind="stable")[: missing + 1]].tolist())
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     size = np.linalg.norm(x, axis=1, keepdims=True)
     return x / np.maximum(size, 1e-20)
@@ -280,15 +288,61 @@ def find_leaks(
     idf = np.log((n + 1) / (counts + 0.5)).clip(0.0)
     basis = latent_basis(hashed, idf, rules)
     width = rules.cell * rules.cells
-    places = [(i, s) for i, (_, h, _) in enumerate(items) for s, _ in item_windows(len(h), width)]
-    ends = [e for _, h, _ in items for _, e in item_windows(len(h), width)]
-    queries = np.stack([basis[feature(items[i][1][s:e])].sum(axis=0) for (i, s), e in zip(places, ends, strict=True)])
-    shared = spark.sparkContext.broadcast((basis, _unit(queries).astype(np.float32), places, items))  # items are at most MAX_ITEMS
+    places = [(i, s) for i, (_, h, _) in enumerate(items) if len(h) >= width for s, _ in item_windows(len(h), width)]
+    ends = [e for _, h, _ in items if len(h) >= width for _, e in item_windows(len(h), width)]
+    queries = np.array([basis[feature(items[i][1][s:e])].sum(axis=0) for (i, s), e in zip(places, ends, strict=True)]).reshape(len(places), basis.shape[1])
+    short: dict[int, list[int]] = {}
+    for i, (_, h, _) in enumerate(items):
+        for w in telling_words(h, idf, rules.paraphrase) if len(h) < width else ():
+            short.setdefault(w, []).append(i)
+    shared = spark.sparkContext.broadcast((basis, _unit(queries).astype(np.float32), places, items, short))  # items are at most MAX_ITEMS
+
+    def short_places(h: np.ndarray, keys: np.ndarray, plain: list[list[int]]) -> Iterator[tuple[int, list[int]]]:
+        """Short items of which a telling word is in the text, and the starts of all places around it where
+        enough of the item's words are."""
+        at = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h)
+        hits: dict[int, list[int]] = {}
+        for p in at.tolist():
+            for item in shared.value[4][int(h[p])]:
+                hits.setdefault(item, []).append(p)
+        for item, where in hits.items():
+            words, starts = plain[item], set()
+            reach = len(words) + 2 * rules.slack
+            for p in where:
+                near = set(h[max(0, p - reach) : p + reach].tolist())
+                if sum([x in near for x in words]) >= rules.paraphrase * len(words):
+                    starts.update(range(p - len(words) - rules.slack + 1, p + rules.slack + 1))
+            if starts:
+                yield item, sorted(starts)
 
     def search(rows: Iterable[tuple]) -> Iterator[tuple]:
-        table, wanted, where, asked = shared.value
+        table, wanted, where, asked, telling = shared.value
         plain = [h.tolist() for _, h, _ in asked]
+        keys = np.array(sorted(telling), np.uint32)
         for held in _loaded(rows):
+            for key, h in held if len(keys) else ():
+                for item, starts in short_places(h, keys, plain):
+                    name, asked_words, answer = asked[item]
+                    best, seen = None, None
+                    for begin in starts:
+                        lo, hi = max(0, begin - rules.slack), min(len(h), begin + len(asked_words) + rules.slack)
+                        if (lo, hi) == seen or lo >= hi:
+                            continue
+                        seen, there = (lo, hi), h[lo:hi]
+                        share = lcs(asked_words, there) / len(asked_words)
+                        if share < rules.paraphrase:
+                            continue
+                        told = lcs(answer, there) / len(answer) if len(answer) else 1.0
+                        if (share >= rules.verbatim or told >= rules.answer) and (best is None or (share, told) > best[:2]):
+                            best = share, told, lo, hi
+                            if share == told == 1:  # the first place of the largest shares
+                                break
+                    if best:
+                        share, told, lo, hi = best
+                        text, query = (table[feature(x)].sum(axis=0, keepdims=True) for x in (h[lo:hi], asked_words))
+                        yield key, name, round(float((_unit(text) * _unit(query)).sum()), 6), share, told, lo, hi
+            if not len(wanted):
+                continue
             filled, pieces = _steps(held, rules.cell)
             cells = _piece_sums(filled, table)
             cells = np.concatenate((cells, np.zeros((rules.cells, cells.shape[1]), np.float32)))

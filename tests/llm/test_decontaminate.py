@@ -82,3 +82,24 @@ def test_empty(spark):
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert d.find_leaks(docs.limit(0), bench).count() == 0 and d.find_leaks(docs, bench.limit(0)).count() == 0
     assert d.find_leaks(docs, bench).count() in (0, 1)
+
+
+def test_short_items_equal_brute_force(spark):
+    rng = random.Random(2)
+    words = [f"w{''.join(rng.choice('abcdefgh') for _ in range(4))}" for _ in range(400)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(i, text(4 + i % 14)) for i in range(42)]
+    docs = []
+    for i, (_, body) in enumerate(items):
+        body = body.split(" ")
+        if i % 3 == 1:
+            body[rng.randrange(len(body) - 1)] = "other"
+        if i % 3 == 2:  # verbatim with a word put between
+            body.insert(len(body) // 2, "between")
+        docs.append((i, " ".join([text(rng.randint(0, 200)), *body, text(rng.randint(0, 100))])))
+    docs += [(100 + i, text(rng.randint(1, 250))) for i in range(40)]
+    want = brute(docs, items, d.Rules())
+    assert {(i, i) for i in range(42) if i % 3 == 0} <= want
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in d.find_leaks(frame, bench).collect()} == want
