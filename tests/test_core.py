@@ -319,3 +319,14 @@ def test_interval_holds_the_point(spark):
     assert len(got) == 4 and all(r.ci95_low <= r.value <= r.ci95_high for r in got)
     other = resample.bootstrap_ci(stats.repartition(5), "id", ["a", "b"], 300).collect()
     assert {r.metric: (r.ci95_low, r.ci95_high) for r in got} == {r.metric: (r.ci95_low, r.ci95_high) for r in other}
+
+
+def test_group_split_fills_rooms_beyond_the_groups_placed_singly(spark, monkeypatch):
+    monkeypatch.setattr(split, "MAX_GREEDY_GROUPS", 50)
+    rows = [(g, int(g % 4 == 0)) for g in range(50) for _ in range(100)] + [(g, int(g % 3 == 0)) for g in range(50, 3050)]
+    df = spark.createDataFrame([*rows, (None, 1)], "grp int, y int")
+    got = split.group_split(df, "grp", ["y"], 0.1, 0.1, 3).collect()
+    assert len(got) == len(rows) + 1 and len({(r.grp, r.split) for r in got}) == 3051
+    for part, share in zip(("train", "val", "test"), (0.8, 0.1, 0.1), strict=True):
+        assert abs(sum(r.split == part for r in got) - share * len(got)) <= 2
+        assert abs(sum(r.split == part and r.y for r in got) - share * sum(r.y for r in got)) <= 2
