@@ -154,7 +154,8 @@ def importance_sample(
 ) -> DataFrame:
     """One row per input row: id, ``n_ngrams``, ``log_weight``, ``gumbel_key``, ``kept``.
 
-    Good documents are those with quality 1 that aren't toxic.  At most ``labelled_rows`` labelled rows are
+    Good documents are those with quality 1 that aren't toxic.  Toxic ones with quality 1 are neither good nor
+    poor to the fit: quality is judged, not toxicity, so they are kept like others of their quality.  At most ``labelled_rows`` labelled rows are
     used, those with the smallest digest of their id; everything else covers all documents.  ``k`` fixes the
     size of the sample; without it, it is the number of documents above the cut.  Rows whose key ties with
     the k-th are kept too.  Null and empty texts have no n-grams and weight 0; null ids share one noise
