@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,30 +37,80 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder; its files go when the frame does."""
+    """Cut the lineage with a reliable checkpoint in the shared folder.
+
+    For what an operator hands back, since nobody knows when that has been read for the last time: Spark
+    deletes the files when the frame is no longer reachable, if ``spark.cleaner.referenceTracking.
+    cleanCheckpoints`` is on, as it is in sessions that ``sparloom.session`` builds.  Steps on the way are
+    tables of a ``Scratch``.
+    """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables in the shared folder that cut the lineage, as compressed Parquet.
+
+    A table goes by ``drop`` once it has been read for the last time, the others when the ``with`` block ends,
+    by an error too.  What leaves the block is pinned with ``cut`` first.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+        self.made = 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        delete_path(self.spark, self.folder)
+
+    def write(self, df: DataFrame) -> DataFrame:
+        self.made += 1
+        path = f"{self.folder}/{self.made}"
+        df.write.option("compression", "zstd").parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        table._scratch_path = path
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            delete_path(self.spark, table._scratch_path)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-#: Rows of one id column that may be broadcast: some 30 MB.
-MAX_BROADCAST_IDS = 2_000_000
+def path_exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+#: Rows of one digest column that may be broadcast: some 60 MB.
+MAX_BROADCAST_KEYS = 1_000_000
 
 
-def without_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """The rows of ``docs`` whose id isn't among ``ids`` (one column; null is an id like others).  The ids are
-    counted first and broadcast if they are few, so that texts needn't be shuffled; else it is a shuffle join."""
-    gone = cut(ids.toDF("_gone").distinct())
-    if gone.count() <= MAX_BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+def row_key(id_col: str, text_col: str) -> Column:
+    """A row's identity: 16 bytes of digest over id and text.  Ids may be null or repeat; rows that are equal in
+    both can't be told apart, and no operator decides differently about them."""
+    name = F.coalesce(F.concat(F.lit("i"), F.col(id_col).cast("string")), F.lit("n"))
+    return F.unhex(F.md5(F.concat(name, F.lit(":"), text_of(text_col)).cast("binary")))
+
+
+def few(keys: DataFrame) -> DataFrame:
+    """Marked for broadcast if they have been counted and are few; else joins with them are ordinary ones."""
+    return F.broadcast(keys) if keys.count() <= MAX_BROADCAST_KEYS else keys
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` whose row key isn't in the one column of ``gone``, which has no repeats."""
+    return docs.join(few(gone.toDF("_gone")), row_key(id_col, text_col) == F.col("_gone"), "left_anti")
 
 
 def text_of(column: str = "text") -> Column:
@@ -80,6 +132,26 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext._sparloom_shipped = True
 
 
+_KEPT: dict[str, object] = {}
+
+
+def kept_by_worker(name: str, make: Callable[[], object]):
+    """What a Python worker keeps between tasks: one large thing at a time.  Asking for another lets the one
+    before go, so a worker that serves several operators in turn needs no more memory than one that serves one."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def range_count(df: DataFrame, size: int = 64 << 20, most: int = 8192) -> int:
+    """Ranges of some ``size`` bytes by the planner's estimate of ``df``, at least as many as a shuffle has
+    partitions.  The number decides how large tasks are, nothing else."""
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(most, -(-estimate // size)) if 0 < estimate < 1 << 60 else least)
+
+
 def range_bounds(df: DataFrame, key: str, ranges: int) -> list[int]:
     """At most ``ranges - 1`` quantiles of a column of whole numbers, in order, without repeats.
 
@@ -125,6 +197,22 @@ def arrow_rows(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterable[tuple]],
     return df.mapInArrow(run, schema)
 
 
+def text_chunks(batches: Iterable[pa.RecordBatch], rows: int = 1024, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches, texts in the last column, in slices of a bounded number of rows and bytes (a longer text is
+    a slice of its own); empty ones are left out."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at, total = 0, 0
+        sizes = pc.binary_length(batch.column(batch.num_columns - 1)).to_pylist()
+        for i, n in enumerate(sizes):
+            if i > at and (i - at >= rows or total + n > size):
+                yield batch.slice(at, i - at)
+                at, total = i, 0
+            total += n
+        yield batch.slice(at)
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True))
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

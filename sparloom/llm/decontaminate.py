@@ -22,15 +22,16 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparloom.llm.common import arrow_rows, cut, text_of, without_ids
-from sparloom.llm.words import word_hashes
+from sparloom.llm.common import Scratch, arrow_rows, cut, row_key, ship, text_chunks, text_of, without_rows
+from sparloom.llm.words import hashed_words
 
 FEATURES = 1 << 13
-#: Query items are broadcast with their vectors: about 2 kB an item.
-MAX_ITEMS = 200_000
+#: Query items are broadcast with their words and vectors, as many at a time as stay below this.
+BATCH_BYTES = 48 << 20
 _CHUNK = 1 << 16
 
 
@@ -59,17 +60,19 @@ def feature(hashes: np.ndarray) -> np.ndarray:
 
 
 def hashed_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(k, z): id and zstd-compressed word hashes of the whole text."""
+    """(k, row_key, z): id, row key and the zstd-compressed word hashes of the whole text."""
 
-    def each(rows: Iterable[tuple]) -> Iterator[tuple]:
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        squeeze, words = zstandard.ZstdCompressor(level=1), word_hashes(only_words=True)
-        for key, text in rows:
-            yield key, squeeze.compress(words.of(text).tobytes())
+        squeeze = zstandard.ZstdCompressor(level=1)
+        for part in text_chunks(batches):
+            z = [squeeze.compress(h.astype("<u4").tobytes()) for h in hashed_words(part.column(2).to_pylist(), "words")]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(z, pa.binary())], names=["k", "row_key", "z"])
 
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    return arrow_rows(docs.select(F.col(id_col), text_of(text_col).alias("t")), each, f"k {kind}, z binary")
+    return docs.select(F.col(id_col), row_key(id_col, text_col), text_of(text_col)).mapInArrow(each, f"k {kind}, row_key binary, z binary")
 
 
 def _loaded(rows: Iterable[tuple]) -> Iterator[list[tuple[object, np.ndarray]]]:
@@ -78,7 +81,7 @@ def _loaded(rows: Iterable[tuple]) -> Iterator[list[tuple[object, np.ndarray]]]:
 
     loosen = zstandard.ZstdDecompressor()
     held, n = [], 0
-    for key, z in rows:
+    for *key, z in rows:
         h = np.frombuffer(loosen.decompress(z), "<u4")
         if not len(h):
             continue
@@ -118,28 +121,21 @@ def _with_nothing(table: np.ndarray) -> np.ndarray:
 
 
 def _sum_blocks(parts: DataFrame, dtype: str) -> dict[int, np.ndarray]:
-    """Sums equal-sized arrays by block, streaming through sorted rows; the driver gets one row a block."""
+    """Sums equal-sized arrays by block, in two steps so that no task adds up what all others send; the driver
+    gets one row a block."""
 
     def add(rows: Iterable[tuple]) -> Iterator[tuple]:
-        at, total = None, None
+        sums: dict[int, np.ndarray] = {}  # a number of blocks of fixed size
         for block, data in rows:
-            v = np.frombuffer(data, dtype).astype(np.float64)
-            if block != at:
-                if at is not None:
-                    yield at, total.tobytes()
-                at, total = block, v
-            else:
-                total = total + v
-        if at is not None:
-            yield at, total.tobytes()
+            v = np.frombuffer(data, dtype)
+            sums[block] = sums[block] + v if block in sums else v.astype(np.float64)
+        for block, total in sums.items():
+            yield block, total.astype(dtype).tobytes()
 
-    summed = arrow_rows(parts.repartition(F.col("block")).sortWithinPartitions("block"), add, "block int, data binary", chunk=16)
-    return {r["block"]: np.frombuffer(r["data"], np.float64) for r in summed.collect()}
-
-
-def _fewer(hashed: DataFrame) -> DataFrame:
-    """Each task sends sums of a fixed size, so there should not be many more tasks than cores."""
-    return hashed.coalesce(max(16, 2 * hashed.sparkSession.sparkContext.defaultParallelism))
+    salted = parts.withColumn("salt", F.spark_partition_id() % 16).repartition("block", "salt").select("block", "data")
+    some = arrow_rows(salted, add, "block int, data binary", chunk=16)
+    summed = arrow_rows(some.repartition("block"), add, "block int, data binary", chunk=16)
+    return {r["block"]: np.frombuffer(r["data"], dtype).astype(np.float64) for r in summed.collect()}
 
 
 def passage_counts(hashed: DataFrame, passage: int) -> tuple[np.ndarray, int]:
@@ -158,7 +154,7 @@ def passage_counts(hashed: DataFrame, passage: int) -> tuple[np.ndarray, int]:
         df[FEATURES] = n
         yield 0, df.tobytes()
 
-    got = _sum_blocks(arrow_rows(_fewer(hashed), count, "block int, data binary"), "<i8").get(0)
+    got = _sum_blocks(arrow_rows(hashed.select("z"), count, "block int, data binary"), "<i8").get(0)
     return (got[:FEATURES], int(got[FEATURES])) if got is not None else (np.zeros(FEATURES), 0)
 
 
@@ -181,9 +177,9 @@ def latent_basis(hashed: DataFrame, idf: np.ndarray, rules: Rules) -> np.ndarray
         for block in range(FEATURES // wide):
             part = z[block * wide : (block + 1) * wide]
             if part.any():
-                yield block, part.astype(np.float32).tobytes()
+                yield block, part.tobytes()
 
-    summed = _sum_blocks(arrow_rows(_fewer(hashed), there_and_back, "block int, data binary", chunk=16), "<f4")
+    summed = _sum_blocks(arrow_rows(hashed.select("z"), there_and_back, "block int, data binary", chunk=16), "<f8")
     z = np.zeros((FEATURES, rules.sketch))
     for block, data in summed.items():
         z[block * wide : (block + 1) * wide] = data.reshape(wide, rules.sketch)
@@ -213,7 +209,7 @@ def _second_moment(hashed: DataFrame, table: np.ndarray, passage: int, unit: boo
             g += (b.T @ b).astype(np.float64)
         yield 0, g.tobytes()
 
-    return _sum_blocks(arrow_rows(_fewer(hashed), gram, "block int, data binary"), "<f8")[0].reshape(width, width)
+    return _sum_blocks(arrow_rows(hashed.select("z"), gram, "block int, data binary"), "<f8")[0].reshape(width, width)
 
 
 # ---- items and checks ----------------------------------------------------------------------------------
@@ -260,42 +256,58 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(size, 1e-20)
 
 
-def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rules: Rules = Rules()
-) -> DataFrame:
-    """One row a document and item that leaks into it: id, item id, ``cosine``, ``lcs_share``,
-    ``answer_share``, ``first_word`` and ``end_word`` (the place looked at, in words of the document), of the
-    best place (largest shares, then first).
+def _batches(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple]]:
+    """(item id, word hashes, hashes of the answer's words) of items that have words, in lists that stay below
+    BATCH_BYTES with their vectors (an item above it is a list of its own).  The driver holds one list."""
+    held: list[tuple] = []
+    size = 0
+    for name, text in benchmark.select(item_col, text_of(text_col)).toLocalIterator():
+        h, answer = (x.astype(np.uint32) for x in hashed_words([text, answer_of(text)], "words"))
+        if not len(h):
+            continue
+        cost = 300 + 60 * len(h)  # words as numbers and as objects, a vector every twelve words
+        if held and size + cost > BATCH_BYTES:
+            yield held
+            held, size = [], 0
+        held.append((name, h, answer))
+        size += cost
+    if held:
+        yield held
 
-    Items without words, null documents and empty ones have no rows.  Equal items and repeated documents each
-    give their rows (rows of one id are merged); null ids are kept as ids.  Whole texts are searched.  An
-    empty corpus or benchmark gives no rows.
-    """
-    spark = docs.sparkSession
-    kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, `{item_col}` {item_kind}, cosine double, lcs_share double, answer_share double, first_word long, end_word long"
-    listed = benchmark.select(item_col, text_of(item_text_col).alias("t")).limit(MAX_ITEMS + 1).collect()
-    if len(listed) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} benchmark items: search them in several calls")
-    words = word_hashes(only_words=True)
-    items = [(r[0], h, words.of(answer_of(r[1]))) for r in listed if len(h := words.of(r[1]))]
-    if not items:
-        return spark.createDataFrame([], schema)
-    hashed = cut(hashed_documents(docs, id_col, text_col))
-    counts, n = passage_counts(hashed, rules.passage)
-    if not n:
-        return spark.createDataFrame([], schema)
-    idf = np.log((n + 1) / (counts + 0.5)).clip(0.0)
-    basis = latent_basis(hashed, idf, rules)
+
+def _best_place(asked: tuple, h: np.ndarray, starts: Iterable[int], rules: Rules) -> tuple | None:
+    """(share, answer share, start, end) of the best of the places in a text of word hashes ``h`` where an item
+    may start: largest shares, then first.  None if it leaks at none."""
+    _, words, answer = asked
+    best, seen = None, None
+    for begin in starts:
+        lo, hi = max(0, begin - rules.slack), min(len(h), begin + len(words) + rules.slack)
+        if (lo, hi) == seen or lo >= hi:
+            continue
+        seen, there = (lo, hi), h[lo:hi]
+        share = lcs(words, there) / len(words)
+        if share < rules.paraphrase:
+            continue
+        told = lcs(answer, there) / len(answer) if len(answer) else 1.0
+        if (share >= rules.verbatim or told >= rules.answer) and (best is None or (share, told) > best[:2]):
+            best = share, told, lo, hi
+            if share == told == 1:
+                break
+    return best
+
+
+def _search(hashed: DataFrame, items: list[tuple], basis: np.ndarray, idf: np.ndarray, rules: Rules, schema: str) -> DataFrame:
+    """Every place of every text of ``hashed`` where one of ``items`` leaks."""
     width = rules.cell * rules.cells
-    places = [(i, s) for i, (_, h, _) in enumerate(items) if len(h) >= width for s, _ in item_windows(len(h), width)]
-    ends = [e for _, h, _ in items if len(h) >= width for _, e in item_windows(len(h), width)]
-    queries = np.array([basis[feature(items[i][1][s:e])].sum(axis=0) for (i, s), e in zip(places, ends, strict=True)]).reshape(len(places), basis.shape[1])
+    long = [(i, s, e) for i, (_, h, _) in enumerate(items) if len(h) >= width for s, e in item_windows(len(h), width)]
+    places = [(i, s) for i, s, _ in long]
+    queries = np.array([basis[feature(items[i][1][s:e])].sum(axis=0) for i, s, e in long]).reshape(len(long), basis.shape[1])
     short: dict[int, list[int]] = {}
     for i, (_, h, _) in enumerate(items):
         for w in telling_words(h, idf, rules.paraphrase) if len(h) < width else ():
             short.setdefault(w, []).append(i)
-    shared = spark.sparkContext.broadcast((basis, _unit(queries).astype(np.float32), places, items, short))  # items are at most MAX_ITEMS
+    # at most some BATCH_BYTES
+    shared = hashed.sparkSession.sparkContext.broadcast((basis, _unit(queries).astype(np.float32), places, items, short))
 
     def short_places(h: np.ndarray, keys: np.ndarray, plain: list[list[int]]) -> Iterator[tuple[int, list[int]]]:
         """Short items of which a telling word is in the text, and the starts of all places around it where
@@ -322,25 +334,10 @@ def find_leaks(
         for held in _loaded(rows):
             for key, h in held if len(keys) else ():
                 for item, starts in short_places(h, keys, plain):
-                    name, asked_words, answer = asked[item]
-                    best, seen = None, None
-                    for begin in starts:
-                        lo, hi = max(0, begin - rules.slack), min(len(h), begin + len(asked_words) + rules.slack)
-                        if (lo, hi) == seen or lo >= hi:
-                            continue
-                        seen, there = (lo, hi), h[lo:hi]
-                        share = lcs(asked_words, there) / len(asked_words)
-                        if share < rules.paraphrase:
-                            continue
-                        told = lcs(answer, there) / len(answer) if len(answer) else 1.0
-                        if (share >= rules.verbatim or told >= rules.answer) and (best is None or (share, told) > best[:2]):
-                            best = share, told, lo, hi
-                            if share == told == 1:  # the first place of the largest shares
-                                break
-                    if best:
+                    if best := _best_place(asked[item], h, starts, rules):
                         share, told, lo, hi = best
-                        text, query = (table[feature(x)].sum(axis=0, keepdims=True) for x in (h[lo:hi], asked_words))
-                        yield key, name, round(float((_unit(text) * _unit(query)).sum()), 6), share, told, lo, hi
+                        text, query = (table[feature(x)].sum(axis=0, keepdims=True) for x in (h[lo:hi], asked[item][1]))
+                        yield *key, asked[item][0], round(float((_unit(text) * _unit(query)).sum()), 6), share, told, lo, hi
             if not len(wanted):
                 continue
             filled, pieces = _steps(held, rules.cell)
@@ -355,35 +352,65 @@ def find_leaks(
                 window += np.where((inside + c < pieces[doc])[:, None], cells[first + c], 0)
             window = _unit(window)
             for at in range(0, len(window), 1024):
-                near = window[at : at + 1024] @ wanted.T
-                rows_hit = np.flatnonzero(near.max(axis=1) >= rules.cosine)
-                hit, query = np.nonzero(near[rows_hit] >= rules.cosine)
                 tried: dict[tuple[int, int, int], float] = {}
-                for w, q in zip(rows_hit[hit].tolist(), query.tolist(), strict=True):
-                    item, offset = where[q]
-                    place = (int(doc[at + w]), item, int(inside[at + w]) * rules.cell - offset)
-                    tried[place] = max(tried.get(place, -1.0), float(near[w, q]))
+                for to in range(0, len(wanted), 1 << 14):
+                    near = window[at : at + 1024] @ wanted[to : to + (1 << 14)].T
+                    rows_hit = np.flatnonzero(near.max(axis=1) >= rules.cosine)
+                    hit, query = np.nonzero(near[rows_hit] >= rules.cosine)
+                    for w, q in zip(rows_hit[hit].tolist(), query.tolist(), strict=True):
+                        item, offset = where[to + q]
+                        place = (int(doc[at + w]), item, int(inside[at + w]) * rules.cell - offset)
+                        tried[place] = max(tried.get(place, -1.0), float(near[w, q]))
                 for (d, item, begin), cosine in tried.items():
                     key, h = held[d]
-                    name, asked_words, answer = asked[item]
-                    lo, hi = max(0, begin - rules.slack), min(len(h), begin + len(asked_words) + rules.slack)
-                    there = h[lo:hi]
-                    found = set(there.tolist())
+                    found = set(h[max(0, begin - rules.slack) : begin + len(plain[item]) + rules.slack].tolist())
                     # words that aren't there at all bound the common subsequence from above
                     if sum([x in found for x in plain[item]]) < rules.paraphrase * len(plain[item]):
                         continue
-                    share = lcs(asked_words, there) / len(asked_words)
-                    if share < rules.paraphrase:
-                        continue
-                    told = lcs(answer, there) / len(answer) if len(answer) else 1.0
-                    if share >= rules.verbatim or told >= rules.answer:
-                        yield key, name, round(cosine, 6), share, told, lo, hi
+                    if best := _best_place(asked[item], h, [begin], rules):
+                        yield *key, asked[item][0], round(cosine, 6), *best
+
+    return arrow_rows(hashed, search, schema)
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, rules: Rules, by: str) -> DataFrame:
+    """One row a document, told apart by ``by`` (id or row_key), and item that leaks into it."""
+    spark = docs.sparkSession
+    kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
+    schema = f"id {kind}, row_key binary, item {item_kind}, cosine double, lcs_share double, answer_share double, first_word long, end_word long"
+    found = spark.createDataFrame([], schema)
+    with Scratch(spark) as scratch:
+        basis = None
+        for items in _batches(benchmark, item_col, item_text_col):
+            if basis is None:
+                hashed = scratch.write(hashed_documents(docs, id_col, text_col))
+                counts, n = passage_counts(hashed, rules.passage)
+                if not n:
+                    break
+                idf = np.log((n + 1) / (counts + 0.5)).clip(0.0)
+                basis = latent_basis(hashed, idf, rules)
+            found = found.unionByName(scratch.write(_search(hashed, items, basis, idf, rules, schema)))
+        best = F.max_by(F.struct("cosine", "lcs_share", "answer_share", "first_word", "end_word"), F.struct("lcs_share", "answer_share", -F.col("first_word")))
+        return cut(found.groupBy(by, "item").agg(best.alias("b")).select(by, "item", "b.*"))
+
 
-    found = arrow_rows(hashed, search, schema)
-    best = F.max_by(F.struct("cosine", "lcs_share", "answer_share", "first_word", "end_word"), F.struct("lcs_share", "answer_share", -F.col("first_word")))
-    return found.groupBy(id_col, item_col).agg(best.alias("b")).select(id_col, item_col, "b.*")
+def find_leaks(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rules: Rules = Rules()
+) -> DataFrame:
+    """One row a document and item that leaks into it: id, item id, ``cosine``, ``lcs_share``,
+    ``answer_share``, ``first_word`` and ``end_word`` (the place looked at, in words of the document), of the
+    best place (largest shares, then first).
+
+    Items without words, null documents and empty ones have no rows.  Equal items and repeated documents each
+    give their rows (rows of one id are merged); null ids are kept as ids.  Whole texts are searched, for any
+    number of items, a batch of bounded size at a time.  An empty corpus or benchmark gives no rows.
+    """
+    found = _leaks(docs, benchmark, id_col, text_col, item_col, item_text_col, rules, "id")
+    return found.withColumnsRenamed({"id": id_col, "item": item_col})
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
-    """The documents into which no item leaks; documents without an id stay only if none such leaks."""
-    return without_ids(docs, find_leaks(docs, benchmark, id_col, text_col, rules=rules).select(id_col), id_col)
+    """The documents into which no item leaks, all their columns and rows.  Rows without an id or with a
+    repeated one stay or go each by its own text."""
+    found = _leaks(docs, benchmark, id_col, text_col, "item_id", "text", rules, "row_key")
+    return without_rows(docs, found.select("row_key").distinct(), id_col, text_col)

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparloom.llm.common import arrow_rows, range_bounds, text_of
+from sparloom.llm.common import arrow_rows, range_bounds, range_count, text_of
 
 FUNCTIONS = 128
 _MASK = (1 << 64) - 1
@@ -114,15 +114,13 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``edited_sha256``, ``fingerprint``, ``edited_fingerprint`` (hex), ``near_edited``, ``near_next``.
 
     One shuffle moves the texts, zstd-compressed, into ranges of ids.  The ranges' bounds are quantiles of
-    the ids, two to a shuffle partition; the first document of each range goes to the range before as well,
+    the ids, as many as the bytes ask for; the first document of each range goes to the range before as well,
     so every range can be streamed by itself and the bounds only decide how even the ranges are.
     """
-    spark = docs.sparkSession
     if docs.schema[id_col].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
         raise TypeError(f"{id_col} must be a whole number")
-    ranges = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = docs.select(F.col(id_col).cast("long").alias("k"))
-    bounds = range_bounds(ids, "k", ranges)
+    bounds = range_bounds(ids, "k", 2 * range_count(docs))
 
     def range_of(k: int | None) -> int:
         return len(bounds) + 1 if k is None else len(bounds) - bisect.bisect_left(bounds, k)
@@ -131,7 +129,7 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for (k,) in rows:
             yield range_of(k), k
 
-    # a row a range: at most two to a shuffle partition and one
+    # a row a range
     heads = {r["at"]: r["head"] for r in arrow_rows(ids, place, "at int, k long").groupBy("at").agg(F.max("k").alias("head")).collect()}
     order = sorted(heads)
     before = {at: order[i - 1] for i, at in enumerate(order)}
@@ -168,6 +166,6 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return doc.key, doc.n, hashlib.sha256(edited.encode()).hexdigest(), doc.sign.hex(), sign.hex(), likeness(doc.sign, sign), likeness(doc.sign, following.sign)
 
     sent = arrow_rows(docs.select(F.col(id_col).cast("long").alias("k"), text_of(text_col).alias("t")), send, "at int, is_head int, k long, tie string, packed binary")
-    ordered = sent.repartition(F.col("at")).sortWithinPartitions("at", "is_head", F.col("k").desc_nulls_last(), "tie")
+    ordered = sent.repartitionById(len(bounds) + 2, F.col("at")).sortWithinPartitions("at", "is_head", F.col("k").desc_nulls_last(), "tie")
     out = arrow_rows(ordered, stream, f"`{id_col}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double", chunk=64)
     return out.withColumn(id_col, F.col(id_col).cast(docs.schema[id_col].dataType))

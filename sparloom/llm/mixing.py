@@ -13,7 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparloom.llm.common import cut
+from sparloom.llm.common import cut, range_count
 
 #: Of the 60 hash bits, so that the quotient is exact enough on any engine.
 _UNIT = float(1 << 60)
@@ -43,8 +43,7 @@ def source_rates(docs: DataFrame, source_col: str, weights: Mapping[str, float]
         share = F.coalesce(F.col("w"), F.lit(0.0))
     shared = counts.withColumn("share", share)
     totals = shared.agg(F.sum("n").alias("all_n"), F.sum("share").alias("all_share"))
-    # one row of totals joins the sources on a constant key: no cross join, and the sides stay of known size
-    joined = shared.withColumn("_k", F.lit(1)).join(F.broadcast(totals.withColumn("_k", F.lit(1))), "_k")
+    joined = shared.crossJoin(F.broadcast(totals))  # of one row
     rate = F.lit(float(size_ratio)) * F.col("all_n") * F.col("share") / F.col("all_share") / F.col("n")
     return joined.select("source", "n", rate.alias("rate"))
 
@@ -81,7 +80,8 @@ def mix_sources(
 ) -> DataFrame:
     """The rows of ``docs``, each as often as its Poisson count, with ``copy_no`` (from 0) and ``shuffle_key``.
 
-    Rows come in global order of ``shuffle_key`` (``shuffle=False`` leaves the order alone).  Columns of
+    Rows come in global order of ``shuffle_key`` (``shuffle=False`` leaves the order alone): the key is uniform,
+    so its first digits say the partition, and no sample of the keys is taken, which would draw everything twice.  Columns of
     these two names are replaced.  A null source is a source of its own; null ids draw as the empty id;
     repeated rows draw alike; an empty table gives an empty one.  A source's rate may be any: above
     ``MAX_RATE`` the count is the sum of the fewest Poisson counts of equal rates up to it, each hashed by its
@@ -103,5 +103,8 @@ def mix_sources(
     count = count + F.when(F.col("_parts") > 1, others).otherwise(F.lit(0))
     copies = drawn.withColumn("_n", count).filter("_n > 0").select(*keep, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("copy_no"))
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}s"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), "copy_no").cast("binary")))
-    return keyed.orderBy("shuffle_key") if shuffle else keyed
-
+    if not shuffle:
+        return keyed
+    n = range_count(docs)
+    at = F.shiftright(F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("long") * F.lit(n), 32).cast("int")
+    return keyed.repartitionById(n, at).sortWithinPartitions("shuffle_key")

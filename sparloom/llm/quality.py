@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparloom.llm.common import arrow_rows, cut, ship, text_of
+from sparloom.llm.common import cut, row_key, ship, text_chunks, text_of, without_rows
 from sparloom.llm.mixing import hashed_unit
-from sparloom.llm.words import AGAIN, WORD, word_hashes
+from sparloom.llm.words import AGAIN, WORD, hashed_words
 
 BUCKETS = 1 << 14
 #: Labelled rows that the target model and the cut are fitted on, chosen by a hash of the id; the only sample.
@@ -29,15 +29,14 @@ LABELLED_ROWS = 50_000
 SMOOTHING = 10.0
 
 
-def ngram_buckets(text: str, buckets: int = BUCKETS) -> np.ndarray:
-    """The buckets of all one- and two-word n-grams of a whole text, repeats included, and of its shape in
-    threes: which of three neighbours are words, and what the others are.  A word that repeats the one before
-    it shows as a mark, so that runs of one word are an n-gram of their own."""
-    h = word_hashes(only_words=False).of(text)
-    if not len(h):
+def ngram_buckets(words: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
+    """The buckets of all one- and two-word n-grams of a whole text, given by its ``parts``, repeats included,
+    and of its shape in threes: which of three neighbours are words, and what the others are.  A word that
+    repeats the one before it shows as a mark, so that runs of one word are an n-gram of their own."""
+    if not len(words):
         return np.zeros(0, np.int64)
-    t = h.astype(np.uint64)
-    t[1:][h[1:] == h[:-1]] = AGAIN
+    t = words.copy()
+    t[1:][words[1:] == words[:-1]] = AGAIN
     one = t * np.uint64(0x9E3779B97F4A7C15)
     two = (t[:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ ((t[1:] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
     two *= np.uint64(0xD6E8FEB86659FD93)
@@ -48,6 +47,10 @@ def ngram_buckets(text: str, buckets: int = BUCKETS) -> np.ndarray:
     return np.concatenate((one >> shift, two >> shift, three >> shift)).astype(np.int64)
 
 
+def text_buckets(texts: list[str], buckets: int = BUCKETS) -> list[np.ndarray]:
+    return [ngram_buckets(w, buckets) for w in hashed_words(texts, "parts")]
+
+
 def count_models(docs: DataFrame, target_ids: set, id_col: str, text_col: str, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """(raw, target) counts by bucket over every document.  Each task sends at most one row a bucket, and the
     driver gets at most ``buckets`` rows, whatever the input."""
@@ -57,17 +60,12 @@ def count_models(docs: DataFrame, target_ids: set, id_col: str, text_col: str, b
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         ids = wanted.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    n = np.bincount(ngram_buckets(text, buckets), minlength=buckets) if len(text) > 20_000 else None
-                    b = ngram_buckets(text, buckets) if n is None else None
-                    for into, use in ((raw, True), (target, key in ids)):
-                        if use and n is not None:
-                            into += n
-                        elif use:
-                            np.add.at(into, b, 1)
+        for part in text_chunks(batches):
+            found = text_buckets(part.column(1).to_pylist(), buckets)
+            raw += np.bincount(np.concatenate(found), minlength=buckets)
+            ours = [b for key, b in zip(part.column(0).to_pylist(), found, strict=True) if key in ids]
+            if ours:
+                target += np.bincount(np.concatenate(ours), minlength=buckets)
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(target[some])], names=["bucket", "raw", "target"])
 
@@ -79,19 +77,19 @@ def count_models(docs: DataFrame, target_ids: set, id_col: str, text_col: str, b
     return raw, target
 
 
-def log_weight(found: np.ndarray, raw: np.ndarray, target: np.ndarray, is_target: bool, smoothing: float = SMOOTHING) -> float:
-    """The log ratio of target and raw model over the n-gram buckets ``found`` of one document, whose own
-    counts are left out of both models, so that labelled documents aren't favoured.  The target model has
-    the raw one as its prior.  0 where no target text is left."""
-    size, all_raw = len(found), raw.sum() - len(found)
-    all_target = target.sum() - size * is_target
-    if not size or all_target <= 0 or all_raw <= 0:
-        return 0.0
-    b, own = np.unique(found, return_counts=True)
-    prior = (raw[b] - own + 0.5) / (all_raw + 0.5 * len(raw))
+def log_weights(found: list[np.ndarray], raw: np.ndarray, target: np.ndarray, is_target: np.ndarray, smoothing: float = SMOOTHING) -> np.ndarray:
+    """For each document the log ratio of target and raw model over its n-gram buckets.  Its own counts are left
+    out of both models, so that labelled documents aren't favoured.  The target model has the raw one as its
+    prior.  0 where a document has no n-grams or no target text is left."""
+    sizes = np.array([len(b) for b in found], np.int64)
+    keys, own = np.unique(np.concatenate(found) + np.repeat(np.arange(len(found)) * len(raw), sizes), return_counts=True)
+    doc, b = keys // len(raw), keys % len(raw)
+    all_raw, all_target = raw.sum() - sizes, target.sum() - sizes * is_target
     weight = smoothing * len(raw)
-    likely = (target[b] - own * is_target + weight * prior) / (all_target + weight)
-    return float((own * np.log(likely / prior)).sum())
+    prior = (raw[b] - own + 0.5) / (all_raw + 0.5 * len(raw))[doc]
+    likely = (target[b] - own * is_target[doc] + weight * prior) / (all_target + weight)[doc]
+    out = np.bincount(doc, weights=own * np.log(likely / prior), minlength=len(found))
+    return np.where((all_target <= 0) | (all_raw <= 0), 0.0, out)
 
 
 def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
@@ -151,8 +149,9 @@ def importance_sample(
     labelled_rows: int = LABELLED_ROWS,
     buckets: int = BUCKETS,
     smoothing: float = SMOOTHING,
+    with_key: bool = False,
 ) -> DataFrame:
-    """One row per input row: id, ``n_ngrams``, ``log_weight``, ``gumbel_key``, ``kept``.
+    """One row per input row: id, ``row_key`` if asked for, ``n_ngrams``, ``log_weight``, ``gumbel_key``, ``kept``.
 
     Good documents are those with quality 1 that aren't toxic.  Toxic ones with quality 1 are neither good nor
     poor to the fit: quality is judged, not toxicity, so they are kept like others of their quality.  At most ``labelled_rows`` labelled rows are
@@ -171,14 +170,17 @@ def importance_sample(
     raw, target = count_models(docs, {i for i, g in good.items() if g}, id_col, text_col, buckets)
     models = spark.sparkContext.broadcast((raw, target, {i for i, g in good.items() if g}))  # ``buckets`` counts, ``labelled_rows`` ids
 
-    def weigh(rows: Iterable[tuple]) -> Iterator[tuple]:
+    def weigh(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, wanted, ours = models.value
-        for key, text in rows:
-            found = ngram_buckets(text, buckets)
-            yield key, len(found), round(log_weight(found, counts, wanted, key in ours, smoothing), 6)
+        for part in text_chunks(batches):
+            found = text_buckets(part.column(2).to_pylist(), buckets)
+            labelled = np.array([key in ours for key in part.column(0).to_pylist()])
+            weights = log_weights(found, counts, wanted, labelled, smoothing)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(b) for b in found], pa.int64()), pa.array(np.round(weights, 6))], names=[id_col, "row_key", "n_ngrams", "log_weight"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    weighed = arrow_rows(docs.select(F.col(id_col), text_of(text_col).alias("t")), weigh, f"`{id_col}` {kind}, n_ngrams long, log_weight double")
+    key = row_key(id_col, text_col) if with_key else F.lit(None).cast("binary")
+    weighed = docs.select(F.col(id_col), key.alias("row_key"), text_of(text_col).alias("t")).mapInArrow(weigh, f"`{id_col}` {kind}, row_key binary, n_ngrams long, log_weight double")
     keyed = cut(weighed.withColumn("gumbel_key", F.col("log_weight") + gumbel(seed, F.col(id_col))).withColumn("_order", _sortable(F.col("gumbel_key"))))
     if k is None:
         marks = spark.createDataFrame([(i, g) for i, g in good.items()], f"_id {kind}, _good boolean") if good else None
@@ -187,4 +189,11 @@ def importance_sample(
         k = keyed.filter(F.col("log_weight") >= F.lit(bound)).count()
     last = kth_largest(keyed, "_order", k) if k > 0 else None
     kept = F.lit(True) if last is None and k > 0 else F.lit(False) if k <= 0 else F.col("_order") >= F.lit(last)
-    return keyed.select(id_col, "n_ngrams", "log_weight", "gumbel_key", kept.alias("kept"))
+    return keyed.select(id_col, *["row_key"] * with_key, "n_ngrams", "log_weight", "gumbel_key", kept.alias("kept"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The documents in the importance sample, all their columns and rows: weight and noise depend on id and
+    text alone, so rows without an id or with a repeated one are kept or go each by its own text."""
+    judged = importance_sample(docs, labels, id_col, text_col, with_key=True, **how)
+    return without_rows(docs, judged.filter("not kept").select("row_key").distinct(), id_col, text_col)

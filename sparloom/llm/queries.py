@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparloom.llm import decontaminate, disclosure, html_text, lz_fingerprint, mixing, quality, sharding, simhash, token_counts, token_files
-from sparloom.llm.common import cut, delete_path, shared_folder, table
+from sparloom.llm.common import delete_path, shared_folder, table
 
 SHARDS = tuple(f"shard-{i:03d}" for i in range(48))
 
@@ -63,7 +63,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"))
     try:
-        return cut(token_files.read_token_files(spark, path))
+        return token_files.read_token_files(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
     finally:
         delete_path(spark, path)
 

@@ -14,6 +14,7 @@ replicas of a fingerprint at t = 2, each 16 bytes.  Equal fingerprints are one e
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -23,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparloom.llm.common import MAX_BROADCAST_IDS, arrow_rows, cut, ship, text_of, without_ids
+from sparloom.llm.common import Scratch, arrow_rows, cut, few, row_key, ship, text_chunks, text_of, without_rows
 from sparloom.llm.graph import components
-from sparloom.llm.words import word_hashes
+from sparloom.llm.words import hashed_words, mixed
 
 #: Fixed values: (length, parity bits, generator polynomial) of two perfect cyclic codes; the plain bits.
 BLOCKS = ((23, 11, 0b101011100011), (23, 11, 0b101011100011), (15, 4, 0b10011), (3, 0, 1))
@@ -189,7 +190,9 @@ def fingerprint_links(distinct: DataFrame, threshold: int = 2) -> DataFrame:
 
     ship(distinct.sparkSession)
     at_home = distinct.select("fp").mapInArrow(home, "anchor long, a long")
-    placed = distinct.select("fp").mapInArrow(replicas, "anchor long, b long")
+    # the replicas are many times the rows: whatever few partitions the fingerprints are in, they are dealt out
+    dealt = distinct.select("fp").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    placed = dealt.mapInArrow(replicas, "anchor long, b long")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold
     # each link is met at both ends' homes; one direction is enough
     return placed.join(at_home, "anchor").filter((F.col("a") < F.col("b")) & near).select("a", "b")
@@ -207,16 +210,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a component.  Null ids stay null and take the smallest id of their component that isn't null (null if
     there is none).  Repeated rows each give a row.  Other columns are ignored.
     """
-    fps = cut(fingerprints(docs, id_col, text_col, shingle, seed))
-    # one row a fingerprint: groups of copies of any size shrink before anything else
-    distinct = cut(fps.groupBy("fp").agg(F.min(id_col).alias("first_id")))
-    links = cut(fingerprint_links(distinct, threshold))
-    roots = components(links)
-    known = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    smallest = known.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    degree = links.select(F.col("a").alias("fp")).union(links.select(F.col("b").alias("fp"))).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
-    classes = known.join(smallest, "root").join(degree, "fp", "left").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return fps.join(classes, "fp").select(id_col, "fp", "component_id", "n_links")
+    with Scratch(docs.sparkSession) as scratch:
+        fps = scratch.write(fingerprints(docs, id_col, text_col, shingle, seed))
+        # one row a fingerprint: groups of copies of any size shrink before anything else
+        distinct = scratch.write(fps.groupBy("fp").agg(F.min(id_col).alias("first_id")))
+        links = scratch.write(fingerprint_links(distinct, threshold))
+        roots = components(links, scratch)
+        known = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+        smallest = known.groupBy("root").agg(F.min("first_id").alias("component_id"))
+        degree = links.select(F.col("a").alias("fp")).union(links.select(F.col("b").alias("fp"))).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
+        classes = known.join(smallest, "root").join(degree, "fp", "left").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        return cut(fps.join(classes, "fp").select(id_col, "fp", "component_id", "n_links"))
 
 
 # ---- similar documents ---------------------------------------------------------------------------------
@@ -224,26 +228,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: Counters that shingles are counted in by hash: 4 MB a task and on the driver.  They only order the shingles
 #: from rare to frequent; any order gives the same pairs.  Bits of a set's parity map.
 COUNTERS, PIECES, PARITY = 1 << 20, 64, 1024
-#: Entries of a bin that are compared at a time.
-_BLOCK = 512
+#: Entries of a shingle's bin to a sub-bin in the first round, and to a block in the second.
+_SUB_BIN, _BLOCK = 20_000, 1024
 
 
-def _mixed(x: np.ndarray, a: int, b: int) -> np.ndarray:
-    """A 64-bit mix of whole numbers, one of a family."""
-    x = (x + np.uint64(b)) * np.uint64(a | 1)
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
-
-
-def shingle_set(words: np.ndarray, shingle: int) -> np.ndarray:
+def shingle_hashes(words: np.ndarray, shingle: int) -> np.ndarray:
     """The distinct hashes of a text's shingles in ascending order; a text of fewer words is one shingle."""
-    x = words.astype(np.uint64)
-    n = max(1, len(x) - shingle + 1)
+    n = max(1, len(words) - shingle + 1)
     h = np.zeros(n, np.uint64)
-    for i in range(min(shingle, len(x))):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + _mixed(x[i : i + n], 3, i)
-    return np.unique(_mixed(h, 5, len(x) if len(x) < shingle else 0))
+    for i in range(min(shingle, len(words))):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + words[i : i + n]
+    h = np.sort(mixed(h, 5, len(words) if len(words) < shingle else 0))
+    return h[np.concatenate(([True], h[1:] != h[:-1]))]
+
+
+def shingle_sets(texts: list[str], shingle: int) -> list[np.ndarray]:
+    """The set of each text, over words between ASCII white space, A-Z lower-cased."""
+    return [shingle_hashes(w, shingle) for w in hashed_words(texts, "plain")]
 
 
 def parity_map(hashes: np.ndarray) -> bytes:
@@ -269,15 +270,27 @@ def may_be_similar(n, i, m, j, similarity: float):
     return np.minimum(i, j) + np.minimum(n - i, m - j) >= shared_needed(n + m, similarity)
 
 
-def _whole_bins(batches: Iterable[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
-    """The columns of sorted batches, cut so that no value of the first column is in two pieces."""
+def _numpy(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """True at the first row and wherever one of the columns differs from the row before."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
+def _whole_bins(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[list[pa.Array]]:
+    """The columns of sorted batches, cut so that no bin, by the first ``keys`` columns, is in two pieces.  Bins
+    have a bounded size."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        h = batch.column(0).to_numpy(zero_copy_only=False)
-        at = int(np.searchsorted(h, h[-1]))  # the last bin may go on
-        if at or (held and held[-1].column(0)[0].as_py() != h[0]):
+        columns = [_numpy(batch.column(i)) for i in range(keys)]
+        at = int(np.flatnonzero(_changes(*columns))[-1])  # the last bin may go on
+        if at or (held and any(held[-1].column(i)[0].as_py() != c[0] for i, c in enumerate(columns))):
             held.append(batch.slice(0, at))
             yield [c.combine_chunks() for c in pa.Table.from_batches(held).columns]
             held = []
@@ -286,19 +299,18 @@ def _whole_bins(batches: Iterable[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         yield [c.combine_chunks() for c in pa.Table.from_batches(held).columns]
 
 
-def _numpy(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    return column.to_numpy(zero_copy_only=False)
+def _pairs(a: np.ndarray, b: np.ndarray) -> list[pa.Array]:
+    return [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))]
 
 
 def shingle_counts(texts: DataFrame, shingle: int) -> np.ndarray:
     """How many documents have shingles of each of COUNTERS hash values."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, total = word_hashes(only_words=False), np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                sets = [shingle_set(hashes.of(t), shingle) for t in batch.column(0).slice(at, 512).to_pylist()]
-                total += np.bincount((np.concatenate(sets) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        total = np.zeros(COUNTERS, np.int64)
+        for some in text_chunks(batches):
+            sets = shingle_sets(some.column(0).to_pylist(), shingle)
+            total += np.bincount((np.concatenate(sets) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
         for i, part in enumerate(np.split(total.astype("<u4"), PIECES)):
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()])], names=["piece", "counts"])
 
@@ -317,89 +329,101 @@ def shingle_counts(texts: DataFrame, shingle: int) -> np.ndarray:
     return out.ravel().clip(0, (1 << 32) - 1).astype(np.uint32)
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """One row per input row: id and ``component_id``, the smallest id of its group of similar documents.
+def _set_digest(members: np.ndarray) -> int:
+    return int.from_bytes(hashlib.sha256(members.tobytes()).digest()[:8], "little", signed=True)
 
-    Two documents are similar if their sets of word shingles agree in ``similarity`` or more (members shared,
-    of all members); groups are the components of this relation.  It is an exact join, by prefixes: in any
-    order common to all sets, similar sets meet in the first ``prefix_length`` shingles of each, and the order
-    goes from rare shingles to frequent ones, so that few others meet there.  The sets are compared whole.
 
-    Pairs are tried in two rounds.  In the first, each entry of a shingle's bin is tried with the bin's first
-    and with the one before; that joins copies, however many, in a number of pairs in proportion to the
-    entries.  In the second, all pairs of a bin's entries that aren't in one group yet are tried, but those
-    that sizes, places or parity maps rule out.  Texts with equal sets are one entry throughout.
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5, threshold: int = 1) -> DataFrame:
+    """One row per input row: id, ``row_key`` (its identity, see ``common.row_key``), ``component_id`` (the
+    smallest id of its group of similar documents) and ``kept_key`` (the row of that id; of several, the one with
+    the smallest row key).
 
-    Null and empty texts are similar to each other; null ids stay null and take the smallest id of their
-    group; repeated rows each give a row; an empty table gives none.
+    Two documents are similar if their sets of word shingles agree in ``similarity`` or more (members shared,
+    of all members); groups are the components of this relation, which is decided on the whole sets.
+
+    Pairs are tried in two rounds.  The first takes those whose SimHash fingerprints, over the same shingles,
+    differ in ``threshold`` bits or fewer, by the anchors that cover them, and tries each entry of a shingle's bin
+    with the bin's first and with the one before; that joins copies, however many, in a number of pairs in
+    proportion to the entries.  The second makes the whole exact, which no fingerprint is: in any order common
+    to all sets similar sets meet in the first ``prefix_length`` shingles of each, the order goes from rare
+    shingles to frequent ones so that few others meet there, and all pairs that meet are tried unless they are
+    in one group already or their sizes, places or parity maps rule them out.  Bins of frequent shingles are
+    dealt out: in sub-bins whose first entries meet again, then in pairs of blocks.
+
+    Texts with equal sets are one entry throughout.  Null and empty texts are similar to each other; null ids
+    stay null and take the smallest id of their group; repeated rows each give a row; an empty table gives none.
     """
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col), text_of(text_col).alias("t"))
-    counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(texts.select("t"), shingle))
+    texts = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("row_key"), text_of(text_col).alias("t"))
+    counts = spark.sparkContext.broadcast(shingle_counts(texts.select("t"), shingle))  # COUNTERS numbers
 
-    def described(text: str) -> tuple[int, np.ndarray]:
-        import hashlib
-
-        members = shingle_set(word_hashes(only_words=False).of(text), shingle)
-        return int.from_bytes(hashlib.sha256(members.tobytes()).digest()[:8], "little", signed=True), members
-
-    def describe(rows: Iterable[tuple]) -> Iterator[tuple]:
+    def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = counts.value
-        for key, text in rows:
-            same, members = described(text)
-            order = np.argsort(frequent[members & np.uint64(COUNTERS - 1)], kind="stable")
-            first = members[order[: int(prefix_length(np.array(len(members)), similarity))]]
-            yield key, same, len(members), first.tobytes(), parity_map(members)
+        for some in text_chunks(batches):
+            same, fps, sizes, first, parity = [], [], [], [], []
+            for members in shingle_sets(some.column(2).to_pylist(), shingle):
+                order = np.argsort(frequent[members & np.uint64(COUNTERS - 1)], kind="stable")
+                same.append(_set_digest(members))
+                fps.append(_signed(majority(members)))
+                sizes.append(len(members))
+                first.append(members[order[: int(prefix_length(np.array(len(members)), similarity))]].tobytes())
+                parity.append(parity_map(members))
+            made = [pa.array(same, pa.int64()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(first, pa.binary()), pa.array(parity, pa.binary())]
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *made], names=["id", "row_key", "same", "fp", "n", "first", "parity"])
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = counts.value
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 raw = part.column(2).to_pylist()
                 sizes = np.array([len(x) // 8 for x in raw])
                 pos = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                cols = [np.frombuffer(b"".join(raw), "<i8"), np.repeat(_numpy(part.column(0)), sizes), np.repeat(_numpy(part.column(1)), sizes), pos.astype(np.int32)]
+                h, node = np.frombuffer(b"".join(raw), "<i8"), np.repeat(_numpy(part.column(0)), sizes)
+                subs = frequent[h.view(np.uint64) & np.uint64(COUNTERS - 1)] // _SUB_BIN + 1
+                sub = np.where(subs > 1, (mixed(node.view(np.uint64), 7) % subs).astype(np.int32), -1)
+                cols = [h, sub.astype(np.int32), node, np.repeat(_numpy(part.column(1)), sizes), pos.astype(np.int32)]
                 for i in range(0, len(pos), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in cols], names=["h", "node", "n", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in cols], names=["h", "sub", "node", "n", "pos"])
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs as (0, a, b, 0, 0); entries of bins with pairs left, as (h, node, null, n, pos)."""
-        for h, node, n, pos in (map(_numpy, piece) for piece in _whole_bins(batches)):
+        """Pairs as (0, 0, a, b, 0, 0); entries of bins with pairs left, as (h, what, node, null, n, pos), where
+        ``what`` is 2 for the first entries of sub-bins."""
+        for h, sub, node, n, pos in (map(_numpy, piece) for piece in _whole_bins(batches, 2)):
             k = np.arange(len(h))
-            new = np.concatenate(([True], h[1:] != h[:-1]))
+            new = _changes(h, sub)
             first = np.maximum.accumulate(np.where(new, k, 0))
             x = np.concatenate((k[~new] - 1, first[k - first >= 2]))
             y = np.concatenate((k[~new], k[k - first >= 2]))
             ok = may_be_similar(n[x], pos[x], n[y], pos[y], similarity)
             a, b = node[x[ok]], node[y[ok]]
-            out = [np.zeros(len(a), np.int64), np.minimum(a, b), np.maximum(a, b), np.zeros(len(a), np.int32), np.zeros(len(a), np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["h", "a", "b", "n", "pos"])
-            size = np.bincount(first, minlength=len(h))[first]
-            big = size > 3
-            yield pa.RecordBatch.from_arrays([pa.array(h[big]), pa.array(node[big]), pa.nulls(int(big.sum()), pa.int64()), pa.array(n[big]), pa.array(pos[big])], names=["h", "a", "b", "n", "pos"])
+            none = pa.array(np.zeros(len(a), np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), np.int64)), none, *_pairs(a, b), none, none], names=["h", "what", "a", "b", "n", "pos"])
+            left = (np.bincount(first, minlength=len(h))[first] > 3) | (sub >= 0)
+            what = np.where(new & (sub >= 0), 2, 1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(h[left]), pa.array(what[left]), pa.array(node[left]), pa.nulls(int(left.sum()), pa.int64()), pa.array(n[left]), pa.array(pos[left])], names=["h", "what", "a", "b", "n", "pos"])
 
     def rest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in _whole_bins(batches):
-            h, node, n, pos, root = map(_numpy, piece[:5])
-            maps = np.frombuffer(b"".join(piece[5].to_pylist()), np.uint64).reshape(len(h), -1)
-            starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        """Pairs of different groups within a bin, or across the two blocks ``u`` and ``v`` of one."""
+        for piece in _whole_bins(batches, 3):
+            h, u, v, block, node, n, pos, root = map(_numpy, piece[:8])
+            maps = np.frombuffer(b"".join(piece[8].to_pylist()), np.uint64).reshape(len(h), -1)
+            starts = np.flatnonzero(_changes(h, u, v))
             for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(h)], strict=True):
-                if (root[lo:hi] == root[lo]).all():
-                    continue
-                for at in range(lo, hi, _BLOCK):
-                    x = np.arange(at, min(at + _BLOCK, hi))
-                    for to in range(at, hi, _BLOCK):
-                        y = np.arange(to, min(to + _BLOCK, hi))
-                        ok = (y[None, :] > x[:, None]) & (root[x][:, None] != root[y][None, :])
-                        i, j = np.nonzero(ok & may_be_similar(n[x][:, None], pos[x][:, None], n[y][None, :], pos[y][None, :], similarity))
-                        i, j = x[i], y[j]
-                        for s in range(0, len(i), 1 << 14):
-                            u, v = i[s : s + (1 << 14)], j[s : s + (1 << 14)]
-                            differ = np.bitwise_count(maps[u] ^ maps[v]).sum(axis=1)
-                            ok = differ <= n[u] + n[v] - 2 * shared_needed(n[u] + n[v], similarity)
-                            a, b = node[u[ok]], node[v[ok]]
-                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                for at in range(lo, hi, 256):
+                    x, y = np.arange(at, min(at + 256, hi)), np.arange(at, hi)
+                    ok = (y[None, :] > x[:, None]) & (root[x][:, None] != root[y][None, :])
+                    if u[lo] != v[lo]:
+                        ok &= block[x][:, None] != block[y][None, :]
+                    i, j = np.nonzero(ok & may_be_similar(n[x][:, None], pos[x][:, None], n[y][None, :], pos[y][None, :], similarity))
+                    i, j = x[i], y[j]
+                    for s in range(0, len(i), 1 << 14):
+                        p, q = i[s : s + (1 << 14)], j[s : s + (1 << 14)]
+                        differ = np.bitwise_count(maps[p] ^ maps[q]).sum(axis=1)
+                        ok = differ <= n[p] + n[q] - 2 * shared_needed(n[p] + n[q], similarity)
+                        yield pa.RecordBatch.from_arrays(_pairs(node[p[ok]], node[q[ok]]), names=["a", "b"])
 
     def loosely(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -409,57 +433,80 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in batch.columns[:2]], names=["a", "b"])
 
     def members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                same, sets = zip(*map(described, batch.column(0).slice(at, 256).to_pylist()), strict=True)
-                ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(same, pa.int64()), lists], names=["same", "members"])
+        for some in text_chunks(batches):
+            sets = shingle_sets(some.column(0).to_pylist(), shingle)
+            ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([_set_digest(s) for s in sets], pa.int64()), lists], names=["same", "members"])
 
     def similar(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs whose whole sets are similar, out of those that their parity maps leave.  Only the
-        texts of one id an entry are read again, and those without an id."""
+        """Those of the pairs whose whole sets are similar, out of those that their parity maps leave.  Only one
+        text an entry is read again."""
         maps = distinct.select("same", "n", "parity")
         mapped = pairs.join(maps.toDF("a", "n", "x"), "a").join(maps.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
-        pairs = cut(mapped.mapInArrow(loosely, "a long, b long"))
-        wanted = cut(pairs.select(F.col("a").alias("same")).union(pairs.select("b")).distinct())
-        ids = distinct.join(wanted, "same").select("first_id").filter("first_id is not null").distinct()
-        if wanted.count() <= MAX_BROADCAST_IDS:
-            ids = F.broadcast(ids)
-        few = texts.join(ids, F.col(id_col) == F.col("first_id"), "left_semi").union(texts.filter(F.col(id_col).isNull()))
-        every = few.select("t").mapInArrow(members, "same long, members array<long>")
-        sets = every.join(wanted, "same", "left_semi").groupBy("same").agg(F.first("members").alias("members"))
-        both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+        close = scratch.write(mapped.mapInArrow(loosely, "a long, b long"))
+        wanted = scratch.write(close.select(F.col("a").alias("same")).union(close.select("b")).distinct())
+        keys = scratch.write(distinct.join(few(wanted), "same", "left_semi").select(F.col("first_key").alias("row_key")))
+        every = texts.join(few(keys), "row_key", "left_semi").select("t").mapInArrow(members, "same long, members array<long>")
+        sets = every.dropDuplicates(["same"])
+        both = close.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
         shared = F.size(F.array_intersect("x", "y"))
-        return both.filter(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
-
-    rows = cut(arrow_rows(texts, describe, f"`{id_col}` {kind}, same long, n int, first binary, parity binary"))
-    distinct = cut(rows.groupBy("same").agg(F.min(id_col).alias("first_id"), *[F.first(c).alias(c) for c in ("n", "first", "parity")]))
-    placed = distinct.select("same", "n", "first").mapInArrow(place, "h long, node long, n int, pos int")
-    # bins in order of size, then of the nodes' numbers, which are digests: the same on every run
-    binned = placed.repartition("h").sortWithinPartitions("h", "n", "node")
-    met = cut(binned.mapInArrow(meet, "h long, a long, b long, n int, pos int"))
-    links = cut(similar(met.filter("b is not null").select("a", "b").distinct()))
-    roots = components(links)
-    state = distinct.join(roots, distinct["same"] == roots["node"], "left").select("same", F.coalesce("root", "same").alias("root"), "parity")
-    left = met.filter("b is null").join(state, F.col("a") == F.col("same")).select("h", "a", "n", "pos", "root", "parity")
-    more = left.repartition("h").sortWithinPartitions("h", "n", "a").mapInArrow(rest, "a long, b long")
-    found = cut(similar(more.distinct()))
-    if not found.isEmpty():
-        # the groups of the first round, and what joins them
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
-    known = distinct.join(roots, distinct["same"] == roots["node"], "left").select("same", "first_id", F.coalesce("root", "same").alias("root"))
-    smallest = known.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = known.join(smallest, "root").select("same", "component_id")
-    return rows.select(id_col, "same").join(classes, "same").select(id_col, "component_id")
+        links = scratch.write(both.filter(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b"))
+        scratch.drop(close, wanted, keys)
+        return links
+
+    with Scratch(spark) as scratch:
+        rows = scratch.write(texts.mapInArrow(describe, f"id {kind}, row_key binary, same long, fp long, n int, first binary, parity binary"))
+        named = rows.groupBy("same").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "row_key")).alias("r"), F.min("row_key").alias("first_key"), *[F.first(c).alias(c) for c in ("fp", "n", "first", "parity")])
+        distinct = scratch.write(named)
+        ids = scratch.write(rows.select("id", "row_key", "same"))
+        scratch.drop(rows)
+        by_fp = distinct.groupBy("fp").agg(F.min("same").alias("node"))
+        one_fp = distinct.join(by_fp, "fp").filter("node < same").select(F.col("node").alias("a"), F.col("same").alias("b"))
+        linked = fingerprint_links(by_fp.select("fp"), threshold)
+        near_fp = linked.join(by_fp.toDF("a", "x"), "a").join(by_fp.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        placed = distinct.select("same", "n", "first").mapInArrow(place, "h long, sub int, node long, n int, pos int")
+        # bins in order of size, then of the nodes' numbers, which are digests: the same on every run
+        met_schema = "h long, what int, a long, b long, n int, pos int"
+        met = scratch.write(placed.repartition("h", "sub").sortWithinPartitions("h", "sub", "n", "node").mapInArrow(meet, met_schema))
+        leading = met.filter("what = 2").select("h", F.lit(-1).alias("sub"), F.col("a").alias("node"), "n", "pos")
+        led = leading.repartition("h").sortWithinPartitions("h", "n", "node").mapInArrow(meet, met_schema).filter("b is not null")
+        links = similar(met.filter("b is not null").select("a", "b").union(led.select("a", "b")).union(one_fp).union(near_fp).distinct())
+        roots = components(links, scratch)
+        state = distinct.join(roots, distinct["same"] == roots["node"], "left").select("same", F.coalesce("root", "same").alias("root"), "parity")
+        left = scratch.write(met.filter("b is null").join(state.drop("parity"), F.col("a") == F.col("same")).select("h", "a", "n", "pos", "root"))
+        scratch.drop(met)
+        several = left.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo != hi").select("h", F.ceil(F.col("size") / _BLOCK).cast("int").alias("blocks"))
+        open_ = scratch.write(left.join(several, "h"))
+        mine = F.pmod(F.xxhash64("a", "h"), F.col("blocks")).cast("int").alias("block")
+        dealt = open_.select("*", mine).join(state.select(F.col("same").alias("a"), "parity"), "a").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        units = dealt.select("h", F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"), "block", "a", "n", "pos", "root", "parity")
+        more = units.repartition("h", "u", "v").sortWithinPartitions("h", "u", "v", "n", "a").mapInArrow(rest, "a long, b long")
+        found = similar(more.distinct())
+        scratch.drop(left, open_)
+        if not found.isEmpty():
+            # the groups of the first round, and what joins them
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found), scratch)
+        known = distinct.join(roots, distinct["same"] == roots["node"], "left").select("same", "r", F.coalesce("root", "same").alias("root"))
+        smallest = known.groupBy("root").agg(F.min("r").alias("r"))
+        classes = known.select("same", "root").join(smallest, "root").select("same", F.col("r.id").alias("component_id"), F.col("r.row_key").alias("kept_key"))
+        return cut(ids.join(classes, "same").select(F.col("id").alias(id_col), "row_key", "component_id", "kept_key"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """``docs`` without near duplicates: of each group of similar documents the rows with its smallest id
-    stay, the others go.  Rows without an id stay, since there is nothing to tell them apart by.  Columns are
-    those of ``docs``."""
+    """``docs`` without near duplicates: of each group of similar documents one row stays, the one with the
+    smallest id (rows without an id only where no row of the group has one; then the smallest row key).  Of rows
+    equal in id and text one stays, the smallest as JSON.  Columns are those of ``docs``."""
     marks = similar_groups(docs, id_col, text_col, similarity, shingle)
-    return without_ids(docs, marks.filter(F.col(id_col) != F.col("component_id")).select(id_col), id_col)
+    kept = without_rows(docs, marks.filter("row_key != kept_key").select("row_key").distinct(), id_col, text_col)
+    twice = cut(marks.filter("row_key = kept_key").groupBy("row_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("row_key").alias("_twice")))
+    if twice.isEmpty():
+        return kept
+    single = without_rows(kept, twice, id_col, text_col)
+    repeated = kept.withColumn("_key", row_key(id_col, text_col)).join(few(twice), F.col("_key") == F.col("_twice"), "left_semi")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = repeated.groupBy("_key").agg(F.min_by(whole, F.to_json(whole)).alias("r")).select("r.*")
+    return single.unionByName(once)
 
 
 def as_hex(fp: str = "fp"):

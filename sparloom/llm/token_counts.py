@@ -18,11 +18,11 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparloom.llm.common import arrow_rows, text_of
+from sparloom.llm.common import arrow_rows, kept_by_worker, text_of
 
 SPACE = "▁"
 #: Segments kept by a worker; further ones are counted anew, so memory stays bounded and counts stay whole.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 700_000
 #: Longer segments are not worth a cache entry.
 CACHE_LENGTH = 48
 
@@ -92,11 +92,10 @@ class CountingModel:
         if not (self.splits_words and self.splits_lines) or text[0] == " " or "  " in text or SPACE in text:
             return self._count_runs(text)
         words = text.replace("\n", " \n").split(" ")
-        kept = self.kept
-        try:
-            return sum([kept[w] for w in words])
-        except KeyError:
-            return sum(map(self._word, words))
+        found = list(map(self.kept.get, words))
+        if None in found:
+            found = [self._word(w) if n is None else n for w, n in zip(words, found, strict=True)]
+        return sum(found)
 
     def _count_runs(self, text: str) -> int:
         """Texts with runs of spaces: segments end where a character precedes a space mark, or whole."""
@@ -111,14 +110,9 @@ class CountingModel:
         return total + self.whole(marked[start:])
 
 
-_MODELS: dict[str, CountingModel] = {}
-
-
 def model(path: str) -> CountingModel:
-    """One model a worker process."""
-    if path not in _MODELS:
-        _MODELS[path] = CountingModel(path)
-    return _MODELS[path]
+    """The model of a worker process."""
+    return kept_by_worker(f"counting model {path}", lambda: CountingModel(path))
 
 
 def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparloom.llm.common import arrow_rows, cut, range_bounds, text_of
+from sparloom.llm.common import Scratch, arrow_rows, cut, kept_by_worker, range_bounds, range_count, text_of
 
 MAGIC = b"PFR1"
 BLOCK = 1024
@@ -81,12 +81,29 @@ def pack_blocks(ids: np.ndarray) -> tuple[np.ndarray, bytes]:
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
-    """Rows of BLOCK values, each in ``width`` bits, low bit first."""
-    if width == 0:
-        return np.zeros((len(values), 0), np.uint8)
-    raw = np.ascontiguousarray(values.astype("<u4")).view(np.uint8).reshape(len(values), BLOCK, 4)
-    bits = np.unpackbits(raw[:, :, : (width + 7) // 8], axis=2, bitorder="little")[:, :, :width]
-    return np.packbits(bits.reshape(len(values), BLOCK * width), axis=1, bitorder="little")
+    """Rows of BLOCK values, each in its lowest ``width`` bits, low bit first: eight values fill ``width`` bytes,
+    and each byte is put together from the values that reach into it."""
+    eights = (values.astype(np.uint64) & np.uint64((1 << width) - 1)).reshape(len(values), BLOCK // 8, 8)
+    out = np.empty((len(values), BLOCK // 8, width), np.uint8)
+    for j in range(width):
+        byte = np.zeros(eights.shape[:2], np.uint64)
+        for k in range(8 * j // width, (8 * j + 7) // width + 1):
+            shift = 8 * j - k * width
+            byte |= eights[:, :, k] >> np.uint64(shift) if shift >= 0 else eights[:, :, k] << np.uint64(-shift)
+        out[:, :, j] = byte.astype(np.uint8)
+    return out.reshape(len(values), BLOCK * width // 8)
+
+
+def _unpack(raw: np.ndarray, width: int) -> np.ndarray:
+    eights = raw.reshape(len(raw), BLOCK // 8, width)
+    out = np.empty((len(raw), BLOCK // 8, 8), np.uint64)
+    for k in range(8):
+        first = k * width >> 3
+        value = eights[:, :, first].astype(np.uint64)
+        for j in range(first + 1, ((k + 1) * width - 1 >> 3) + 1):
+            value |= eights[:, :, j].astype(np.uint64) << np.uint64(8 * (j - first))
+        out[:, :, k] = value >> np.uint64(k * width & 7) & np.uint64((1 << width) - 1)
+    return out.reshape(len(raw), BLOCK)
 
 
 def unpack_blocks(starts: np.ndarray, payload: bytes) -> np.ndarray:
@@ -100,10 +117,7 @@ def unpack_blocks(starts: np.ndarray, payload: bytes) -> np.ndarray:
     for w, rows in by_width.items():
         if w:
             raw = np.stack([data[int(starts[b]) + HEAD : int(starts[b]) + HEAD + BLOCK * w // 8] for b in rows])
-            bits = np.unpackbits(raw, axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
-            wide = np.zeros((len(rows), BLOCK, 4), np.uint8)
-            wide[:, :, : (w + 7) // 8] = np.packbits(bits, axis=2, bitorder="little")
-            out[rows] = wide.view("<u4").reshape(len(rows), BLOCK)
+            out[rows] = _unpack(raw, w)
     for b, (_, w, _, over, _) in enumerate(heads):
         if over:
             at = int(starts[b]) + HEAD + BLOCK * w // 8
@@ -156,7 +170,7 @@ class WordEncoder:
     """
 
     ODD = [chr(c) for c in (0, 9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
-    ENTRIES = 1_000_000
+    ENTRIES = 700_000  # some 140 MB
     LENGTH = 48
 
     def __init__(self, path: str):
@@ -223,14 +237,9 @@ class WordEncoder:
         return fresh
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    """One encoder a worker process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    """The encoder of a worker process."""
+    return kept_by_worker(f"encoder {path}", lambda: WordEncoder(path))
 
 
 def _chunks(rows: Iterable[tuple], size: int = 512, chars: int = 4 << 20) -> Iterator[list[tuple]]:
@@ -249,32 +258,33 @@ def _chunks(rows: Iterable[tuple], size: int = 512, chars: int = 4 << 20) -> Ite
 # ---- operator ------------------------------------------------------------------------------------------
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encode every text, end each with ``end_id`` and write the identifiers to ``path`` in id order.
+def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", by_id: bool = True) -> None:
+    """Encode every text, end each with ``end_id`` and write the identifiers to ``path``, in id order or
+    (``by_id=False``) in the order in which the rows come, without a shuffle.
 
-    Texts are encoded where they are read; only zstd-compressed identifiers are shuffled, to ranges of
-    ids, and sorted by (id, text digest), so repeated ids have a defined order too (null ids come first, equal
-    rows in any order, which no reader can tell apart).  Null and empty texts give the end id alone.  An
-    empty table gives an empty folder.
+    Texts are encoded where they are read; only 16-bit identifiers (32-bit where they don't fit) are shuffled, to
+    ranges of ids, and sorted by (id, text digest), so repeated ids have a defined order too (null ids come
+    first, equal rows in any order, which no reader can tell apart).  Null and empty texts give the end id alone.
+    An empty table gives an empty folder.
     """
-    import zstandard
-
     if docs.schema[id_col].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
         raise TypeError(f"{id_col} must be a whole number")
+    end = struct.pack("<I", end_id)
 
-    def encode(rows: Iterable[tuple]) -> Iterator[tuple]:
-        coder, squeeze = encoder(tokenizer_path), zstandard.ZstdCompressor(level=1)
-        end = struct.pack("<I", end_id)
+    def encoded(rows: Iterable[tuple]) -> Iterator[tuple]:
+        coder = encoder(tokenizer_path)
         for some in _chunks(rows):
-            for (key, tie, _), ids in zip(some, coder.encode_many([r[-1] for r in some]), strict=True):
-                yield (0 if key is None else bisect.bisect_left(bounds, key)), key, tie, squeeze.compress(_narrow(ids + end))
+            for row, ids in zip(some, coder.encode_many([r[-1] for r in some]), strict=True):
+                yield *row[:-1], ids + end
+
+    def encode(rows: Iterable[tuple]) -> Iterator[tuple]:
+        for key, tie, ids in encoded(rows):
+            yield (0 if key is None else bisect.bisect_left(bounds, key)), key, tie, _narrow(ids)
 
-    def segments(rows: Iterable[tuple]) -> Iterator[tuple]:
-        loosen = zstandard.ZstdDecompressor()
+    def segments(docs: Iterable[tuple[int | None, np.ndarray]]) -> Iterator[tuple]:
         held: list[tuple[int | None, np.ndarray]] = []
         n = 0
-        for key, _, squeezed in rows:
-            ids = _widen(loosen.decompress(squeezed))
+        for key, ids in docs:
             held.append((key, ids))
             n += len(ids)
             if n >= SEGMENT_IDS:
@@ -283,14 +293,16 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         if held:
             yield (pack_segment(held),)
 
-    spark = docs.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = range_bounds(docs, id_col, ranges)
-    read = docs.select(F.col(id_col).cast("long").alias("k"), F.sha2(text_of(text_col), 256).substr(1, 16).alias("tie"), text_of(text_col).alias("t"))
-    coded = arrow_rows(read, encode, "at int, k long, tie string, z binary")
-    ordered = coded.repartitionById(len(bounds) + 1, F.col("at")).sortWithinPartitions(F.col("k").asc_nulls_first(), "tie").select("k", "tie", "z")
+    key, text = F.col(id_col).cast("long").alias("k"), text_of(text_col)
+    if by_id:
+        bounds = range_bounds(docs, id_col, range_count(docs))
+        coded = arrow_rows(docs.select(key, F.unhex(F.substring(F.sha2(text, 256), 1, 16)).alias("tie"), text.alias("t")), encode, "at int, k long, tie binary, z binary")
+        ordered = coded.repartitionById(len(bounds) + 1, F.col("at")).sortWithinPartitions(F.col("k").asc_nulls_first(), "tie").select("k", "z")
+        packed = arrow_rows(ordered, lambda rows: segments((k, _widen(z)) for k, z in rows), "s binary")
+    else:
+        packed = arrow_rows(docs.select(key, text.alias("t")), lambda rows: segments((k, np.frombuffer(ids, "<u4")) for k, ids in encoded(rows)), "s binary")
     # the text writer puts a string's bytes out as they are and a newline after each
-    files = arrow_rows(ordered, segments, "s binary").select(F.col("s").cast("string").alias("value"))
+    files = packed.select(F.col("s").cast("string").alias("value"))
     files.write.option("maxRecordsPerFile", SEGMENTS_PER_FILE).option("compression", "none").mode("overwrite").text(path)
 
 
@@ -306,25 +318,27 @@ def _widen(data: bytes) -> np.ndarray:
 
 def read_token_files(spark: SparkSession, path: str, id_name: str = "doc_id") -> DataFrame:
     """What the files hold, a row a document: id, ``start`` (identifiers of all documents before it),
-    ``n_tokens``, ``ids_crc32`` (over the identifiers as little-endian 32-bit integers)."""
+    ``n_tokens``, ``ids_crc32`` (over the identifiers as little-endian 32-bit integers), ``file`` (path of its
+    file below ``path``) and ``first`` (its first identifier's place among the file's)."""
 
     def decode(rows: Iterable[tuple]) -> Iterator[tuple]:
         for name, content in rows:
             part, piece = _file_order(name)
             done = 0
             for key, ids in unpack_file(content):
-                yield part, piece, key, done, len(ids), zlib.crc32(ids.astype("<u4").tobytes())
+                yield part, piece, key, done, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), name.rsplit("/", 1)[-1]
                 done += len(ids)
 
     stored = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    docs = cut(arrow_rows(stored, decode, f"part long, piece long, `{id_name}` long, inner long, n_tokens long, ids_crc32 long", chunk=4))
-    # one row a file: a running sum within groups of files, then one over the groups' totals
-    per_file = docs.groupBy("part", "piece").agg(F.sum("n_tokens").alias("n"))
-    per_part = per_file.groupBy("part").agg(F.sum("n").alias("n"))
-    before_part = per_part.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_part"))
-    before_file = per_file.select("part", "piece", F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_file"))
-    starts = before_file.join(before_part, "part")
-    return docs.join(starts, ["part", "piece"]).select(id_name, (F.col("before_part") + F.col("before_file") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
+    with Scratch(spark) as scratch:
+        docs = scratch.write(arrow_rows(stored, decode, f"part long, piece long, `{id_name}` long, first long, n_tokens long, ids_crc32 long, file string", chunk=4096))
+        # one row a file: a running sum within a part's files, then one over the parts' totals
+        per_file = docs.groupBy("part", "piece").agg(F.sum("n_tokens").alias("n"))
+        per_part = per_file.groupBy("part").agg(F.sum("n").alias("n"))
+        before_part = per_part.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_part"))
+        before_file = per_file.select("part", "piece", F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_file"))
+        starts = before_file.join(before_part, "part")
+        return cut(docs.join(starts, ["part", "piece"]).select(id_name, (F.col("before_part") + F.col("before_file") + F.col("first")).alias("start"), "n_tokens", "ids_crc32", "file", "first"))
 
 
 def _file_order(path: str) -> tuple[int, int]:

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 
@@ -46,19 +47,19 @@ def corpus():
 
 
 def brute(docs, items, rules):
-    """All places of all documents, without any retrieval."""
-    words = d.word_hashes(only_words=True)
+    """All places of all documents, by words as they are, without any retrieval."""
+    split = lambda t: re.findall(r"\w+", t.lower())
     out = set()
     for k, t in docs:
-        h = words.of(t or "")
+        h = split(t or "")
         for i, x in items:
-            a, answer = words.of(x), words.of(d.answer_of(x))
+            a, answer = split(x), split(re.split(r"(?<=[.?!])\s+", x)[-1])
             for begin in range(-rules.slack, len(h)):
                 there = h[max(0, begin - rules.slack) : max(0, begin + len(a) + rules.slack)]
-                if len(np.intersect1d(a, there)) < rules.paraphrase * len(set(a.tolist())) * 0.8:
+                if len(set(a) & set(there)) < rules.paraphrase * len(set(a)) * 0.8:
                     continue
-                share = d.lcs(a, there) / len(a)
-                if share >= rules.verbatim or (share >= rules.paraphrase and d.lcs(answer, there) / len(answer) >= rules.answer):
+                share = brute_lcs(a, there) / len(a)
+                if share >= rules.verbatim or (share >= rules.paraphrase and brute_lcs(answer, there) / len(answer) >= rules.answer):
                     out.add((k, i))
                     break
     return out
@@ -75,6 +76,19 @@ def test_leaks_equal_brute_force(spark):
     assert got == want
     kept = {r.doc_id for r in d.without_leaks(frame, bench).collect()}
     assert kept == {k for k, _ in docs} - {k for k, _ in planted} | {900, 901, 902}
+    # rows of one id, and without one, go each by its own text
+    twice = spark.createDataFrame([(1, docs[0][1]), (1, "clean text"), (None, docs[0][1]), (None, "more clean text")], "doc_id long, text string")
+    assert sorted(r.text for r in d.without_leaks(twice.unionByName(frame.select("doc_id", "text")), bench).filter("doc_id = 1 OR doc_id IS NULL").collect()) == sorted(["clean text", "more clean text", *[t for k, t in docs if k == 1]])
+
+
+def test_items_in_batches(spark, monkeypatch):
+    docs, items, planted = corpus()
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {tuple(r) for r in d.find_leaks(frame, bench).collect()}
+    monkeypatch.setattr(d, "BATCH_BYTES", 8000)
+    assert len(list(d._batches(bench, "item_id", "text"))) > 2
+    assert {tuple(r) for r in d.find_leaks(frame, bench).collect()} == want
 
 
 def test_empty(spark):

@@ -27,12 +27,12 @@ def test_models_equal_brute_force(spark):
     raw, target = quality.count_models(docs, {2}, "doc_id", "text")
     want = np.zeros(quality.BUCKETS)
     for _, t in rows:
-        np.add.at(want, quality.ngram_buckets(t or ""), 1)
+        np.add.at(want, quality.text_buckets([t or ""])[0], 1)
     assert (raw == want).all() and raw.sum() == 12 and target.sum() == 6
 
 
 def brute_weight(text, raw, target, ours):
-    found = quality.ngram_buckets(text).tolist()
+    found = quality.text_buckets([text])[0].tolist()
     total, buckets = 0.0, quality.BUCKETS
     for b in found:
         own = found.count(b)
@@ -58,6 +58,26 @@ def test_sample_equals_brute_force(spark):
     assert quality.importance_sample(docs, labels, k=0).filter("kept").count() == 0
 
 
+def test_ngrams_are_those_of_the_text():
+    """By words as they are: as many n-grams as the text has, equal ones in one bucket."""
+    b = quality.text_buckets(["One two, one TWO x x x"])[0]
+    parts = ["one", "two", ",", "one", "CAPITALS", "two", "x", "AGAIN", "AGAIN"]
+    assert len(b) == 9 + 8 + 7
+    for i in range(9):
+        for j in range(9):
+            assert (b[i] == b[j]) == (parts[i] == parts[j])
+    assert b[9 + 7] != b[9 + 6] and len(set(b[9:17].tolist())) == 8
+    assert len(set(b[17:].tolist())) == 7
+
+
+def test_filter_keeps_rows_without_an_id(spark):
+    rows = [(i, f"plain words number {i % 9} here") for i in range(60)] + [(60 + i, "### !!! %%% " * 3) for i in range(20)] + [(None, "plain words number 3 here"), (None, "### !!! %%% " * 3), (61, "plain words number 4 here"), (5, "plain words number 5 here")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, row_key string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i < 60), 0) for i in range(0, 80, 2)], "doc_id long, quality int, toxic int")
+    got = quality.keep_good(docs, labels, smoothing=0.01).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in got) == sorted((i is None, i or 0, t) for i, t in rows if "words" in t)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")

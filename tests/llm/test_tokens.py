@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -86,6 +87,24 @@ def test_files_round_trip(spark, tmp_path):
     assert {r.doc_id: r.ids for r in token_files.read_token_ids(spark, path).filter("doc_id = 7").collect()} == {7: [*lib.encode(ODD[1], add_special_tokens=False).ids, 0]}
 
 
+def test_files_in_the_order_of_the_rows(spark, tmp_path):
+    rows = [(900 - i, t, "clash", i) for i, t in enumerate(ODD)] + [(900, ODD[0], None, 1), (None, None, None, None)]
+    path = "file://" + str(tmp_path / "ids")
+    token_files.write_token_files(_docs(spark, rows).coalesce(1), path, BYTES, by_id=False)
+    got = token_files.read_token_files(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [r[0] for r in rows]
+    assert {r.file for r in got} == {f.name for f in (tmp_path / "ids").glob("part-*")} and [r.first for r in got] == [r.start for r in got]
+
+
+@pytest.mark.parametrize("width", range(1, 33))
+def test_widths_round_trip(width):
+    values = np.random.default_rng(width).integers(0, 1 << width, (3, token_files.BLOCK), dtype=np.uint64)
+    packed = token_files._pack(values.astype(np.uint32), width)
+    bits = "".join(format(int(v), f"0{width}b")[::-1] for v in values[0])
+    assert packed[0].tobytes() == bytes(int(bits[i : i + 8][::-1], 2) for i in range(0, len(bits), 8))
+    assert (token_files._unpack(packed, width) == values).all()
+
+
 def test_files_of_an_empty_table(spark, tmp_path):
     path = "file://" + str(tmp_path / "none")
     token_files.write_token_files(_docs(spark, []), path, BYTES)
