@@ -2,8 +2,7 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run`` writes each result as Parquet in
 the shared folder and rereads it as the next stage's documents.  All stages but the last return the columns
-of ``documents``.  Rows that a filter drops are found by id; the list of dropped ids is broadcast only up to
-a counted size.
+of ``documents``.  Filters tell rows apart by a digest of id and text, so null and repeated ids lose no row.
 """
 
 from __future__ import annotations
@@ -11,42 +10,43 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sparloom.llm import decontaminate, mixing, quality, simhash, token_files
-from sparloom.llm.common import cut, delete_path, shared_folder, table, without_ids
+from sparloom.llm.common import delete_path, path_exists, shared_folder, table
 from sparloom.llm.queries import tokenizer_path
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents outside the importance sample go."""
-    judged = quality.importance_sample(docs, table(spark, sf_dir, "labels"))
-    return without_ids(docs, judged.filter("not kept").select("doc_id"), "doc_id")
+    """Documents outside the importance sample go, rows without an id or with a repeated one each by its text.
+    Null and empty texts have weight 0 and are judged by it.  An empty table stays empty."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the smallest id."""
+    """One document of each near-duplicate group stays, the one with the smallest id; null and empty texts are
+    one group.  Rows without an id are members like others and stay only in groups without any id."""
     return simhash.keep_one(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents into which a benchmark item leaks go."""
+    """Documents into which a benchmark item leaks go, rows without an id or with a repeated one each by its
+    text.  Null and empty texts stay."""
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeat by their source's rate, in a global random order; copies keep their id."""
+    """Documents repeat by their source's rate, in a global random order; copies keep their id.  A null source is
+    one of its own; null ids draw alike."""
     return mixing.mix_sources(docs).select(docs.columns)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files, read back: where each document's identifiers are, and their checksum."""
-    path = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
-    token_files.write_token_files(docs, path, tokenizer_path("byte_bpe_50k.json"))
-    try:
-        return cut(token_files.read_token_files(spark, path))
-    finally:
-        delete_path(spark, path)
+    """Token files in the order of ``docs``, so that the mixing holds in them, and what they hold when read back:
+    a row a document, with ``path``, ``file`` and ``first`` saying where its identifiers are.  The files stay;
+    null and empty texts have the end id alone."""
+    path = f"{shared_folder(spark)}/token-files/{uuid.uuid4().hex}"
+    token_files.write_token_files(docs, path, tokenizer_path("byte_bpe_50k.json"), by_id=False)
+    return token_files.read_token_files(spark, path).selectExpr("*", f"'{path}' AS path")
 
 
 STAGES = [
@@ -61,13 +61,19 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """All stages over ``documents``.  ``folder`` (below the shared folder; a new one by default) keeps the
+    stages' results until the next one is there: a run that is given the folder of one that was lost goes on
+    after the last finished stage.  It must be one over the same tables."""
     docs = table(spark, sf_dir, "documents")
-    base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for i, (name, stage) in enumerate(STAGES):
-        path = f"{base}/{i}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-        if i:
-            delete_path(spark, f"{base}/{i - 1}-{STAGES[i - 1][0]}")
-    return docs.select(*[F.col(c) for c in docs.columns])
+    base = folder or f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    paths = [f"{base}/{i}-{name}" for i, (name, _) in enumerate(STAGES)]
+    done = max((i for i, p in enumerate(paths) if path_exists(spark, f"{p}/_SUCCESS")), default=-1)
+    for i, (_, stage) in enumerate(STAGES):
+        if i >= done:
+            if i > done:
+                stage(spark, docs, sf_dir).write.mode("overwrite").parquet(paths[i])
+            docs = spark.read.parquet(paths[i])
+            if i:
+                delete_path(spark, paths[i - 1])
+    return docs
