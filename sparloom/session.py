@@ -12,6 +12,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # files of checkpoints go with the frames that read them
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
