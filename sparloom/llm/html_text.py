@@ -3,7 +3,11 @@
 A page is cut into flat blocks of text at block-level tags.  Each block is described by its words and link
 density, those of its neighbours, and the kind of region it stands in; a small tree, grown here on a small
 labelled table, says which blocks are the article.  The table comes from page layouts that ``labelled_table``
-builds from parameters, with and without telling tags and class names; no page of the corpus is used.
+builds from parameters: with telling tags, with telling class names, and with neither, where only words and
+densities tell menus and footers from the article.  No page of the corpus is used.
+
+Pages are read in one pass, in time proportional to their length: where a tag, comment or silent element isn't
+closed, that is noted once and not looked for again.
 """
 
 from __future__ import annotations
@@ -22,24 +26,27 @@ from pyspark.sql import functions as F
 from sparloom.llm.common import arrow_rows
 
 #: Elements whose content is no text of the page; block-level elements; elements that are kept
-#: on the stack of open regions; boilerplate elements; words in class, id and role that tell a region's kind.
-SILENT = ("script", "style", "noscript", "template", "title", "textarea", "select", "button", "svg", "iframe", "object", "audio", "video", "canvas", "math")
+#: on the stack of open regions; boilerplate elements; words in class, id and role that tell a region's kind; first
+#: and last parts of names that tell a state or a layout instead.
+RAW = ("script", "style")
+SILENT = (*RAW, "noscript", "template", "title", "textarea", "select", "button", "svg", "iframe", "object", "audio", "video", "canvas", "math")
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
-REGION = frozenset("article aside blockquote body details dialog div dl fieldset figure footer form header hgroup main menu nav ol section table ul".split())
+REGION = frozenset("article aside blockquote body center details dialog div dl fieldset figure footer form header hgroup main menu nav ol section table ul".split())
 BOILER = frozenset("aside dialog fieldset footer form menu nav".split())
 BAD = frozenset(
-    "ad ads adbox advert adverts advertisement advertising alert banner breadcrumb breadcrumbs byline-ads comment comments commentlist consent contentinfo complementary cookie cookies copyright disclaimer disqus feedback footer gdpr legal login masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted promotion reader-comments recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget".split()
+    "ad ads adbox advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo complementary cookie cookies copyright disclaimer disqus feedback footer gdpr legal login masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget".split()
 )
 GOOD = frozenset("article articlebody body content entry main post story text".split())
+STATE_FIRST = frozenset("has hide is js no not show u with without".split())
+STATE_LAST = frozenset("closed disabled enabled off on open".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*(?:>|\Z)"
-    r"|<(" + "|".join(SILENT) + r")(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^\"'>])*+>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^<>]*)(?:>|\Z)",
-    re.S | re.I,
-)
-_ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_SPECIAL = re.compile(r"<(?:!--|!\[CDATA\[|[!?/a-zA-Z])")
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+_QUOTED = re.compile(r"(?:[^>=]|=(?:\s*\"[^\"]*+\"|\s*'[^']*+')?+)*+>")
+_PLAIN = re.compile(r"[^<>]*+>?")
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]++)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]++)))?")
+_CLOSING = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in SILENT}
+_HIDDEN_STYLE = re.compile(r"display\s*:\s*none", re.I)
 
 
 @dataclass
@@ -58,50 +65,128 @@ class Block:
         return self.linked / self.words if self.words else 0.0
 
 
-def _marks(name: str, attributes: str) -> tuple[int, int, int]:
-    """(boilerplate element, bad hint, good hint) of a region's start tag."""
-    bad = good = 0
-    for m in _ATTRIBUTE.finditer(attributes):
-        names = (m[1] or m[2] or m[3] or "").lower()
-        parts = set(re.split(r"[^a-z]+", names)) | set(names.split())
-        bad |= bool(parts & BAD)
-        good |= bool(parts & GOOD)
-    if attributes and _HIDDEN.search(attributes):
-        bad = 1
-    return int(name in BOILER), bad, int(bool(good and not bad) or name in ("article", "main"))
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name, rest) in order: texts (name empty), start tags with their attributes, end tags; comments,
+    declarations and silent elements are left out."""
+    at, quotes, unclosed = 0, True, set()
+    while m := _SPECIAL.search(page, at):
+        i = m.start()
+        if i > at:
+            yield "text", "", page[at:i]
+        if m[0] == "<!--":
+            end = page.find("-->", i + 4)
+            at = end + 3 if end >= 0 else len(page)
+            continue
+        if m[0] == "<![CDATA[":
+            at = m.end()
+            continue
+        name = _NAME.match(page, i + 1)
+        if not name:
+            end = page.find(">", i + 1)
+            at = end + 1 if end >= 0 else len(page)
+            continue
+        ending, tag = page[i + 1] == "/", name[1].lower()
+        rest = _QUOTED.match(page, name.end()) if quotes else None
+        if rest is None:  # no end of a tag beyond this place outside quotes: they don't pair up, or the page is cut off
+            quotes = False
+            rest = _PLAIN.match(page, name.end())
+        at = rest.end()
+        if not ending and tag in _CLOSING and tag not in unclosed:
+            close = _CLOSING[tag].search(page, at)
+            if close:
+                at = close.start()
+                continue
+            unclosed.add(tag)
+            if tag in RAW and rest[0].endswith(">"):
+                return
+        if tag in _CLOSING:
+            continue
+        yield ("end" if ending else "start"), tag, "" if ending else rest[0]
+    if at < len(page):
+        yield "text", "", page[at:]
+
+
+def _bad_names(names: str, most: int) -> bool:
+    """Whether a class or id list tells boilerplate: by a whole name or one of its parts, unless the name has
+    more parts than ``most`` or tells a state or layout."""
+    for name in names.split():
+        if name.lower() in BAD:
+            return True
+        parts = [p.lower() for p in re.findall(r"[A-Z]?[a-z0-9]+|[A-Z]+", name)]
+        if len(parts) <= most and parts and parts[0] not in STATE_FIRST and parts[-1] not in STATE_LAST and not BAD.isdisjoint(parts):
+            return True
+    return False
+
+
+def _marks(name: str, text: str) -> tuple[int, int, int, bool]:
+    """(boilerplate element, bad hint, good hint, hidden) of a region's start tag."""
+    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(text)}
+    hidden = ("hidden" in found and found["hidden"].lower() != "until-found") or found.get("aria-hidden", "").lower() == "true" or bool(_HIDDEN_STYLE.search(found.get("style", "")))
+    classes, own, role = found.get("class", ""), found.get("id", ""), found.get("role", "")
+    if name in ("article", "main"):  # a name that holds a word of the list by chance says little there
+        bad = not BAD.isdisjoint(f"{classes} {role}".lower().split())
+    else:
+        bad = _bad_names(classes, 6) or _bad_names(own, 2) or _bad_names(role, 1)
+    good = name in ("article", "main") or not GOOD.isdisjoint(re.split(r"[^a-z]+", f"{classes} {own} {role}".lower()))
+    return int(name in BOILER), int(bad), int(good and not bad), hidden
+
+
+def _around_main(found: list[tuple[str, str, str]]) -> set[int]:
+    """Numbers of the regions that hold the main part: the article or main element with the first heading of
+    the first level, or else the first main, such heading or article.  Their names and forms condemn nothing."""
+    stack: list[tuple[str, int]] = []
+    first: dict[str, set[int]] = {}
+    for i, (kind, name, _) in enumerate(found):
+        if kind == "start":
+            if name == "h1":
+                mains = [k for k, (n, _) in enumerate(stack) if n in ("article", "main")]
+                if mains:
+                    first.setdefault("with heading", {j for _, j in stack[: mains[0] + 1]})
+                elif not any(n in BOILER or n == "header" for n, _ in stack):
+                    first.setdefault("h1", {j for _, j in stack})
+            if name in REGION:
+                stack.append((name, i))
+                if name in ("article", "main"):
+                    first.setdefault(name, {j for _, j in stack})
+        elif kind == "end" and name in REGION:
+            for k in range(len(stack) - 1, max(-1, len(stack) - 64), -1):
+                if stack[k][0] == name:
+                    del stack[k:]
+                    break
+    for kind in ("with heading", "main", "h1", "article"):
+        if kind in first:
+            return first[kind]
+    return set()
 
 
 def blocks(page: str) -> list[Block]:
     """The page's flat text blocks in order; blocks without text are none."""
     out: list[Block] = []
+    # of each open region: name, boilerplate elements, bad and good hints from the outermost region to it
     stack: list[tuple[str, int, int, int]] = []
     pieces: list[tuple[str, bool]] = []
-    state = {"link": 0, "heading": 0, "item": 0}
+    link = heading = item = 0
 
     def close() -> None:
         if not pieces:
             return
-        text = " ".join(html.unescape("".join(p for p, _ in pieces)).split())
+        text = " ".join("".join(p for p, _ in pieces).split())
         if text:
-            linked = sum(len(html.unescape(p).split()) for p, in_link in pieces if in_link)
+            linked = sum(len(p.split()) for p, in_link in pieces if in_link)
             words = len(text.split())
-            boiler = sum(s[1] for s in stack)
-            good = max((s[3] for s in stack), default=0)
-            out.append(Block(text, words, min(linked, words), boiler, sum(s[2] for s in stack), good, state["heading"], state["item"]))
+            _, boiler, bad, good = stack[-1] if stack else ("", 0, 0, 0)
+            out.append(Block(text, words, min(linked, words), boiler, bad, good, heading, item))
         pieces.clear()
 
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            pieces.append((page[at : m.start()], state["link"] > 0))
-        at = m.end()
-        name = (m[3] or m[6] or "").lower()
-        if not name:
+    found = list(tokens(page))
+    spared = _around_main(found)
+    for i, (kind, name, rest) in enumerate(found):
+        if kind == "text":
+            pieces.append((html.unescape(rest), link > 0))
             continue
-        ending = bool(m[2] or m[5])
-        attributes = m[4] or m[7] or ""
+        ending = kind == "end"
         if name == "a":
-            state["link"] = 0 if ending else 1
+            link = 0 if ending else 1
             continue
         if name == "br":
             pieces.append((" ", False))
@@ -109,38 +194,43 @@ def blocks(page: str) -> list[Block]:
         if name in BLOCK:
             close()
             if name[0] == "h" and name[1:].isdigit():
-                state["heading"] = 0 if ending else 1
+                heading = 0 if ending else 1
             elif name == "li":
-                state["item"] = 0 if ending else 1
+                item = 0 if ending else 1
             elif name == "p":
-                state["heading"] = 0
-        if name in REGION:
-            if not ending:
-                boiler, bad, good = _marks(name, attributes)
-                if name == "header":  # of the site, not of the article
-                    boiler = int(not any(s[3] for s in stack))
-                if name == "body":
-                    good = bad = 0
-                stack.append((name, boiler, bad, good))
-            else:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        del stack[i:]
-                        break
-    if at < len(page):
-        pieces.append((page[at:], state["link"] > 0))
+                heading = 0
+        if name not in REGION:
+            continue
+        if ending:
+            # an end tag closes the nearest region of its name; deeper than 64 levels none is meant
+            for k in range(len(stack) - 1, max(-1, len(stack) - 64), -1):
+                if stack[k][0] == name:
+                    del stack[k:]
+                    break
+            continue
+        _, boilers, bads, goods = stack[-1] if stack else ("", 0, 0, 0)
+        boiler, bad, good, hidden = _marks(name, rest)
+        if name == "header":  # of the site, not of the article
+            boiler = int(not goods)
+        if name == "body":
+            bad = good = 0
+        elif i in spared and (name not in BOILER or name in ("form", "fieldset")):
+            bad, boiler = 0, boiler * (name == "header")
+        stack.append((name, boilers + boiler, bads + (bad or hidden), int(goods or good)))
     close()
     return out
 
 
 def features(found: list[Block]) -> np.ndarray:
-    """A row a block: words, link density, the same of the block before and after, region marks."""
+    """A row a block: words, link density, the same of the block before and after, region marks, and whether the
+    page has a region that says it is the main part."""
     rows = []
+    told = int(any(b.good and not b.bad and not b.boiler for b in found))
     for i, b in enumerate(found):
         before, after = (found[i - 1] if i else None), (found[i + 1] if i + 1 < len(found) else None)
         around = [v for n in (before, after) for v in ((n.words, n.density) if n else (0, 0.0))]
-        rows.append([b.words, b.density, *around, b.boiler, b.bad, b.good, b.heading, b.item])
-    return np.array(rows, np.float64).reshape(len(found), 11)
+        rows.append([b.words, b.density, *around, min(b.boiler, 1), min(b.bad, 1), b.good, b.heading, b.item, told])
+    return np.array(rows, np.float64).reshape(len(found), 12)
 
 
 # ---- the tree ------------------------------------------------------------------------------------------
@@ -185,70 +275,113 @@ def decide(node: Node, row: np.ndarray) -> bool:
     return node.share >= 0.5
 
 
-def labelled_table(pages: int = 240, seed: int = 4) -> list[tuple[str, list[bool]]]:
+def labelled_table(pages: int = 360, seed: int = 4) -> list[tuple[str, list[bool]]]:
     """Small pages and, block by block, whether each is article text.
 
-    Layouts vary by parameters: semantic elements or plain divisions with class names, menus, a notice, an
-    advert before or inside the article, lists, headings and short lines in it, a sidebar, related links,
-    a form, reader comments and a footer; some pages are cut off or leave paragraphs open.
+    Layouts vary by parameters.  A third has semantic elements, a third plain divisions with class names, and a
+    third neither: there runs of links are menus and lists of related pages, a few words with links around are
+    footers, and the rest is article.  Pages have menus, a notice, an advert before or inside the article, lists,
+    headings, links and short lines in it, a sidebar, a form, reader comments and a footer, or lack them; some
+    leave paragraphs open.
     """
     rng = random.Random(seed)
 
     def words(low: int, high: int) -> str:
         return " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(low, high)))
 
-    def links(n: int) -> str:
-        return "".join(f'<li><a href="/{i}">{words(1, 3)}</a></li>' for i in range(n))
+    def link(low: int, high: int) -> str:
+        return f'<a href="/{rng.randint(1, 999)}">{words(low, high)}</a>'
+
+    def listed(n: int) -> str:
+        return "".join(f"<li>{link(1, 3)}</li>" for _ in range(n))
+
+    def paragraph(low: int, high: int) -> str:
+        inside = words(low, high)
+        return f"{inside} {link(1, 4)} {words(1, 20)}" if rng.random() < 0.25 else inside
 
     made = []
-    for _ in range(pages):
+    for number in range(pages):
+        style = ("semantic", "classes", "bare")[number % 3]
         parts: list[tuple[str, list[bool]]] = []
-        semantic, main = rng.random() < 0.75, rng.random() < 0.85
-
-        def region(element: str, name: str, inside: str, n: int, keep: bool = False, semantic: bool = semantic, parts: list = parts) -> None:
-            tag = element if semantic else "div"
-            mark = "" if semantic and rng.random() < 0.6 and element != "div" else f' class="{name}"'
-            parts.append((f"<{tag}{mark}>{inside}</{tag}>", [keep] * n))
-
-        if rng.random() < 0.5:
-            region("header", "site-header", f"<h2>{words(1, 4)}</h2><p>{words(2, 12)}</p>", 2)
-        if rng.random() < 0.8:
-            n = rng.randint(2, 9)
-            region("nav", rng.choice(["menu", "navbar", "nav"]), f"<ul>{links(n)}</ul>", n)
-        if rng.random() < 0.5:
-            region("div", rng.choice(["cookie-notice", "notice", "banner", "alert"]), f"<p>{words(5, 40)}</p>", 1)
-        if rng.random() < 0.5:
-            region("div", rng.choice(["ad", "ads", "sponsored", "promo"]), words(1, 40), 1)
+
+        def region(element: str, name: str, inside: str, n: int, style: str = style, parts: list = parts) -> None:
+            if style == "semantic" and element != "div":
+                mark = "" if rng.random() < 0.6 else f' class="{name}"'
+                parts.append((f"<{element}{mark}>{inside}</{element}>", [False] * n))
+            else:
+                parts.append((f'<div class="{name}">{inside}</div>', [False] * n))
+
+        def menu(parts: list = parts) -> None:
+            n = rng.randint(3, 12) if rng.random() < 0.7 else rng.randint(20, 90)
+            kind = rng.random()
+            if kind < 0.4:
+                parts.append((f"<ul>{listed(n)}</ul>", [False] * n))
+            elif kind < 0.7:
+                parts.append((f"<div>{' | '.join(link(1, 3) for _ in range(n))}</div>", [False]))
+            else:
+                parts.append(("<table><tr>" + "".join(f"<td>{link(1, 3)}</td>" for _ in range(n)) + "</tr></table>", [False] * n))
+
+        bare = style == "bare"
+        if bare:
+            for _ in range(rng.randint(1, 3)):
+                menu()
+        else:
+            if rng.random() < 0.5:
+                region("header", "site-header", f"<h2>{words(1, 4)}</h2><p>{words(2, 12)}</p>", 2)
+                if style == "classes":
+                    parts[-1] = (parts[-1][0].replace("site-header", rng.choice(["masthead", "topbar"])), parts[-1][1])
+            if rng.random() < 0.8:
+                n = rng.randint(2, 9)
+                region("nav", rng.choice(["menu", "navbar", "nav"]), f"<ul>{listed(n)}</ul>", n)
+            if rng.random() < 0.5:
+                region("div", rng.choice(["cookie-notice", "notice", "banner", "alert"]), f"<p>{words(5, 40)}</p>", 1)
+            if rng.random() < 0.5:
+                region("div", rng.choice(["ad", "ads", "sponsored", "promo"]), words(1, 40), 1)
+            if rng.random() < 0.3:
+                menu()
+            if rng.random() < 0.4:
+                parts.append((f"<div>{paragraph(1, 150)}</div>", [False]))
         body: list[tuple[str, list[bool]]] = [(f"<h1>{words(1, 12)}</h1>", [True])]
-        for _ in range(rng.randint(0, 9)):
+        for _ in range(rng.randint(2, 9) if bare else rng.randint(0, 9)):
             kind = rng.random()
             if kind < 0.6:
-                body.append((f"<p>{words(1, 90)}" + ("</p>" if rng.random() < 0.8 else ""), [True]))
+                low = 12 if bare and rng.random() < 0.8 else 1
+                body.append((f"<p>{paragraph(low, 90)}" + ("</p>" if rng.random() < 0.8 else ""), [True]))
             elif kind < 0.7:
-                body.append((f"<h2>{words(1, 8)}</h2>", [True]))
+                body.append((f"<h2>{words(1, 8)}</h2><p>{paragraph(12, 60)}</p>", [True, True]))
             elif kind < 0.78:
                 body.append((f"<ul><li>{words(1, 20)}</li><li>{words(1, 20)}</li></ul>", [True, True]))
-            elif kind < 0.86:
-                body.append((f'<p>{words(2, 30)} <a href="#">{words(1, 6)}</a> {words(1, 20)}</p>', [True]))
+            elif kind < 0.86 and not bare:
+                body.append((f"<p>{link(1, 6)}</p>", [True]))
             elif kind < 0.9:
                 body.append((f"<blockquote><p>{words(3, 40)}</p></blockquote>", [True]))
+            elif bare:
+                continue
             elif kind < 0.95:
                 body.append((f'<div class="{rng.choice(["ad", "promo", "newsletter", "related", "share"])}"><p>{words(2, 40)}</p></div>', [False]))
             else:
                 n = rng.randint(1, 4)
                 body.append((f"<aside>{''.join(f'<p>{words(1, 30)}</p>' for _ in range(n))}</aside>", [False] * n))
-        tag = ("article" if semantic else f'div class="{rng.choice(["content", "post", "entry-content", "story"])}"') if main else "div"
+        tag = "div" if bare else "article" if style == "semantic" else f'div class="{rng.choice(["content", "post", "entry-content", "story"])}"'
         parts.append((f"<{tag}>" + "".join(p for p, _ in body) + f"</{tag.split()[0]}>", [k for _, ks in body for k in ks]))
-        if rng.random() < 0.4:
-            n = rng.randint(1, 5)
-            region("aside", "sidebar", "".join(f"<p>{words(1, 40)}</p>" for _ in range(n)), n)
-        if rng.random() < 0.4:
-            n = rng.randint(1, 5)
-            region("section", "comments", "".join(f"<p>{words(1, 50)}</p>" for _ in range(n)), n, semantic=False)
-        if rng.random() < 0.3:
-            region("form", "subscribe", f"<label>{words(1, 5)}</label><p>{words(1, 20)}</p>", 2)
-        if rng.random() < 0.8:
-            region("footer", "footer", f"<p>&copy; {words(1, 30)}</p>", 1)
+        if bare:
+            if rng.random() < 0.6:
+                n = rng.randint(3, 8)
+                parts.append((f"<div><ul>{listed(n)}</ul></div>", [False] * n))
+            if rng.random() < 0.8:
+                parts.append((f"<div>{words(1, 5)} {link(1, 2)} | {link(1, 2)} | {link(1, 2)}</div>", [False]))
+        else:
+            if rng.random() < 0.4:
+                n = rng.randint(1, 5)
+                region("aside", "sidebar", "".join(f"<p>{words(1, 40)}</p>" for _ in range(n)), n)
+            if rng.random() < 0.4:
+                n = rng.randint(1, 5)
+                each = rng.choice(["p", "article", "div"])
+                parts.append((f'<section class="comments">{"".join(f"<{each}>{words(1, 50)}</{each}>" for _ in range(n))}</section>', [False] * n))
+            if rng.random() < 0.3:
+                region("form", "subscribe", f"<label>{words(1, 5)}</label><p>{words(1, 20)}</p>", 2)
+            if rng.random() < 0.8:
+                region("footer", "footer", f"<p>&copy; {words(1, 30)}</p>", 1)
         page = "".join(p for p, _ in parts)
         made.append((page, [k for _, ks in parts for k in ks]))
     return made

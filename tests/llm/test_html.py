@@ -1,3 +1,10 @@
+import html
+import re
+import time
+
+import duckdb
+import pytest
+
 from sparloom.llm import html_text as h
 
 
@@ -27,6 +34,57 @@ def test_article_text():
     assert h.main_text(long).count("\n") == 19999
 
 
+BODY = "<h1>The title</h1><p>" + "plain word " * 30 + "</p><p>Short one.</p>"
+TEXT = "The title\n" + ("plain word " * 30).strip() + "\nShort one."
+
+
+@pytest.mark.parametrize(
+    "around",
+    [
+        '<article class="overflow-hidden">%s</article>',
+        '<article aria-hidden="false">%s</article>',
+        '<div class="layout has-sidebar"><article>%s</article></div>',
+        '<article class="post comments-open">%s</article>',
+        '<article id="how-to-share-files">%s</article>',
+        '<form action="/"><article>%s</article></form>',
+        '<div id="page-with-menu-and-ads"><main><div class="row">%s</div></main></div>',
+        '<div class="widget"><main>%s</main></div>',
+        "<div>%s</div>",
+        "<table><tr><td>%s</td></tr></table>",
+        '<div class="post-body">%s</div>',
+        '<article data-x="a>b">%s</article>',
+        "<article title=it's>%s</article>",
+    ],
+)
+def test_hand_made_pages(around):
+    """Pages by hand, with what is no article before, in and after it."""
+    links = " ".join(f'<a href="/{i}">go to page {i}</a>' for i in range(60))
+    page = f"<body><header><p>The site</p></header><nav>{links}</nav>{around % BODY}<footer><p>All rights reserved</p></footer></body>"
+    assert h.main_text(page) == TEXT
+    bare = f"<body><div>{links}</div><div>{links}</div>{around % BODY}<div>{links}</div></body>"
+    assert h.main_text(bare) == TEXT
+    more = '<section class="comments"><article><p>I think that this is all wrong and should go</p></article></section><div class="cookie-notice">We use some</div><div hidden>not to be seen at all</div>'
+    assert h.main_text(page.replace("<footer>", more + "<footer>")) == TEXT
+
+
+def test_given_pages_equal_a_plain_reading():
+    """The driver's pages, read by a few substitutions instead of a parser and a tree."""
+    con = duckdb.connect()
+    for page, *_ in con.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall():
+        article = re.search(r"<article>(.*?)</article>", page, re.S)[1].replace("<br>", " ")
+        parts = (" ".join(html.unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1|h2|ul|li)>", article))
+        assert h.main_text(page) == "\n".join(x for x in parts if x)
+
+
+@pytest.mark.parametrize("part", ["<script ", "<script>", "<!-- ", '<a x="', '<a "', "<p title='", "<textarea>", "<div>", "</div><div>", "<![CDATA[", "<? ", "<a href=", "</p ", "<b>x", "&amp", "<", "</"])
+def test_time_follows_the_length(part):
+    page = "<p>start</p>" + part * ((1 << 20) // len(part))
+    for p in (page, page + ">", page + '"></script>-->'):
+        began = time.thread_time()
+        h.main_text(p)
+        assert time.thread_time() - began < 8  # a megabyte; 0.7 s at most where nothing else runs
+
+
 def test_query_shapes(spark):
     rows = [(1, "u", PAGE, 3), (None, None, None, None), (2, "v", "", 1), (2, "v", "", 1)]
     got = h.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
