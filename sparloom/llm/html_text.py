@@ -275,14 +275,14 @@ def decide(node: Node, row: np.ndarray) -> bool:
     return node.share >= 0.5
 
 
-def labelled_table(pages: int = 360, seed: int = 4) -> list[tuple[str, list[bool]]]:
+def labelled_table(pages: int = 600, seed: int = 4) -> list[tuple[str, list[bool]]]:
     """Small pages and, block by block, whether each is article text.
 
     Layouts vary by parameters.  A third has semantic elements, a third plain divisions with class names, and a
     third neither: there runs of links are menus and lists of related pages, a few words with links around are
     footers, and the rest is article.  Pages have menus, a notice, an advert before or inside the article, lists,
     headings, links and short lines in it, a sidebar, a form, reader comments and a footer, or lack them; some
-    leave paragraphs open.
+    leave paragraphs open, and in some of the first two kinds the article's own region says nothing.
     """
     rng = random.Random(seed)
 
@@ -322,6 +322,7 @@ def labelled_table(pages: int = 360, seed: int = 4) -> list[tuple[str, list[bool
                 parts.append(("<table><tr>" + "".join(f"<td>{link(1, 3)}</td>" for _ in range(n)) + "</tr></table>", [False] * n))
 
         bare = style == "bare"
+        told = not bare and rng.random() < 0.75  # whether the article's own region says so
         if bare:
             for _ in range(rng.randint(1, 3)):
                 menu()
@@ -339,19 +340,19 @@ def labelled_table(pages: int = 360, seed: int = 4) -> list[tuple[str, list[bool
                 region("div", rng.choice(["ad", "ads", "sponsored", "promo"]), words(1, 40), 1)
             if rng.random() < 0.3:
                 menu()
-            if rng.random() < 0.4:
+            for _ in range(rng.randint(0, 2) if told else 0):
                 parts.append((f"<div>{paragraph(1, 150)}</div>", [False]))
         body: list[tuple[str, list[bool]]] = [(f"<h1>{words(1, 12)}</h1>", [True])]
-        for _ in range(rng.randint(2, 9) if bare else rng.randint(0, 9)):
+        for _ in range(rng.randint(0, 9) if told else rng.randint(2, 9)):
             kind = rng.random()
             if kind < 0.6:
-                low = 12 if bare and rng.random() < 0.8 else 1
-                body.append((f"<p>{paragraph(low, 90)}" + ("</p>" if rng.random() < 0.8 else ""), [True]))
+                low = 1 if told or rng.random() < 0.2 else 12
+                body.append((f"<p>{paragraph(low, rng.choice((20, 90, 400)))}" + ("</p>" if rng.random() < 0.8 else ""), [True]))
             elif kind < 0.7:
                 body.append((f"<h2>{words(1, 8)}</h2><p>{paragraph(12, 60)}</p>", [True, True]))
             elif kind < 0.78:
                 body.append((f"<ul><li>{words(1, 20)}</li><li>{words(1, 20)}</li></ul>", [True, True]))
-            elif kind < 0.86 and not bare:
+            elif kind < 0.86 and told:
                 body.append((f"<p>{link(1, 6)}</p>", [True]))
             elif kind < 0.9:
                 body.append((f"<blockquote><p>{words(3, 40)}</p></blockquote>", [True]))
@@ -362,7 +363,7 @@ def labelled_table(pages: int = 360, seed: int = 4) -> list[tuple[str, list[bool
             else:
                 n = rng.randint(1, 4)
                 body.append((f"<aside>{''.join(f'<p>{words(1, 30)}</p>' for _ in range(n))}</aside>", [False] * n))
-        tag = "div" if bare else "article" if style == "semantic" else f'div class="{rng.choice(["content", "post", "entry-content", "story"])}"'
+        tag = "div" if not told else "article" if style == "semantic" else f'div class="{rng.choice(["content", "post", "entry-content", "story"])}"'
         parts.append((f"<{tag}>" + "".join(p for p, _ in body) + f"</{tag.split()[0]}>", [k for _, ks in body for k in ks]))
         if bare:
             if rng.random() < 0.6:
@@ -371,6 +372,8 @@ def labelled_table(pages: int = 360, seed: int = 4) -> list[tuple[str, list[bool
             if rng.random() < 0.8:
                 parts.append((f"<div>{words(1, 5)} {link(1, 2)} | {link(1, 2)} | {link(1, 2)}</div>", [False]))
         else:
+            for _ in range(rng.randint(0, 3) if told else 0):
+                parts.append((f"<div>{paragraph(1, 150)}</div>", [False]))
             if rng.random() < 0.4:
                 n = rng.randint(1, 5)
                 region("aside", "sidebar", "".join(f"<p>{words(1, 40)}</p>" for _ in range(n)), n)
