@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -36,6 +37,22 @@ def shared_folder(spark: SparkSession) -> str:
     return made
 
 
+#: Bytes of rows that go to a Python worker at a time; texts are long, and 10,000 of them are much for it.
+BATCH_BYTES = "4m"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within it, actions send rows to Python workers in batches of some BATCH_BYTES; after it as before."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    said = spark.conf.get(name)
+    spark.conf.set(name, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, said)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder.
 
@@ -47,7 +64,8 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    with small_batches(spark):
+        return df.checkpoint(eager=True)
 
 
 class Scratch:
@@ -71,7 +89,8 @@ class Scratch:
     def write(self, df: DataFrame) -> DataFrame:
         self.made += 1
         path = f"{self.folder}/{self.made}"
-        df.write.option("compression", "zstd").parquet(path)
+        with small_batches(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
         table._scratch_path = path
         return table

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparloom.llm.common import Scratch, arrow_rows, cut, row_key, ship, text_chunks, text_of, without_rows
+from sparloom.llm.common import Scratch, arrow_rows, cut, row_key, ship, small_batches, text_chunks, text_of, without_rows
 from sparloom.llm.words import hashed_words
 
 FEATURES = 1 << 13
@@ -135,7 +135,8 @@ def _sum_blocks(parts: DataFrame, dtype: str) -> dict[int, np.ndarray]:
     salted = parts.withColumn("salt", F.spark_partition_id() % 16).repartition("block", "salt").select("block", "data")
     some = arrow_rows(salted, add, "block int, data binary", chunk=16)
     summed = arrow_rows(some.repartition("block"), add, "block int, data binary", chunk=16)
-    return {r["block"]: np.frombuffer(r["data"], dtype).astype(np.float64) for r in summed.collect()}
+    with small_batches(parts.sparkSession):
+        return {r["block"]: np.frombuffer(r["data"], dtype).astype(np.float64) for r in summed.collect()}
 
 
 def passage_counts(hashed: DataFrame, passage: int) -> tuple[np.ndarray, int]:

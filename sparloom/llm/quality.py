@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparloom.llm.common import cut, row_key, ship, text_chunks, text_of, without_rows
+from sparloom.llm.common import cut, row_key, ship, small_batches, text_chunks, text_of, without_rows
 from sparloom.llm.mixing import hashed_unit
 from sparloom.llm.words import AGAIN, WORD, hashed_words
 
@@ -71,7 +71,8 @@ def count_models(docs: DataFrame, target_ids: set, id_col: str, text_col: str, b
 
     ship(docs.sparkSession)
     sent = docs.select(F.col(id_col), text_of(text_col).alias("t")).mapInArrow(count, "bucket long, raw long, target long")
-    got = sent.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+    with small_batches(docs.sparkSession):
+        got = sent.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.zeros(buckets), np.zeros(buckets)
     raw[got["bucket"]], target[got["bucket"]] = got["raw"], got["target"]
     return raw, target

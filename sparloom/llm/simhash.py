@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparloom.llm.common import Scratch, arrow_rows, cut, few, row_key, ship, text_chunks, text_of, without_rows
+from sparloom.llm.common import Scratch, arrow_rows, cut, few, row_key, ship, small_batches, text_chunks, text_of, without_rows
 from sparloom.llm.graph import components
 from sparloom.llm.words import hashed_words, mixed
 
@@ -230,6 +230,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 COUNTERS, PIECES, PARITY = 1 << 20, 64, 1024
 #: Entries of a shingle's bin to a sub-bin in the first round, and to a block in the second.
 _SUB_BIN, _BLOCK = 20_000, 1024
+#: How often groups are joined with their nearest ones, at most, before all pairs that are left are tried.
+_NEAREST = 5
 
 
 def shingle_hashes(words: np.ndarray, shingle: int) -> np.ndarray:
@@ -324,8 +326,9 @@ def shingle_counts(texts: DataFrame, shingle: int) -> np.ndarray:
 
     counted = texts.mapInArrow(count, "piece int, counts binary").repartition("piece").mapInArrow(add, "piece int, counts binary")
     out = np.zeros((PIECES, COUNTERS // PIECES), np.int64)
-    for r in counted.collect():  # PIECES rows
-        out[r["piece"]] = np.frombuffer(r["counts"], "<i8")
+    with small_batches(texts.sparkSession):
+        for r in counted.collect():  # PIECES rows
+            out[r["piece"]] = np.frombuffer(r["counts"], "<i8")
     return out.ravel().clip(0, (1 << 32) - 1).astype(np.uint32)
 
 
@@ -347,7 +350,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     proportion to the entries.  The second makes the whole exact, which no fingerprint is: in any order common
     to all sets similar sets meet in the first ``prefix_length`` shingles of each, the order goes from rare
     shingles to frequent ones so that few others meet there, and all pairs that meet are tried unless they are
-    in one group already or their sizes, places or parity maps rule them out.  Bins of frequent shingles are
+    in one group already or their sizes, places or parity maps rule them out.  So that few are left to try, each
+    group in a bin is joined with the one nearest to it before, a few times over.  Bins of frequent shingles are
     dealt out: in sub-bins whose first entries meet again, then in pairs of blocks.
 
     Texts with equal sets are one entry throughout.  Null and empty texts are similar to each other; null ids
@@ -405,25 +409,53 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             what = np.where(new & (sub >= 0), 2, 1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(h[left]), pa.array(what[left]), pa.array(node[left]), pa.nulls(int(left.sum()), pa.int64()), pa.array(n[left]), pa.array(pos[left])], names=["h", "what", "a", "b", "n", "pos"])
 
-    def rest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of different groups within a bin, or across the two blocks ``u`` and ``v`` of one."""
+    def candidates(piece: list[pa.Array]) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs of different groups within a bin, or across the two blocks ``u`` and ``v`` of one, that sizes,
+        places and parity maps leave: whether a new bin begins, then nodes, their roots and the bits in which
+        their maps differ, as a share of their sizes."""
+        h, u, v, block, node, n, pos, root = map(_numpy, piece[:8])
+        maps = np.frombuffer(b"".join(piece[8].to_pylist()), np.uint64).reshape(len(h), -1)
+        starts = np.flatnonzero(_changes(h, u, v))
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(h)], strict=True):
+            fresh = True
+            for at in range(lo, hi, 256):
+                x, y = np.arange(at, min(at + 256, hi)), np.arange(at, hi)
+                ok = (y[None, :] > x[:, None]) & (root[x][:, None] != root[y][None, :])
+                if u[lo] != v[lo]:
+                    ok &= block[x][:, None] != block[y][None, :]
+                i, j = np.nonzero(ok & may_be_similar(n[x][:, None], pos[x][:, None], n[y][None, :], pos[y][None, :], similarity))
+                i, j = x[i], y[j]
+                for s in range(0, len(i), 1 << 14):
+                    p, q = i[s : s + (1 << 14)], j[s : s + (1 << 14)]
+                    differ, both = np.bitwise_count(maps[p] ^ maps[q]).sum(axis=1), n[p] + n[q]
+                    ok_too = differ <= both - 2 * shared_needed(both, similarity)
+                    p, q = p[ok_too], q[ok_too]
+                    yield fresh, np.stack((node[p], node[q])), np.stack((root[p], root[q])), differ[ok_too] / both[ok_too]
+                    fresh = False
+
+    def every(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _whole_bins(batches, 3):
-            h, u, v, block, node, n, pos, root = map(_numpy, piece[:8])
-            maps = np.frombuffer(b"".join(piece[8].to_pylist()), np.uint64).reshape(len(h), -1)
-            starts = np.flatnonzero(_changes(h, u, v))
-            for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(h)], strict=True):
-                for at in range(lo, hi, 256):
-                    x, y = np.arange(at, min(at + 256, hi)), np.arange(at, hi)
-                    ok = (y[None, :] > x[:, None]) & (root[x][:, None] != root[y][None, :])
-                    if u[lo] != v[lo]:
-                        ok &= block[x][:, None] != block[y][None, :]
-                    i, j = np.nonzero(ok & may_be_similar(n[x][:, None], pos[x][:, None], n[y][None, :], pos[y][None, :], similarity))
-                    i, j = x[i], y[j]
-                    for s in range(0, len(i), 1 << 14):
-                        p, q = i[s : s + (1 << 14)], j[s : s + (1 << 14)]
-                        differ = np.bitwise_count(maps[p] ^ maps[q]).sum(axis=1)
-                        ok = differ <= n[p] + n[q] - 2 * shared_needed(n[p] + n[q], similarity)
-                        yield pa.RecordBatch.from_arrays(_pairs(node[p[ok]], node[q[ok]]), names=["a", "b"])
+            for _, nodes, _, _ in candidates(piece):
+                yield pa.RecordBatch.from_arrays(_pairs(nodes[0], nodes[1]), names=["a", "b"])
+
+    def nearest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each group in a bin the pair with another one that differs least."""
+
+        def least(nodes: np.ndarray, roots: np.ndarray, differ: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            twice, number = np.concatenate((roots[0], roots[1])), np.tile(np.arange(len(differ)), 2)
+            order = np.lexsort((number, differ[number], twice))
+            chosen = np.unique(number[order[_changes(twice[order])]]) if len(order) else order
+            return nodes[:, chosen], roots[:, chosen], differ[chosen]
+
+        for piece in _whole_bins(batches, 3):
+            held = None
+            for fresh, *found in candidates(piece):
+                if fresh and held is not None:
+                    yield pa.RecordBatch.from_arrays(_pairs(held[0][0], held[0][1]), names=["a", "b"])
+                    held = None
+                held = least(*(found if held is None else (np.concatenate(x, axis=-1) for x in zip(held, found, strict=True))))
+            if held is not None:
+                yield pa.RecordBatch.from_arrays(_pairs(held[0][0], held[0][1]), names=["a", "b"])
 
     def loosely(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -473,20 +505,29 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         led = leading.repartition("h").sortWithinPartitions("h", "n", "node").mapInArrow(meet, met_schema).filter("b is not null")
         links = similar(met.filter("b is not null").select("a", "b").union(led.select("a", "b")).union(one_fp).union(near_fp).distinct())
         roots = components(links, scratch)
-        state = distinct.join(roots, distinct["same"] == roots["node"], "left").select("same", F.coalesce("root", "same").alias("root"), "parity")
-        left = scratch.write(met.filter("b is null").join(state.drop("parity"), F.col("a") == F.col("same")).select("h", "a", "n", "pos", "root"))
+        left = scratch.write(met.filter("b is null").select("h", "a", "n", "pos"))
         scratch.drop(met)
-        several = left.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo != hi").select("h", F.ceil(F.col("size") / _BLOCK).cast("int").alias("blocks"))
-        open_ = scratch.write(left.join(several, "h"))
-        mine = F.pmod(F.xxhash64("a", "h"), F.col("blocks")).cast("int").alias("block")
-        dealt = open_.select("*", mine).join(state.select(F.col("same").alias("a"), "parity"), "a").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        units = dealt.select("h", F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"), "block", "a", "n", "pos", "root", "parity")
-        more = units.repartition("h", "u", "v").sortWithinPartitions("h", "u", "v", "n", "a").mapInArrow(rest, "a long, b long")
-        found = similar(more.distinct())
-        scratch.drop(left, open_)
-        if not found.isEmpty():
-            # the groups of the first round, and what joins them
-            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found), scratch)
+        new, rounds = links, 0
+        while True:
+            # what is left of the bins: entries of more than one group
+            state = distinct.join(roots, distinct["same"] == roots["node"], "left").select(F.col("same").alias("a"), F.coalesce("root", "same").alias("root"))
+            rooted = scratch.write(left.select("h", "a", "n", "pos").join(state, "a"))
+            several = rooted.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo != hi").select("h", F.ceil(F.col("size") / _BLOCK).cast("int").alias("blocks"))
+            open_ = scratch.write(rooted.join(several, "h"))
+            scratch.drop(left, rooted)
+            left = open_
+            mine = F.pmod(F.xxhash64("a", "h"), F.col("blocks")).cast("int").alias("block")
+            dealt = open_.select("*", mine).join(distinct.select(F.col("same").alias("a"), "parity"), "a").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            units = dealt.select("h", F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"), "block", "a", "n", "pos", "root", "parity")
+            last = new.isEmpty() or rounds == _NEAREST
+            pairs = units.repartition("h", "u", "v").sortWithinPartitions("h", "u", "v", "n", "a").mapInArrow(every if last else nearest, "a long, b long")
+            new = similar(pairs.distinct())
+            if not new.isEmpty():
+                # the groups so far, and what joins them
+                roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new), scratch)
+            if last:
+                break
+            rounds += 1
         known = distinct.join(roots, distinct["same"] == roots["node"], "left").select("same", "r", F.coalesce("root", "same").alias("root"))
         smallest = known.groupBy("root").agg(F.min("r").alias("r"))
         classes = known.select("same", "root").join(smallest, "root").select("same", F.col("r.id").alias("component_id"), F.col("r.row_key").alias("kept_key"))

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparloom.llm.common import Scratch, arrow_rows, cut, kept_by_worker, range_bounds, range_count, text_of
+from sparloom.llm.common import Scratch, arrow_rows, cut, kept_by_worker, range_bounds, range_count, small_batches, text_of
 
 MAGIC = b"PFR1"
 BLOCK = 1024
@@ -303,7 +303,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         packed = arrow_rows(docs.select(key, text.alias("t")), lambda rows: segments((k, np.frombuffer(ids, "<u4")) for k, ids in encoded(rows)), "s binary")
     # the text writer puts a string's bytes out as they are and a newline after each
     files = packed.select(F.col("s").cast("string").alias("value"))
-    files.write.option("maxRecordsPerFile", SEGMENTS_PER_FILE).option("compression", "none").mode("overwrite").text(path)
+    with small_batches(docs.sparkSession):
+        files.write.option("maxRecordsPerFile", SEGMENTS_PER_FILE).option("compression", "none").mode("overwrite").text(path)
 
 
 def _narrow(ids: bytes) -> bytes:
