@@ -3,23 +3,45 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """What ``spark.checkpoint.dir`` names; only a local session may go without."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = getattr(spark, "_sparloom_folder", None) or "file://" + tempfile.mkdtemp(prefix="sparloom-files-")
+        spark._sparloom_folder = named
+    return named.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder that ``spark.checkpoint.dir`` names; only a local session may go without."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """A checkpoint in the shared folder.  Spark deletes it when the frame is no longer reachable, in sessions
+    that ``sparloom.session`` builds."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local[") and context.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="sparloom-checkpoints-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def through_files(spark: SparkSession, write: Callable[[str], object], read: Callable[[str], DataFrame]) -> DataFrame:
+    """What ``read`` gives of the files that ``write`` makes in a folder of their own, which then goes."""
+    path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        write(path)
+        return cut(read(path))
+    finally:
+        fs.delete(where, True)
+
+
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """``df`` with dense numbers from 0 in the given order, without a single-task window: a distributed sort
     is pinned, rows are counted by partition, and each row adds its place to its partition's offset."""

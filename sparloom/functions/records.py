@@ -45,6 +45,11 @@ def build_prompt(
     return F.array_join(F.array_compact(F.concat(*[p for p in parts], lit(V.PROMPT_TAIL))), "\n")
 
 
+def external_prompt(have: Sequence[str], column=F.col) -> Column:
+    """The prompt of external records: seven fields that tell nothing of the labels."""
+    return build_prompt(have, V.EXTERNAL_FIELDS, column=column)
+
+
 def labels_struct(column=lambda n: F.col(f"label_{n}"), truth=X.is_positive) -> Column:
     return F.struct(*[F.coalesce(truth(column(n)), F.lit(False)).cast("int").alias(n) for n in V.LABELS])
 

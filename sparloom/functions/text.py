@@ -75,6 +75,11 @@ def codes_to_labels(codes: Column) -> Column:
     return F.array_distinct(F.array_compact(F.transform(codes, lambda c: F.try_element_at(_label_map(), c))))
 
 
+def one_hot(labels: Column, names=V.LABELS) -> list[Column]:
+    """``label_<name>`` columns of 0 and 1."""
+    return [F.coalesce(F.array_contains(labels, n), F.lit(False)).cast("int").alias(f"label_{n}") for n in names]
+
+
 def formula_elements(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(as_text(c), F.lit("[A-Z][a-z]?"), 0))
 
@@ -110,17 +115,15 @@ def normalize_cas(c: Column) -> Column:
 
 
 def status_for_cell(c: Column, positive: str) -> Column:
-    """1, 0 or null: unknown texts, the positive pattern, an explicit negative, any other classification."""
-    t = normalize_text(c)
-    low = F.lower(t)
-    return (
-        F.when(low.isin(*V.UNKNOWN_TEXT), F.lit(None))
-        .when(t.rlike(f"(?i){positive}"), 1)
-        .when(low.startswith(V.NEGATIVE_PREFIX), 0)
-        .when(t.rlike(f"(?i){V.ANY_CLASS}"), 0)
-        .otherwise(F.lit(None))
-        .cast("int")
-    )
+    """1, 0 or null: unknown texts, the positive pattern, an explicit negative, any other classification.
+    The text is normalised once for all rules."""
+
+    def rules(t: Column) -> Column:
+        low = F.lower(t)
+        known = F.when(t.rlike(f"(?i){positive}"), 1).when(low.startswith(V.NEGATIVE_PREFIX) | t.rlike(f"(?i){V.ANY_CLASS}"), 0)
+        return F.when(~low.isin(*V.UNKNOWN_TEXT), known).cast("int")
+
+    return F.element_at(F.transform(F.array(normalize_text(c)), rules), 1)
 
 
 def combine_statuses(statuses: list[Column]) -> Column:

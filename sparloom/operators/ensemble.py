@@ -64,9 +64,10 @@ def _threshold(thresholds: Mapping[str, int], default: int) -> Column:
     return out
 
 
-def vote(members: DataFrame, id_col: str, thresholds: Mapping[str, int], default: int = 2) -> DataFrame:
-    """(id, label, votes, pred) from long members (id, member, label, pred): one partial aggregate."""
-    return members.groupBy(id_col, "label").agg(F.sum("pred").cast("int").alias("votes")).withColumn("pred", (F.col("votes") >= _threshold(thresholds, default)).cast("int"))
+def vote(members: DataFrame, id_col: str, thresholds: Mapping[str, int], default: int = 2, keep: Sequence[str] = ()) -> DataFrame:
+    """(id, label, kept columns, votes, pred) from long members (id, member, label, pred): one partial aggregate.
+    ``keep`` names columns that are the same for all members."""
+    return members.groupBy(id_col, "label").agg(*[F.max(c).alias(c) for c in keep], F.sum("pred").cast("int").alias("votes")).withColumn("pred", (F.col("votes") >= _threshold(thresholds, default)).cast("int"))
 
 
 def threshold_sweep(votes: DataFrame, gold: DataFrame, id_col: str, members: int = 3) -> DataFrame:

@@ -12,9 +12,14 @@ class GateError(ValueError):
     pass
 
 
+def duplicates(df: DataFrame, key: str) -> DataFrame:
+    """(key, n): repeated keys, and null ones."""
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) | F.col(key).isNull())
+
+
 def require_unique(df: DataFrame, key: str, what: str = "id") -> DataFrame:
     """No null or repeated keys; at most five examples reach the driver."""
-    bad = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) | F.col(key).isNull()).limit(5).collect()
+    bad = duplicates(df, key).limit(5).collect()
     if bad:
         raise GateError(f"duplicate or missing {what}: {[r[0] for r in bad]}")
     return df
@@ -41,15 +46,31 @@ def require_binary(df: DataFrame, columns: list[str]) -> DataFrame:
     return df
 
 
+def _row(df: DataFrame) -> Column:
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def _tie(df: DataFrame) -> Column:
+    """What tells equal orders apart: the whole row; as JSON where it has maps, which have no order."""
+    return F.to_json(_row(df)) if any("map<" in t for _, t in df.dtypes) else _row(df)
+
+
+def _order(order: Column | str) -> Column:
+    return F.col(order) if isinstance(order, str) else order
+
+
 def keep_last(df: DataFrame, key: str, order: Column | str) -> DataFrame:
-    """The last row of each key, by a partial aggregate rather than a window."""
-    row = F.struct(*[F.col(c) for c in df.columns])
-    return df.groupBy(F.col(key).alias("_k")).agg(F.max_by(row, order).alias("_r")).select("_r.*")
+    """The last row of each key, by a partial aggregate rather than a window.  Rows without an order come
+    first, and of equal ones the largest row is the last.  A null key is a key."""
+    rank = F.struct(_order(order).isNotNull(), _order(order), _tie(df))
+    return df.groupBy(F.col(key).alias("_k")).agg(F.max_by(_row(df), rank).alias("_r")).select("_r.*")
 
 
 def keep_first(df: DataFrame, key: str, order: Column | str) -> DataFrame:
-    row = F.struct(*[F.col(c) for c in df.columns])
-    return df.groupBy(F.col(key).alias("_k")).agg(F.min_by(row, order).alias("_r")).select("_r.*")
+    """The first row of each key.  Rows without an order come last; of equal ones the smallest row is
+    the first."""
+    rank = F.struct(_order(order).isNull(), _order(order), _tie(df))
+    return df.groupBy(F.col(key).alias("_k")).agg(F.min_by(_row(df), rank).alias("_r")).select("_r.*")
 
 
 def align_strict(gold: DataFrame, pred: DataFrame, key: str) -> DataFrame:
@@ -85,3 +106,27 @@ def zip_by_position(left: DataFrame, right: DataFrame, position: str, key: str |
             raise GateError("ids differ at the same position")
         return joined.drop("_id")
     return left.join(right, position)
+
+
+def select_in_order(df: DataFrame, ids: DataFrame, key: str, order: str) -> DataFrame:
+    """The rows of ``ids`` (key, order) in that order; a key that isn't there is an error."""
+    missing = ids.select(key).join(df.select(key), key, "left_anti").limit(5).collect()
+    if missing:
+        raise GateError(f"not found: {[r[0] for r in missing]}")
+    return ids.join(df, key).orderBy(order)
+
+
+def require_same_gold(a: DataFrame, b: DataFrame, id_col: str, truth: str = "truth", label: str = "label") -> None:
+    """Two long gold tables must have the same cells with the same values."""
+    x, y = a.select(id_col, label, F.col(truth).alias("_a")), b.select(id_col, label, F.col(truth).alias("_b"))
+    wrong = x.join(y, [id_col, label], "full_outer").filter(~F.col("_a").eqNullSafe(F.col("_b"))).limit(5).collect()
+    if wrong:
+        raise GateError(f"gold differs: {[(r[0], r[1]) for r in wrong]}")
+
+
+def require_complete(df: DataFrame, status: str = "parse_status", complete: tuple[str, ...] = ("ok", "regex_recovered")) -> DataFrame:
+    """All rows have one of the complete statuses; the counts of the others are in the error."""
+    bad = df.groupBy(status).agg(F.count(F.lit(1)).alias("n")).filter(~F.coalesce(F.col(status).isin(*complete), F.lit(False))).collect()  # a row a status
+    if bad:
+        raise GateError(f"incomplete answers: { {r[0]: r['n'] for r in bad} }")
+    return df

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +37,11 @@ def feature_pipeline(train: DataFrame, numeric: Sequence[str], categorical: Sequ
         ]
         parts.append("_scaled")
     if categorical:
+        # the empty text is a category like others, but the indexer takes no empty names
+        named = ", ".join(f"CASE WHEN `{c}` = '' THEN ' ' ELSE `{c}` END AS `_b_{c}`" for c in categorical)
         stages += [
-            StringIndexer(inputCols=list(categorical), outputCols=[f"_x_{c}" for c in categorical], handleInvalid="keep", stringOrderType="alphabetAsc"),
+            SQLTransformer(statement=f"SELECT *, {named} FROM __THIS__"),
+            StringIndexer(inputCols=[f"_b_{c}" for c in categorical], outputCols=[f"_x_{c}" for c in categorical], handleInvalid="keep", stringOrderType="alphabetAsc"),
             # the indexer's bucket for unknowns is the category that the encoder drops
             OneHotEncoder(inputCols=[f"_x_{c}" for c in categorical], outputCols=[f"_h_{c}" for c in categorical], handleInvalid="error", dropLast=True),
         ]
@@ -46,10 +49,8 @@ def feature_pipeline(train: DataFrame, numeric: Sequence[str], categorical: Sequ
     return Pipeline(stages=[*stages, VectorAssembler(inputCols=parts, outputCol=out)]).fit(train)
 
 
-def _weights(df: DataFrame, label: str) -> Column:
+def _weights(label: str, n: int, pos: int) -> Column:
     """Balanced: n / (2 * n of the class)."""
-    r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("int")).alias("pos")).first()
-    n, pos = r["n"], r["pos"] or 0
     return F.when(F.col(label) == 1, n / (2.0 * max(pos, 1))).otherwise(n / (2.0 * max(n - pos, 1)))
 
 
@@ -67,14 +68,20 @@ class OneVsRest:
         self.models: dict[str, object] = {}
 
     def fit(self, df: DataFrame, features: str = "features") -> OneVsRest:
-        n = df.count()
-        for label in self.labels:
-            pos = df.filter(F.col(label) == 1).count()
-            if pos in (0, n):
-                self.models[label] = int(pos == n and n > 0)
-                continue
-            data = df.select(features, F.col(label).cast("double").alias(label)).withColumn("_w", _weights(df, label))
-            self.models[label] = _model(self.kind, features, label, self.trees, self.seed, n, self.c).fit(data)
+        # the features are worked out once for all labels
+        kept = df.select(features, *self.labels).persist()
+        try:
+            counts = kept.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(x) == 1).alias(x) for x in self.labels]).first()
+            n = counts["_n"]
+            for label in self.labels:
+                pos = counts[label]
+                if pos in (0, n):
+                    self.models[label] = int(pos == n and n > 0)
+                    continue
+                data = kept.select(features, F.col(label).cast("double").alias(label)).withColumn("_w", _weights(label, n, pos))
+                self.models[label] = _model(self.kind, features, label, self.trees, self.seed, n, self.c).fit(data)
+        finally:
+            kept.unpersist()
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -122,3 +129,12 @@ def model_grid(train: DataFrame, test: DataFrame, labels: Sequence[str], feature
             model = ClassifierChain(labels, trees, seed) if kind == "chain" else OneVsRest(labels, kind, trees, seed)
             out[f"{kind}_{name}"] = model.fit(train, column).transform(test)
     return out
+
+
+def frozen_transfer(train: DataFrame, external: DataFrame, labels: Sequence[str], numeric: Sequence[str], categorical: Sequence[str], kind: str = "forest", trees: int = 500, seed: int = 123) -> DataFrame:
+    """Predictions for an external set: imputation, scaling, categories and models are fitted on ``train``
+    alone and then only applied."""
+    known, new = (typed_features(d, numeric, categorical) for d in (train, external))
+    pipeline = feature_pipeline(known, numeric, categorical)
+    model = OneVsRest(labels, kind, trees, seed).fit(pipeline.transform(known))
+    return model.transform(pipeline.transform(new))

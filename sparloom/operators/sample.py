@@ -75,9 +75,12 @@ def ablation_variants(prompts: DataFrame, content: str, pictogram: str, shuffled
     return prompts.select(*keep, F.explode(F.array(*made)).alias("_v")).select(*keep, "_v.*")
 
 
-def permute_column(df: DataFrame, column: str, order: str, id_col: str, seed, out: str | None = None) -> DataFrame:
+def permute_column(df: DataFrame, column: str, order: str, id_col: str, seed, out: str | None = None, split: str | None = None) -> DataFrame:
     """The column's values dealt anew: the row at place k in file order gets the value at place k in hash
-    order.  Both numberings are distributed sorts, joined on the place."""
-    places = numbered(df, [F.col(order)], "_place")
-    dealt = numbered(df.select(F.col(column).alias("_value"), F.col(id_col).alias("_id"), F.col(order).alias("_o")), [X.hashed(seed, F.col("_id")), F.col("_id"), F.col("_o")], "_place")
+    order.  Both numberings are distributed sorts, joined on the place.  With ``split`` values stay in their
+    split: both sorts go by it first, so the places of a split are the same in both."""
+    first = [F.col(split)] if split else []
+    places = numbered(df, [*first, F.col(order)], "_place")
+    kept = df.select(F.col(column).alias("_value"), F.col(id_col).alias("_id"), F.col(order).alias("_o"), *first)
+    dealt = numbered(kept, [*first, X.hashed(seed, F.col("_id")), F.col("_id"), F.col("_o")], "_place")
     return places.join(dealt.select("_place", "_value"), "_place").withColumn(out or column, F.col("_value")).drop("_place", "_value")

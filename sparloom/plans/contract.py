@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from sparloom.functions import records as R
 from sparloom.functions import text as X
 from sparloom.functions import vocabulary as V
+from sparloom.functions.lineage import through_files
 from sparloom.operators import ensemble, gates, integrate, metrics, resample, sample, split
-from sparloom.sources import sinks
+from sparloom.sources import readers, sinks
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -63,7 +64,7 @@ def code_extract_map(spark, sf_dir):
 
 @_register(f"WITH {_CODES_SQL} SELECT p_partkey, " + ", ".join(f"list_contains(labels, '{n}')::INT AS label_{n}" for n in V.LABELS) + " FROM mapped")
 def label_one_hot(spark, sf_dir):
-    return _coded(spark, sf_dir).select("p_partkey", *[F.array_contains("labels", n).cast("int").alias(f"label_{n}") for n in V.LABELS])
+    return _coded(spark, sf_dir).select("p_partkey", *X.one_hot(F.col("labels")))
 
 
 @_register(f"WITH {_CODES_SQL}, e AS (SELECT p_partkey, unnest(codes) AS code, generate_subscripts(codes, 1) AS i FROM mapped) SELECT code, count(*) AS n FROM e GROUP BY code ORDER BY n DESC, min((p_partkey, i)) LIMIT 20")
@@ -206,21 +207,22 @@ def lookup_merge(spark, sf_dir):
     return out.select("c_custkey", "o_orderpriority")
 
 
+# Two parts share a registry number, one part in seven has no property, and pairs agree in their key or not.
 _ENTITY_SQL = f"""
-src AS (SELECT o_orderkey AS rid, CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE 'cas' || (o_orderkey % 500) END AS cas FROM orders),
-cand AS (SELECT DISTINCT 'cas' || (p_partkey % 450) AS cas, p_partkey AS cid FROM part WHERE p_partkey <= 900),
-prop AS (SELECT p_partkey AS cid, upper('key' || ({_h("'k:' || p_partkey")} % 300)) AS inchikey FROM part WHERE p_partkey % 7 <> 0),
-best AS (SELECT rid, count(DISTINCT inchikey) AS k, arg_min(cid, cid) AS cid, arg_min(inchikey, cid) AS inchikey FROM src JOIN cand USING (cas) JOIN prop USING (cid) WHERE cas <> '' GROUP BY rid),
+src AS (SELECT l_orderkey * 10 + l_linenumber AS rid, CASE WHEN l_orderkey % 11 = 0 THEN '' ELSE 'cas' || (l_partkey // 2) END AS cas FROM lineitem),
+cand AS (SELECT DISTINCT 'cas' || (p_partkey // 2) AS cas, p_partkey AS cid FROM part),
+prop AS (SELECT p_partkey AS cid, CASE WHEN {_h("'n:' || p_partkey")} % 7 > 0 THEN upper('key' || ((p_partkey // 4) * 2 + {_h("'k:' || p_partkey")} % 2)) END AS inchikey FROM part),
+best AS (SELECT rid, count(DISTINCT inchikey) AS k, arg_min(cid, cid) AS cid, arg_min(inchikey, cid) AS inchikey FROM src JOIN cand USING (cas) JOIN prop USING (cid) WHERE cas <> '' AND inchikey <> '' GROUP BY rid),
 res AS (SELECT src.rid, cas, CASE WHEN cas = '' THEN 'no_cas' WHEN k IS NULL THEN 'unresolved' WHEN k > 1 THEN 'ambiguous' ELSE 'resolved' END AS status, CASE WHEN k = 1 THEN cid END AS cid, CASE WHEN k = 1 THEN inchikey END AS inchikey FROM src LEFT JOIN best USING (rid))"""
 
 
 def _resolved(spark, sf_dir):
-    k = F.col("o_orderkey")
-    rows = _table(spark, sf_dir, "orders").select(k.alias("rid"), F.when(k % 11 == 0, "").otherwise(F.concat(F.lit("cas"), (k % 500).cast("string"))).alias("cas"))
-    part = _table(spark, sf_dir, "part")
-    p = F.col("p_partkey")
-    cand = part.filter(p <= 900).select(F.concat(F.lit("cas"), (p % 450).cast("string")).alias("cas"), p.alias("cid")).distinct()
-    prop = part.filter(p % 7 != 0).select(p.alias("cid"), F.concat(F.lit("key"), (X.hashed_int("k", p) % 300).cast("string")).alias("inchikey"))
+    number = lambda c: F.concat(F.lit("cas"), F.floor(F.col(c) / 2).cast("string"))
+    rows = _table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("rid"), F.when(F.col("l_orderkey") % 11 == 0, "").otherwise(number("l_partkey")).alias("cas"))
+    part, p = _table(spark, sf_dir, "part"), F.col("p_partkey")
+    cand = part.select(number("p_partkey").alias("cas"), p.alias("cid")).distinct()
+    key = F.concat(F.lit("key"), (F.floor(p / 4) * 2 + X.hashed_int("k", p) % 2).cast("string"))
+    prop = part.select(p.alias("cid"), F.when(X.hashed_int("n", p) % 7 > 0, key).alias("inchikey"))
     return integrate.resolve_entities(rows, cand, prop, "rid", "cas")
 
 
@@ -268,7 +270,7 @@ def dedup_last(spark, sf_dir):
 
 @_register("SELECT user_id, count(*) AS n FROM events GROUP BY user_id HAVING count(*) > 1")
 def duplicate_gate(spark, sf_dir):
-    return _table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return gates.duplicates(_table(spark, sf_dir, "events"), "user_id")
 
 
 @_register("SELECT count_if(l.doc_id IS NULL)::BIGINT AS missing, count_if(d.doc_id IS NULL)::BIGINT AS extra FROM (SELECT DISTINCT doc_id FROM documents) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id")
@@ -290,13 +292,14 @@ def numeric_filter(spark, sf_dir):
 
 @_register("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
 def set_difference(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id").join(_table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+    return readers.missing_ids(_table(spark, sf_dir, "documents").select("doc_id"), _table(spark, sf_dir, "labels"), "doc_id")
 
 
 @_register("SELECT o_custkey AS cas, array_to_string(list_sort(list(DISTINCT o_orderkey)), ',') AS cids FROM orders GROUP BY o_custkey")
 def candidate_exchange(spark, sf_dir):
-    t = _table(spark, sf_dir, "orders")
-    return t.groupBy(F.col("o_custkey").alias("cas")).agg(F.array_join(F.transform(F.sort_array(F.collect_set("o_orderkey")), lambda x: x.cast("string")), ",").alias("cids"))
+    t = _table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    found = through_files(spark, lambda path: t.write.option("sep", "\t").csv(path), lambda path: readers.read_cas_exchange(spark, path))
+    return found.select(F.col("cas").cast("bigint").alias("cas"), F.array_join(F.transform("cids", lambda x: x.cast("string")), ",").alias("cids"))
 
 
 @_register(f"WITH {_ENTITY_SQL} SELECT rid, cas, status, NULL::VARCHAR AS note FROM res WHERE status <> 'resolved' UNION ALL SELECT rid, NULL, NULL, 'even' FROM res WHERE status = 'resolved' AND cid % 2 = 0")
@@ -720,18 +723,20 @@ def flagship(spark, sf_dir):
     wrong = X.hashed_int("f", F.col("member"), F.col("p_partkey"), F.col("label")) % 10 < 2
     members = each.withColumn("pred", F.when(wrong, 1 - F.col("truth")).otherwise(F.col("truth")))
     limits = ensemble.vote_thresholds(V.LABELS, 3, 2, V.RELAXED_VOTE_LABELS)
-    out = F.lit(2)
-    for name, t in limits.items():
-        out = F.when(F.col("label") == name, t).otherwise(out)
-    voted = members.groupBy("p_partkey", "label").agg(F.max("truth").alias("truth"), F.sum("pred").alias("votes")).withColumn("pred", (F.col("votes") >= out).cast("int"))
+    voted = ensemble.vote(members, "p_partkey", limits, keep=["truth"])
     counts = metrics.confusion(voted)
     pooled = counts.agg(F.lit("micro").alias("label"), *[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")])
     return _rounded(metrics.rates(counts.unionByName(pooled)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """These and those of ``workflows``."""
+    from sparloom.plans import workflows  # noqa: F401  registers its own here
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from sparloom.plans import workflows  # noqa: F401
+
     return dict(_SQL)

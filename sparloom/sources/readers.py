@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparloom.functions.lineage import cut
+from sparloom.functions.text import normalize_text
+
 #: Fixed value: encodings in the order in which they are tried.
 ENCODINGS = ("utf-8", "gb18030", "gbk", "iso-8859-1")
 SPARK_ENCODINGS = ("utf-8", "us-ascii", "iso-8859-1", "utf-16", "utf-16be", "utf-16le", "utf-32")
@@ -15,10 +18,18 @@ SPARK_ENCODINGS = ("utf-8", "us-ascii", "iso-8859-1", "utf-16", "utf-16be", "utf
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, encoding: str = "utf-8", empty_as: str | None = None) -> DataFrame:
     """All columns as text, or by ``schema``; quoted line breaks belong to a cell; a byte-order mark is no
     part of the first header.  ``empty_as`` fills null cells of text columns."""
-    if encoding.lower() not in SPARK_ENCODINGS:
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # Spark takes further encodings only with this
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding)
-    df = (reader.schema(schema) if schema else reader.option("inferSchema", False)).csv(path)
+    reader = reader.schema(schema) if schema else reader.option("inferSchema", False)
+    if encoding.lower() in SPARK_ENCODINGS:
+        df = reader.csv(path)
+    else:  # Spark takes further encodings only with a setting; it holds while the file is read, and no longer
+        name = "spark.sql.legacy.javaCharsets"
+        said = spark.conf.get(name)
+        spark.conf.set(name, "true")
+        try:
+            df = cut(reader.csv(path))
+        finally:
+            spark.conf.set(name, said)
     return df if empty_as is None else df.fillna(empty_as)
 
 
@@ -45,7 +56,9 @@ def guess_encoding(spark: SparkSession, path: str) -> str:
 
 
 def read_csv_any(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, encoding=guess_encoding(spark, path))
+    """Text columns in the first encoding that fits, every cell normalised; null cells are empty."""
+    df = read_csv(spark, path, encoding=guess_encoding(spark, path))
+    return df.select(*[normalize_text(F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -78,10 +91,23 @@ def missing_ids(ids: DataFrame, cached: DataFrame, key: str = "cid") -> DataFram
     return ids.join(cached.select(key).distinct(), key, "left_anti")
 
 
+def find_metrics(spark: SparkSession, folder: str) -> list[str]:
+    """``*_metrics.json`` in a folder, or else in the folders below it, or else their ``metrics.json``."""
+    jvm = spark.sparkContext._jvm
+    for pattern in ("*_metrics.json", "*/*_metrics.json", "*/metrics.json"):
+        at = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{pattern}")
+        found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+        if found is not None and len(found):
+            return sorted(f.getPath().toString() for f in found)
+    return []
+
+
 def read_metrics(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """(run_name, metrics) of metric files.  Names come from ``<run>_metrics.json``, or from the folder of a
     plain ``metrics.json``; metrics nested under test are taken out."""
-    raw = spark.read.text(list(paths), wholetext=True).select("value", F.col("_metadata.file_path").alias("p"))
+    # the path comes encoded
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    raw = spark.read.text(list(paths), wholetext=True).select("value", path.alias("p"))
     file, folder = F.element_at(F.split("p", "/"), -1), F.element_at(F.split("p", "/"), -2)
     name = F.when(file == "metrics.json", folder).otherwise(F.regexp_replace(file, r"_metrics\.json$", ""))
     flat = F.from_json("value", "map<string,string>")

@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_csv(df: DataFrame, path: str, fields: Sequence[str] | None = None, single: bool = False) -> None:
+def write_csv(df: DataFrame, path: str, fields: Sequence[str] | None = None, single: bool = False, encoding: str = "utf-8") -> None:
+    """Cells as they are, white space around them too."""
     out = df.select(*fields) if fields else df
-    (out.coalesce(1) if single else out).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    options = {"header": True, "escape": '"', "encoding": encoding, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    (out.coalesce(1) if single else out).write.mode("overwrite").options(**options).csv(path)
+
+
+def write_text_file(spark: SparkSession, path: str, text: str) -> None:
+    """One small file with just this content, in any store that Spark reaches."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
 
 
 def write_jsonl(df: DataFrame, path: str, order: str | None = None, keep_nulls: bool = True) -> None:
@@ -19,11 +33,11 @@ def write_jsonl(df: DataFrame, path: str, order: str | None = None, keep_nulls:
 
 
 def write_summary(row: DataFrame, path: str) -> None:
-    """One object; more rows are an error."""
-    found = row.limit(2).collect()
+    """One object in one file, indented, nulls written; more rows are an error."""
+    found = row.select(F.to_json(F.struct(*row.columns), {"ignoreNullFields": "false"})).limit(2).collect()
     if len(found) != 1:
         raise ValueError(f"a summary has one row, not {len(found)}")
-    row.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    write_text_file(row.sparkSession, path, json.dumps(json.loads(found[0][0]), ensure_ascii=False, indent=2) + "\n")
 
 
 def upsert_leaderboard(old: DataFrame, new: DataFrame, key: str = "run_name", score: str = "micro_f1") -> DataFrame:
@@ -31,15 +45,29 @@ def upsert_leaderboard(old: DataFrame, new: DataFrame, key: str = "run_name", sc
     return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True).orderBy(F.desc(score), key)
 
 
+def read_leaderboard(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table, or the one before it if a run was lost while it was swapped; None if there is neither."""
+    jvm = spark.sparkContext._jvm
+    for p in (path, path + ".old"):
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            return spark.read.parquet(p)
+    return None
+
+
 def save_leaderboard(spark: SparkSession, path: str, new: DataFrame, key: str = "run_name", score: str = "micro_f1") -> None:
-    """Written beside the old one first and then swapped in, since Spark reads lazily."""
+    """Written beside the old table, which is renamed and goes last: at any time one of the two is whole."""
     jvm = spark.sparkContext._jvm
-    at, side = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".new")
+    at, side, aside = (jvm.org.apache.hadoop.fs.Path(path + end) for end in ("", ".new", ".old"))
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    table = upsert_leaderboard(spark.read.parquet(path), new, key, score) if fs.exists(at) else new.orderBy(F.desc(score), key)
+    old = read_leaderboard(spark, path)
+    table = upsert_leaderboard(old, new, key, score) if old is not None else new.orderBy(F.desc(score), key)
     table.coalesce(1).write.mode("overwrite").parquet(path + ".new")
-    fs.delete(at, True)
+    if fs.exists(at):
+        fs.delete(aside, True)
+        fs.rename(at, aside)
     fs.rename(side, at)
+    fs.delete(aside, True)
 
 
 def metric_pivot(table: DataFrame, runs: Sequence[str], metrics: Sequence[str], key: str = "run_name") -> DataFrame:
