@@ -471,12 +471,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array([_set_digest(s) for s in sets], pa.int64()), lists], names=["same", "members"])
 
-    def similar(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs whose whole sets are similar, out of those that their parity maps leave.  Only one
-        text an entry is read again."""
-        maps = distinct.select("same", "n", "parity")
-        mapped = pairs.join(maps.toDF("a", "n", "x"), "a").join(maps.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
-        close = scratch.write(mapped.mapInArrow(loosely, "a long, b long"))
+    def similar(pairs: DataFrame, sifted: bool = False) -> DataFrame:
+        """Those of the pairs whose whole sets are similar, out of those that their parity maps leave (which may
+        have been looked at).  Only one text an entry is read again."""
+        if not sifted:
+            maps = distinct.select("same", "n", "parity")
+            pairs = pairs.join(maps.toDF("a", "n", "x"), "a").join(maps.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y").mapInArrow(loosely, "a long, b long")
+        close = scratch.write(pairs)
         wanted = scratch.write(close.select(F.col("a").alias("same")).union(close.select("b")).distinct())
         keys = scratch.write(distinct.join(few(wanted), "same", "left_semi").select(F.col("first_key").alias("row_key")))
         every = texts.join(few(keys), "row_key", "left_semi").select("t").mapInArrow(members, "same long, members array<long>")
@@ -505,23 +506,21 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         led = leading.repartition("h").sortWithinPartitions("h", "n", "node").mapInArrow(meet, met_schema).filter("b is not null")
         links = similar(met.filter("b is not null").select("a", "b").union(led.select("a", "b")).union(one_fp).union(near_fp).distinct())
         roots = components(links, scratch)
-        left = scratch.write(met.filter("b is null").select("h", "a", "n", "pos"))
+        # bins with entries of more than one group
+        left = met.filter("b is null").select("h", "a", "n", "pos")
+        rooted = left.join(few(roots), F.col("a") == F.col("node"), "left").select("h", "a", "n", "pos", F.coalesce("root", "a").alias("root"))
+        several = rooted.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo != hi").select("h", F.ceil(F.col("size") / _BLOCK).cast("int").alias("blocks"))
+        in_several = left.join(scratch.write(several), "h").join(distinct.select(F.col("same").alias("a"), "parity"), "a")
+        mine = F.pmod(F.xxhash64("a", "h"), F.col("blocks")).cast("int").alias("block")
+        open_ = scratch.write(in_several.select("h", "a", "n", "pos", "parity", "blocks", mine))
         scratch.drop(met)
         new, rounds = links, 0
         while True:
-            # what is left of the bins: entries of more than one group
-            state = distinct.join(roots, distinct["same"] == roots["node"], "left").select(F.col("same").alias("a"), F.coalesce("root", "same").alias("root"))
-            rooted = scratch.write(left.select("h", "a", "n", "pos").join(state, "a"))
-            several = rooted.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo != hi").select("h", F.ceil(F.col("size") / _BLOCK).cast("int").alias("blocks"))
-            open_ = scratch.write(rooted.join(several, "h"))
-            scratch.drop(left, rooted)
-            left = open_
-            mine = F.pmod(F.xxhash64("a", "h"), F.col("blocks")).cast("int").alias("block")
-            dealt = open_.select("*", mine).join(distinct.select(F.col("same").alias("a"), "parity"), "a").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            units = dealt.select("h", F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"), "block", "a", "n", "pos", "root", "parity")
+            now = open_.join(few(roots), F.col("a") == F.col("node"), "left").withColumn("root", F.coalesce("root", "a")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            units = now.select("h", F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"), "block", "a", "n", "pos", "root", "parity")
             last = new.isEmpty() or rounds == _NEAREST
             pairs = units.repartition("h", "u", "v").sortWithinPartitions("h", "u", "v", "n", "a").mapInArrow(every if last else nearest, "a long, b long")
-            new = similar(pairs.distinct())
+            new = similar(pairs.distinct(), sifted=True)
             if not new.isEmpty():
                 # the groups so far, and what joins them
                 roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new), scratch)

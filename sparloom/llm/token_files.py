@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import string
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -170,7 +171,9 @@ class WordEncoder:
     """
 
     ODD = [chr(c) for c in (0, 9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
-    ENTRIES = 700_000  # some 140 MB
+    ENTRIES = 400_000  # some 80 MB
+    #: Marks after a letter or digit begin a part of their own; an apostrophe may not.
+    TAIL = string.punctuation.replace("'", "")
     LENGTH = 48
 
     def __init__(self, path: str):
@@ -221,17 +224,31 @@ class WordEncoder:
             yield b"".join(parts) if parts is not None else self.whole(t) if t else b""
 
     def _encode_words(self, words: list[str], at_once: int = 2000) -> dict[str, bytes]:
-        """Words joined by newlines, encoded together and cut at the newlines' identifiers."""
+        """Identifiers of words.  A word is looked up without the marks at its end first, and those by
+        themselves, since many words differ in them only; what is new is joined by newlines, encoded together
+        and cut at the newlines' identifiers."""
         fresh: dict[str, bytes] = {}
+        parts: dict[str, tuple[str, str]] = {}
+        wanted: dict[str, None] = {}
+        for w in words:
+            core = w.rstrip(self.TAIL)
+            if len(core) < len(w) and core and core[-1].isalnum():
+                parts[w] = core, "\r" + w[len(core) :]  # marks stand as a first word does, without a space
+            for x in parts.get(w, (w,)):
+                if x not in self.kept:
+                    wanted[x] = None
         mark = np.array([self.newline], "<u4").tobytes()
-        for i in range(0, len(words), at_once):
-            some = words[i : i + at_once]
+        new = list(wanted)
+        for i in range(0, len(new), at_once):
+            some = new[i : i + at_once]
             ids = np.array(self.library.encode_batch_fast(["\n".join([w[1:] if w[0] in "\n\r" else " " + w for w in some])], add_special_tokens=False)[0].ids, "<u4")
             data, ends = ids.tobytes(), (4 * np.flatnonzero(ids == self.newline)).tolist()
             if len(ends) != len(some) - 1:
                 raise ValueError("the tokenizer doesn't keep newlines apart")
             for w, a, z in zip(some, [0, *[e + 4 for e in ends]], [*ends, len(data)], strict=True):
                 fresh[w] = mark + data[a:z] if w[0] == "\n" else data[a:z]
+        for w, (core, tail) in parts.items():
+            fresh[w] = (self.kept.get(core) or fresh[core]) + (self.kept.get(tail) or fresh[tail])
         if len(self.kept) < self.ENTRIES:
             self.kept.update((w, b) for w, b in fresh.items() if len(w) <= self.LENGTH)
         return fresh
