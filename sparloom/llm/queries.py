@@ -58,6 +58,11 @@ def op9_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return disclosure.report(disclosure.find_personal_data(table(spark, sf_dir, "documents")))
 
 
+def sanitised_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What operator 9 makes of the texts: entities and disclosing terms generalised or removed."""
+    return disclosure.sanitise(table(spark, sf_dir, "documents")).select("doc_id", "text")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files go to a folder of their own in the shared one, and away once they have been read back."""
     path = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
@@ -80,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lz_fingerprint": op8_lz_fingerprint,
         "op9_disclosure": op9_disclosure,
         "op10_token_files": op10_token_files,
+        "sanitised_documents": sanitised_documents,
     }
 
 
