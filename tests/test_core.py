@@ -29,7 +29,7 @@ def test_codes(spark):
     assert got == [["H066", "H300", "H310"], ["H225", "H360", "H300"], [], ["H271", "H225"]]
     labels = [r.c for r in one(spark, "t string", *rows).select(X.codes_to_labels(X.extract_codes(F.col("t"))).alias("c")).collect()]
     assert labels == [["acute_toxicity"], ["flammable", "cmr", "acute_toxicity"], [], ["flammable"]]
-    assert len(V.CODE_TO_LABEL) == sum(len(c.split()) for c in V.CODES.values())
+    assert len(V.CODE_TO_LABEL) == sum(len(c) for c in V.CODES.values())
 
 
 def test_clean(spark):
@@ -330,3 +330,55 @@ def test_group_split_fills_rooms_beyond_the_groups_placed_singly(spark, monkeypa
     for part, share in zip(("train", "val", "test"), (0.8, 0.1, 0.1), strict=True):
         assert abs(sum(r.split == part for r in got) - share * len(got)) <= 2
         assert abs(sum(r.split == part and r.y for r in got) - share * sum(r.y for r in got)) <= 2
+
+
+def test_first_and_last_of_ties_and_nulls(spark):
+    rows = [(1, None, "x"), (1, 5, "b"), (1, 5, "a"), (2, None, "q"), (2, None, "p"), (None, 1, "n")]
+    df = one(spark, "k int, o int, v string", *rows).repartition(3)
+    assert {(r.k, r.v) for r in gates.keep_last(df, "k", "o").collect()} == {(1, "b"), (2, "q"), (None, "n")}
+    assert {(r.k, r.v) for r in gates.keep_first(df, "k", "o").collect()} == {(1, "a"), (2, "p"), (None, "n")}
+    with_map = df.withColumn("m", F.create_map(F.lit("a"), F.col("v")))
+    assert {(r.k, r.v) for r in gates.keep_last(with_map, "k", F.col("o")).collect()} == {(1, "b"), (2, "q"), (None, "n")}
+
+
+def test_more_gates_raise(spark):
+    df = one(spark, "id int, label string, truth int, parse_status string", (1, "a", 1, "ok"), (2, "a", 0, "failed"))
+    with pytest.raises(gates.GateError, match="failed"):
+        gates.require_complete(df)
+    gates.require_complete(df.filter("id = 1"))
+    gates.require_same_gold(df, df, "id")
+    for other in (df.withColumn("truth", F.lit(1)), df.filter("id = 1"), df.withColumn("truth", F.when(F.col("id") == 1, 1))):
+        with pytest.raises(gates.GateError):
+            gates.require_same_gold(df, other, "id")
+    order = one(spark, "id int, o int", (2, 0), (1, 1))
+    assert [r.id for r in gates.select_in_order(df, order, "id", "o").collect()] == [2, 1]
+    with pytest.raises(gates.GateError):
+        gates.select_in_order(df.filter("id = 1"), order, "id", "o")
+
+
+def test_split_audit(spark):
+    df = one(spark, "id int, text string, grp string, split string", (1, "a", "g", "train"), (2, "a", "", "train"), (2, "b", None, "train"), (3, "c", "h", "test"))
+    got = {r.split: (r.n, r.n_ids, r.n_texts, r.with_group, r.without_group) for r in split.audit(df, "id", "text", "grp").collect()}
+    assert got == {"train": (3, 2, 2, 1, 2), "test": (1, 1, 1, 1, 0)}
+
+
+def test_permutation_within_splits(spark):
+    rows = [(i, f"{'ab'[i % 2]}{i}", i % 2) for i in range(40)]
+    got = sample.permute_column(one(spark, "id int, v string, s int", *rows).repartition(3), "v", "id", "id", 5, "dealt", split="s").collect()
+    assert all(r.dealt[0] == "ab"[r.s] for r in got) and sorted(r.dealt for r in got) == sorted(v for _, v, _ in rows)
+    assert any(r.dealt != r.v for r in got)
+
+
+def test_cuts_by_an_ordinary_join(spark, monkeypatch):
+    df = spark.range(500).withColumn("g", F.col("id") % 7)
+    cuts = {g: [5, 20] for g in range(7)}
+    take = lambda: {tuple(r) for r in split.take_by_hash(df, "id", 3, cuts, ["a", "b", "c"], F.col("g")).collect()}
+    want = take()
+    monkeypatch.setattr(split, "MAX_BROADCAST_ROWS", 0)
+    assert take() == want
+
+
+def test_whole_rule_statuses(spark):
+    cells = ["Category 1A", " category  2 ", "Not classified", "-", None, "", "NaN", "Type C", "dissolved gas", "free text", "Classification not possible"]
+    got = [r.s for r in one(spark, "i int, c string", *enumerate(cells)).select("i", X.status_for_cell(F.col("c"), r"Category\s+1A").alias("s")).orderBy("i").collect()]
+    assert got == [1, 0, 0, None, None, None, None, 0, 0, None, None]

@@ -186,3 +186,50 @@ def test_hooks_and_preparation(spark):
     with pytest.raises(GateError):
         prepare.predict_input(recs)
     assert prepare.predict_input(recs.filter("id = '1'")).first().smiles == "CC"
+
+
+def test_leaderboard_survives_a_crash(spark, tmp_path):
+    path = "file://" + str(tmp_path / "board")
+    row = lambda n, f: spark.createDataFrame([(n, f)], "run_name string, micro_f1 double")
+    assert sinks.read_leaderboard(spark, path) is None
+    sinks.save_leaderboard(spark, path, row("a", 0.5))
+    (tmp_path / "board").rename(tmp_path / "board.old")  # lost between the two renames
+    sinks.save_leaderboard(spark, path, row("b", 0.7))
+    assert [r.run_name for r in sinks.read_leaderboard(spark, path).collect()] == ["b", "a"]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["board"]
+
+
+def test_files_go_after_use(spark, tmp_path):
+    from sparloom.functions.lineage import shared_folder, through_files
+
+    t = spark.createDataFrame([(1, "x")], "a int, b string")
+    seen = []
+    got = through_files(spark, lambda p: (seen.append(p), t.write.parquet(p)), lambda p: spark.read.parquet(p))
+    assert [tuple(r) for r in got.collect()] == [(1, "x")]
+    assert seen[0].startswith(shared_folder(spark)) and not os.path.exists(seen[0].removeprefix("file://"))
+
+
+def test_other_encodings_leave_the_session_alone(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("name,x\n\"中 文 \",1\n".encode("gb18030"))
+    before = spark.conf.get("spark.sql.legacy.javaCharsets")
+    got = readers.read_csv_any(spark, str(tmp_path / "a.csv")).collect()
+    assert [tuple(r) for r in got] == [("中 文", "1")] and spark.conf.get("spark.sql.legacy.javaCharsets") == before
+
+
+def test_metrics_are_found_in_turn(spark, tmp_path):
+    base = "file://" + str(tmp_path)
+    assert readers.find_metrics(spark, base) == []
+    sinks.write_text_file(spark, f"{base}/r1/metrics.json", '{"f": 1}')
+    assert [p.rsplit("/", 2)[1] for p in readers.find_metrics(spark, base)] == ["r1"]
+    sinks.write_text_file(spark, f"{base}/r2/x_metrics.json", '{"f": 2}')
+    assert [r.run_name for r in readers.read_metrics(spark, readers.find_metrics(spark, base)).collect()] == ["x"]
+    sinks.write_text_file(spark, f"{base}/y_metrics.json", '{"f": 3}')
+    assert [r.run_name for r in readers.read_metrics(spark, readers.find_metrics(spark, base)).collect()] == ["y"]
+
+
+def test_frozen_transfer(spark):
+    rows = [(i, str(i % 10), "a" if i % 10 > 4 else "", int(i % 10 > 4)) for i in range(80)]
+    train = spark.createDataFrame(rows, "id int, x string, c string, y int")
+    new = spark.createDataFrame([(1, "9", "a"), (2, "0", ""), (3, None, "unseen")], "id int, x string, c string")
+    got = {r.id: r.pred_y for r in ml.frozen_transfer(train, new, ["y"], ["x"], ["c"], trees=5).collect()}
+    assert got[1] == 1 and got[2] == 0 and got[3] in (0, 1)
