@@ -2,14 +2,17 @@
 
 A replicate is n draws with replacement.  Its counts of each row come from hashed draw numbers, so a result
 depends on seed and rows alone.  Rows are reduced to sufficient statistics first (per label tp, fp, fn;
-wrong cells; exact match), drawn row numbers are counted per replicate, joined to the statistics and summed:
-everything is a distributed aggregate, whatever n.
+wrong cells; exact match), drawn rows are counted by replicate and statistics, and summed: everything is a
+distributed aggregate, whatever n.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,10 +24,14 @@ from sparloom.operators.metrics import ratio
 METRICS = ("subset_accuracy", "micro_f1", "macro_f1", "hamming_loss")
 
 
+#: Rows that may be broadcast with their statistics: some 50 MB.
+MAX_BROADCAST_ROWS = 500_000
+
+
 def draws(spark, replicates: int, n: int, seed) -> DataFrame:
-    """(b, idx, times): how often each row number is drawn in each replicate."""
+    """(b, idx): n drawn row numbers for each replicate."""
     cells = spark.range(replicates * n).select(F.floor(F.col("id") / F.lit(n)).cast("int").alias("b"), F.pmod(F.col("id"), F.lit(n)).alias("j"))
-    return cells.select("b", F.pmod(hashed_int(seed, F.col("b"), F.col("j")), F.lit(n)).alias("idx")).groupBy("b", "idx").agg(F.count(F.lit(1)).alias("times"))
+    return cells.select("b", F.pmod(hashed_int(seed, F.col("b"), F.col("j")), F.lit(n)).alias("idx"))
 
 
 def row_statistics(wide: DataFrame, id_col: str, labels: Sequence[str], truth, pred, prefix: str = "") -> DataFrame:
@@ -46,30 +53,72 @@ def _metrics(labels: Sequence[str], weight: Column, prefix: str = "") -> list[Co
     return [values[m].alias(f"{prefix}{m}") for m in METRICS]
 
 
-def replicates_of(stats: DataFrame, id_col: str, labels: Sequence[str], replicates: int, seed, prefixes: Sequence[str] = ("",)) -> DataFrame:
-    """(b, metrics): one row a replicate."""
-    rows = numbered(stats, [F.col(id_col)], "idx")
+def replicates_of(stats: DataFrame, id_col: str, labels: Sequence[str], replicates: int, seed, prefixes: Sequence[str] = ("",), by_class: bool = False) -> DataFrame:
+    """(b, metrics): one row a replicate.
+
+    Statistics take few values, so drawn rows are counted by their values where they are drawn (the statistics
+    are broadcast while they are few) and only these counts are shuffled.  ``by_class`` draws the counts
+    themselves, for any number of rows: as many multinomial draws as there are replicates, over classes of rows
+    with equal statistics.  It is the same estimator with other random numbers.
+    """
+    kinds = [c for c in stats.columns if c != id_col]
     n = stats.count()
     if not n:
         raise GateError("nothing to draw from")
-    return draws(stats.sparkSession, replicates, n, seed).join(rows, "idx").groupBy("b").agg(*[m for p in prefixes for m in _metrics(labels, F.col("times"), p)])
-
-
-def bootstrap_ci(stats: DataFrame, id_col: str, labels: Sequence[str], replicates: int = 10_000, seed=123, alpha: float = 0.05) -> DataFrame:
+    if by_class:
+        return _class_replicates(stats, kinds, labels, replicates, n, seed, prefixes)
+    rows = numbered(stats, [F.col(id_col)], "idx").drop(id_col)
+    drawn = draws(stats.sparkSession, replicates, n, seed).join(F.broadcast(rows) if n <= MAX_BROADCAST_ROWS else rows, "idx")
+    counted = drawn.groupBy("b", *kinds).agg(F.count(F.lit(1)).alias("times"))
+    return counted.groupBy("b").agg(*[m for p in prefixes for m in _metrics(labels, F.col("times"), p)])
+
+
+#: Classes that are drawn from at a time on each task: some 100 MB with nine labels and two systems.
+MAX_CLASSES = 500_000
+
+
+def _class_replicates(stats: DataFrame, kinds: Sequence[str], labels: Sequence[str], replicates: int, n: int, seed, prefixes: Sequence[str]) -> DataFrame:
+    spark = stats.sparkSession
+    table = stats.groupBy(*kinds).agg(F.count(F.lit(1)).alias("size")).orderBy(*kinds).limit(MAX_CLASSES + 1).toPandas()
+    if len(table) > MAX_CLASSES:
+        raise GateError(f"more than {MAX_CLASSES} different row statistics: draw rows")
+    shared = spark.sparkContext.broadcast((table[list(kinds)].to_numpy(np.float64), table["size"].to_numpy(np.float64) / n))
+    at = {k: i for i, k in enumerate(kinds)}
+    names = [f"{p}{m}" for p in prefixes for m in METRICS]
+
+    def draw(batches):
+        values, shares = shared.value
+        for batch in batches:
+            out = []
+            for b in batch["id"]:
+                sums = np.random.default_rng([abs(hash_seed), int(b)]).multinomial(n, shares) @ values
+                row = [int(b)]
+                for p in prefixes:
+                    tp, fp, fn = (np.array([sums[at[f"{p}{k}_{x}"]] for x in labels]) for k in ("tp", "fp", "fn"))
+                    divide = lambda a, c: np.where(c > 0, a / np.where(c > 0, c, 1), 0.0)
+                    row += [sums[at[f"{p}exact"]] / n, float(divide(2 * tp.sum(), (2 * tp + fp + fn).sum())), float(divide(2 * tp, 2 * tp + fp + fn).mean()), sums[at[f"{p}wrong"]] / (n * len(labels))]
+                out.append(row)
+            yield pd.DataFrame(out, columns=["b", *names])
+
+    hash_seed = int.from_bytes(hashlib.md5(str(seed).encode()).digest()[:4], "big")
+    return spark.range(replicates).repartition(max(1, min(replicates // 100, 200))).mapInPandas(draw, "b int, " + ", ".join(f"{x} double" for x in names))
+
+
+def bootstrap_ci(stats: DataFrame, id_col: str, labels: Sequence[str], replicates: int = 10_000, seed=123, alpha: float = 0.05, by_class: bool = False) -> DataFrame:
     """(metric, value, mean, ci95_low, ci95_high): exact percentiles with linear interpolation; the names
     are ci95 whatever alpha is."""
     point = stats.agg(*_metrics(labels, F.lit(1))).unpivot([], list(METRICS), "metric", "value")
-    long = replicates_of(stats, id_col, labels, replicates, seed).unpivot(["b"], list(METRICS), "metric", "v")
+    long = replicates_of(stats, id_col, labels, replicates, seed, by_class=by_class).unpivot(["b"], list(METRICS), "metric", "v")
     spread = long.groupBy("metric").agg(F.avg("v").alias("mean"), F.percentile("v", alpha / 2).alias("ci95_low"), F.percentile("v", 1 - alpha / 2).alias("ci95_high"))
     return point.join(spread, "metric").select("metric", "value", "mean", "ci95_low", "ci95_high")
 
 
-def paired_bootstrap(stats: DataFrame, id_col: str, labels: Sequence[str], replicates: int = 10_000, seed=123, alpha: float = 0.05) -> DataFrame:
+def paired_bootstrap(stats: DataFrame, id_col: str, labels: Sequence[str], replicates: int = 10_000, seed=123, alpha: float = 0.05, by_class: bool = False) -> DataFrame:
     """Deltas of system b over a, both drawn alike (columns prefixed ``a_`` and ``b_``): point, interval, share
     of replicates at or below 0, and share in which b isn't better (lower is better for the Hamming loss)."""
     both = [F.col(f"b_{m}") - F.col(f"a_{m}") for m in METRICS]
     point = stats.agg(*_metrics(labels, F.lit(1), "a_"), *_metrics(labels, F.lit(1), "b_")).select(*[d.alias(m) for d, m in zip(both, METRICS, strict=True)]).unpivot([], list(METRICS), "metric", "delta")
-    drawn = replicates_of(stats, id_col, labels, replicates, seed, ("a_", "b_")).select("b", *[d.alias(m) for d, m in zip(both, METRICS, strict=True)]).unpivot(["b"], list(METRICS), "metric", "d")
+    drawn = replicates_of(stats, id_col, labels, replicates, seed, ("a_", "b_"), by_class).select("b", *[d.alias(m) for d, m in zip(both, METRICS, strict=True)]).unpivot(["b"], list(METRICS), "metric", "d")
     worse = F.when(F.col("metric") == "hamming_loss", F.col("d") >= 0).otherwise(F.col("d") <= 0)
     spread = drawn.groupBy("metric").agg(
         F.percentile("d", alpha / 2).alias("ci95_low"), F.percentile("d", 1 - alpha / 2).alias("ci95_high"), F.avg((F.col("d") <= 0).cast("double")).alias("p_delta_le_0"), F.avg(worse.cast("double")).alias("p_not_better")

@@ -382,3 +382,19 @@ def test_whole_rule_statuses(spark):
     cells = ["Category 1A", " category  2 ", "Not classified", "-", None, "", "NaN", "Type C", "dissolved gas", "free text", "Classification not possible"]
     got = [r.s for r in one(spark, "i int, c string", *enumerate(cells)).select("i", X.status_for_cell(F.col("c"), r"Category\s+1A").alias("s")).orderBy("i").collect()]
     assert got == [1, 0, 0, None, None, None, None, 0, 0, None, None]
+
+
+def test_bootstrap_by_class_agrees(spark):
+    rows = [(i, int(i % 3 > 0), int(i % 3 > 0) ^ int(i % 7 == 0), int(i % 5 > 0), int(i % 5 > 0) ^ int(i % 4 == 0), int(i % 2)) for i in range(700)]
+    wide = one(spark, "id int, t_a int, p_a int, t_b int, p_b int, q_b int", *rows)
+    stats = resample.row_statistics(wide, "id", ["a", "b"], lambda n: F.col(f"t_{n}"), lambda n: F.col(f"p_{n}"))
+    both = [{r.metric: r for r in resample.bootstrap_ci(stats, "id", ["a", "b"], 400, by_class=c).collect()} for c in (False, True)]
+    for m in resample.METRICS:
+        x, y = (b[m] for b in both)
+        assert x.value == pytest.approx(y.value) and x.mean == pytest.approx(y.mean, abs=0.01)
+        assert x.ci95_low == pytest.approx(y.ci95_low, abs=0.02) and x.ci95_high == pytest.approx(y.ci95_high, abs=0.02)
+    other = resample.row_statistics(wide, "id", ["a", "b"], lambda n: F.col(f"t_{n}"), lambda n: F.col("q_b"), "b_")
+    paired = resample.row_statistics(wide, "id", ["a", "b"], lambda n: F.col(f"t_{n}"), lambda n: F.col(f"p_{n}"), "a_").join(other, "id")
+    x, y = ({r.metric: r for r in resample.paired_bootstrap(paired, "id", ["a", "b"], 400, by_class=c).collect()} for c in (False, True))
+    for m in resample.METRICS:
+        assert x[m].delta == pytest.approx(y[m].delta) and x[m].ci95_low == pytest.approx(y[m].ci95_low, abs=0.03) and x[m].p_not_better == pytest.approx(y[m].p_not_better, abs=0.05)
