@@ -120,6 +120,11 @@ def field_counts(df: DataFrame, fields: str) -> DataFrame:
     return df.select(F.explode(F.map_keys(fields)).alias("field")).groupBy("field").agg(F.count(F.lit(1)).alias("n"))
 
 
+def feature_counts(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(feature, n): rows in which each column has a value, in one pass."""
+    return df.agg(*[F.count(c).alias(c) for c in features]).unpivot([], list(features), "feature", "n")
+
+
 def status_histogram(df: DataFrame, status: str = "parse_status") -> DataFrame:
     return df.groupBy(status).agg(F.count(F.lit(1)).alias("n"))
 

@@ -474,6 +474,12 @@ def complete_answers(spark, sf_dir):
     return metrics.status_histogram(gates.require_complete(t))
 
 
+@_register("SELECT 'x' AS feature, count(*) FILTER (p_size % 4 <> 0) AS n FROM part UNION ALL SELECT 'c', count(*) FROM part UNION ALL SELECT 'absent', 0::BIGINT FROM region WHERE r_regionkey = (SELECT min(r_regionkey) FROM region)")
+def observed_features(spark, sf_dir):
+    raw = _table(spark, sf_dir, "part").select(F.when(F.col("p_size") % 4 == 0, "nan").otherwise(F.col("p_size").cast("string")).alias("x"), F.col("p_brand").alias("c"))
+    return metrics.feature_counts(ml.typed_features(raw, ["x", "absent"], ["c"]), ["x", "absent", "c"])
+
+
 # ---- splits, factors, permutations ---------------------------------------------------------------------
 
 
@@ -501,6 +507,13 @@ def stratified_sizes(spark, sf_dir):
     return split.stratified_split(docs, "doc_id", ["quality", "toxic"], 0.1, 0.1, 123).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
+@_register("SELECT source, 1::BIGINT AS n_splits, count(*) AS n FROM documents GROUP BY source")
+def whole_groups(spark, sf_dir):
+    """A group split leaves every group in one piece, and loses no row."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", (F.col("n_chars") > 2000).cast("int").alias("long"))
+    return split.group_split(docs, "source", ["long"], 0.1, 0.1, 123).groupBy("source").agg(F.count_distinct("split").alias("n_splits"), F.count(F.lit(1)).alias("n"))
+
+
 @_register("SELECT * FROM (VALUES ('cmr', 2.5::DOUBLE), ('stot', 3.0::DOUBLE), ('oxidizing', 2.0::DOUBLE), ('gas_under_pressure', 2.0::DOUBLE), ('environmental_hazard', 2.0::DOUBLE)) t(label, factor)")
 def replay_factors(spark, sf_dir):
     return spark.createDataFrame(list(sample.parse_factors("cmr=2.5, stot = 3", uniform=2).items()), "label string, factor double")
@@ -550,3 +563,27 @@ def feature_table(spark, sf_dir):
     made = ml.feature_pipeline(t.filter("p_partkey % 5 > 0"), ["x", "absent"], ["c"]).transform(t)
     a = ml.vector_to_array("features")
     return _rounded(made.select("p_partkey", *[a[i].alias(f"f{i}") for i in range(5)]))
+
+
+def _separable(spark, sf_dir):
+    """Two labels that two features tell without doubt, so any sound model finds them."""
+    p = F.col("p_partkey")
+    own = {"a": (F.col("p_size") > 25).cast("int"), "b": (p % 2).cast("int")}
+    return _table(spark, sf_dir, "part").select("p_partkey", (own["a"] * 3 + 1).cast("string").alias("x"), F.when(p % 2 == 1, "odd").otherwise("").alias("c"), *[v.alias(k) for k, v in own.items()])
+
+
+@_register("SELECT p_partkey, model, (p_size > 25)::INT AS pred_a, (p_partkey % 2)::INT AS pred_b FROM part, (VALUES ('forest_plain'), ('logistic_plain'), ('chain_plain')) t(model)")
+def model_grid(spark, sf_dir):
+    t = ml.typed_features(_separable(spark, sf_dir), ["x"], ["c"])
+    made = ml.feature_pipeline(t, ["x"], ["c"]).transform(t).select("p_partkey", "a", "b", "features")
+    found = ml.model_grid(made, made, ["a", "b"], {"plain": "features"}, trees=5)
+    parts = [d.select("p_partkey", F.lit(n).alias("model"), "pred_a", "pred_b") for n, d in found.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@_register("SELECT p_partkey, (p_size > 25)::INT AS pred_a, (p_partkey % 2)::INT AS pred_b FROM part")
+def frozen_transfer(spark, sf_dir):
+    """Fitted on four fifths of the rows, applied to all."""
+    t = _separable(spark, sf_dir)
+    train = t.filter(X.hashed_int("t", F.col("p_partkey")) % 5 > 0)
+    return ml.frozen_transfer(train, t.drop("a", "b"), ["a", "b"], ["x"], ["c"], trees=5).select("p_partkey", "pred_a", "pred_b")
