@@ -73,6 +73,15 @@ def keep_first(df: DataFrame, key: str, order: Column | str) -> DataFrame:
     return df.groupBy(F.col(key).alias("_k")).agg(F.min_by(_row(df), rank).alias("_r")).select("_r.*")
 
 
+def with_row_ids(df: DataFrame, key: str, order: Column | str) -> DataFrame:
+    """``df`` with the row's place from 0, in the given order, as the key of rows that have none."""
+    from sparloom.functions.lineage import numbered
+
+    placed = numbered(df, [_order(order)], "_place")
+    own = F.nullif(F.trim(F.col(key).cast("string")), F.lit(""))
+    return placed.withColumn(key, F.coalesce(own, F.col("_place").cast("string"))).drop("_place")
+
+
 def align_strict(gold: DataFrame, pred: DataFrame, key: str) -> DataFrame:
     """Inner join of tables whose keys are unique and equal."""
     require_unique(gold, key)
