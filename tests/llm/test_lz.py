@@ -1,19 +1,21 @@
 import hashlib
 
+import xxhash
+
 from sparloom.llm import lz_fingerprint as lz
 
 
 def brute_phrases(text):
-    seen, i = [], 0
+    seen, i = {}, 0
     while i < len(text):
         j = i + 1
         while text[i:j] in seen and j <= len(text):
             j += 1
         if j > len(text):
             break
-        seen.append(text[i:j])
+        seen[text[i:j]] = None
         i = j
-    return seen
+    return list(seen)
 
 
 def test_parse_equals_brute_force():
@@ -21,6 +23,21 @@ def test_parse_equals_brute_force():
         assert lz.parse(t, set(), "")[0] == brute_phrases(t)
 
 
+def plain_signature(phrases):
+    """Minima of 128 hash functions over a phrase set, in whole numbers, low 16 bits of each."""
+    out = []
+    hashes = [xxhash.xxh3_64_intdigest(p.encode()) for p in phrases]
+    for i in range(128):
+        raw = hashlib.sha256(f"phrase family {i}".encode()).digest()
+        a, b = int.from_bytes(raw[:8], "little") | 1, int.from_bytes(raw[8:16], "little")
+        out.append(min([((h * a + b) % 2**64) >> 32 for h in hashes] or [2**32 - 1]) % 65536)
+    return b"".join(x.to_bytes(2, "little") for x in out)
+
+
+def plain_likeness(a, b):
+    return sum(a[i : i + 2] == b[i : i + 2] for i in range(0, 256, 2)) / 128
+
+
 def brute(rows):
     rows = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashlib.sha256((r[1] or "").encode()).hexdigest()))
     out = []
@@ -28,8 +45,8 @@ def brute(rows):
         t, nxt = t or "", rows[(i + 1) % len(rows)][1] or ""
         half = len(t) // 2
         edited = t[: len(t) - half] + nxt[:half]
-        a, b, c = (lz.signature(lz.minima(brute_phrases(x), lz._NONE)) for x in (t, edited, nxt))
-        out.append((k, len(t), hashlib.sha256(edited.encode()).hexdigest(), a.hex(), b.hex(), lz.likeness(a, b), lz.likeness(a, c)))
+        a, b, c = (plain_signature(brute_phrases(x)) for x in (t, edited, nxt))
+        out.append((k, len(t), hashlib.sha256(edited.encode()).hexdigest(), a.hex(), b.hex(), plain_likeness(a, b), plain_likeness(a, c)))
     return out
 
 
