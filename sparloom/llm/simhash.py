@@ -250,9 +250,23 @@ def shingle_sets(texts: list[str], shingle: int) -> list[np.ndarray]:
 
 
 def parity_map(hashes: np.ndarray) -> bytes:
-    """PARITY bits, each set if an odd number of hashes fall on it.  Two sets' maps differ in at most as many
-    bits as the sets differ in members."""
-    return np.packbits(np.bincount((hashes >> np.uint64(54)).astype(np.int64), minlength=PARITY) & 1).tobytes()
+    """Bits, each set if an odd number of hashes fall on it: PARITY of them, or a higher power of two for a large
+    set.  Two sets' maps of one length differ in at most as many bits as the sets differ in members."""
+    bits = max(PARITY, 1 << (2 * len(hashes) - 1).bit_length())
+    return np.packbits(np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def folded(parity: bytes, size: int) -> np.ndarray:
+    """The map of the same set in ``size`` bytes: its halves laid over one another."""
+    x = np.frombuffer(parity, np.uint8)
+    while len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def differing(x: bytes, y: bytes) -> int:
+    size = min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())
 
 
 def prefix_length(n, similarity: float):
@@ -366,7 +380,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = counts.value
         for some in text_chunks(batches):
-            same, fps, sizes, first, parity = [], [], [], [], []
+            same, fps, sizes, first, parity, brief = [], [], [], [], [], []
             for members in shingle_sets(some.column(2).to_pylist(), shingle):
                 order = np.argsort(frequent[members & np.uint64(COUNTERS - 1)], kind="stable")
                 same.append(_set_digest(members))
@@ -374,8 +388,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 sizes.append(len(members))
                 first.append(members[order[: int(prefix_length(np.array(len(members)), similarity))]].tobytes())
                 parity.append(parity_map(members))
-            made = [pa.array(same, pa.int64()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(first, pa.binary()), pa.array(parity, pa.binary())]
-            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *made], names=["id", "row_key", "same", "fp", "n", "first", "parity"])
+                brief.append(folded(parity[-1], PARITY // 8).tobytes())
+            made = [pa.array(same, pa.int64()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(first, pa.binary()), pa.array(parity, pa.binary()), pa.array(brief, pa.binary())]
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *made], names=["id", "row_key", "same", "fp", "n", "first", "parity", "brief"])
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = counts.value
@@ -460,9 +475,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def loosely(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both = _numpy(batch.column(2)) + _numpy(batch.column(3))
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (4, 5))
-            ok = np.bitwise_count(x ^ y).sum(axis=1) <= both - 2 * shared_needed(both, similarity)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in batch.columns[:2]], names=["a", "b"])
+            differ = np.array([differing(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)])
+            ok = pa.array(differ <= both - 2 * shared_needed(both, similarity))
+            yield pa.RecordBatch.from_arrays([c.filter(ok) for c in batch.columns[:2]], names=["a", "b"])
 
     def members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in text_chunks(batches):
@@ -471,26 +486,33 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array([_set_digest(s) for s in sets], pa.int64()), lists], names=["same", "members"])
 
-    def similar(pairs: DataFrame, sifted: bool = False) -> DataFrame:
-        """Those of the pairs whose whole sets are similar, out of those that their parity maps leave (which may
-        have been looked at).  Only one text an entry is read again."""
-        if not sifted:
-            maps = distinct.select("same", "n", "parity")
-            pairs = pairs.join(maps.toDF("a", "n", "x"), "a").join(maps.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y").mapInArrow(loosely, "a long, b long")
-        close = scratch.write(pairs)
-        wanted = scratch.write(close.select(F.col("a").alias("same")).union(close.select("b")).distinct())
-        keys = scratch.write(distinct.join(few(wanted), "same", "left_semi").select(F.col("first_key").alias("row_key")))
+    def ends(pairs: DataFrame) -> DataFrame:
+        return few(scratch.write(pairs.select(F.col("a").alias("same")).union(pairs.select("b")).distinct()))
+
+    tried: list[DataFrame] = []
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that weren't tried before whose whole sets are similar, out of those that their
+        parity maps leave.  Only one text an entry is read again."""
+        for before in tried:
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
+        pairs = scratch.write(pairs)
+        tried.append(pairs)
+        maps = distinct.join(ends(pairs), "same", "left_semi").select("same", "n", "parity")
+        mapped = pairs.join(maps.toDF("a", "n", "x"), "a").join(maps.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
+        close = scratch.write(mapped.mapInArrow(loosely, "a long, b long"))
+        keys = scratch.write(distinct.join(ends(close), "same", "left_semi").select(F.col("first_key").alias("row_key")))
         every = texts.join(few(keys), "row_key", "left_semi").select("t").mapInArrow(members, "same long, members array<long>")
         sets = every.dropDuplicates(["same"])
         both = close.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
         shared = F.size(F.array_intersect("x", "y"))
         links = scratch.write(both.filter(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b"))
-        scratch.drop(close, wanted, keys)
+        scratch.drop(close, keys)
         return links
 
     with Scratch(spark) as scratch:
-        rows = scratch.write(texts.mapInArrow(describe, f"id {kind}, row_key binary, same long, fp long, n int, first binary, parity binary"))
-        named = rows.groupBy("same").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "row_key")).alias("r"), F.min("row_key").alias("first_key"), *[F.first(c).alias(c) for c in ("fp", "n", "first", "parity")])
+        rows = scratch.write(texts.mapInArrow(describe, f"id {kind}, row_key binary, same long, fp long, n int, first binary, parity binary, brief binary"))
+        named = rows.groupBy("same").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "row_key")).alias("r"), F.min("row_key").alias("first_key"), *[F.first(c).alias(c) for c in ("fp", "n", "first", "parity", "brief")])
         distinct = scratch.write(named)
         ids = scratch.write(rows.select("id", "row_key", "same"))
         scratch.drop(rows)
@@ -510,17 +532,17 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         left = met.filter("b is null").select("h", "a", "n", "pos")
         rooted = left.join(few(roots), F.col("a") == F.col("node"), "left").select("h", "a", "n", "pos", F.coalesce("root", "a").alias("root"))
         several = rooted.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo != hi").select("h", F.ceil(F.col("size") / _BLOCK).cast("int").alias("blocks"))
-        in_several = left.join(scratch.write(several), "h").join(distinct.select(F.col("same").alias("a"), "parity"), "a")
+        in_several = left.join(scratch.write(several), "h").join(distinct.select(F.col("same").alias("a"), "brief"), "a")
         mine = F.pmod(F.xxhash64("a", "h"), F.col("blocks")).cast("int").alias("block")
-        open_ = scratch.write(in_several.select("h", "a", "n", "pos", "parity", "blocks", mine))
+        open_ = scratch.write(in_several.select("h", "a", "n", "pos", "brief", "blocks", mine))
         scratch.drop(met)
         new, rounds = links, 0
         while True:
             now = open_.join(few(roots), F.col("a") == F.col("node"), "left").withColumn("root", F.coalesce("root", "a")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            units = now.select("h", F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"), "block", "a", "n", "pos", "root", "parity")
+            units = now.select("h", F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"), "block", "a", "n", "pos", "root", "brief")
             last = new.isEmpty() or rounds == _NEAREST
             pairs = units.repartition("h", "u", "v").sortWithinPartitions("h", "u", "v", "n", "a").mapInArrow(every if last else nearest, "a long, b long")
-            new = similar(pairs.distinct(), sifted=True)
+            new = similar(pairs.distinct())
             if not new.isEmpty():
                 # the groups so far, and what joins them
                 roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new), scratch)
