@@ -86,12 +86,15 @@ def line_value(line: Column) -> Column:
 def prompt_fields(content: Column) -> Column:
     """map<key, value>; of repeated keys the last one holds (whatever the session's map setting)."""
     lines = F.filter(F.split(content, "\n"), lambda x: line_field(x).isNotNull())
-    keys = F.transform(lines, line_field)
-    last = F.filter(
-        F.transform(lines, lambda x, i: F.struct(line_field(x).alias("k"), line_value(x).alias("v"), i.alias("i"))),
-        lambda e: ~F.array_contains(F.slice(keys, e["i"] + 2, F.size(keys)), e["k"]),
-    )
-    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["k"], e["v"])))
+    entries = F.transform(lines, lambda x, i: F.struct(line_field(x).alias("k"), i.alias("i"), line_value(x).alias("v")))
+
+    def last_of_each(e: Column) -> Column:
+        """Of entries in order of key and place those that another key follows, in order of place again."""
+        kept = F.filter(e, lambda x, i: ~F.coalesce(F.get(e, i + 1)["k"] == x["k"], F.lit(False)))
+        placed = F.array_sort(F.transform(kept, lambda x: F.struct(x["i"].alias("i"), x["k"].alias("k"), x["v"].alias("v"))))
+        return F.map_from_entries(F.transform(placed, lambda x: F.struct(x["k"], x["v"])))
+
+    return F.element_at(F.transform(F.array(F.array_sort(entries)), last_of_each), 1)
 
 
 def field_value(content: Column, field: str) -> Column:
