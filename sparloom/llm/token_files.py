@@ -296,7 +296,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     key, text = F.col(id_col).cast("long").alias("k"), text_of(text_col)
     if by_id:
         bounds = range_bounds(docs, id_col, range_count(docs))
-        coded = arrow_rows(docs.select(key, F.unhex(F.substring(F.sha2(text, 256), 1, 16)).alias("tie"), text.alias("t")), encode, "at int, k long, tie binary, z binary")
+        coded = arrow_rows(docs.select(key, F.xxhash64(text).alias("tie"), text.alias("t")), encode, "at int, k long, tie long, z binary")
         ordered = coded.repartitionById(len(bounds) + 1, F.col("at")).sortWithinPartitions(F.col("k").asc_nulls_first(), "tie").select("k", "z")
         packed = arrow_rows(ordered, lambda rows: segments((k, _widen(z)) for k, z in rows), "s binary")
     else:
