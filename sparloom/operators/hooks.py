@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -30,6 +31,18 @@ def register_generator(fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFr
     _FOUND["generator"] = fn
 
 
+@contextmanager
+def given(**functions: Callable) -> Iterator[None]:
+    """Functions by name that hold within the block only."""
+    before = dict(_FOUND)
+    _FOUND.update(functions)
+    try:
+        yield
+    finally:
+        _FOUND.clear()
+        _FOUND.update(before)
+
+
 def _get(name: str) -> Callable:
     if name not in _FOUND:
         raise LookupError(f"register a {name} function first")

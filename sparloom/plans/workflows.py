@@ -275,14 +275,14 @@ _VALID_SQL = "p_partkey % 9 <> 0 AND p_size % 7 <> 0"
 
 @_register(f"SELECT p_partkey::VARCHAR AS id, 'C' || p_size AS smiles, {', '.join(f'{q} AS {n}' for n, q in _LABEL_SQL.items())} FROM part WHERE {_VALID_SQL}")
 def multitask_table(spark, sf_dir):
-    hooks.register_validity(lambda s: s.map(lambda x: bool(x) and int(x[1:]) % 7 != 0))
-    return prepare.multitask_rows(_plain_records(spark, sf_dir), hooks.is_valid)[0]
+    with hooks.given(validity=lambda s: s.map(lambda x: bool(x) and int(x[1:]) % 7 != 0)):
+        return prepare.multitask_rows(_plain_records(spark, sf_dir), hooks.is_valid)[0]
 
 
 @_register(f"SELECT CASE WHEN p_partkey % 9 = 0 THEN 'missing' ELSE 'invalid' END AS reason, count(*) AS n, array_to_string(list_slice(list_sort(list(p_partkey::VARCHAR)), 1, 20), ',') AS examples FROM part WHERE NOT ({_VALID_SQL}) GROUP BY 1")
 def multitask_report(spark, sf_dir):
-    hooks.register_validity(lambda s: s.map(lambda x: bool(x) and int(x[1:]) % 7 != 0))
-    return prepare.multitask_rows(_plain_records(spark, sf_dir), hooks.is_valid)[2]
+    with hooks.given(validity=lambda s: s.map(lambda x: bool(x) and int(x[1:]) % 7 != 0)):
+        return prepare.multitask_rows(_plain_records(spark, sf_dir), hooks.is_valid)[2]
 
 
 @_register("SELECT p_partkey::VARCHAR AS id, 'C' || p_size AS smiles FROM part")
@@ -294,15 +294,15 @@ def predict_input(spark, sf_dir):
 
 @_register("SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'INVALID_SMILES' WHEN p_size % 5 = 1 THEN 'NO_SCAFFOLD' ELSE 'ring' || (p_size % 5) END AS scaffold FROM part")
 def scaffold_keys(spark, sf_dir):
-    hooks.register_group_key(lambda s: s.map(lambda x: None if int(x) % 5 == 0 else "" if int(x) % 5 == 1 else f"ring{int(x) % 5}"))
-    return _table(spark, sf_dir, "part").select("p_partkey", hooks.group_key(F.col("p_size").cast("string")).alias("scaffold"))
+    with hooks.given(group_key=lambda s: s.map(lambda x: None if int(x) % 5 == 0 else "" if int(x) % 5 == 1 else f"ring{int(x) % 5}")):
+        return _table(spark, sf_dir, "part").select("p_partkey", hooks.group_key(F.col("p_size").cast("string")).alias("scaffold"))
 
 
 @_register("SELECT p_partkey, (p_size % 2)::DOUBLE AS b0, (p_size // 2 % 2)::DOUBLE AS b1, (p_size // 4 % 2)::DOUBLE AS b2 FROM part")
 def structure_bits(spark, sf_dir):
-    hooks.register_fingerprint(lambda s: s.map(lambda x: [float(int(x) >> i & 1) for i in range(3)]))
-    t = _table(spark, sf_dir, "part").select("p_partkey", hooks.fingerprint(F.col("p_size").cast("string")).alias("f"))
-    return t.select("p_partkey", *[F.col("f")[i].cast("double").alias(f"b{i}") for i in range(3)])
+    with hooks.given(fingerprint=lambda s: s.map(lambda x: [float(int(x) >> i & 1) for i in range(3)])):
+        t = _table(spark, sf_dir, "part").select("p_partkey", hooks.fingerprint(F.col("p_size").cast("string")).alias("f"))
+        return t.select("p_partkey", *[F.col("f")[i].cast("double").alias(f"b{i}") for i in range(3)])
 
 
 @_register("SELECT doc_id::VARCHAR AS id, 'len ' || n_chars AS prediction_text FROM documents")
@@ -311,8 +311,8 @@ def generated_answers(spark, sf_dir):
         for b in batches:
             yield b[["id"]].assign(prediction_text="len " + b["prompt"])
 
-    hooks.register_generator(answer)
-    return hooks.generate(_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("n_chars").cast("string").alias("prompt")))
+    with hooks.given(generator=answer):
+        return hooks.generate(_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("n_chars").cast("string").alias("prompt")))
 
 
 # ---- joins ---------------------------------------------------------------------------------------------
