@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparloom.llm import decontaminate, disclosure, html_text, lz_fingerprint, mixing, quality, sharding, simhash, token_counts, token_files
+from sparloom.llm import decontaminate, disclosure, hard_negatives, html_text, lz_fingerprint, mixing, pieces, quality, sharding, simhash, token_counts, token_files, whitening
 from sparloom.llm.common import delete_path, shared_folder, table
 
 SHARDS = tuple(f"shard-{i:03d}" for i in range(48))
@@ -73,6 +73,22 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         delete_path(spark, path)
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("piece_bpe_32k.model")
+    coded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), path), path)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's relabelling, then the operator."""
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", shifted), "vec_id % 100 = 0")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -85,6 +101,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lz_fingerprint": op8_lz_fingerprint,
         "op9_disclosure": op9_disclosure,
         "op10_token_files": op10_token_files,
+        "op11_pieces": op11_pieces,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_whitening": op13_whitening,
         "sanitised_documents": sanitised_documents,
     }
 
@@ -101,6 +120,17 @@ e AS (SELECT * EXCLUDE (copies), unnest(range(copies))::INT AS copy_no FROM m)
 SELECT *, md5('7s:' || coalesce(doc_id::VARCHAR, '') || ':' || copy_no) AS shuffle_key FROM e"""
 
 
+#: Fixed by the contract: anchors, relabelling, five positives, ten negatives, windows of 30 to 90 percent.
+_NEGATIVES_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5),
+n AS (SELECT p.a AS anchor_id, p.b AS positive_id, s.b AS negative_id, p.score AS positive_score, s.score AS negative_score, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b)::INT AS rank
+  FROM p JOIN s ON s.a = p.a AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10"""
+
+
 def _sharding_sql() -> str:
     """The lookup table as a list of shard numbers; the placement is worked out by the SQL."""
     number = {s: i for i, s in enumerate(SHARDS)}
@@ -112,4 +142,4 @@ SELECT doc_id, source, n_chars, slot, 'shard-' || lpad(owner[slot + 1]::VARCHAR,
 def oracle_sql() -> dict[str, str]:
     """Hashes of n-grams, fingerprints, trees and tokenizers are beyond SQL: those queries are held against
     brute-force versions in the tests."""
-    return {"op2_sharding": _sharding_sql(), "op7_mixing": _MIXING_SQL}
+    return {"op2_sharding": _sharding_sql(), "op7_mixing": _MIXING_SQL, "op12_hard_negatives": _NEGATIVES_SQL}
