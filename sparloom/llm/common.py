@@ -127,9 +127,18 @@ def few(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= MAX_BROADCAST_KEYS else keys
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or one like it that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def without_rows(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``docs`` whose row key isn't in the one column of ``gone``, which has no repeats."""
-    return docs.join(few(gone.toDF("_gone")), row_key(id_col, text_col) == F.col("_gone"), "left_anti")
+    key = free_name(docs, "_gone")
+    return docs.join(few(gone.toDF(key)), row_key(id_col, text_col) == F.col(key), "left_anti")
 
 
 def text_of(column: str = "text") -> Column:

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparloom.llm.common import Scratch, cut, few, text_of
+from sparloom.llm.common import Scratch, cut, few, free_name, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns, with possessive repeats and look-behinds where those change no match: a run of address
@@ -276,17 +276,20 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", po
             F.transform("added", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["action"] == "remove", "").otherwise("[TERM]").alias("new"))),
         )
     )
+    # one column beside those of the documents, named unlike any of them
+    plan = free_name(docs, "_plan")
     ends = before(F.transform("_changes", lambda c: c["end"]), lambda x, y: F.greatest(x, y), F.lit(0).cast("bigint"))
-    plans = cut(found.groupBy("row_key").agg(F.first(changes).alias("_changes")).withColumn("_ends", ends))
+    plans = cut(found.groupBy("row_key").agg(F.first(changes).alias("_changes")).withColumn("_ends", ends).select(F.struct("row_key", "_changes", "_ends").alias(plan)))
     text = text_of(text_col)
+    of_row, ends_of = F.col(plan)["_changes"], F.col(plan)["_ends"]
 
     def rewritten(pieces: Column) -> Column:
-        n = F.size("_changes")
+        n = F.size(of_row)
         # what stands between the changes before and this one, then the new text where no earlier one reaches it
-        each = F.transform("_changes", lambda c, i: F.concat(_cut_out(pieces, F.get("_ends", i), F.greatest(c["start"], F.get("_ends", i))), F.when(c["start"] >= F.get("_ends", i), c["new"]).otherwise("")))
-        last = F.greatest(F.get("_ends", n - 1), F.get("_changes", n - 1)["end"])
+        each = F.transform(of_row, lambda c, i: F.concat(_cut_out(pieces, F.get(ends_of, i), F.greatest(c["start"], F.get(ends_of, i))), F.when(c["start"] >= F.get(ends_of, i), c["new"]).otherwise("")))
+        last = F.greatest(F.get(ends_of, n - 1), F.get(of_row, n - 1)["end"])
         return F.concat(F.array_join(each, ""), _cut_out(pieces, last, F.greatest(last, F.char_length(text).cast("bigint"))))
 
     made = _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), 0), rewritten)
-    keyed = docs.withColumn("_key", F.unhex(F.md5(text.cast("binary"))))
-    return keyed.join(plans, keyed["_key"] == plans["row_key"], "left").withColumn(text_col, F.when(F.col("_changes").isNull(), F.col(text_col)).otherwise(made)).select(*[keyed[c] if c != text_col else F.col(text_col) for c in docs.columns])
+    joined = docs.join(plans, F.unhex(F.md5(text.cast("binary"))) == F.col(plan)["row_key"], "left")
+    return joined.withColumn(text_col, F.when(F.col(plan).isNull(), F.col(text_col)).otherwise(made)).select(*[F.col(f"`{c}`") for c in docs.columns])

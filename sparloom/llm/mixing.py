@@ -13,7 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparloom.llm.common import cut, range_count
+from sparloom.llm.common import cut, free_name, range_count
 
 #: Of the 60 hash bits, so that the quotient is exact enough on any engine.
 _UNIT = float(1 << 60)
@@ -90,18 +90,21 @@ def mix_sources(
     if size_ratio > MAX_RATE:
         raise ValueError("size ratio above MAX_RATE")
     rates = source_rates(docs, source_col, weights, temperature, size_ratio).withColumn("_parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / F.lit(MAX_RATE)).cast("int")))
-    tables = cut(cumulative_table(rates.withColumn("rate", F.col("rate") / F.col("_parts"))).select(F.col("source").alias("_source"), "cdf", "_parts"))
+    # one column beside those of the documents, and two that are worked out, named unlike any of them
+    of_source, unit, number = (free_name(docs, name) for name in ("_rate", "_unit", "_number"))
+    table = cumulative_table(rates.withColumn("rate", F.col("rate") / F.col("_parts")))
+    tables = cut(table.select(F.struct("source", "cdf", F.col("_parts").alias("parts")).alias(of_source)))
     if tables.count() <= MAX_BROADCAST_SOURCES:
         tables = F.broadcast(tables)
-    keep = [c for c in docs.columns if c not in ("copy_no", "shuffle_key")]
-    u = hashed_unit(seed, F.col(id_col))
+    keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("copy_no", "shuffle_key")]
+    cdf, parts = F.col(of_source)["cdf"], F.col(of_source)["parts"]
     # broadcast only up to a counted number of sources; beyond it an ordinary join, whose hot keys AQE splits
-    drawn = docs.select(*keep).join(tables, F.col(source_col).eqNullSafe(F.col("_source")), "left").withColumn("_u", u)
-    count = F.size(F.filter("cdf", lambda c: c <= F.col("_u")))
+    drawn = docs.select(*keep).join(tables, F.col(source_col).eqNullSafe(F.col(of_source)["source"]), "left").withColumn(unit, hashed_unit(seed, F.col(id_col)))
+    count = F.size(F.filter(cdf, lambda c: c <= F.col(unit)))
     # the first count as for any rate; the others only where there are more
-    others = F.aggregate(F.sequence(F.lit(1), F.col("_parts") - 1), F.lit(0), lambda acc, i: acc + F.size(F.filter("cdf", lambda c: c <= hashed_unit(seed, F.col(id_col), F.lit("part"), i))))
-    count = count + F.when(F.col("_parts") > 1, others).otherwise(F.lit(0))
-    copies = drawn.withColumn("_n", count).filter("_n > 0").select(*keep, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("copy_no"))
+    others = F.aggregate(F.sequence(F.lit(1), parts - 1), F.lit(0), lambda acc, i: acc + F.size(F.filter(cdf, lambda c: c <= hashed_unit(seed, F.col(id_col), F.lit("part"), i))))
+    count = count + F.when(parts > 1, others).otherwise(F.lit(0))
+    copies = drawn.withColumn(number, count).filter(F.col(number) > 0).select(*keep, F.explode(F.sequence(F.lit(0), F.col(number) - 1)).alias("copy_no"))
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}s"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), "copy_no").cast("binary")))
     if not shuffle:
         return keyed

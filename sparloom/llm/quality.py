@@ -185,7 +185,9 @@ def importance_sample(
     keyed = cut(weighed.withColumn("gumbel_key", F.col("log_weight") + gumbel(seed, F.col(id_col))).withColumn("_order", _sortable(F.col("gumbel_key"))))
     if k is None:
         marks = spark.createDataFrame([(i, g) for i, g in good.items()], f"_id {kind}, _good boolean") if good else None
-        seen = keyed.join(F.broadcast(marks), F.col(id_col) == F.col("_id")).select("log_weight", "_good").toPandas() if marks is not None else None
+        # one weight a labelled id, the smallest where ids repeat: as many rows as labelled ones at most
+        weights = keyed.select(F.col(id_col).alias("_id"), "log_weight")
+        seen = weights.join(F.broadcast(marks), "_id").groupBy("_id", "_good").agg(F.min("log_weight").alias("log_weight")).toPandas() if marks is not None else None
         bound = best_cut(seen["log_weight"].to_numpy(), seen["_good"].to_numpy(bool)) if seen is not None else -math.inf
         k = keyed.filter(F.col("log_weight") >= F.lit(bound)).count()
     last = kth_largest(keyed, "_order", k) if k > 0 else None

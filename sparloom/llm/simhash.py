@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparloom.llm.common import Scratch, arrow_rows, cut, few, row_key, ship, small_batches, text_chunks, text_of, without_rows
+from sparloom.llm.common import Scratch, arrow_rows, cut, few, free_name, row_key, ship, small_batches, text_chunks, text_of, without_rows
 from sparloom.llm.graph import components
 from sparloom.llm.words import hashed_words, mixed
 
@@ -565,9 +565,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     if twice.isEmpty():
         return kept
     single = without_rows(kept, twice, id_col, text_col)
-    repeated = kept.withColumn("_key", row_key(id_col, text_col)).join(few(twice), F.col("_key") == F.col("_twice"), "left_semi")
+    key, other = free_name(docs, "_key"), free_name(docs, "_twice")
+    repeated = kept.withColumn(key, row_key(id_col, text_col)).join(few(twice.toDF(other)), F.col(key) == F.col(other), "left_semi")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    once = repeated.groupBy("_key").agg(F.min_by(whole, F.to_json(whole)).alias("r")).select("r.*")
+    once = repeated.groupBy(key).agg(F.min_by(whole, F.to_json(whole)).alias("r")).select("r.*")
     return single.unionByName(once)
 
 
