@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from sparloom.llm.common import arrow_rows
 
 #: Elements whose content is no text of the page; block-level elements; elements that are kept
-#: on the stack of open regions; boilerplate elements; words in class, id and role that tell a region's kind; first
+#: on the stack of open regions; boilerplate elements; words in class, id and role that tell a region's kind; words
+#: beside those that tell nothing; first
 #: and last parts of names that tell a state or a layout instead.
 RAW = ("script", "style")
 SILENT = (*RAW, "noscript", "template", "title", "textarea", "select", "button", "svg", "iframe", "object", "audio", "video", "canvas", "math")
@@ -36,6 +37,9 @@ BOILER = frozenset("aside dialog fieldset footer form menu nav".split())
 BAD = frozenset(
     "ad ads adbox advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo complementary cookie cookies copyright disclaimer disqus feedback footer gdpr legal login masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget".split()
 )
+NEUTRAL = frozenset(
+    "a about all and area articles bar below block bottom box by center column container content desktop element footer from group header holder inner item items latest leave left links list main middle mobile more on our outer page pages panel post posts primary read reader readers right row section secondary site small stories story the this title to top us view wrap wrapper you your".split()
+)
 GOOD = frozenset("article articlebody body content entry main post story text".split())
 STATE_FIRST = frozenset("has hide is js no not show u with without".split())
 STATE_LAST = frozenset("closed disabled enabled off on open".split())
@@ -59,6 +63,7 @@ class Block:
     good: int
     heading: int
     item: int
+    under: int
 
     @property
     def density(self) -> float:
@@ -106,16 +111,24 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         yield "text", "", page[at:]
 
 
-def _bad_names(names: str, most: int) -> bool:
-    """Whether a class or id list tells boilerplate: by a whole name or one of its parts, unless the name has
-    more parts than ``most`` or tells a state or layout."""
+def _bad_names(names: str, most: int) -> int:
+    """How far a class or id list tells boilerplate: 2 by a whole name, or one whose last part does or whose other
+    parts say nothing; 1 by any part; 0 where a name has more parts than ``most`` or tells a state or layout."""
+    told = 0
     for name in names.split():
         if name.lower() in BAD:
-            return True
+            return 2
         parts = [p.lower() for p in re.findall(r"[A-Z]?[a-z0-9]+|[A-Z]+", name)]
         if len(parts) <= most and parts and parts[0] not in STATE_FIRST and parts[-1] not in STATE_LAST and not BAD.isdisjoint(parts):
-            return True
-    return False
+            whole = parts[-1] in BAD or all(p in BAD or p in NEUTRAL or p.isdigit() for p in parts)
+            told = max(told, 2 if whole else 1)
+    return told
+
+
+def _names_boilerplate(heading: str) -> bool:
+    """Whether a heading says that comments, related pages or the like follow, and nothing else."""
+    words = [w for w in re.findall(r"[a-z]+", heading.lower())]
+    return 0 < len(words) <= 5 and not BAD.isdisjoint(words) and all(w in BAD or w in NEUTRAL for w in words)
 
 
 def _marks(name: str, text: str) -> tuple[int, int, int, bool]:
@@ -124,30 +137,40 @@ def _marks(name: str, text: str) -> tuple[int, int, int, bool]:
     hidden = ("hidden" in found and found["hidden"].lower() != "until-found") or found.get("aria-hidden", "").lower() == "true" or bool(_HIDDEN_STYLE.search(found.get("style", "")))
     classes, own, role = found.get("class", ""), found.get("id", ""), found.get("role", "")
     if name in ("article", "main"):  # a name that holds a word of the list by chance says little there
-        bad = not BAD.isdisjoint(f"{classes} {role}".lower().split())
+        bad = 2 * (not BAD.isdisjoint(f"{classes} {role}".lower().split()))
     else:
-        bad = _bad_names(classes, 6) or _bad_names(own, 2) or _bad_names(role, 1)
+        bad = max(_bad_names(classes, 6), _bad_names(own, 2), _bad_names(role, 1))
     good = name in ("article", "main") or not GOOD.isdisjoint(re.split(r"[^a-z]+", f"{classes} {own} {role}".lower()))
     return int(name in BOILER), int(bad), int(good and not bad), hidden
 
 
-def _around_main(found: list[tuple[str, str, str]]) -> set[int]:
+def _around_main(found: list[tuple[str, str, str]], marks: dict[int, tuple[int, int, int, bool]]) -> set[int]:
     """Numbers of the regions that hold the main part: the article or main element with the first heading of
-    the first level, or else the first main, such heading or article.  Their names and forms condemn nothing."""
-    stack: list[tuple[str, int]] = []
+    the first level, or else the first main, such heading or article (one that doesn't stand among comments or the
+    like).  Their names and forms condemn nothing."""
+    # of each open region: name, number, place of the outermost article or main, whether boilerplate is open, and
+    # whether a region whose name surely is boilerplate's
+    stack: list[tuple[str, int, int, bool, bool]] = []
     first: dict[str, set[int]] = {}
+
+    def note(key: str, depth: int) -> None:
+        if key not in first:  # the set is as large as the nesting is deep, so it is made once a key
+            first[key] = {entry[1] for entry in stack[:depth]}
+
     for i, (kind, name, _) in enumerate(found):
         if kind == "start":
             if name == "h1":
-                mains = [k for k, (n, _) in enumerate(stack) if n in ("article", "main")]
-                if mains:
-                    first.setdefault("with heading", {j for _, j in stack[: mains[0] + 1]})
-                elif not any(n in BOILER or n == "header" for n, _ in stack):
-                    first.setdefault("h1", {j for _, j in stack})
+                main, boiler, _ = stack[-1][2:] if stack else (-1, False, False)
+                if main >= 0:
+                    note("with heading", main + 1)
+                elif not boiler:
+                    note("h1", len(stack))
             if name in REGION:
-                stack.append((name, i))
-                if name in ("article", "main"):
-                    first.setdefault(name, {j for _, j in stack})
+                main, boiler, sure = stack[-1][2:] if stack else (-1, False, False)
+                is_main = name in ("article", "main")
+                stack.append((name, i, len(stack) if main < 0 and is_main else main, boiler or name in BOILER or name == "header", sure or name != "body" and marks[i][1] > 1))
+                if name == "main" or name == "article" and not sure:
+                    note(name, len(stack))
         elif kind == "end" and name in REGION:
             for k in range(len(stack) - 1, max(-1, len(stack) - 64), -1):
                 if stack[k][0] == name:
@@ -166,8 +189,10 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, int, int, int]] = []
     pieces: list[tuple[str, bool]] = []
     link = heading = item = 0
+    level = under = 0  # of the heading that is open, and of one that says what follows is no article
 
     def close() -> None:
+        nonlocal under
         if not pieces:
             return
         text = " ".join("".join(p for p, _ in pieces).split())
@@ -175,11 +200,15 @@ def blocks(page: str) -> list[Block]:
             linked = sum(len(p.split()) for p, in_link in pieces if in_link)
             words = len(text.split())
             _, boiler, bad, good = stack[-1] if stack else ("", 0, 0, 0)
-            out.append(Block(text, words, min(linked, words), boiler, bad, good, heading, item))
+            if heading:
+                names = level > 1 and len(text) < 80 and _names_boilerplate(text)
+                under = level if names else 0 if level <= under else under
+            out.append(Block(text, words, min(linked, words), boiler, bad, good, heading, item, int(under > 0)))
         pieces.clear()
 
     found = list(tokens(page))
-    spared = _around_main(found)
+    marks = {i: _marks(name, rest) for i, (kind, name, rest) in enumerate(found) if kind == "start" and name in REGION}
+    spared = _around_main(found, marks)
     for i, (kind, name, rest) in enumerate(found):
         if kind == "text":
             pieces.append((html.unescape(rest), link > 0))
@@ -194,7 +223,7 @@ def blocks(page: str) -> list[Block]:
         if name in BLOCK:
             close()
             if name[0] == "h" and name[1:].isdigit():
-                heading = 0 if ending else 1
+                heading, level = (0 if ending else 1), int(name[1:])
             elif name == "li":
                 item = 0 if ending else 1
             elif name == "p":
@@ -209,28 +238,31 @@ def blocks(page: str) -> list[Block]:
                     break
             continue
         _, boilers, bads, goods = stack[-1] if stack else ("", 0, 0, 0)
-        boiler, bad, good, hidden = _marks(name, rest)
+        boiler, bad, good, hidden = marks[i]
         if name == "header":  # of the site, not of the article
             boiler = int(not goods)
         if name == "body":
             bad = good = 0
         elif i in spared and (name not in BOILER or name in ("form", "fieldset")):
             bad, boiler = 0, boiler * (name == "header")
-        stack.append((name, boilers + boiler, bads + (bad or hidden), int(goods or good)))
+        stack.append((name, boilers + boiler, max(bads, 2 * hidden, bad), int(goods or good)))
     close()
     return out
 
 
+FEATURES = ("words", "density", "words before", "density before", "words after", "density after", "boilerplate", "bad name", "good name", "heading", "item", "under", "main part told")
+
+
 def features(found: list[Block]) -> np.ndarray:
-    """A row a block: words, link density, the same of the block before and after, region marks, and whether the
-    page has a region that says it is the main part."""
+    """A row a block: words, link density, the same of the block before and after, region marks, whether a heading
+    before it says that no article follows, and whether the page has a region that says it is the main part."""
     rows = []
     told = int(any(b.good and not b.bad and not b.boiler for b in found))
     for i, b in enumerate(found):
         before, after = (found[i - 1] if i else None), (found[i + 1] if i + 1 < len(found) else None)
         around = [v for n in (before, after) for v in ((n.words, n.density) if n else (0, 0.0))]
-        rows.append([b.words, b.density, *around, min(b.boiler, 1), min(b.bad, 1), b.good, b.heading, b.item, told])
-    return np.array(rows, np.float64).reshape(len(found), 12)
+        rows.append([b.words, b.density, *around, min(b.boiler, 1), b.bad, b.good, b.heading, b.item, b.under, told])
+    return np.array(rows, np.float64).reshape(len(found), len(FEATURES))
 
 
 # ---- the tree ------------------------------------------------------------------------------------------
@@ -245,7 +277,7 @@ class Node:
     high: Node | None = None
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 4) -> Node:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 12, least: int = 4) -> Node:
     """A binary tree by Gini impurity; ties go to the first feature and the lowest cut."""
     node = Node(float(y.mean()) if len(y) else 0.0)
     if depth == 0 or len(y) < 2 * least or node.share in (0.0, 1.0):
@@ -279,10 +311,12 @@ def labelled_table(pages: int = 600, seed: int = 4) -> list[tuple[str, list[bool
     """Small pages and, block by block, whether each is article text.
 
     Layouts vary by parameters.  A third has semantic elements, a third plain divisions with class names, and a
-    third neither: there runs of links are menus and lists of related pages, a few words with links around are
-    footers, and the rest is article.  Pages have menus, a notice, an advert before or inside the article, lists,
-    headings, links and short lines in it, a sidebar, a form, reader comments and a footer, or lack them; some
-    leave paragraphs open, and in some of the first two kinds the article's own region says nothing.
+    third neither: there runs of links are menus and lists of related pages, short lines between runs of links are
+    footers, and the rest is article, short lines with links between its paragraphs included.  Pages have menus, a
+    notice, an advert before or inside the article, lists, headings, links and short lines in it, a sidebar, a form,
+    reader comments with a class or with nothing but a heading before them, and a footer, or lack them; some leave
+    paragraphs open, in some of the first two kinds the article's own region says nothing, and names that hold a
+    telling word by chance stand for articles as well as for boilerplate.
     """
     rng = random.Random(seed)
 
@@ -299,6 +333,18 @@ def labelled_table(pages: int = 600, seed: int = 4) -> list[tuple[str, list[bool
         inside = words(low, high)
         return f"{inside} {link(1, 4)} {words(1, 20)}" if rng.random() < 0.25 else inside
 
+    def short() -> str:
+        """A line of an article, a good part of it linked."""
+        return f"{words(2, 8)} {link(1, 6)}{rng.choice(('', ' ' + words(1, 3)))}"
+
+    def by_chance(kinds: tuple[str, ...] = ("search", "share", "social", "menu", "tags", "ad", "cookie")) -> str:
+        return f"{rng.choice(kinds)}-{words(1, 1)}"
+
+    def headed_comments() -> tuple[str, list[bool]]:
+        n, level = rng.randint(1, 5), rng.choice("2345")
+        name = rng.choice(("Comments", f"{rng.randint(2, 99)} Comments", "Leave a reply", "Reader comments", "Related", "Related stories", "Newsletter", "More recommended", "Share this"))
+        return f"<h{level}>{name}</h{level}>" + "".join(f"<div><p>{words(1, 80)}</p></div>" for _ in range(n)), [False] * (n + 1)
+
     made = []
     for number in range(pages):
         style = ("semantic", "classes", "bare")[number % 3]
@@ -324,7 +370,9 @@ def labelled_table(pages: int = 600, seed: int = 4) -> list[tuple[str, list[bool
         bare = style == "bare"
         told = not bare and rng.random() < 0.75  # whether the article's own region says so
         if bare:
-            for _ in range(rng.randint(1, 3)):
+            for k in range(rng.randint(1, 3)):
+                if k and rng.random() < 0.6:
+                    parts.append((f"<div>{words(1, 8)}</div>", [False]))
                 menu()
         else:
             if rng.random() < 0.5:
@@ -338,11 +386,14 @@ def labelled_table(pages: int = 600, seed: int = 4) -> list[tuple[str, list[bool
                 region("div", rng.choice(["cookie-notice", "notice", "banner", "alert"]), f"<p>{words(5, 40)}</p>", 1)
             if rng.random() < 0.5:
                 region("div", rng.choice(["ad", "ads", "sponsored", "promo"]), words(1, 40), 1)
+            if rng.random() < 0.2:
+                parts.append((f'<div class="{by_chance()}">{words(1, 8)} {link(1, 3)}</div>', [False]))
             if rng.random() < 0.3:
                 menu()
             for _ in range(rng.randint(0, 2) if told else 0):
                 parts.append((f"<div>{paragraph(1, 150)}</div>", [False]))
-        body: list[tuple[str, list[bool]]] = [(f"<h1>{words(1, 12)}</h1>", [True])]
+        top = "h1" if told or rng.random() < 0.6 else "h2"
+        body: list[tuple[str, list[bool]]] = [(f"<{top}>{words(1, 12)}</{top}>", [True])]
         for _ in range(rng.randint(0, 9) if told else rng.randint(2, 9)):
             kind = rng.random()
             if kind < 0.6:
@@ -352,8 +403,12 @@ def labelled_table(pages: int = 600, seed: int = 4) -> list[tuple[str, list[bool
                 body.append((f"<h2>{words(1, 8)}</h2><p>{paragraph(12, 60)}</p>", [True, True]))
             elif kind < 0.78:
                 body.append((f"<ul><li>{words(1, 20)}</li><li>{words(1, 20)}</li></ul>", [True, True]))
-            elif kind < 0.86 and told:
+            elif kind < 0.82 and told:
                 body.append((f"<p>{link(1, 6)}</p>", [True]))
+            elif kind < 0.86:
+                body.append((f"<p>{short()}</p>", [True]))
+                if not told:
+                    body.append((f"<p>{words(12, 60)}</p>", [True]))
             elif kind < 0.9:
                 body.append((f"<blockquote><p>{words(3, 40)}</p></blockquote>", [True]))
             elif bare:
@@ -363,12 +418,21 @@ def labelled_table(pages: int = 600, seed: int = 4) -> list[tuple[str, list[bool
             else:
                 n = rng.randint(1, 4)
                 body.append((f"<aside>{''.join(f'<p>{words(1, 30)}</p>' for _ in range(n))}</aside>", [False] * n))
-        tag = "div" if not told else "article" if style == "semantic" else f'div class="{rng.choice(["content", "post", "entry-content", "story"])}"'
+        if rng.random() < 0.3:
+            body.append(headed_comments())
+        tag = ("div" if rng.random() < 0.6 else f'div class="{by_chance()}"') if not told else "article" if style == "semantic" else f'div class="{rng.choice(["content", "post", "entry-content", "story"])}"'
         parts.append((f"<{tag}>" + "".join(p for p, _ in body) + f"</{tag.split()[0]}>", [k for _, ks in body for k in ks]))
-        if bare:
+        if rng.random() < 0.2:
+            parts.append(headed_comments())
+        if bare and rng.random() < 0.3:
+            pass  # the article ends the page
+        elif bare:
             if rng.random() < 0.6:
                 n = rng.randint(3, 8)
                 parts.append((f"<div><ul>{listed(n)}</ul></div>", [False] * n))
+                if rng.random() < 0.5:
+                    parts.append((f"<div>{words(1, 8)}</div>", [False]))
+                    parts.append((f"<div>{' | '.join(link(1, 3) for _ in range(4))}</div>", [False]))
             if rng.random() < 0.8:
                 parts.append((f"<div>{words(1, 5)} {link(1, 2)} | {link(1, 2)} | {link(1, 2)}</div>", [False]))
         else:

@@ -67,6 +67,52 @@ def test_hand_made_pages(around):
     assert h.main_text(page.replace("<footer>", more + "<footer>")) == TEXT
 
 
+def _features_used(node):
+    return {h.FEATURES[node.feature]} | _features_used(node.low) | _features_used(node.high) if node.feature >= 0 else set()
+
+
+def test_the_tree_splits_by_neighbours():
+    assert {"words", "density", "words before", "words after", "density before", "density after"} <= _features_used(h.tree())
+
+
+LONG = ("plain word " * 20).strip()
+MENU = "<ul>" + "".join(f'<li><a href="/{i}">page {i}</a></li>' for i in range(8)) + "</ul>"
+LINKS = "<div>" + " ".join(f'<a href="/{i}">go to page {i}</a>' for i in range(30)) + "</div>"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        # names that hold a telling word by chance
+        (f'<body><nav>{LINKS}</nav><div class="search-results-guide"><h2>Head</h2><p>{LONG}</p></div><footer>x</footer></body>', f"Head\n{LONG}"),
+        (f'<body>{LINKS}<div id="share-economy"><h2>Head</h2><p>{LONG}</p><p>{LONG}</p></div></body>', f"Head\n{LONG}\n{LONG}"),
+        # links in a short line of an article
+        (f'<body>{MENU}<div><h1>Title of it</h1><p>five words stand here and <a href="/x">three linked words</a></p><p>{LONG}</p></div>{MENU}</body>', f"Title of it\nfive words stand here and three linked words\n{LONG}"),
+        # a line between menus
+        (f"<body><div><h1>Title</h1><p>{LONG}</p></div>{MENU}<div>Copyright 2024</div>{MENU}</body>", f"Title\n{LONG}"),
+        (f"<body>{LINKS}<div>Copyright 2024</div>{LINKS}<div><h1>T</h1><p>{LONG}</p></div></body>", f"T\n{LONG}"),
+        # comments that nothing but a heading tells
+        (f"<body><div><h1>Title</h1><p>{LONG}</p></div><h3>Comments</h3><div><p>{LONG}</p></div><div><p>{LONG} more</p></div></body>", f"Title\n{LONG}"),
+        (f"<body><article><h1>Title</h1><p>{LONG}</p><h3>3 Comments</h3><div><p>{LONG}</p></div></article></body>", f"Title\n{LONG}"),
+        (f'<body><div><h2>Title</h2><p>{LONG}</p></div><section class="comments"><article><p>{LONG}</p></article></section></body>', f"Title\n{LONG}"),
+        # headings that hold a telling word among others
+        (f"<body><div><h1>Title</h1><p>{LONG}</p><h2>Share of the vote</h2><p>{LONG}</p><h2>The end</h2><p>{LONG}</p></div></body>", f"Title\n{LONG}\nShare of the vote\n{LONG}\nThe end\n{LONG}"),
+    ],
+)
+def test_pages_that_need_their_neighbours(page, text):
+    assert h.main_text(page) == text
+
+
+@pytest.mark.parametrize("part", ["<form><article>", "<section><h1>", "<article>", "<main>", "<section><h1>x</h1>", "<div class='a-b'><p>x</p>"])
+def test_time_follows_the_nesting(part):
+    took = []
+    for n in (16_000, 64_000):
+        began = time.thread_time()
+        h.main_text(part * n)
+        took.append(time.thread_time() - began)
+    assert took[1] < 10 * max(took[0], 0.2)  # sixteen times it would be, if it grew with the square
+
+
 def test_given_pages_equal_a_plain_reading():
     """The driver's pages, read by a few substitutions instead of a parser and a tree."""
     con = duckdb.connect()
