@@ -39,12 +39,14 @@ _SPANS = "array<struct<start:bigint,end:bigint,value:string>>"
 @dataclass(frozen=True)
 class Policy:
     """``window``: code points on either side of an entity in which terms are looked at.  ``min_term``: the
-    least length of a term.  ``min_contexts``: different surroundings of the entity in which the term must
-    stand, so that copies of one document are no evidence.  ``generalise``, ``remove``: disclosure shares."""
+    least length of a term.  ``min_contexts``: different surroundings of an entity, or different entities of a group
+    or kind, beside which the term must stand, so that copies of one document are no evidence.  ``smoothing``: documents with the term that are taken
+    to tell nothing beside those that are seen, so that few observations don't weigh like many.  ``generalise``, ``remove``: disclosure shares."""
 
     window: int = 120
     min_term: int = 4
-    min_contexts: int = 3
+    min_contexts: int = 2
+    smoothing: float = 0.5
     generalise: float = 0.8
     remove: float = 0.95
 
@@ -188,8 +190,11 @@ def occurrences(marks: DataFrame) -> DataFrame:
     """A row a text, entity, group or kind, and term near it.  Equal texts are one, with their number."""
     texts = marks.filter("row_key is not null").groupBy("row_key").agg(F.count(F.lit(1)).alias("copies"), F.first("near").alias("near"))
     each = texts.select("row_key", "copies", F.explode("near").alias("n")).select("row_key", "copies", "n.entity", "n.context", F.explode("n.terms").alias("t"))
-    levels = F.explode(F.array(F.col("entity"), _group(F.col("entity")), _kind(F.col("entity"))))
-    return each.select("row_key", "copies", levels.alias("entity"), "context", "t.term", "t.start", "t.end")
+    # what counts as one piece of evidence: for an entity a surrounding, for a group or kind an entity, since copies
+    # with edits surround one entity in many ways
+    of_value = F.xxhash64("entity")
+    levels = [F.struct(name.alias("entity"), what.alias("context")) for name, what in ((F.col("entity"), F.col("context")), (_group(F.col("entity")), of_value), (_kind(F.col("entity")), of_value))]
+    return each.withColumn("level", F.explode(F.array(*levels))).select("row_key", "copies", "level.entity", "level.context", "t.term", "t.start", "t.end")
 
 
 def disclosing_terms(docs: DataFrame, marks: DataFrame, near: DataFrame, text_col: str, policy: Policy, scratch: Scratch) -> DataFrame:
@@ -208,9 +213,10 @@ def disclosing_terms(docs: DataFrame, marks: DataFrame, near: DataFrame, text_co
     of_term = docs.select(F.explode(words).alias("term")).join(few(wanted), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     total = docs.count()
     counted = often.join(of_pair, ["entity", "term"]).join(of_entity, "entity").join(of_term, "term")
-    content = F.log2(F.lit(float(max(total, 1))) / F.col("n_entity"))
-    mutual = F.log2(F.col("n_pair") * F.lit(float(max(total, 1))) / (F.col("n_entity") * F.col("n_term").cast("double")))
-    share = F.when(content > 0, mutual / content).otherwise(F.lit(0.0))
+    # the chance of the entity where the term stands, as if ``smoothing`` more documents with the term were as any other
+    usual = F.col("n_entity") / F.lit(float(max(total, 1)))
+    there = (F.col("n_pair") + F.lit(policy.smoothing) * usual) / (F.col("n_term") + F.lit(policy.smoothing))
+    share = F.when(usual < 1, F.log2(there / usual) / -F.log2(usual)).otherwise(F.lit(0.0))
     action = F.when(share >= policy.remove, "remove").otherwise("generalise")
     return scratch.write(counted.select("entity", "term", share.alias("share"), action.alias("action")).filter(F.col("share") >= policy.generalise))
 
