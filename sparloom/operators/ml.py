@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparloom.functions.text import as_text, parse_boolish, to_number
+from sparloom.operators.forest import MultiOutputForest
 
 
 def typed_features(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], boolish: Sequence[str] = ("Has_Physical_Data", "Has_Toxicity_Data")) -> DataFrame:
@@ -131,6 +132,24 @@ def model_grid(train: DataFrame, test: DataFrame, labels: Sequence[str], feature
     return out
 
 
+#: The usual baselines by name: the feature set and the kind of model.  ``joint`` is one forest for all labels.
+BASELINES = {"both_joint": ("both", "joint"), "physical_joint": ("physical", "joint"), "structure_joint": ("structure", "joint"), "physical_logistic": ("physical", "logistic"), "structure_logistic": ("structure", "logistic")}
+
+
+def baselines(train: DataFrame, test: DataFrame, labels: Sequence[str], id_col: str, feature_sets: dict[str, str], which: dict[str, tuple[str, str]] = BASELINES, trees: int = 500, seed: int = 123, depth: int = 30) -> dict[str, DataFrame]:
+    """Predictions for ``test`` of every model named, each fitted on ``train`` alone; ``feature_sets`` says which
+    column holds which set."""
+    out = {}
+    for name, (features, kind) in which.items():
+        column = feature_sets[features]
+        if kind == "joint":
+            model = MultiOutputForest(labels, trees, seed, depth=depth).fit(train, id_col, column)
+        else:
+            model = OneVsRest(labels, kind, trees, seed).fit(train, column)
+        out[name] = model.transform(test, column) if kind == "joint" else model.transform(test)
+    return out
+
+
 def frozen_transfer(train: DataFrame, external: DataFrame, labels: Sequence[str], numeric: Sequence[str], categorical: Sequence[str], kind: str = "forest", trees: int = 500, seed: int = 123) -> DataFrame:
     """Predictions for an external set: imputation, scaling, categories and models are fitted on ``train``
     alone and then only applied."""
