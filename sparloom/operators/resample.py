@@ -20,6 +20,7 @@ from sparloom.functions.lineage import numbered
 from sparloom.functions.text import hashed_int
 from sparloom.operators.gates import GateError
 from sparloom.operators.metrics import ratio
+from sparloom.session import ship
 
 METRICS = ("subset_accuracy", "micro_f1", "macro_f1", "hamming_loss")
 
@@ -45,11 +46,12 @@ def row_statistics(wide: DataFrame, id_col: str, labels: Sequence[str], truth, p
     return wide.select(id_col, *[c.alias(k) for k, c in out.items()])
 
 
-def _metrics(labels: Sequence[str], weight: Column, prefix: str = "") -> list[Column]:
+def _metrics(labels: Sequence[str], weight: Column, prefix: str = "", rows: Column | None = None) -> list[Column]:
+    rows = F.sum(weight) if rows is None else rows
     total = lambda k: F.sum(weight * F.col(f"{prefix}{k}"))
     f1 = [ratio(2 * total(f"tp_{n}"), 2 * total(f"tp_{n}") + total(f"fp_{n}") + total(f"fn_{n}")) for n in labels]
     tp, fp, fn = (sum((total(f"{k}_{n}") for n in labels[1:]), total(f"{k}_{labels[0]}")) for k in ("tp", "fp", "fn"))
-    values = {"subset_accuracy": ratio(total("exact"), F.sum(weight)), "micro_f1": ratio(2 * tp, 2 * tp + fp + fn), "macro_f1": sum(f1[1:], f1[0]) / F.lit(float(len(f1))), "hamming_loss": ratio(total("wrong"), F.sum(weight) * len(labels))}
+    values = {"subset_accuracy": ratio(total("exact"), rows), "micro_f1": ratio(2 * tp, 2 * tp + fp + fn), "macro_f1": sum(f1[1:], f1[0]) / F.lit(float(len(f1))), "hamming_loss": ratio(total("wrong"), rows * len(labels))}
     return [values[m].alias(f"{prefix}{m}") for m in METRICS]
 
 
@@ -73,38 +75,48 @@ def replicates_of(stats: DataFrame, id_col: str, labels: Sequence[str], replicat
     return counted.groupBy("b").agg(*[m for p in prefixes for m in _metrics(labels, F.col("times"), p)])
 
 
-#: Classes that are drawn from at a time on each task: some 100 MB with nine labels and two systems.
-MAX_CLASSES = 500_000
+#: Classes of rows that one task draws from: some 10 MB with nine labels and two systems.
+CLASSES_PER_BLOCK = 50_000
 
 
 def _class_replicates(stats: DataFrame, kinds: Sequence[str], labels: Sequence[str], replicates: int, n: int, seed, prefixes: Sequence[str]) -> DataFrame:
+    """Multinomial draws over classes of rows with equal statistics, in blocks of classes: how many of a replicate's n
+    rows fall into each block is drawn first, alike in every task, then each block's rows over its own classes.  So
+    there may be any number of classes."""
     spark = stats.sparkSession
-    table = stats.groupBy(*kinds).agg(F.count(F.lit(1)).alias("size")).orderBy(*kinds).limit(MAX_CLASSES + 1).toPandas()
-    if len(table) > MAX_CLASSES:
-        raise GateError(f"more than {MAX_CLASSES} different row statistics: draw rows")
-    shared = spark.sparkContext.broadcast((table[list(kinds)].to_numpy(np.float64), table["size"].to_numpy(np.float64) / n))
-    at = {k: i for i, k in enumerate(kinds)}
-    names = [f"{p}{m}" for p in prefixes for m in METRICS]
-
-    def draw(batches):
-        values, shares = shared.value
-        for batch in batches:
-            out = []
-            for b in batch["id"]:
-                sums = np.random.default_rng([abs(hash_seed), int(b)]).multinomial(n, shares) @ values
-                row = [int(b)]
-                for p in prefixes:
-                    tp, fp, fn = (np.array([sums[at[f"{p}{k}_{x}"]] for x in labels]) for k in ("tp", "fp", "fn"))
-                    divide = lambda a, c: np.where(c > 0, a / np.where(c > 0, c, 1), 0.0)
-                    row += [sums[at[f"{p}exact"]] / n, float(divide(2 * tp.sum(), (2 * tp + fp + fn).sum())), float(divide(2 * tp, 2 * tp + fp + fn).mean()), sums[at[f"{p}wrong"]] / (n * len(labels))]
-                out.append(row)
-            yield pd.DataFrame(out, columns=["b", *names])
-
+    classes = numbered(stats.groupBy(*kinds).agg(F.count(F.lit(1)).alias("size")), [F.col(k) for k in kinds], "place").withColumn("_block", F.floor(F.col("place") / CLASSES_PER_BLOCK).cast("int"))
+    sizes = [r["n"] for r in classes.groupBy("_block").agg(F.sum("size").alias("n")).orderBy("_block").collect()]  # a number a block
+    of_blocks = np.array(sizes, np.float64) / n
     hash_seed = int.from_bytes(hashlib.md5(str(seed).encode()).digest()[:4], "big")
-    return spark.range(replicates).repartition(max(1, min(replicates // 100, 200))).mapInPandas(draw, "b int, " + ", ".join(f"{x} double" for x in names))
+    schema = "b int, drawn long, " + ", ".join(f"`{k}` long" for k in kinds)
+
+    def draw(key, rows):
+        block = int(key[0])
+        rows = rows.sort_values("place")
+        values, shares = rows[list(kinds)].to_numpy(np.int64), rows["size"].to_numpy(np.float64) / rows["size"].sum()
+        out = np.empty((replicates, 2 + len(kinds)), np.int64)
+        for b in range(replicates):
+            count = int(np.random.default_rng([hash_seed, b]).multinomial(n, of_blocks)[block])
+            out[b, :2] = b, count
+            out[b, 2:] = np.random.default_rng([hash_seed, b, block]).multinomial(count, shares) @ values
+        return pd.DataFrame(out, columns=["b", "drawn", *kinds])
+
+    ship(spark)
+    sums = classes.groupBy("_block").applyInPandas(draw, schema)
+    return sums.groupBy("b").agg(*[m for p in prefixes for m in _metrics(labels, F.lit(1), p, F.sum("drawn"))])
+
+
+def require_one_truth(stats: DataFrame, labels: Sequence[str], a: str = "a_", b: str = "b_") -> None:
+    """Both systems must have been judged against the same truth: a row whose positives differ is an error."""
+    differs = F.lit(False)
+    for n in labels:
+        differs |= F.col(f"{a}tp_{n}") + F.col(f"{a}fn_{n}") != F.col(f"{b}tp_{n}") + F.col(f"{b}fn_{n}")
+    bad = stats.agg(F.count_if(F.coalesce(differs, F.lit(True)))).first()[0]
+    if bad:
+        raise GateError(f"{bad} rows have another truth in one system than in the other")
 
 
-def bootstrap_ci(stats: DataFrame, id_col: str, labels: Sequence[str], replicates: int = 10_000, seed=123, alpha: float = 0.05, by_class: bool = False) -> DataFrame:
+def bootstrap_ci(stats: DataFrame, id_col: str, labels: Sequence[str], replicates: int = 10_000, seed=123, alpha: float = 0.05, by_class: bool = True) -> DataFrame:
     """(metric, value, mean, ci95_low, ci95_high): exact percentiles with linear interpolation; the names
     are ci95 whatever alpha is."""
     point = stats.agg(*_metrics(labels, F.lit(1))).unpivot([], list(METRICS), "metric", "value")
@@ -113,9 +125,11 @@ def bootstrap_ci(stats: DataFrame, id_col: str, labels: Sequence[str], replicate
     return point.join(spread, "metric").select("metric", "value", "mean", "ci95_low", "ci95_high")
 
 
-def paired_bootstrap(stats: DataFrame, id_col: str, labels: Sequence[str], replicates: int = 10_000, seed=123, alpha: float = 0.05, by_class: bool = False) -> DataFrame:
+def paired_bootstrap(stats: DataFrame, id_col: str, labels: Sequence[str], replicates: int = 10_000, seed=123, alpha: float = 0.05, by_class: bool = True) -> DataFrame:
     """Deltas of system b over a, both drawn alike (columns prefixed ``a_`` and ``b_``): point, interval, share
-    of replicates at or below 0, and share in which b isn't better (lower is better for the Hamming loss)."""
+    of replicates at or below 0, and share in which b isn't better (lower is better for the Hamming loss).  Rows with
+    different truths in the two systems are an error."""
+    require_one_truth(stats, labels)
     both = [F.col(f"b_{m}") - F.col(f"a_{m}") for m in METRICS]
     point = stats.agg(*_metrics(labels, F.lit(1), "a_"), *_metrics(labels, F.lit(1), "b_")).select(*[d.alias(m) for d, m in zip(both, METRICS, strict=True)]).unpivot([], list(METRICS), "metric", "delta")
     drawn = replicates_of(stats, id_col, labels, replicates, seed, ("a_", "b_"), by_class).select("b", *[d.alias(m) for d, m in zip(both, METRICS, strict=True)]).unpivot(["b"], list(METRICS), "metric", "d")

@@ -1,6 +1,7 @@
 """Operators by hand-made rows: what the oracle queries don't reach."""
 
 import json
+import random
 from collections import Counter
 
 import pytest
@@ -398,3 +399,26 @@ def test_bootstrap_by_class_agrees(spark):
     x, y = ({r.metric: r for r in resample.paired_bootstrap(paired, "id", ["a", "b"], 400, by_class=c).collect()} for c in (False, True))
     for m in resample.METRICS:
         assert x[m].delta == pytest.approx(y[m].delta) and x[m].ci95_low == pytest.approx(y[m].ci95_low, abs=0.03) and x[m].p_not_better == pytest.approx(y[m].p_not_better, abs=0.05)
+
+
+def test_bootstrap_in_many_blocks_of_classes(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [(i, *[rng.randint(0, 1) for _ in range(4)]) for i in range(400)]
+    wide = spark.createDataFrame(rows, "id int, t_a int, t_b int, p_a int, p_b int")
+    stats = resample.row_statistics(wide, "id", ["a", "b"], lambda n: F.col(f"t_{n}"), lambda n: F.col(f"p_{n}"))
+    whole = {r.metric: r for r in resample.bootstrap_ci(stats, "id", ["a", "b"], 2000).collect()}
+    monkeypatch.setattr(resample, "CLASSES_PER_BLOCK", 3)
+    parted = {r.metric: r for r in resample.bootstrap_ci(stats.repartition(5), "id", ["a", "b"], 2000).collect()}
+    for m, r in parted.items():
+        assert r.value == whole[m].value
+        for k in ("mean", "ci95_low", "ci95_high"):
+            assert abs(r[k] - whole[m][k]) < 0.15 * (whole[m].ci95_high - whole[m].ci95_low)
+
+
+def test_paired_systems_need_one_truth(spark):
+    wide = spark.createDataFrame([(1, 1, 0, 1, 1), (2, 0, 0, 1, 0)], "id int, t int, u int, p int, q int")
+    part = lambda t, p, prefix: resample.row_statistics(wide, "id", ["x"], lambda n: F.col(t), lambda n: F.col(p), prefix)
+    good = part("t", "p", "a_").join(part("t", "q", "b_"), "id")
+    assert resample.paired_bootstrap(good, "id", ["x"], 50).count() == 4
+    with pytest.raises(GateError, match="another truth"):
+        resample.paired_bootstrap(part("t", "p", "a_").join(part("u", "q", "b_"), "id"), "id", ["x"], 50)
