@@ -7,13 +7,14 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparloom.functions.text import as_text, parse_boolish, to_number
 from sparloom.operators.forest import MultiOutputForest
+from sparloom.operators.medians import medians
 
 
 def typed_features(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], boolish: Sequence[str] = ("Has_Physical_Data", "Has_Toxicity_Data")) -> DataFrame:
@@ -25,14 +26,14 @@ def typed_features(df: DataFrame, numeric: Sequence[str], categorical: Sequence[
 
 
 def feature_pipeline(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], vectors: Sequence[str] = (), out: str = "features") -> PipelineModel:
-    """Fitted on train rows alone.  Numeric columns without any value are left out, as they tell nothing;
-    unknown categories are all zeros."""
-    counts = train.agg(*[F.count(n).alias(n) for n in numeric]).first() if numeric else {}
-    some = [n for n in numeric if counts[n]]
+    """Fitted on train rows alone.  Missing numbers become the exact median.  Numeric columns without any value are
+    left out, as they tell nothing; unknown categories are all zeros."""
+    middle = medians(train, numeric)
+    some = [n for n in numeric if middle[n] is not None]
     stages, parts = [], list(vectors)
     if some:
         stages += [
-            Imputer(strategy="median", inputCols=some, outputCols=[f"_i_{n}" for n in some]),
+            SQLTransformer(statement="SELECT *, " + ", ".join(f"coalesce(if(isnan(`{n}`), null, `{n}`), double('{middle[n]!r}')) AS `_i_{n}`" for n in some) + " FROM __THIS__"),
             VectorAssembler(inputCols=[f"_i_{n}" for n in some], outputCol="_numbers"),
             StandardScaler(inputCol="_numbers", outputCol="_scaled", withMean=True, withStd=True),
         ]

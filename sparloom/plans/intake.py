@@ -1,4 +1,5 @@
-"""Registered queries over what comes from outside: workbooks, batches of ids, landed answers."""
+"""Registered queries over what comes from outside (workbooks, batches of ids, landed answers) and over what goes to
+training (masked and padded batches, medians)."""
 
 from __future__ import annotations
 
@@ -8,6 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import functions as F
 
 from sparloom.functions.lineage import through_files
+from sparloom.operators import batching, medians
 from sparloom.plans.contract import _register, _table
 from sparloom.plans.workflows import _HAZARDS_SQL, _documents
 from sparloom.sources import batches, workbook
@@ -76,3 +78,45 @@ def landed_progress(spark, sf_dir):
         return rows.unionByName(failed, allowMissingColumns=True).crossJoin(F.broadcast(last))  # one row
 
     return through_files(spark, land, taken)
+
+
+# ---- training ------------------------------------------------------------------------------------------
+
+#: Words as tokens: 31 bits of a digest each, so that SQL can make the same.
+_MAX, _SIZE, _STEP = 256, 8, 64
+_TOKENS = "list_transform(list_filter(string_split_regex({}, '[ \\n]+'), lambda w: w <> ''), lambda w: (('0x' || substr(md5(w), 1, 8))::BIGINT // 2)::INT)[:256]"
+_CHAT = "string_agg(upper(role) || ': ' || coalesce(text, ''), chr(10) || chr(10) ORDER BY turn, role, text)"
+
+
+def _word_tokens(text):
+    return F.transform(F.filter(F.split(text, "[ \n]+"), lambda w: w != ""), lambda w: F.shiftright(F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long"), 1).cast("int"))
+
+
+@_register(
+    f"""WITH c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) = 1 AS last FROM conversations),
+t AS (SELECT conv_id, {_CHAT} AS whole, coalesce({_CHAT} FILTER (WHERE NOT last) || chr(10) || chr(10), '') || 'ASSISTANT:' AS prompt FROM c GROUP BY conv_id),
+k AS (SELECT conv_id, {_TOKENS.format("whole")} AS ids, len({_TOKENS.format("prompt")}) AS n_prompt FROM t),
+n AS (SELECT *, row_number() OVER (ORDER BY ceil(len(ids) / {_STEP}.0), md5(conv_id::VARCHAR), conv_id) - 1 AS n FROM k),
+b AS (SELECT *, n // {_SIZE} AS batch, max(len(ids)) OVER (PARTITION BY n // {_SIZE}) AS longest FROM n),
+p AS (SELECT conv_id, batch, (n % {_SIZE})::INT AS place, longest, ids || list_resize([]::INT[], longest - len(ids), 0) AS input_ids, list_resize([]::INT[], len(ids), 1) || list_resize([]::INT[], longest - len(ids), 0) AS mask,
+  list_resize([]::INT[], least(n_prompt, len(ids)), -100) || ids[n_prompt + 1:] || list_resize([]::INT[], longest - len(ids), -100) AS labels FROM b)
+SELECT conv_id, batch, place, longest::INT AS longest, array_to_string(input_ids, ',') AS input_ids, array_to_string(mask, ',') AS attention_mask, array_to_string(labels, ',') AS labels FROM p"""
+)
+def training_batches(spark, sf_dir):
+    """Conversations with the loss on the last turn alone, in padded batches of about one length."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    records = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("messages"))
+    rows = batching.masked(records, _word_tokens, _MAX).drop("messages")
+    made = batching.padded_batches(rows, "conv_id", _SIZE, F.md5(F.col("conv_id").cast("string").cast("binary")), _STEP)
+    return made.select("conv_id", "batch", "place", F.size("input_ids").alias("longest"), *[F.array_join(c, ",").alias(c) for c in ("input_ids", "attention_mask", "labels")])
+
+
+_MIDDLES = [f"CASE WHEN l_orderkey % {k + 3} = 0 THEN NULL ELSE {c} * {k % 3 - 1 or 1} + {k % 4} END" for k in range(5) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]
+
+
+@_register(" UNION ALL ".join(f"SELECT {i} AS n, round(quantile_cont(({m})::DOUBLE, 0.5), 6) AS median FROM lineitem" for i, m in enumerate(_MIDDLES)))
+def exact_medians(spark, sf_dir):
+    """Medians of twenty columns with ties and nulls, in the same passes."""
+    t = _table(spark, sf_dir, "lineitem").select(*[F.expr(f"CAST({m} AS DOUBLE)").alias(f"m{i}") for i, m in enumerate(_MIDDLES)])
+    found = medians.medians(t, t.columns)
+    return spark.createDataFrame([(i, round(v, 6)) for i, v in enumerate(found.values())], "n int, median double")
