@@ -286,6 +286,19 @@ def may_be_similar(n, i, m, j, similarity: float):
     return np.minimum(i, j) + np.minimum(n - i, m - j) >= shared_needed(n + m, similarity)
 
 
+def may_meet_first(n, i, m, j, similarity: float):
+    """Whether sets of ``n`` and ``m`` members whose first shared one is at place ``i`` and ``j`` can be similar: at
+    most the members from it on are shared.  Every similar pair has a first shared member, and it is among the first
+    ``prefix_length`` of both, so a pair need only be tried where this holds."""
+    return np.minimum(n - i, m - j) >= shared_needed(n + m, similarity)
+
+
+def largest_partner(n, i, similarity: float):
+    """The most members that a set can have which is similar to one of ``n`` and shares nothing before its place
+    ``i``; works on columns as on arrays."""
+    return (n - i) * ((1 + similarity) / similarity) + 1e-6 - n
+
+
 def _numpy(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
 
@@ -364,7 +377,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     proportion to the entries.  The second makes the whole exact, which no fingerprint is: in any order common
     to all sets similar sets meet in the first ``prefix_length`` shingles of each, the order goes from rare
     shingles to frequent ones so that few others meet there, and all pairs that meet are tried unless they are
-    in one group already or their sizes, places or parity maps rule them out.  So that few are left to try, each
+    in one group already or their sizes, places or parity maps rule them out.  A pair is tried where its first
+    shared shingle is, so what stands before a place counts as not shared: entries that reach no other of their
+    bin this way go before any pair is made, as do short texts that share a frequent line and little else.  So that few are left to try, each
     group in a bin is joined with the one nearest to it before, a few times over.  Bins of frequent shingles are
     dealt out: in sub-bins whose first entries meet again, then in pairs of blocks.
 
@@ -420,7 +435,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             a, b = node[x[ok]], node[y[ok]]
             none = pa.array(np.zeros(len(a), np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), np.int64)), none, *_pairs(a, b), none, none], names=["h", "what", "a", "b", "n", "pos"])
-            left = (np.bincount(first, minlength=len(h))[first] > 3) | (sub >= 0)
+            # entries go for which no other of the bin is small enough; a sub-bin doesn't know all of its bin
+            least = np.minimum.reduceat(n, k[new])[np.cumsum(new) - 1]
+            left = (np.bincount(first, minlength=len(h))[first] > 3) & (largest_partner(n, pos, similarity) >= least) | (sub >= 0)
             what = np.where(new & (sub >= 0), 2, 1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(h[left]), pa.array(what[left]), pa.array(node[left]), pa.nulls(int(left.sum()), pa.int64()), pa.array(n[left]), pa.array(pos[left])], names=["h", "what", "a", "b", "n", "pos"])
 
@@ -438,7 +455,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 ok = (y[None, :] > x[:, None]) & (root[x][:, None] != root[y][None, :])
                 if u[lo] != v[lo]:
                     ok &= block[x][:, None] != block[y][None, :]
-                i, j = np.nonzero(ok & may_be_similar(n[x][:, None], pos[x][:, None], n[y][None, :], pos[y][None, :], similarity))
+                i, j = np.nonzero(ok & may_meet_first(n[x][:, None], pos[x][:, None], n[y][None, :], pos[y][None, :], similarity))
                 i, j = x[i], y[j]
                 for s in range(0, len(i), 1 << 14):
                     p, q = i[s : s + (1 << 14)], j[s : s + (1 << 14)]
@@ -531,8 +548,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         # bins with entries of more than one group
         left = met.filter("b is null").select("h", "a", "n", "pos")
         rooted = left.join(few(roots), F.col("a") == F.col("node"), "left").select("h", "a", "n", "pos", F.coalesce("root", "a").alias("root"))
-        several = rooted.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo != hi").select("h", F.ceil(F.col("size") / _BLOCK).cast("int").alias("blocks"))
-        in_several = left.join(scratch.write(several), "h").join(distinct.select(F.col("same").alias("a"), "brief"), "a")
+        several = rooted.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("least"), F.count(F.lit(1)).alias("size")).filter("lo != hi").select("h", "least", F.ceil(F.col("size") / _BLOCK).cast("int").alias("blocks"))
+        reach = largest_partner(F.col("n"), F.col("pos"), similarity)
+        in_several = left.join(scratch.write(several), "h").filter(reach >= F.col("least")).join(distinct.select(F.col("same").alias("a"), "brief"), "a")
         mine = F.pmod(F.xxhash64("a", "h"), F.col("blocks")).cast("int").alias("block")
         open_ = scratch.write(in_several.select("h", "a", "n", "pos", "brief", "blocks", mine))
         scratch.drop(met)

@@ -241,3 +241,47 @@ def test_the_threshold_is_decided_on_whole_sets(spark):
         above.append(k <= 100)
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[2 * i] == got[2 * i + 1] for i in range(60)] == above
+
+
+def _licence_rows(n, rng):
+    """Short texts that share a line of twenty words and have two to nine of their own."""
+    line = " ".join(f"licence{i}" for i in range(20))
+    return [(i, line + " " + " ".join(f"own{rng.randrange(10**6)}" for _ in range(rng.randint(2, 9)))) for i in range(n)]
+
+
+def test_short_texts_with_one_frequent_line(spark, monkeypatch):
+    """Those with few words of their own are similar, the others aren't, in bins that are dealt out."""
+    rows = _licence_rows(150, random.Random(8))
+    want, close = exact_groups(rows)
+    assert 1 < len(set(want.values())) < 149 and any(j < 0.8 for j in close)
+    monkeypatch.setattr(simhash, "_SUB_BIN", 30)
+    monkeypatch.setattr(simhash, "_BLOCK", 8)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()} == want
+
+
+def test_entries_without_a_partner_go_before_pairs_are_made():
+    """Of texts that share a line of twenty words and have 5 to 9 of their own none reaches another, however many there
+    are, so nothing of the line's bins is tried; with 2 to 4 some do."""
+    for own, reached in (((5, 9), False), ((2, 4), True)):
+        sets = [(16 + k, k) for k in range(own[0], own[1] + 1)]  # members, and where the line's first shingle stands
+        sets = [(n, i) for n, i in sets if i < simhash.prefix_length(np.array(n), 0.8)]
+        least = min((n for n, _ in sets), default=0)
+        assert any(simhash.largest_partner(n, i, 0.8) >= least for n, i in sets) == reached
+
+
+def test_first_shared_places_lose_no_pair():
+    rng = np.random.default_rng(4)
+    for _ in range(3000):
+        n, m, both = int(rng.integers(1, 40)), int(rng.integers(1, 40)), 0
+        a, b = set(rng.choice(60, n, replace=False).tolist()), set(rng.choice(60, m, replace=False).tolist())
+        if rng.random() < 0.7:
+            b = set(rng.permutation(sorted(a))[: max(1, n - int(rng.integers(0, 4)))].tolist()) | set(rng.choice(60, int(rng.integers(0, 4))).tolist())
+        both = len(a & b)
+        if both / len(a | b) < 0.8:
+            continue
+        x, y = sorted(a), sorted(b)
+        first = min(a & b)
+        i, j = x.index(first), y.index(first)
+        assert i < simhash.prefix_length(np.array(len(x)), 0.8) and j < simhash.prefix_length(np.array(len(y)), 0.8)
+        assert simhash.may_meet_first(len(x), i, len(y), j, 0.8) and simhash.largest_partner(len(x), i, 0.8) >= len(y)
