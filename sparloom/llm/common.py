@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 import zipfile
@@ -172,12 +173,16 @@ def kept_by_worker(name: str, make: Callable[[], object]):
     return _KEPT[name]
 
 
-def range_count(df: DataFrame, size: int = 64 << 20, most: int = 8192) -> int:
+def range_count(df: DataFrame, size: int = 64 << 20) -> int:
     """Ranges of some ``size`` bytes by the planner's estimate of ``df``, at least as many as a shuffle has
-    partitions.  The number decides how large tasks are, nothing else."""
+    partitions.  Beyond 8,192 ranges their number grows with the root of the estimate, and so does their size: some
+    900 MB for 100 TB.  The number decides how large tasks are, nothing else."""
     estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(most, -(-estimate // size)) if 0 < estimate < 1 << 60 else least)
+    if not 0 < estimate < 1 << 60:
+        return least
+    n = -(-estimate // size)
+    return max(least, n if n <= 8192 else math.isqrt(8192 * n))
 
 
 def range_bounds(df: DataFrame, key: str, ranges: int) -> list[int]:
@@ -189,7 +194,7 @@ def range_bounds(df: DataFrame, key: str, ranges: int) -> list[int]:
     cuts = [i / ranges for i in range(1, ranges)]
     if not cuts:
         return []
-    return sorted(set(df.agg(F.percentile_approx(F.col(key).cast("long"), cuts, 20 * ranges).alias("q")).first()["q"] or []))
+    return sorted(set(df.agg(F.percentile_approx(F.col(key).cast("long"), cuts, min(20 * ranges, 1_000_000)).alias("q")).first()["q"] or []))
 
 
 def arrow_rows(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterable[tuple]], schema: str, chunk: int = 2048) -> DataFrame:

@@ -117,3 +117,25 @@ def test_short_items_equal_brute_force(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in d.find_leaks(frame, bench).collect()} == want
+
+
+def test_recall_of_paraphrases(spark, sf):
+    """Given items planted in given texts, a share of their words (the answer's left out) replaced by others."""
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    rng = random.Random(3)
+    vocabulary = [w for _, t in docs for w in t.split()]
+    clean = [t.split() for _, t in docs if 200 < len(t) < 4000]
+    planted = {}
+    for rate in (0.0, 0.2, 0.3, 0.4):
+        for _ in range(60):
+            item, text = rng.choice(items)
+            words, answer = text.split(), len(d.answer_of(text).split())
+            body = [w if j >= len(words) - answer or rng.random() >= rate else rng.choice(vocabulary) for j, w in enumerate(words)]
+            base = rng.choice(clean)
+            at = rng.randrange(len(base) + 1)
+            planted[10**6 + len(planted)] = (item, rate, " ".join(base[:at] + body + base[at:]))
+    df = spark.createDataFrame(docs + [(k, t) for k, (_, _, t) in planted.items()], "doc_id long, text string").repartition(4)
+    found = {(r.doc_id, r.item_id) for r in d.find_leaks(df, spark.createDataFrame(items, "item_id long, text string")).select("doc_id", "item_id").collect()}
+    recall = {rate: np.mean([(k, i) in found for k, (i, r, _) in planted.items() if r == rate]) for rate in (0.0, 0.2, 0.3, 0.4)}
+    assert recall[0.0] == 1.0 and recall[0.2] >= 0.98 and recall[0.3] >= 0.9 and recall[0.4] >= 0.7, recall
