@@ -26,6 +26,21 @@ def parse_factors(spec: str | None, uniform: float | None = None, labels: Sequen
     return out
 
 
+def factor_map(spec: Column, uniform: float | None = None, labels: Sequence[str] = V.RARE_LABELS, known: Sequence[str] = V.LABELS) -> Column:
+    """``parse_factors`` of a column of texts: a map of label and factor; the same texts are errors."""
+    start = F.create_map(*[x for n in labels for x in (F.lit(n), F.lit(float(uniform)))]) if uniform is not None and labels else F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
+    items = F.filter(F.transform(F.split(F.coalesce(spec, F.lit("")), ","), lambda p: F.trim(p)), lambda p: p != "")
+    name = lambda p: F.trim(F.substring_index(p, "=", 1))
+    value = lambda p: F.trim(F.substring(p, F.instr(p, "=") + 1, F.length(p))).try_cast("double")
+    bad = F.filter(items, lambda p: ~F.contains(p, F.lit("=")) | ~name(p).isin(*known) | value(p).isNull())
+    said = F.map_from_arrays(F.transform(items, name), F.transform(items, value))
+    # later items win over earlier ones and over the uniform factor
+    last = F.map_from_entries(F.filter(F.map_entries(start), lambda e: ~F.exists(items, lambda p: name(p) == e["key"])))
+    whole = F.map_concat(last, said)
+    low = F.exists(F.map_values(whole), lambda f: f < 1)
+    return F.when(F.size(bad) > 0, F.raise_error(F.concat(F.lit("not label=factor: "), F.array_join(bad, ", "))).cast("map<string,double>")).when(low, F.raise_error(F.lit("factors must be at least 1")).cast("map<string,double>")).otherwise(whole)
+
+
 def hard_positive(label: Column, text: Column, keywords: Sequence[str]) -> Column:
     """The label is set and any keyword (lower case) is in the text."""
     if not keywords:

@@ -760,12 +760,12 @@ def flagship(spark, sf_dir):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """These and those of the other modules."""
-    from sparloom.plans import intake, molecules, workflows  # noqa: F401  register their own here
+    from sparloom.plans import audits, intake, molecules, workflows  # noqa: F401  register their own here
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from sparloom.plans import intake, molecules, workflows  # noqa: F401
+    from sparloom.plans import audits, intake, molecules, workflows  # noqa: F401
 
     return dict(_SQL)

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_csv(df: DataFrame, path: str, fields: Sequence[str] | None = None, single: bool = False, encoding: str = "utf-8") -> None:
-    """Cells as they are, white space around them too."""
+def write_csv(df: DataFrame, path: str, fields: Sequence[str] | None = None, single: bool = False, encoding: str = "utf-8", mark: bool = False) -> None:
+    """Cells as they are, white space around them too.  ``mark`` puts a byte-order mark at the start of each file, as
+    spreadsheets want it."""
     out = df.select(*fields) if fields else df
+    if mark:  # the header is what a file begins with
+        out = out.withColumnRenamed(out.columns[0], f"\ufeff{out.columns[0]}")
     options = {"header": True, "escape": '"', "encoding": encoding, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     (out.coalesce(1) if single else out).write.mode("overwrite").options(**options).csv(path)
 

@@ -422,3 +422,13 @@ def test_paired_systems_need_one_truth(spark):
     assert resample.paired_bootstrap(good, "id", ["x"], 50).count() == 4
     with pytest.raises(GateError, match="another truth"):
         resample.paired_bootstrap(part("t", "p", "a_").join(part("u", "q", "b_"), "id"), "id", ["x"], 50)
+
+
+def test_factors_of_texts(spark):
+    specs = ["cmr=2.5, stot = 3", "", None, "cmr=2,cmr=4", " , flammable=1"]
+    got = [r.f for r in spark.createDataFrame([(i, s) for i, s in enumerate(specs)], "i int, s string").orderBy("i").select(sample.factor_map(F.col("s"), 2).alias("f")).collect()]
+    assert got == [sample.parse_factors(s, 2) for s in specs]
+    assert spark.range(1).select(sample.factor_map(F.lit("")).alias("f")).first().f == {}
+    for bad in ("cmr", "nope=2", "cmr=x", "cmr=0.5"):
+        with pytest.raises(Exception, match="label=factor|at least 1"):
+            spark.range(1).select(sample.factor_map(F.lit(bad), 2).alias("f")).collect()
