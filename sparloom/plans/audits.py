@@ -106,7 +106,7 @@ def noisy_models(spark, sf_dir):
     typed = [ml.typed_features(d, ["x"], ["k"]) for d in (train, test)]
     pipeline = ml.feature_pipeline(typed[0], ["x"], ["k"])
     made = [cut(pipeline.transform(t).select("p_partkey", *labels, "features")) for t in typed]
-    models = {"forest": ml.OneVsRest(list(labels), "forest", trees=5), "logistic": ml.OneVsRest(list(labels), "logistic"), "chain": ml.ClassifierChain(list(labels), trees=5)}
+    models = {"forest": ml.OneVsRest(list(labels), "forest", trees=3), "logistic": ml.OneVsRest(list(labels), "logistic"), "chain": ml.ClassifierChain(list(labels), trees=3)}
     found = {n: m.fit(made[0]).transform(made[1]) for n, m in models.items()}
     found["frozen"] = ml.frozen_transfer(train, test.drop(*labels), list(labels), ["x"], ["k"], kind="logistic").join(test.select("p_partkey", *labels), "p_partkey")
     parts = None

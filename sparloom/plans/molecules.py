@@ -150,7 +150,7 @@ def five_models(spark, sf_dir):
     pipeline = ml.feature_pipeline(rows.filter("not held_out"), ["size"], [], out="physical")
     whole = VectorAssembler(inputCols=["physical", "structure"], outputCol="both").transform(pipeline.transform(rows))
     whole = cut(whole.select("p_partkey", "a", "b", "held_out", "physical", "structure", "both"))
-    found = ml.baselines(whole.filter("not held_out"), whole.filter("held_out"), ["a", "b"], "p_partkey", {k: k for k in ("physical", "structure", "both")}, trees=6, depth=5)
+    found = ml.baselines(whole.filter("not held_out"), whole.filter("held_out"), ["a", "b"], "p_partkey", {k: k for k in ("physical", "structure", "both")}, trees=4, depth=4)
     parts = None
     for model, said in found.items():
         each = said.select("a", "b", "pred_a", "pred_b").select(F.explode(F.array(*[F.struct(F.lit(x).alias("label"), F.col(x).alias("truth"), F.col(f"pred_{x}").alias("pred")) for x in "ab"])).alias("r")).select("r.*")
