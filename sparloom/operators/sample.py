@@ -33,8 +33,9 @@ def factor_map(spec: Column, uniform: float | None = None, labels: Sequence[str]
     name = lambda p: F.trim(F.substring_index(p, "=", 1))
     value = lambda p: F.trim(F.substring(p, F.instr(p, "=") + 1, F.length(p))).try_cast("double")
     bad = F.filter(items, lambda p: ~F.contains(p, F.lit("=")) | ~name(p).isin(*known) | value(p).isNull())
-    said = F.map_from_arrays(F.transform(items, name), F.transform(items, value))
-    # later items win over earlier ones and over the uniform factor
+    pairs = F.transform(items, lambda p: F.struct(name(p).alias("key"), value(p).alias("value")))
+    # later items win over earlier ones, whatever the session does about repeated keys, and over the uniform factor
+    said = F.map_from_entries(F.filter(pairs, lambda e, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda later: later["key"] == e["key"])))
     last = F.map_from_entries(F.filter(F.map_entries(start), lambda e: ~F.exists(items, lambda p: name(p) == e["key"])))
     whole = F.map_concat(last, said)
     low = F.exists(F.map_values(whole), lambda f: f < 1)

@@ -432,3 +432,21 @@ def test_factors_of_texts(spark):
     for bad in ("cmr", "nope=2", "cmr=x", "cmr=0.5"):
         with pytest.raises(Exception, match="label=factor|at least 1"):
             spark.range(1).select(sample.factor_map(F.lit(bad), 2).alias("f")).collect()
+
+
+def test_factors_where_repeated_keys_are_errors(spark):
+    """Sessions that the package didn't build raise on repeated map keys."""
+    before = spark.conf.get("spark.sql.mapKeyDedupPolicy")
+    spark.conf.set("spark.sql.mapKeyDedupPolicy", "EXCEPTION")
+    try:
+        specs = ["cmr=2,cmr=4", "cmr=2, stot=3,cmr = 5,stot=1.5,cmr=4"]
+        got = [r.f for r in spark.createDataFrame([(i, s) for i, s in enumerate(specs)], "i int, s string").orderBy("i").select(sample.factor_map(F.col("s"), 2).alias("f")).collect()]
+        assert got == [sample.parse_factors(s, 2) for s in specs]
+    finally:
+        spark.conf.set("spark.sql.mapKeyDedupPolicy", before)
+
+
+def test_number_text(spark):
+    numbers = [0.0, 0.5, -0.00099, 0.00012345678901234567, 0.0001, 9e-05, -1e-05, 1.25e-07, 3.0, 1234567.0, 12345678.5, -1e15, 1e16, 1.5e22, 1e-300, None]
+    got = [r.t for r in spark.createDataFrame([(i, x) for i, x in enumerate(numbers)], "i int, x double").orderBy("i").select(X.number_text(F.col("x")).alias("t")).collect()]
+    assert got == [None if x is None else repr(x) for x in numbers]
