@@ -55,6 +55,16 @@ def toxicity_number(c: Column) -> Column:
     return _first_number(F.lower(F.coalesce(c, F.lit(""))), r"(\d+(?:\.\d+)?)\s*(?:mg/kg|mg/l|ppm)", 1)
 
 
+def number_text(c: Column) -> Column:
+    """The text of a finite double as Python and DuckDB write it: exponents only below 1e-4 and from 1e16 on."""
+    t = c.cast("double").cast("string")
+    exponent = F.regexp_extract(t, r"E(-?\d+)$", 1).try_cast("int")
+    plain = F.regexp_replace(F.regexp_replace(c.cast("double").cast("decimal(38,20)").cast("string"), "0+$", ""), r"\.$", ".0")
+    digits = F.regexp_replace(F.substring_index(t, "E", 1), r"\.0$", "")
+    power = F.concat(F.when(exponent < 0, "-").otherwise("+"), F.regexp_replace(F.abs(exponent).cast("string"), r"^(\d)$", "0$1"))
+    return F.when(exponent.between(-4, 15), plain).when(exponent.isNotNull(), F.concat(digits, F.lit("e"), power)).otherwise(t)
+
+
 def to_number(c: Column) -> Column:
     """Failures and not-a-number are null."""
     x = F.trim(c.cast("string")).try_cast("double")
