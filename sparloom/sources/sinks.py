@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,9 +75,16 @@ def save_leaderboard(spark: SparkSession, path: str, new: DataFrame, key: str =
 
 
 def metric_pivot(table: DataFrame, runs: Sequence[str], metrics: Sequence[str], key: str = "run_name") -> DataFrame:
-    """Metrics as rows, runs as columns, four decimals."""
+    """Metrics as rows, runs as columns, four decimals, rounded as Python and C do: by the exact value of the double.
+    (``format_string`` rounds the shortest decimal text half up.)"""
+
+    @F.pandas_udf("string")
+    def four(values: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(v) else format(v, ".4f") for v in values], dtype=object)
+
     long = table.unpivot([key], list(metrics), "metric", "value")
-    return long.groupBy("metric").pivot(key, list(runs)).agg(F.format_string("%.4f", F.first("value")))
+    wide = long.groupBy("metric").pivot(key, list(runs)).agg(F.first("value"))
+    return wide.select("metric", *[four(F.col(f"`{r}`").cast("double")).alias(r) for r in runs])
 
 
 def markdown_table(wide: DataFrame, order: Sequence[str], key: str = "metric") -> str:

@@ -9,6 +9,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from oracle import compare, connect  # noqa: E402
 
 from sparloom.plans import contract  # noqa: E402
+from sparloom.sources import sinks  # noqa: E402
 
 
 def test_cues_of_small_numbers(spark, tmp_path):
@@ -16,3 +17,11 @@ def test_cues_of_small_numbers(spark, tmp_path):
     values = [0.0, 0.01, 0.05, 0.09, 0.1, 0.32, 0.99, 1.0, -0.04, -0.56, -0.99, 5000.0, 3000.0]
     spark.createDataFrame([(i, x) for i, x in enumerate(values)], "s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
     assert compare(contract.queries()["environmental_cues"](spark, str(tmp_path)), connect(str(tmp_path)), contract.oracle_sql()["environmental_cues"]) == len(values)
+
+
+def test_pivot_rounds_by_the_exact_value(spark):
+    values = [0.03125, 0.09375, 0.00005, 0.00015, 0.56785, 0.1, 1.0, None]
+    runs = spark.createDataFrame([(f"r{i}", x) for i, x in enumerate(values)], "run_name string, f1 double")
+    (row,) = sinks.metric_pivot(runs, [f"r{i}" for i in range(len(values))] + ["absent"], ["f1"]).collect()
+    assert [row[f"r{i}"] for i in range(len(values))] == [x if x is None else f"{x:.4f}" for x in values]
+    assert row["absent"] is None and row["r0"] == "0.0312"
