@@ -1,37 +1,39 @@
 """Hard negatives by a two-dimensional block matrix multiply (operator 12).
 
-Rows are cut into blocks, and their components into chunks.  An anchor tile (block i, chunk k) meets a row tile
-(block j, chunk k) once in a task of its own; the partial int64 score tiles of all chunks are shuffled to their place
-(i, j) and added there one after the other.  Each finished tile gives its own best positives of every anchor; when
-those of all tiles are reduced, the anchor-positive windows are known, and each tile gives its first negatives within
-each window, which are reduced again.  So a score is worked out once, no task holds more than one tile and the one
-that is added to it, and what leaves a tile is bounded by its anchors.
+Rows are cut into blocks.  An anchor block i meets a row block j once in each of two passes, in a shuffled join of
+the tiles (i, j), never a broadcast: both sides are copied once for every block of the other, far beyond what the
+planner's estimate of the stored blocks says.  The task that has both multiplies them, a slab of anchors and a chunk
+of components at a time.  The first pass gives the tile's best positives of every anchor; when those of all tiles are
+reduced, the anchor-positive windows are known, travel with the anchor blocks, and the second pass gives the tile's
+first negatives within each window, which are reduced again.  Scores are never stored: what leaves a tile is bounded
+by its anchors, and no task holds more than a slab of scores.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparloom.llm.common import Scratch, arrow_rows, cut, few, range_count, ship
+from sparloom.llm.common import Scratch, cut, range_count, ship
 from sparloom.llm.vectors import dimensions, floored, matrix, usable
 
-#: Anchors and rows of a block, components of a chunk: a score tile has some 4 MB.
-ANCHORS, ROWS, CHUNK = 256, 2048, 32
+#: Anchors and rows of a block, components of a chunk.
+ANCHORS, ROWS, CHUNK = 1024, 8192, 256
+#: Components of a block at most (wide vectors have fewer to a block), scores of a slab, and tiles to a task.
+CELLS, SLAB, TILES = 1 << 20, 1 << 20, 16
 #: Whole numbers beyond this aren't taken: products of 2**20 components still fit into 64 bits a hundredfold.
 MOST = 1 << 17
 
 RESULT = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
 
 
-def _tiles(rows: DataFrame, blocks: int, width: int, scale: int, chunk: int) -> DataFrame:
-    """(block, chunk, number, id, label, cells): one row a tile, rows in order of id within it."""
-    chunks = range(0, max(width, 1), chunk)
-    schema = "block int, chunk int, u binary, id binary, label binary, cells binary"
+def _tiles(rows: DataFrame, blocks: int, width: int, scale: int) -> DataFrame:
+    """(block, number, id, label, cells): one row a block, its rows in order of id, cells as 32-bit numbers."""
+    schema = "block int, u binary, id binary, label binary, cells binary"
     ship(rows.sparkSession)
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,10 +43,8 @@ def _tiles(rows: DataFrame, blocks: int, width: int, scale: int, chunk: int) ->
         def close() -> Iterator[pa.RecordBatch]:
             u, ids, labels, cells = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
-            for k, lo in enumerate(chunks):
-                part = np.ascontiguousarray(cells[:, lo : lo + chunk])
-                row = [at, k, *(a.astype("<i8").tobytes() for a in (u, ids, labels, part))]
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [pa.int32()] * 2 + [pa.binary()] * 4, strict=True)], names=["block", "chunk", "u", "id", "label", "cells"])
+            row = [at, *(a.astype("<i8").tobytes() for a in (u, ids, labels)), cells.astype("<i4").tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [pa.int32()] + [pa.binary()] * 4, strict=True)], names=["block", "u", "id", "label", "cells"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -78,9 +78,24 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
-def best_first(scores: np.ndarray) -> np.ndarray:
-    """Places of each row of scores, higher scores first; columns are in order of id, which settles ties."""
-    return np.argsort(-scores, axis=1, kind="stable")
+def leading(scores: np.ndarray, most: int) -> np.ndarray:
+    """Places of the ``most`` highest scores, highest first; places are in order of id, which settles ties."""
+    if len(scores) > 4 * most:
+        kept = np.flatnonzero(scores >= np.partition(scores, len(scores) - most)[len(scores) - most])
+        return kept[np.argsort(-scores[kept], kind="stable")[:most]]
+    return np.argsort(-scores, kind="stable")[:most]
+
+
+def reduced(found: list[np.ndarray], keys: int, most: int) -> np.ndarray:
+    """Rows (keys, score, id, more) of several tiles: of each key the first ``most`` by falling score, then by the
+    rest in their order."""
+    rows = np.concatenate(found)
+    by = [rows[:, i] for i in range(keys)] + [-rows[:, keys]] + [rows[:, i] for i in range(keys + 1, rows.shape[1])]
+    rows = rows[np.lexsort(by[::-1])]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:, :keys] != rows[:-1, :keys]).any(axis=1)
+    place = np.arange(len(rows))
+    return rows[place - np.maximum.accumulate(np.where(new, place, 0)) < most]
 
 
 def hard_negatives(
@@ -117,93 +132,102 @@ def hard_negatives(
         n_anchors = rows.filter("anchor").count()
         if not n_anchors:
             return spark.createDataFrame([], RESULT)
-        of_anchors, of_rows = -(-n_anchors // blocks[0]), -(-n // blocks[1])
-        left = scratch.write(_tiles(rows.filter("anchor"), of_anchors, width, scale, blocks[2]))
-        right = scratch.write(_tiles(rows, of_rows, width, scale, blocks[2]))
-        scores = scratch.write(_scores(left, right, of_anchors, of_rows, positives))
-        scratch.drop(left, right)
+        per_block = [max(1, min(most, CELLS // max(width, 1))) for most in blocks[:2]]
+        of_anchors, of_rows = -(-n_anchors // per_block[0]), -(-n // per_block[1])
+        left = scratch.write(_tiles(rows.filter("anchor"), of_anchors, width, scale))
+        right = scratch.write(_tiles(rows, of_rows, width, scale))
 
         # the anchor-positive windows
-        found = arrow_rows(scores.select("i", "best"), _unpack_best, "i int, u long, anchor_id long, label long, pu long, positive_id long, positive_score long", chunk=64)
+        found = _each_tile(met(left, right, of_anchors, of_rows), _positives, width, blocks[2], positives, ["u", "anchor_id", "i", "positive_score", "positive_id", "pu"])
         order = Window.partitionBy("u").orderBy(F.desc("positive_score"), "positive_id", "pu")
         windows = scratch.write(found.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= positives))
-        per_tile = windows.groupBy("i").agg(F.collect_list(F.struct("u", "nth", "positive_score")).alias("w"))  # at most blocks[0] x positives
+        of_block = windows.groupBy(F.col("i").cast("int").alias("block")).agg(F.collect_list(F.struct("u", "nth", "positive_score")).alias("w"))  # a block's anchors x positives
+        of_block = of_block.select("block", *[F.col(f"w.{c}").alias(f"w{i}") for i, c in enumerate(("u", "nth", "positive_score"))])
+        windowed = scratch.write(left.hint("merge").join(of_block, "block"))
 
         # the first negatives of every window in every tile, then of all
-        met = scores.join(few(per_tile), "i").select("u", "label", "id", "other", "cells", "w")
-        taken = arrow_rows(met, lambda rows: _negatives(rows, low, high, negatives), "u long, nth int, negative_id long, negative_score long", chunk=64)
+        taken = _each_tile(met(windowed, right, of_anchors, of_rows), _negatives(low, high), width, blocks[2], negatives, ["u", "nth", "negative_score", "negative_id"])
         order = Window.partitionBy("u", "nth").orderBy(F.desc("negative_score"), "negative_id")
         ranked = taken.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= negatives)
         out = ranked.join(windows.select("u", "nth", "anchor_id", "positive_id", "positive_score"), ["u", "nth"])
         return cut(out.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), "negative_id", "positive_score", "negative_score"))
 
 
-def _scores(left: DataFrame, right: DataFrame, of_anchors: int, of_rows: int, positives: int) -> DataFrame:
-    """Finished tiles (i, j): the anchors' numbers and labels, the rows' ids and labels, the scores, and the best
-    positives of each anchor within the tile."""
+def met(left: DataFrame, right: DataFrame, of_anchors: int, of_rows: int) -> DataFrame:
+    """The tiles: every anchor block beside every row block, some TILES of them to a task, in order of (i, j)."""
+    more = [F.col(c) for c in left.columns if c.startswith("w")]
+    a = left.select(F.col("block").alias("i"), F.col("u").alias("au"), F.col("id").alias("aid"), F.col("label").alias("al"), F.col("cells").alias("a"), *more).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(of_rows - 1))))
+    b = right.selectExpr("block AS j", "u AS bu", "id AS bid", "label AS bl", "cells AS b").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(of_anchors - 1))))
+    parts = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-of_anchors * of_rows // TILES))
+    a, b = (side.repartition(parts, "i", "j") for side in (a, b))
+    return a.hint("merge").join(b, ["i", "j"]).select("i", "au", "aid", "al", "a", "bu", "bid", "bl", "b", *more)
 
-    def multiply(rows: Iterable[tuple]) -> Iterator[tuple]:
-        for i, j, k, au, aid, al, a, bu, bid, bl, b in rows:
-            n, m = len(au) // 8, len(bu) // 8
-            part = product(_longs(a).reshape(n, -1), _longs(b).reshape(m, -1))
-            yield i, j, k, *((au, aid, al, bu, bid, bl) if k == 0 else (None,) * 6), part.astype("<i8").tobytes()
 
-    def add(rows: Iterable[tuple]) -> Iterator[tuple]:
-        def close() -> tuple:
-            (i, _, au, aid, al, bu, bid, bl) = head
-            scores = total.reshape(len(au) // 8, len(bu) // 8)
-            return i, au, al, bid, bl, scores.tobytes(), _best(scores, *map(_longs, (au, aid, al, bu, bid, bl)), positives)
+def _each_tile(tiles: DataFrame, pick: Callable[..., np.ndarray], width: int, chunk: int, most: int, names: list[str]) -> DataFrame:
+    """What ``pick`` takes of each slab of scores, the first ``most`` of each key over the tiles of an anchor block
+    that a task has one after the other.  The key is what comes before the score among ``names``."""
+    keys = next(i for i, n in enumerate(names) if n.endswith("score"))
+    ship(tiles.sparkSession)
 
-        head: tuple = ()
-        total = np.zeros(0, np.int64)
-        for i, j, _, *named, cells in rows:
-            if head and head[:2] == (i, j):
-                total += _longs(cells)
-                continue
-            if head:
-                yield close()
-            head, total = (i, j, *named), _longs(cells).copy()
-        if head:
-            yield close()
-
-    a = left.selectExpr("block AS i", "chunk AS k", "u AS au", "id AS aid", "label AS al", "cells AS a").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(of_rows - 1))))
-    b = right.selectExpr("block AS j", "chunk AS k", "u AS bu", "id AS bid", "label AS bl", "cells AS b").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(of_anchors - 1))))
-    pairs = a.join(b, ["i", "j", "k"]).select("i", "j", "k", "au", "aid", "al", "a", "bu", "bid", "bl", "b")
-    partial = arrow_rows(pairs, multiply, "i int, j int, k int, au binary, aid binary, al binary, bu binary, bid binary, bl binary, cells binary", chunk=1)
-    met = partial.repartition(F.col("i"), F.col("j")).sortWithinPartitions("i", "j", "k")
-    return arrow_rows(met, add, "i int, u binary, label binary, id binary, other binary, cells binary, best binary", chunk=1)
-
-
-def _best(scores: np.ndarray, au: np.ndarray, aid: np.ndarray, al: np.ndarray, bu: np.ndarray, bid: np.ndarray, bl: np.ndarray, most: int) -> bytes:
-    """The first ``most`` other rows of each anchor's own label, as rows of six whole numbers."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        at = None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            rows = reduced(held, keys, most) if held else np.zeros((0, len(names)), np.int64)
+            for k in range(0, len(rows), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows[k : k + (1 << 16)].T.copy()], names=names)
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                i, au, aid, al, a, bu, bid, bl, b, *windows = (c[k].as_py() for c in batch.columns)
+                if i != at:
+                    yield from close()
+                    held, at = [], i
+                au, aid, al, bu, bid, bl = map(_longs, (au, aid, al, bu, bid, bl))
+                left, right = (np.frombuffer(x, "<i4").astype(np.int64).reshape(n, width) for x, n in ((a, len(au)), (b, len(bu))))
+                chosen: dict[int, list[tuple[int, int]]] = {}
+                for u, nth, score in zip(*windows, strict=True):
+                    chosen.setdefault(u, []).append((nth, score))
+                for lo in range(0, len(au), max(1, SLAB // len(bu))):
+                    part = slice(lo, lo + max(1, SLAB // len(bu)))
+                    scores = np.zeros((len(au[part]), len(bu)), np.int64)
+                    for c in range(0, width, chunk):
+                        scores += product(left[part, c : c + chunk], right[:, c : c + chunk])
+                    held += pick(i, scores, au[part], aid[part], al[part], bu, bid, bl, most, chosen)
+                if sum(map(len, held)) > 1 << 20:
+                    held = [reduced(held, keys, most)]
+        yield from close()
+
+    return tiles.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def _positives(i: int, scores: np.ndarray, au: np.ndarray, aid: np.ndarray, al: np.ndarray, bu: np.ndarray, bid: np.ndarray, bl: np.ndarray, most: int, _: dict) -> list[np.ndarray]:
+    """The first ``most`` other rows of each anchor's own label."""
     out = []
     for r in range(len(au)):
         same = np.flatnonzero((bl == al[r]) & (bu != au[r]))
-        top = same[np.argsort(-scores[r, same], kind="stable")[:most]]
-        out.append(np.stack([np.full(len(top), v) for v in (au[r], aid[r], al[r])] + [bu[top], bid[top], scores[r, top]], axis=1))
-    return np.concatenate(out).astype("<i8").tobytes() if out else b""
-
-
-def _unpack_best(rows: Iterable[tuple]) -> Iterator[tuple]:
-    for i, best in rows:
-        for row in _longs(best).reshape(-1, 6).tolist():
-            yield i, *row
-
-
-def _negatives(rows: Iterable[tuple], low: int, high: int, most: int) -> Iterator[tuple]:
-    """Of each tile, the first ``most`` rows of another label within each window."""
-    for u, label, ids, other, cells, windows in rows:
-        u, label, ids, other = map(_longs, (u, label, ids, other))
-        scores = _longs(cells).reshape(len(u), len(ids))
-        place = {int(x): r for r, x in enumerate(u)}
-        by_anchor: dict[int, list[tuple[int, int]]] = {}
-        for w in windows:
-            by_anchor.setdefault(place[w["u"]], []).append((w["nth"], w["positive_score"]))
-        for r, wanted in by_anchor.items():
-            of = np.flatnonzero(other != label[r])
-            of = of[np.argsort(-scores[r, of], kind="stable")]
-            found = 100 * scores[r, of]
+        top = same[leading(scores[r, same], most)]
+        out.append(np.stack([np.full(len(top), v) for v in (au[r], aid[r], i)] + [scores[r, top], bid[top], bu[top]], axis=1))
+    return out
+
+
+def _negatives(low: int, high: int) -> Callable[..., list[np.ndarray]]:
+    def pick(_: int, scores: np.ndarray, au: np.ndarray, aid: np.ndarray, al: np.ndarray, bu: np.ndarray, bid: np.ndarray, bl: np.ndarray, most: int, windows: dict) -> list[np.ndarray]:
+        """The first ``most`` rows of another label within each window."""
+        out = []
+        for r in range(len(au)):
+            wanted = windows.get(int(au[r]))
+            if not wanted:
+                continue
+            other = np.flatnonzero(bl != al[r])
+            own = scores[r, other]
             for nth, score in wanted:
-                a, z = np.searchsorted(-found, -high * score, "left"), np.searchsorted(-found, -low * score, "right")
-                for x in of[a : min(z, a + most)].tolist():
-                    yield int(u[r]), nth, int(ids[x]), int(scores[r, x])
+                # low * score <= 100 * own <= high * score, in whole numbers
+                fits = np.flatnonzero((own >= -(-low * score // 100)) & (own <= high * score // 100))
+                top = fits[leading(own[fits], most)]
+                if len(top):
+                    out.append(np.stack([np.full(len(top), int(au[r])), np.full(len(top), nth), own[top], bid[other[top]]], axis=1))
+        return out
+
+    return pick

@@ -138,3 +138,17 @@ def test_whitening_query(spark, sf):
 def test_squares_beyond_64_bits():
     y = np.array([[3, 4], [3_000_000_000, 300_000_000], [4_000_000_000, 1]], np.int64)
     assert whitening._squares(y) == [25, 9 * 10**18 + 9 * 10**16, None]
+
+
+def test_tiles_are_never_broadcast(spark):
+    """Small blocks are copied once for every block of the other side, which the planner's estimate doesn't see."""
+    blocks = spark.createDataFrame([(0, b"", b"", b"", b"")], "block int, u binary, id binary, label binary, cells binary")
+    plan = hard_negatives.met(blocks, blocks, 3, 4)._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and hard_negatives.met(blocks, blocks, 1, 1).count() == 1
+
+
+def test_leading_scores_and_their_ties():
+    rng = np.random.default_rng(2)
+    for n in (0, 3, 7, 30, 500):
+        scores = rng.integers(0, 9, n)
+        assert hard_negatives.leading(scores, 5).tolist() == sorted(range(n), key=lambda i: (-scores[i], i))[:5]
