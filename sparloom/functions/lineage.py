@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +42,27 @@ def through_files(spark: SparkSession, write: Callable[[str], object], read: Cal
         fs.delete(where, True)
 
 
+def spread(df: DataFrame, *keys: str, each: int = 20_000) -> DataFrame:
+    """``df`` in as many partitions as it has times ``each`` rows, dealt by ``keys``.  A table of short rows is a few
+    bytes and so a split or two, however much is then done with each row or made of it."""
+    parts = -(-df.count() // each)
+    return df.repartition(parts, *keys) if parts > 1 else df
+
+
+#: Rows with their columns that may be broadcast.
+FEW = 20_000
+
+
+def worked_out(df: DataFrame, keys: Sequence[str], columns: Mapping[str, Column], each: int = 20_000) -> DataFrame:
+    """``df`` with columns that are told by its ``keys`` alone: each different combination is worked out once, ``each``
+    of them to a task, and joined to its rows, nulls to nulls (by broadcast if they are FEW)."""
+    names = [f"_key{i}" for i in range(len(keys))]
+    different = cut(df.select(*keys).distinct())
+    done = cut(spread(different, *keys, each=each).select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], *[c.alias(n) for n, c in columns.items()]))
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)]
+    return df.join(F.broadcast(done) if done.count() <= FEW else done, same).drop(*names)
+
+
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """``df`` with dense numbers from 0 in the given order, without a single-task window: a distributed sort
     is pinned, rows are counted by partition, and each row adds its place to its partition's offset."""
