@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparloom.functions import structures as S
 from sparloom.functions import text as X
-from sparloom.functions.lineage import cut
+from sparloom.functions.lineage import cut, spread, worked_out
 from sparloom.operators import ml, split
 from sparloom.plans.contract import _register, _table
 
@@ -40,6 +40,10 @@ def lines(spark, sf_dir):
     return _table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("C"), F.array_join(parts, ""), F.lit("C")).alias("line"))
 
 
+#: Lines to a task: one takes milliseconds.
+LINES = 250
+
+
 def _digest(*parts: str) -> str:
     return f"('0x' || substr(md5(concat_ws(',', {', '.join(parts)})), 1, 15))::BIGINT"
 
@@ -71,8 +75,7 @@ FROM found JOIN (SELECT p, count(*) AS n_atoms FROM atoms GROUP BY p) USING (p)
 
 @_register(_BITS_SQL)
 def circular_bits(spark, sf_dir):
-    found = lines(spark, sf_dir).withColumn("m", S.parse(F.col("line")))
-    bits = found.select("p_partkey", F.size("m.atoms").alias("n_atoms"), S.circular_bits(F.col("m")).alias("b"))
+    bits = worked_out(lines(spark, sf_dir), ["line"], {"m": F.transform(F.array(S.parse(F.col("line"))), lambda m: F.struct(F.size(m["atoms"]).alias("n_atoms"), S.circular_bits(m).alias("b")))[0]}, LINES).select("p_partkey", "m.*")
     return bits.select("p_partkey", F.size("b").alias("n_bits"), F.md5(F.array_join(F.array_sort(F.col("b").cast("array<string>")), ",").cast("binary")).alias("bits"), "n_atoms")
 
 
@@ -86,7 +89,7 @@ frames AS (SELECT p, least(array_to_string(l, ','), array_to_string(list_reverse
 
 
 def _scaffolds(spark, sf_dir):
-    found = lines(spark, sf_dir).withColumn("scaffold", S.scaffold(F.col("line")))
+    found = worked_out(lines(spark, sf_dir), ["line"], {"scaffold": S.scaffold(F.col("line"))}, LINES)
     return found, found.groupBy("scaffold").agg(F.min("p_partkey").alias("first_key"), F.count(F.lit(1)).alias("n"))
 
 
@@ -100,7 +103,7 @@ def ring_scaffolds(spark, sf_dir):
 @_register(f"WITH {_FRAMES_SQL} SELECT min(p) AS first_key, count(*) AS n, 1 AS n_splits FROM frames GROUP BY frame")
 def scaffold_split(spark, sf_dir):
     """A split by scaffold keeps each of them whole."""
-    found = lines(spark, sf_dir).withColumn("scaffold", S.scaffold(F.col("line"))).withColumns({"lab_a": (F.col("p_partkey") % 3 == 0).cast("int"), "lab_b": (F.col("p_partkey") % 7 == 0).cast("int")})
+    found = worked_out(lines(spark, sf_dir), ["line"], {"scaffold": S.scaffold(F.col("line"))}, LINES).withColumns({"lab_a": (F.col("p_partkey") % 3 == 0).cast("int"), "lab_b": (F.col("p_partkey") % 7 == 0).cast("int")})
     done = split.group_split(cut(found), "scaffold", ["lab_a", "lab_b"], 0.1, 0.1, 123)
     return done.groupBy("scaffold").agg(F.min("p_partkey").alias("first_key"), F.count(F.lit(1)).alias("n"), F.count_distinct("split").cast("int").alias("n_splits")).drop("scaffold")
 
@@ -116,7 +119,7 @@ def structure_problems(spark, sf_dir):
     for i, (form, _) in enumerate(SPOILT):
         before, after = form.split("{}")
         line = F.when(F.col("p_partkey") % 13 == i, F.concat(F.lit(before), F.col("line"), F.lit(after))).otherwise(line)
-    said = lines(spark, sf_dir).withColumn("problem", F.coalesce(S.parse(line)["problem"], F.lit("none")))
+    said = worked_out(lines(spark, sf_dir).withColumn("line", line), ["line"], {"problem": F.coalesce(S.parse(F.col("line"))["problem"], F.lit("none"))}, LINES)
     return said.groupBy("problem").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("first_key"))
 
 
@@ -134,8 +137,8 @@ def _labelled(spark, sf_dir):
     wrong = lambda name: X.hashed_int(name, p) % 10 == 0
     told = F.exists(_chain(), lambda f: f.isin(3, 4))
     made = _table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("string").alias("size"), (told != wrong("a")).cast("int").alias("a"), ((F.col("p_size") > 25) != wrong("b")).cast("int").alias("b"), (X.hashed_int("t", p) % 4 == 0).alias("held_out"))
-    bits = S.bit_vector(S.circular_bits(S.parse(F.col("line")), bits=256), 256)
-    return made.join(lines(spark, sf_dir), "p_partkey").withColumn("structure", array_to_vector(bits))
+    bits = worked_out(lines(spark, sf_dir), ["line"], {"structure": array_to_vector(S.bit_vector(S.circular_bits(S.parse(F.col("line")), bits=256), 256))}, LINES)
+    return spread(made, "p_partkey").join(bits.drop("line"), "p_partkey")
 
 
 @_register(
