@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sparloom.functions import records as R
 from sparloom.functions import text as X
 from sparloom.functions import vocabulary as V
-from sparloom.functions.lineage import cut, through_files
+from sparloom.functions.lineage import cut, spread, through_files, worked_out
 from sparloom.operators import ensemble, gates, hooks, integrate, metrics, ml, prepare, sample, split
 from sparloom.plans.contract import _COUNTS, _GOLD_SQL, _MEMBERS_SQL, _gold, _h, _members, _register, _rounded, _status_sql, _table
 from sparloom.sources import documents, readers, sinks
@@ -197,9 +197,11 @@ def tri_state_rules(spark, sf_dir):
         n = (F.col("l_partkey") * 7 + F.col("l_suppkey") * (i + 1) + i) % len(_CELLS)
         return F.get(F.array(*[F.lit(t) for t in _CELLS]), n.cast("int"))
 
-    t = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[cell(i).alias(f"c{i}") for i in range(len(_HEADERS))])
-    found = X.tri_state_labels(lambda h: F.col(f"c{_HEADERS.index(h)}"))
-    return t.select("l_orderkey", "l_linenumber", *[c.alias(n) for n, s, e in found for c, n in ((s, n), (e, f"evidence_{n}"))])
+    # the cells as one column: a join by seventeen is more code than gets compiled
+    t = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.array(*[cell(i) for i in range(len(_HEADERS))]).alias("cells"))
+    found = X.tri_state_labels(lambda h: F.col("cells")[_HEADERS.index(h)])
+    columns = {n: c for name, s, e in found for c, n in ((s, name), (e, f"evidence_{name}"))}
+    return worked_out(t, ["cells"], columns).drop("cells")
 
 
 # ---- records -------------------------------------------------------------------------------------------
