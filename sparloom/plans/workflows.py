@@ -127,7 +127,7 @@ def _documents(spark, sf_dir):
     toxicity = {"TOCHeading": "Toxicity", "Section": [{"TOCHeading": "Acute", "Information": [_info("t", "LD50 oral rat {code} mg/kg"), _info("t", "LD50 oral mouse 1 mg/kg"), _info("t", "LC50 {size} mg/L"), _info("t", "LD50 dermal none")]}]}
     k = {"size": F.col("p_size"), "code": 200 + p % 220, "name": F.col("p_name")}
     body = F.when(p % 5 == 0, F.lit('{"Record": {"Section": []}}')).otherwise(_body(k, [hazards, chemical, toxicity]))
-    return _table(spark, sf_dir, "part").select(p.alias("cid"), body.alias("body"))
+    return spread(_table(spark, sf_dir, "part"), "p_partkey").select(p.alias("cid"), body.alias("body"))
 
 
 _FULL = "p_partkey % 5 <> 0"
@@ -197,7 +197,6 @@ def tri_state_rules(spark, sf_dir):
         n = (F.col("l_partkey") * 7 + F.col("l_suppkey") * (i + 1) + i) % len(_CELLS)
         return F.get(F.array(*[F.lit(t) for t in _CELLS]), n.cast("int"))
 
-    # the cells as one column: a join by seventeen is more code than gets compiled
     t = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.array(*[cell(i) for i in range(len(_HEADERS))]).alias("cells"))
     found = X.tri_state_labels(lambda h: F.col("cells")[_HEADERS.index(h)])
     columns = {n: c for name, s, e in found for c, n in ((s, name), (e, f"evidence_{name}"))}

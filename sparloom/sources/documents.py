@@ -72,7 +72,10 @@ def parse_properties(df: DataFrame, id_col: str = "cid") -> DataFrame:
             lambda s: F.transform(F.coalesce(s["Information"], F.array()), lambda i: F.struct(s["TOCHeading"].alias("heading"), _first_text(i).alias("text"))),
         )
     )
-    told = F.filter(entries, lambda e: F.coalesce(e["text"], F.lit("")) != "")
+    computed = F.flatten(F.transform(_under(chem, "Computed Properties"), lambda s: F.coalesce(s["Information"], F.array())))
+    # what all properties are looked for in is a column of its own, so that it is worked out once
+    df = df.select(id_col, F.filter(entries, lambda e: F.coalesce(e["text"], F.lit("")) != "").alias("_told"), computed.alias("_computed"))
+    told, computed = F.col("_told"), F.col("_computed")
 
     def number(part: str) -> Column:
         values = F.transform(F.filter(told, lambda e: F.contains(e["heading"], F.lit(part))), lambda e: X.physical_number(e["text"]))
@@ -84,7 +87,6 @@ def parse_properties(df: DataFrame, id_col: str = "cid") -> DataFrame:
         return F.when(has("liquid"), "liquid").when(has("gas", "vapor"), "gas").when(has("solid", "powder", "crystal"), "solid")
 
     states = F.array_compact(F.transform(F.filter(told, lambda e: F.contains(e["heading"], F.lit("Physical Description"))), lambda e: state(e["text"])))
-    computed = F.flatten(F.transform(_under(chem, "Computed Properties"), lambda s: F.coalesce(s["Information"], F.array())))
     logp = F.transform(F.filter(computed, lambda i: F.contains(i["Name"], F.lit("LogP"))), lambda i: F.try_element_at(i["Value"]["Number"], F.lit(1)))
     out = df.select(id_col, *[number(part).alias(name) for part, name in PROPERTIES], F.try_element_at(F.array_compact(logp), F.lit(1)).alias("LogP"), F.try_element_at(states, F.lit(-1)).alias("PhysicalState"))
     known = F.lit(False)
@@ -107,12 +109,15 @@ def parse_toxicity(df: DataFrame, id_col: str = "cid") -> DataFrame:
     def first(test) -> Column:
         return X.toxicity_number(F.try_element_at(F.filter(texts, test), F.lit(1)))
 
+    # the texts are a column of their own, so that they are worked out once
+    df = df.select(id_col, texts.alias("_texts"), ((F.size(_under(top, "Toxicity")) > 0) | (F.size(safety) > 0)).alias("_has"))
+    texts = F.col("_texts")
     out = df.select(
         id_col,
         first(lambda t: has(t, "ld50") & has(t, "oral")).alias("LD50_oral"),
         first(lambda t: has(t, "ld50") & ~has(t, "oral") & has(t, "dermal")).alias("LD50_dermal"),
         first(lambda t: ~has(t, "ld50") & has(t, "lc50")).alias("LC50_inhalation"),
         first(lambda t: ~has(t, "ld50") & ~has(t, "lc50") & has(t, "idlh")).alias("IDLH"),
-        ((F.size(_under(top, "Toxicity")) > 0) | (F.size(safety) > 0)).alias("Has_Toxicity_Data"),
+        F.col("_has").alias("Has_Toxicity_Data"),
     )
     return out.withColumn("Toxicity_Class", X.toxicity_class(F.col("LD50_oral")))
