@@ -148,20 +148,37 @@ def contrast_deltas(table: DataFrame, pairs: DataFrame, name: str, metrics: Sequ
 def prompt_digest(records: DataFrame, order: str) -> DataFrame:
     """One digest of ids and turns but the answers: row digests, each with its place, summed up as four
     numbers, so that no group of texts is gathered; equal tables have equal digests."""
-    turns = F.to_json(F.filter("messages", lambda m: m["role"] != "assistant"))
+    return _digest_of_rows(records, order, _turns())
+
+
+def _turns() -> Column:
+    return F.to_json(F.filter("messages", lambda m: m["role"] != "assistant"))
+
+
+def digested(records: DataFrame) -> DataFrame:
+    """``records`` with a digest of the turns but the answers, ``turns``, in the messages' place: a narrow table that
+    can be kept, where the texts would be written or put together again for each use."""
+    return records.withColumn("turns", F.sha2(_turns(), 256)).drop("messages")
+
+
+def _digest_of_rows(records: DataFrame, order: str, turns: Column) -> DataFrame:
     row = F.sha2(F.concat_ws("\x1f", F.col(order).cast("string"), "id", turns), 256)
     part = lambda i: F.sum(F.conv(F.substring(row, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)"))
     return records.agg(F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), *[part(i).cast("string") for i in range(4)]), 256).alias("digest"))
 
 
 def gold_equivalence(a: DataFrame, b: DataFrame, order: str, labels: Sequence[str]) -> dict[str, object]:
-    """Order, id set and labels of two gold tables, and their prompts' digests."""
+    """Order, id set and labels of two gold tables, and their prompts' digests.  The tables are records or, if they are
+    ``digested`` both, narrow ones."""
+    if "turns" not in a.columns or "turns" not in b.columns:
+        a, b = digested(a), digested(b)
+    digest = lambda t: _digest_of_rows(t, order, F.col("turns")).first()[0]
     x = a.select("id", F.col(order).alias("_oa"), F.struct(*[f"labels.{n}" for n in labels]).alias("_la"))
     y = b.select("id", F.col(order).alias("_ob"), F.struct(*[f"labels.{n}" for n in labels]).alias("_lb"))
     r = x.join(y, "id", "full_outer").agg(
         F.count_if(F.col("_oa").isNull() | F.col("_ob").isNull()).alias("unpaired"), F.count_if(F.col("_oa") != F.col("_ob")).alias("moved"), F.count_if(F.col("_la") != F.col("_lb")).alias("relabelled")
     ).first()
-    return {**r.asDict(), "same_prompts": prompt_digest(a, order).first()[0] == prompt_digest(b, order).first()[0]}
+    return {**r.asDict(), "same_prompts": digest(a) == digest(b)}
 
 
 def run_status(gold: DataFrame | None, pred: DataFrame | None, key: str = "id") -> str:

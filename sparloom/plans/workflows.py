@@ -209,7 +209,7 @@ def tri_state_rules(spark, sf_dir):
 def _compounds(spark, sf_dir):
     p = F.col("p_partkey")
     label = lambda i: F.when((p + i) % (i + 2) == 0, "1").otherwise("0")
-    return _table(spark, sf_dir, "part").select(
+    return spread(_table(spark, sf_dir, "part"), "p_partkey").select(
         p.cast("string").alias("CID"), F.when(p % 9 != 0, F.concat(F.lit("C"), F.col("p_size").cast("string"))).alias("ConnectivitySMILES"), F.col("p_name").alias("IUPACName"), F.when(p % 3 == 0, "nan").otherwise("H2O").alias("MolecularFormula"),
         (F.col("p_size") / 2).cast("string").alias("XLogP"), F.col("p_brand").alias("H_Statements"), F.lit("soil").alias("NonHCode_Evidence_Summary"), *[label(i).alias(f"label_{n}") for i, n in enumerate(V.LABELS)],
     )
@@ -434,7 +434,7 @@ def threshold_transfer(spark, sf_dir):
 @_register("SELECT 0::BIGINT AS unpaired, count_if(p_partkey % 10 = 0 AND p_partkey > 0)::BIGINT AS moved, count_if(p_partkey % 4 = 0)::BIGINT AS relabelled, true AS same_prompts FROM part")
 def gold_audit(spark, sf_dir):
     """Two gold tables that differ in some places and labels, not in ids or prompts."""
-    t = _records(spark, sf_dir).withColumn("_o", F.col("id").cast("bigint"))
+    t = cut(metrics.digested(_records(spark, sf_dir)).withColumn("_o", F.col("id").cast("bigint")))
     other = t.withColumn("labels", F.when(F.col("_o") % 4 == 0, F.col("labels").withField("cmr", 1 - F.col("labels.cmr"))).otherwise(F.col("labels")))
     found = metrics.gold_equivalence(t, other, "_o", V.LABELS)
     swapped = metrics.gold_equivalence(t, t.withColumn("_o", F.when(F.col("_o") % 10 == 0, -F.col("_o")).otherwise(F.col("_o"))), "_o", V.LABELS)

@@ -3,11 +3,13 @@
 import os
 import sys
 
-import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from oracle import compare, connect  # noqa: E402
 
+from sparloom.functions import lineage  # noqa: E402
+from sparloom.operators import metrics  # noqa: E402
 from sparloom.plans import contract  # noqa: E402
 from sparloom.sources import sinks  # noqa: E402
 
@@ -25,3 +27,41 @@ def test_pivot_rounds_by_the_exact_value(spark):
     (row,) = sinks.metric_pivot(runs, [f"r{i}" for i in range(len(values))] + ["absent"], ["f1"]).collect()
     assert [row[f"r{i}"] for i in range(len(values))] == [x if x is None else f"{x:.4f}" for x in values]
     assert row["absent"] is None and row["r0"] == "0.0312"
+
+
+def test_short_rows_are_spread(spark):
+    """A small file is one split; its rows are dealt out by their number."""
+    dealt = lineage.spread(spark.range(1000).coalesce(1), "id", each=100)
+    assert dealt.rdd.getNumPartitions() == 10 and dealt.count() == 1000
+    assert lineage.spread(spark.range(0), "id").count() == 0
+
+
+def test_each_combination_is_worked_out_once(spark):
+    rows = [(i, None if i % 3 == 0 else f"k{i % 3}", i % 2) for i in range(60)]
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def work(k, n):
+        seen.add(1)
+        return f"{k}-{n}"
+
+    df = spark.createDataFrame(rows, "i int, k string, n int")
+    got = lineage.worked_out(df, ["k", "n"], {"w": work("k", "n")}, each=2)
+    assert sorted(map(tuple, got.collect())) == [(i, k, n, f"{k}-{n}") for i, k, n in rows] and seen.value == 6
+
+
+def test_flagship_deals_its_parts_first(spark, tmp_path):
+    """Rows are dealt by part before 27 rows come of each."""
+    spark.range(1, 60001).selectExpr("id AS p_partkey", "int(id % 50) + 1 AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    plan = contract.queries()["flagship"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert any("hashpartitioning(p_partkey" in line and "REPARTITION_BY_NUM" in line for line in plan.split("\n"))
+
+
+def test_digested_records_tell_the_same(spark):
+    schema = "o int, id string, messages array<struct<role:string,content:string>>, labels struct<a:int>"
+    a = spark.createDataFrame([(i, f"r{i}", [("user", f"t{i}"), ("assistant", "x")], (i % 2,)) for i in range(9)], schema)
+    b = spark.createDataFrame([(i, f"r{i}", [("user", f"t{i}" if i else "other"), ("assistant", "y")], (1,)) for i in range(9)], schema)
+    assert "messages" not in metrics.digested(a).columns
+    for other, same in ((a, True), (b, False)):
+        whole, narrow = metrics.gold_equivalence(a, other, "o", ["a"]), metrics.gold_equivalence(metrics.digested(a), metrics.digested(other), "o", ["a"])
+        assert whole == narrow and whole["same_prompts"] is same
