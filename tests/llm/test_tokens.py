@@ -48,6 +48,55 @@ def test_encoder_equals_the_library_on_odd_texts():
         assert np.frombuffer(got, "<u4").tolist() == coder.library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def _counted_calls(coder, monkeypatch):
+    """The texts that go through the whole tokenizer, its pattern included."""
+    calls = []
+
+    class Library:
+        model = coder.library.model
+
+        def __getattr__(self, name):
+            calls.append(name)
+            return getattr(coder_library, name)
+
+    coder_library = coder.library
+    monkeypatch.setattr(coder, "library", Library())
+    return calls
+
+
+def test_words_of_plain_runs_skip_the_tokenizers_pattern(monkeypatch):
+    coder = token_files.WordEncoder(BYTES)
+    texts = ["A word, another (word) 555-4042.\nÉté größer ¡Ñandú! a_b x2y\n$$$ end", "..., 12ab%% ça"]
+    want = [coder.library.encode(t, add_special_tokens=False).ids for t in texts]
+    want_odd = coder.library.encode("it's ªb x² µm 日本 ¡a", add_special_tokens=False).ids
+    calls = _counted_calls(coder, monkeypatch)
+    plain = [t.replace("¡", "") for t in texts]
+    list(coder.encode_many(plain))
+    assert calls == []
+    assert [np.frombuffer(b, "<u4").tolist() for b in coder.encode_many(texts)] == want
+    assert calls == ["encode_batch_fast"]
+    assert np.frombuffer(next(coder.encode_many(["it's ªb x² µm 日本 ¡a"])), "<u4").tolist() == want_odd
+
+
+def test_letters_and_punctuation_are_the_librarys():
+    coder = token_files.WordEncoder(BYTES)
+    letters = [chr(c) for c in range(0x250) if token_files.WordEncoder.RUN.fullmatch("a" + chr(c))]
+    assert len(letters) > 400
+    for text in (f"{m}{c}{m}{c}" for m in ("a", "é", "7", "!", ".x") for c in [*letters, *"0189", *coder.PUNCTUATION, "'", "ª", "²"]):
+        for t in (text, f"b {text} c", f"b\n{text}"):
+            got, want = next(token_files.WordEncoder.encode_many(coder, [t])), coder.library.encode(t, add_special_tokens=False).ids
+            assert np.frombuffer(got, "<u4").tolist() == want, repr(t)
+
+
+def test_words_beyond_what_is_kept(monkeypatch):
+    monkeypatch.setattr(token_files.WordEncoder, "ENTRIES", 3)
+    coder = token_files.WordEncoder(BYTES)
+    texts = ["one two, three. four\nfive, six", "two, two seven! one", "five six, seven!"]
+    for _ in range(2):
+        assert [np.frombuffer(b, "<u4").tolist() for b in coder.encode_many(texts)] == [coder.library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(coder.kept) == 3
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 200), st.integers(0, 2**32 - 1)), max_size=1500))
 def test_blocks_round_trip(values):
