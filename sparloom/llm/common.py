@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
 import tempfile
 import uuid
@@ -168,11 +170,35 @@ def kept_by_worker(name: str, make: Callable[[], object]):
     """What a Python worker keeps between tasks: one large thing at a time.  Asking for another lets the one
     before go, so a worker that serves several operators in turn needs no more memory than one that serves one."""
     if name not in _KEPT:
-        _KEPT.clear()
+        let_go()
         _KEPT[name] = make()
     return _KEPT[name]
 
 
+def let_go() -> None:
+    """What the worker keeps goes, and the memory of it back to the machine: small pieces that are freed stay with
+    the process otherwise."""
+    if not _KEPT:
+        return
+    _KEPT.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def keeping_nothing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for workers that may have served an operator which keeps something: that goes first.  Workers outlive
+    stages, so a step without use for it would else have the memory of both."""
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
+        yield from run(batches)
+
+    return alone
+
+
 def range_count(df: DataFrame, size: int = 64 << 20) -> int:
     """Ranges of some ``size`` bytes by the planner's estimate of ``df``, at least as many as a shuffle has
     partitions.  Beyond 8,192 ranges their number grows with the root of the estimate, and so does their size: some
@@ -197,8 +223,9 @@ def range_bounds(df: DataFrame, key: str, ranges: int) -> list[int]:
     return sorted(set(df.agg(F.percentile_approx(F.col(key).cast("long"), cuts, min(20 * ranges, 1_000_000)).alias("q")).first()["q"] or []))
 
 
-def arrow_rows(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterable[tuple]], schema: str, chunk: int = 2048) -> DataFrame:
-    """Stream the rows of each partition through ``fn`` (tuples in, tuples out) in Arrow batches.
+def arrow_rows(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterable[tuple]], schema: str, chunk: int = 2048, keeps: bool = False) -> DataFrame:
+    """Stream the rows of each partition through ``fn`` (tuples in, tuples out) in Arrow batches.  ``keeps``: it
+    uses ``kept_by_worker``.
 
     ``fn`` sees one iterator per partition, so it may keep state that is bounded by itself (caches, a
     current group); nothing here gathers a partition.
@@ -227,7 +254,7 @@ def arrow_rows(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterable[tuple]],
         if held:
             yield _batch(held, arrow)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run if keeps else keeping_nothing(run), schema)
 
 
 def text_chunks(batches: Iterable[pa.RecordBatch], rows: int = 1024, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparloom.llm.common import Scratch, arrow_rows, cut, row_key, ship, small_batches, text_chunks, text_of, without_rows
+from sparloom.llm.common import Scratch, arrow_rows, cut, keeping_nothing, row_key, ship, small_batches, text_chunks, text_of, without_rows
 from sparloom.llm.words import hashed_words
 
 FEATURES = 1 << 13
@@ -72,7 +72,7 @@ def hashed_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), row_key(id_col, text_col), text_of(text_col)).mapInArrow(each, f"k {kind}, row_key binary, z binary")
+    return docs.select(F.col(id_col), row_key(id_col, text_col), text_of(text_col)).mapInArrow(keeping_nothing(each), f"k {kind}, row_key binary, z binary")
 
 
 def _loaded(rows: Iterable[tuple]) -> Iterator[list[tuple[object, np.ndarray]]]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparloom.llm.common import Scratch, cut, range_count, ship
+from sparloom.llm.common import Scratch, cut, keeping_nothing, range_count, ship
 from sparloom.llm.vectors import dimensions, floored, matrix, usable
 
 #: Anchors and rows of a block, components of a chunk.
@@ -62,7 +62,7 @@ def _tiles(rows: DataFrame, blocks: int, width: int, scale: int) -> DataFrame:
 
     placed = rows.withColumn("block", F.pmod(F.xxhash64("u"), F.lit(blocks)).cast("int"))
     parts = min(blocks, max(range_count(rows), 1))
-    return placed.select("block", "u", "id", "label", "vector").repartition(parts, "block").sortWithinPartitions("block", "id", "u").mapInArrow(pack, schema)
+    return placed.select("block", "u", "id", "label", "vector").repartition(parts, "block").sortWithinPartitions("block", "id", "u").mapInArrow(keeping_nothing(pack), schema)
 
 
 def _longs(data: bytes) -> np.ndarray:
@@ -199,7 +199,7 @@ def _each_tile(tiles: DataFrame, pick: Callable[..., np.ndarray], width: int, ch
                     held = [reduced(held, keys, most)]
         yield from close()
 
-    return tiles.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return tiles.mapInArrow(keeping_nothing(run), ", ".join(f"{n} long" for n in names))
 
 
 def _positives(i: int, scores: np.ndarray, au: np.ndarray, aid: np.ndarray, al: np.ndarray, bu: np.ndarray, bid: np.ndarray, bl: np.ndarray, most: int, _: dict) -> list[np.ndarray]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparloom.llm.common import cut, row_key, ship, small_batches, text_chunks, text_of, without_rows
+from sparloom.llm.common import cut, keeping_nothing, row_key, ship, small_batches, text_chunks, text_of, without_rows
 from sparloom.llm.mixing import hashed_unit
 from sparloom.llm.words import AGAIN, WORD, hashed_words
 
@@ -70,7 +70,7 @@ def count_models(docs: DataFrame, target_ids: set, id_col: str, text_col: str, b
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(target[some])], names=["bucket", "raw", "target"])
 
     ship(docs.sparkSession)
-    sent = docs.select(F.col(id_col), text_of(text_col).alias("t")).mapInArrow(count, "bucket long, raw long, target long")
+    sent = docs.select(F.col(id_col), text_of(text_col).alias("t")).mapInArrow(keeping_nothing(count), "bucket long, raw long, target long")
     with small_batches(docs.sparkSession):
         got = sent.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.zeros(buckets), np.zeros(buckets)
@@ -181,7 +181,7 @@ def importance_sample(
 
     kind = docs.schema[id_col].dataType.simpleString()
     key = row_key(id_col, text_col) if with_key else F.lit(None).cast("binary")
-    weighed = docs.select(F.col(id_col), key.alias("row_key"), text_of(text_col).alias("t")).mapInArrow(weigh, f"`{id_col}` {kind}, row_key binary, n_ngrams long, log_weight double")
+    weighed = docs.select(F.col(id_col), key.alias("row_key"), text_of(text_col).alias("t")).mapInArrow(keeping_nothing(weigh), f"`{id_col}` {kind}, row_key binary, n_ngrams long, log_weight double")
     keyed = cut(weighed.withColumn("gumbel_key", F.col("log_weight") + gumbel(seed, F.col(id_col))).withColumn("_order", _sortable(F.col("gumbel_key"))))
     if k is None:
         marks = spark.createDataFrame([(i, g) for i, g in good.items()], f"_id {kind}, _good boolean") if good else None

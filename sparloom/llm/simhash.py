@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparloom.llm.common import Scratch, arrow_rows, cut, few, free_name, row_key, ship, small_batches, text_chunks, text_of, without_rows
+from sparloom.llm.common import Scratch, arrow_rows, cut, few, free_name, keeping_nothing, row_key, ship, small_batches, text_chunks, text_of, without_rows
 from sparloom.llm.graph import components
 from sparloom.llm.words import hashed_words, mixed
 
@@ -189,10 +189,10 @@ def fingerprint_links(distinct: DataFrame, threshold: int = 2) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(anchors(values.view(np.uint64), 0)[0].view(np.int64)), pa.array(values)], names=["anchor", "a"])
 
     ship(distinct.sparkSession)
-    at_home = distinct.select("fp").mapInArrow(home, "anchor long, a long")
+    at_home = distinct.select("fp").mapInArrow(keeping_nothing(home), "anchor long, a long")
     # the replicas are many times the rows: whatever few partitions the fingerprints are in, they are dealt out
     dealt = distinct.select("fp").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
-    placed = dealt.mapInArrow(replicas, "anchor long, b long")
+    placed = dealt.mapInArrow(keeping_nothing(replicas), "anchor long, b long")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold
     # each link is met at both ends' homes; one direction is enough
     return placed.join(at_home, "anchor").filter((F.col("a") < F.col("b")) & near).select("a", "b")
@@ -351,7 +351,7 @@ def shingle_counts(texts: DataFrame, shingle: int) -> np.ndarray:
         for i, part in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()])], names=["piece", "counts"])
 
-    counted = texts.mapInArrow(count, "piece int, counts binary").repartition("piece").mapInArrow(add, "piece int, counts binary")
+    counted = texts.mapInArrow(keeping_nothing(count), "piece int, counts binary").repartition("piece").mapInArrow(keeping_nothing(add), "piece int, counts binary")
     out = np.zeros((PIECES, COUNTERS // PIECES), np.int64)
     with small_batches(texts.sparkSession):
         for r in counted.collect():  # PIECES rows
@@ -517,9 +517,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         tried.append(pairs)
         maps = distinct.join(ends(pairs), "same", "left_semi").select("same", "n", "parity")
         mapped = pairs.join(maps.toDF("a", "n", "x"), "a").join(maps.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
-        close = scratch.write(mapped.mapInArrow(loosely, "a long, b long"))
+        close = scratch.write(mapped.mapInArrow(keeping_nothing(loosely), "a long, b long"))
         keys = scratch.write(distinct.join(ends(close), "same", "left_semi").select(F.col("first_key").alias("row_key")))
-        every = texts.join(few(keys), "row_key", "left_semi").select("t").mapInArrow(members, "same long, members array<long>")
+        every = texts.join(few(keys), "row_key", "left_semi").select("t").mapInArrow(keeping_nothing(members), "same long, members array<long>")
         sets = every.dropDuplicates(["same"])
         both = close.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
         shared = F.size(F.array_intersect("x", "y"))
@@ -528,7 +528,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return links
 
     with Scratch(spark) as scratch:
-        rows = scratch.write(texts.mapInArrow(describe, f"id {kind}, row_key binary, same long, fp long, n int, first binary, parity binary, brief binary"))
+        rows = scratch.write(texts.mapInArrow(keeping_nothing(describe), f"id {kind}, row_key binary, same long, fp long, n int, first binary, parity binary, brief binary"))
         named = rows.groupBy("same").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "row_key")).alias("r"), F.min("row_key").alias("first_key"), *[F.first(c).alias(c) for c in ("fp", "n", "first", "parity", "brief")])
         distinct = scratch.write(named)
         ids = scratch.write(rows.select("id", "row_key", "same"))
@@ -537,12 +537,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         one_fp = distinct.join(by_fp, "fp").filter("node < same").select(F.col("node").alias("a"), F.col("same").alias("b"))
         linked = fingerprint_links(by_fp.select("fp"), threshold)
         near_fp = linked.join(by_fp.toDF("a", "x"), "a").join(by_fp.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        placed = distinct.select("same", "n", "first").mapInArrow(place, "h long, sub int, node long, n int, pos int")
+        placed = distinct.select("same", "n", "first").mapInArrow(keeping_nothing(place), "h long, sub int, node long, n int, pos int")
         # bins in order of size, then of the nodes' numbers, which are digests: the same on every run
         met_schema = "h long, what int, a long, b long, n int, pos int"
-        met = scratch.write(placed.repartition("h", "sub").sortWithinPartitions("h", "sub", "n", "node").mapInArrow(meet, met_schema))
+        met = scratch.write(placed.repartition("h", "sub").sortWithinPartitions("h", "sub", "n", "node").mapInArrow(keeping_nothing(meet), met_schema))
         leading = met.filter("what = 2").select("h", F.lit(-1).alias("sub"), F.col("a").alias("node"), "n", "pos")
-        led = leading.repartition("h").sortWithinPartitions("h", "n", "node").mapInArrow(meet, met_schema).filter("b is not null")
+        led = leading.repartition("h").sortWithinPartitions("h", "n", "node").mapInArrow(keeping_nothing(meet), met_schema).filter("b is not null")
         links = similar(met.filter("b is not null").select("a", "b").union(led.select("a", "b")).union(one_fp).union(near_fp).distinct())
         roots = components(links, scratch)
         # bins with entries of more than one group
@@ -559,7 +559,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             now = open_.join(few(roots), F.col("a") == F.col("node"), "left").withColumn("root", F.coalesce("root", "a")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             units = now.select("h", F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"), "block", "a", "n", "pos", "root", "brief")
             last = new.isEmpty() or rounds == _NEAREST
-            pairs = units.repartition("h", "u", "v").sortWithinPartitions("h", "u", "v", "n", "a").mapInArrow(every if last else nearest, "a long, b long")
+            pairs = units.repartition("h", "u", "v").sortWithinPartitions("h", "u", "v", "n", "a").mapInArrow(keeping_nothing(every if last else nearest), "a long, b long")
             new = similar(pairs.distinct())
             if not new.isEmpty():
                 # the groups so far, and what joins them

@@ -129,5 +129,5 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
 
     kind = docs.schema[id_col].dataType.simpleString()
     read = docs.select(F.col(id_col), F.octet_length(text_of(text_col)).cast("long").alias("n_bytes"), text_of(text_col).alias("text"))
-    out = arrow_rows(read, count, f"`{id_col}` {kind}, n_bytes long, n_tokens long")
+    out = arrow_rows(read, count, f"`{id_col}` {kind}, n_bytes long, n_tokens long", keeps=True)
     return out.withColumn("over_limit", F.col("n_tokens") > F.lit(limit))

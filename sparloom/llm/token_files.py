@@ -372,11 +372,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     key, text = F.col(id_col).cast("long").alias("k"), text_of(text_col)
     if by_id:
         bounds = range_bounds(docs, id_col, range_count(docs))
-        coded = arrow_rows(docs.select(key, F.xxhash64(text).alias("tie"), text.alias("t")), encode, "at int, k long, tie long, z binary")
+        coded = arrow_rows(docs.select(key, F.xxhash64(text).alias("tie"), text.alias("t")), encode, "at int, k long, tie long, z binary", keeps=True)
         ordered = coded.repartitionById(len(bounds) + 1, F.col("at")).sortWithinPartitions(F.col("k").asc_nulls_first(), "tie").select("k", "z")
-        packed = arrow_rows(ordered, lambda rows: segments((k, _widen(z)) for k, z in rows), "s binary")
+        packed = arrow_rows(ordered, lambda rows: segments((k, _widen(z)) for k, z in rows), "s binary", keeps=True)
     else:
-        packed = arrow_rows(docs.select(key, text.alias("t")), lambda rows: segments((k, np.frombuffer(ids, "<u4")) for k, ids in encoded(rows)), "s binary")
+        packed = arrow_rows(docs.select(key, text.alias("t")), lambda rows: segments((k, np.frombuffer(ids, "<u4")) for k, ids in encoded(rows)), "s binary", keeps=True)
     # the text writer puts a string's bytes out as they are and a newline after each
     files = packed.select(F.col("s").cast("string").alias("value"))
     with small_batches(docs.sparkSession):
@@ -408,7 +408,7 @@ def read_token_files(spark: SparkSession, path: str, id_name: str = "doc_id") ->
 
     stored = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     with Scratch(spark) as scratch:
-        docs = scratch.write(arrow_rows(stored, decode, f"part long, piece long, `{id_name}` long, first long, n_tokens long, ids_crc32 long, file string", chunk=4096))
+        docs = scratch.write(arrow_rows(stored, decode, f"part long, piece long, `{id_name}` long, first long, n_tokens long, ids_crc32 long, file string", chunk=4096, keeps=True))
         # one row a file: a running sum within a part's files, then one over the parts' totals
         per_file = docs.groupBy("part", "piece").agg(F.sum("n_tokens").alias("n"))
         per_part = per_file.groupBy("part").agg(F.sum("n").alias("n"))
@@ -435,4 +435,4 @@ def read_token_ids(spark: SparkSession, path: str, id_name: str = "doc_id") -> D
                 yield key, ids.astype(np.int64).tolist()
 
     stored = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return arrow_rows(stored, decode, f"`{id_name}` long, ids array<long>", chunk=4)
+    return arrow_rows(stored, decode, f"`{id_name}` long, ids array<long>", chunk=4, keeps=True)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparloom.llm.common import ship
+from sparloom.llm.common import keeping_nothing, ship
 from sparloom.llm.vectors import dimensions, floored, matrix, usable
 
 #: Triangular factors that meet in one task, and that may reach the driver.
@@ -98,7 +98,7 @@ def _summed(vectors: DataFrame, make: Callable[[Iterable[pa.RecordBatch]], np.nd
         if (x := make(batches)) is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(x.size)), pa.array(x.ravel())], names=["place", "v"])
 
-    parts = vectors.mapInArrow(run, f"place long, v {kind}")
+    parts = vectors.mapInArrow(keeping_nothing(run), f"place long, v {kind}")
     return [r[0] for r in parts.groupBy("place").agg(F.sum("v").alias("v")).orderBy("place").select("v").collect()]
 
 
@@ -133,10 +133,10 @@ def fit(vectors: DataFrame, vector_col: str, scale: int, shift: int, most: int)
         yield from _as_row(r)
 
     parts = vectors.rdd.getNumPartitions()
-    factors = vectors.mapInArrow(reduce_rows, "r binary")
+    factors = vectors.mapInArrow(keeping_nothing(reduce_rows), "r binary")
     while parts > FAN_IN:
         parts = -(-parts // FAN_IN)
-        factors = factors.repartition(parts, F.spark_partition_id()).mapInArrow(reduce_factors, "r binary")
+        factors = factors.repartition(parts, F.spark_partition_id()).mapInArrow(keeping_nothing(reduce_factors), "r binary")
     stacked = np.vstack([np.frombuffer(row[0]).reshape(-1, width) for row in factors.collect()])  # at most FAN_IN factors
     v, sigma = jacobi(_triangle(stacked))
     variance = sigma**2 / n
@@ -202,7 +202,7 @@ def whiten(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
             deviation = pa.array(_squares(y), pa.int64()).take(pa.array(np.repeat(np.arange(m), k)))
             yield pa.RecordBatch.from_arrays([keys, *map(pa.array, numbers), deviation, *map(pa.array, rest)], names=[id_col, "component", "n", "deviation", "whitened", "explained", "identity_error"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(keeping_nothing(run), schema)
 
 
 def _squares(y: np.ndarray) -> list[int | None]:

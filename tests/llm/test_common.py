@@ -97,3 +97,27 @@ def test_equal_groups_by_parity_maps():
         assert simhash.differing(x, y) <= len(np.setxor1d(a, b)) and len(simhash.folded(x, 128)) == 128
         brief = np.bitwise_count(simhash.folded(x, 128) ^ simhash.folded(y, 128)).sum()
         assert brief <= len(np.setxor1d(a, b)) and simhash.differing(x, x) == 0
+
+
+def test_steps_without_use_for_it_let_go_what_a_worker_keeps(spark):
+    """Workers outlive stages: what the token files' encoder kept stayed in them through all of near_duplicates."""
+
+    def fill(rows):
+        common.kept_by_worker("things", lambda: list(range(1000)))
+        yield from rows
+
+    def look(rows):
+        for (i,) in rows:
+            yield i, len(common._KEPT)
+
+    def look_in_batches(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(common._KEPT)] * batch.num_rows)], names=["id", "n"])
+
+    ids = spark.range(0, 64, 1, 8)
+    for _ in range(2):
+        assert len(common.arrow_rows(ids, fill, "id long", keeps=True).collect()) == 64
+        assert any(r["n"] for r in common.arrow_rows(ids, look, "id long, n long", keeps=True).collect())
+        assert not any(r["n"] for r in common.arrow_rows(ids, look, "id long, n long").collect())
+    common.arrow_rows(ids, fill, "id long", keeps=True).collect()
+    assert not any(r["n"] for r in ids.mapInArrow(common.keeping_nothing(look_in_batches), "id long, n long").collect())
